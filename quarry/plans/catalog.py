@@ -2,6 +2,7 @@
 
 from quarry.plans import (  # noqa: F401
     workload_joins,
+    workload_select,
 )
 from quarry.plans.registry import ORACLES, QUERIES
 
