@@ -358,8 +358,8 @@ def x8(t: Tables):
 
 
 @register("X9_intersect_subquery", """
-WITH expensive AS (SELECT DISTINCT unnest(tags) AS tag FROM products WHERE price > 1050),
-     cheap AS (SELECT product_id, unnest(tags) AS tag FROM products WHERE price <= 1050)
+WITH expensive AS (SELECT DISTINCT unnest(tags) AS tag FROM products WHERE price > 990),
+     cheap AS (SELECT product_id, unnest(tags) AS tag FROM products WHERE price <= 990)
 SELECT product_id, array_to_string(list_sort(list_distinct(list(tag))), ',') AS shared_tags, count(DISTINCT tag) AS n_shared
 FROM cheap WHERE tag IN (SELECT tag FROM expensive) GROUP BY product_id
 """, bind=("products",))
@@ -370,8 +370,8 @@ def x9(t: Tables):
     semi-joined to exploded cheap tags, rather than one broadcast array
     whose size would grow with the vocabulary."""
     p = t.products
-    expensive = p.where(F.col("price") > 1050).select(F.explode("tags").alias("tag")).distinct()
-    cheap = p.where(F.col("price") <= 1050).select("product_id", F.explode("tags").alias("tag"))
+    expensive = p.where(F.col("price") > 990).select(F.explode("tags").alias("tag")).distinct()
+    cheap = p.where(F.col("price") <= 990).select("product_id", F.explode("tags").alias("tag"))
     shared = cheap.join(expensive, "tag", "left_semi")
     return shared.groupBy("product_id").agg(arr_str(F.collect_set("tag")).alias("shared_tags"),
                                             F.countDistinct("tag").alias("n_shared"))
