@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import anti_join_not_in, semi_join_top_k
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
@@ -47,3 +48,180 @@ JOIN part p ON l.l_partkey = p.p_partkey
 WHERE cr.r_name = 'AMERICA' AND sr.r_name = 'AMERICA' AND (p.p_brand = 'Brand#1' OR p.p_brand = 'Brand#2')
 GROUP BY d_year, c_nation
 """)(star_flight4)
+
+
+@register("J1_inner_equi", """
+SELECT o.o_orderkey, c.c_name, c.c_mktsegment, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_orderstatus = 'F'
+""")
+def j1(t: Tables):
+    o = t.orders.where(F.col("o_orderstatus") == "F")
+    return o.join(t.customer, o.o_custkey == t.customer.c_custkey).select("o_orderkey", "c_name", "c_mktsegment",
+                                                                          "o_totalprice")
+
+
+@register("J2_left_outer_count", """
+SELECT c.c_custkey, c.c_name, count(o.o_orderkey) AS order_count
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND year(o.o_orderdate) = 1997
+GROUP BY c.c_custkey, c.c_name
+""")
+def j2(t: Tables):
+    """Customers with their 1997 order count, zero kept for non-buyers.
+    The order side is pre-aggregated per customer before the join, so the
+    join moves one row per customer rather than every order."""
+    per = (t.orders.where(F.year("o_orderdate") == 1997).groupBy("o_custkey")
+           .agg(F.count("o_orderkey").alias("order_count")))
+    c = t.customer
+    return (c.join(per, c.c_custkey == per.o_custkey, "left")
+            .select("c_custkey", "c_name", F.coalesce("order_count", F.lit(0)).alias("order_count")))
+
+
+@register("J3_chained_left_default", """
+SELECT coalesce(n.n_name, 'anonymous') AS user_nation, count(*) AS event_count,
+       count(*) FILTER (WHERE e.event_type = 'purchase') AS purchase_count
+FROM events e
+LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) c ON e.user_id = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY user_nation
+""")
+def j3(t: Tables):
+    c = t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", "c_nationkey")
+    n = F.broadcast(t.nation.select("n_nationkey", "n_name"))  # 25 rows by definition
+    e = t.events.select("user_id", "event_type")
+    j = e.join(c, e.user_id == c.c_custkey, "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return j.groupBy(F.coalesce("n_name", F.lit("anonymous")).alias("user_nation")).agg(
+        F.count("*").alias("event_count"), F.count_if(F.col("event_type") == "purchase").alias("purchase_count"))
+
+
+@register("J4_computed_key_join", """
+SELECT p.p_type, e.event_type, count(*) AS n_events, round(sum(e.value), 2) AS total_value
+FROM event_facts e JOIN part p ON e.product_id = p.p_partkey
+WHERE e.prop_k != ''
+GROUP BY p.p_type, e.event_type
+""", bind=("event_facts",))
+def j4(t: Tables):
+    """Join on a key parsed out of a JSON property (toUInt64OrZero semantics)."""
+    e = t.event_facts.where(F.col("prop_k") != "")
+    p = t.part.select("p_partkey", "p_type")
+    return (e.join(p, e.product_id == p.p_partkey).groupBy("p_type", "event_type")
+            .agg(F.count("*").alias("n_events"), F.round(F.sum("value"), 2).alias("total_value")))
+
+
+@register("J6_three_way", """
+SELECT c.c_mktsegment, count(*) AS n_lines, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE l.l_returnflag = 'R'
+GROUP BY c.c_mktsegment
+""")
+def j6(t: Tables):
+    li = t.lineitem.where(F.col("l_returnflag") == "R").select("l_orderkey", "l_extendedprice", "l_discount")
+    o = t.orders.select("o_orderkey", "o_custkey")
+    c = t.customer.select("c_custkey", "c_mktsegment")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("c_mktsegment").agg(F.count("*").alias("n_lines"),
+                                         F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
+                                         .alias("revenue"))
+
+
+@register("J7_join_own_aggregate", """
+SELECT c.c_custkey, c.c_name, c.c_nationkey, c.c_acctbal, round(a.avg_bal, 6) AS nation_avg
+FROM customer c JOIN (SELECT c_nationkey, avg(c_acctbal) AS avg_bal FROM customer GROUP BY c_nationkey) a
+  ON c.c_nationkey = a.c_nationkey
+WHERE c.c_acctbal > a.avg_bal
+""")
+def j7(t: Tables):
+    c = t.customer
+    a = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("avg_bal"))
+    return (c.join(a, "c_nationkey").where(F.col("c_acctbal") > F.col("avg_bal"))
+            .select("c_custkey", "c_name", "c_nationkey", "c_acctbal", F.round("avg_bal", 6).alias("nation_avg")))
+
+
+@register("J8_using_join", """
+SELECT hour_of_day, purchases, round(avg_view_value, 6) AS avg_view_value FROM
+ (SELECT hour(ts) AS hour_of_day, count(*) AS purchases FROM events WHERE event_type = 'purchase' GROUP BY 1) p
+ JOIN (SELECT hour(ts) AS hour_of_day, avg(value) AS avg_view_value FROM events WHERE event_type = 'view' GROUP BY 1) v
+ USING (hour_of_day)
+""")
+def j8(t: Tables):
+    e = t.events
+    p = e.where(F.col("event_type") == "purchase").groupBy(F.hour("ts").alias("hour_of_day")) \
+        .agg(F.count("*").alias("purchases"))
+    v = e.where(F.col("event_type") == "view").groupBy(F.hour("ts").alias("hour_of_day")) \
+        .agg(F.round(F.avg("value"), 6).alias("avg_view_value"))
+    return p.join(v, "hour_of_day")
+
+
+@register("J9_anti_join", """
+SELECT c.c_custkey, c.c_name, count(o.o_orderkey) AS order_count
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey
+WHERE c.c_custkey NOT IN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)
+GROUP BY c.c_custkey, c.c_name
+""")
+def j9(t: Tables):
+    buyers = t.events.where(F.col("event_type") == "purchase")
+    c = anti_join_not_in(t.customer, buyers, "c_custkey", "user_id")
+    per = t.orders.groupBy("o_custkey").agg(F.count("o_orderkey").alias("order_count"))
+    return c.join(per, c.c_custkey == per.o_custkey).select("c_custkey", "c_name", "order_count")
+
+
+@register("J10_semi_join_top_k", """
+WITH top_users AS (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 5)
+SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM top_users)
+GROUP BY user_id, event_type
+""")
+def j10(t: Tables):
+    kept = semi_join_top_k(t.events, "user_id", 5)
+    return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@register("J11_cross_join_stats", """
+WITH monthly AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+     stats AS (SELECT avg(total) AS mu, stddev_pop(total) AS sigma FROM monthly)
+SELECT m.month, round(m.total, 2) AS total, round((m.total - s.mu) / s.sigma, 6) AS z_score
+FROM monthly m CROSS JOIN stats s
+""")
+def j11(t: Tables):
+    monthly = t.orders.groupBy(F.trunc(F.to_date("o_orderdate"), "MM").alias("month")) \
+        .agg(F.sum("o_totalprice").alias("total"))
+    stats = F.broadcast(monthly.agg(F.avg("total").alias("mu"), F.stddev_pop("total").alias("sigma")))  # one row
+    return monthly.crossJoin(stats).select("month", F.round("total", 2).alias("total"),
+                                           F.round((F.col("total") - F.col("mu")) / F.col("sigma"), 6).alias("z_score"))
+
+
+@register("J12_scalar_subquery", """
+WITH per AS (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey)
+SELECT o_custkey, n_orders FROM per WHERE n_orders > (SELECT avg(n_orders) FROM per)
+""")
+def j12(t: Tables):
+    per = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    avg = F.broadcast(per.agg(F.avg("n_orders").alias("_avg")))  # one row
+    return per.crossJoin(avg).where(F.col("n_orders") > F.col("_avg")).select("o_custkey", "n_orders")
+
+
+@register("J13_month_offset_join", """
+WITH first_m AS (SELECT o_custkey, min(date_trunc('month', o_orderdate))::DATE AS cohort_month FROM orders GROUP BY 1),
+     act AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate)::DATE AS activity_month FROM orders)
+SELECT f.cohort_month, count(DISTINCT f.o_custkey) AS cohort_size, count(DISTINCT a.o_custkey) AS active_next_month
+FROM first_m f LEFT JOIN act a ON a.o_custkey = f.o_custkey AND a.activity_month = f.cohort_month + INTERVAL 1 MONTH
+GROUP BY f.cohort_month
+""")
+def j13(t: Tables):
+    m = F.trunc(F.to_date("o_orderdate"), "MM")
+    first = t.orders.groupBy("o_custkey").agg(F.min(m).alias("cohort_month"))
+    act = t.orders.select(F.col("o_custkey").alias("a_cust"), m.alias("activity_month")).distinct()
+    j = first.join(act, (F.col("a_cust") == F.col("o_custkey"))
+                   & (F.col("activity_month") == F.add_months("cohort_month", 1)), "left")
+    return j.groupBy("cohort_month").agg(F.countDistinct("o_custkey").alias("cohort_size"),
+                                         F.countDistinct("a_cust").alias("active_next_month"))
+
+
+@register("J14_conditional_left_join", """
+SELECT e.event_type, count(*) AS n_events, count(p.p_partkey) AS matched_products
+FROM event_facts e LEFT JOIN part p ON e.event_type = 'purchase' AND e.product_id = p.p_partkey
+GROUP BY e.event_type
+""", bind=("event_facts",))
+def j14(t: Tables):
+    e = t.event_facts.select("event_type", "product_id")
+    p = t.part.select("p_partkey")
+    j = e.join(p, (e.event_type == "purchase") & (e.product_id == p.p_partkey), "left")
+    return j.groupBy("event_type").agg(F.count("*").alias("n_events"), F.count("p_partkey").alias("matched_products"))
