@@ -4,6 +4,7 @@ from quarry.plans import (  # noqa: F401
     workload_aggs,
     workload_joins,
     workload_select,
+    workload_time,
     workload_windows,
 )
 from quarry.plans.registry import ORACLES, QUERIES
