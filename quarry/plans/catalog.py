@@ -1,6 +1,7 @@
 """Import every plan module so the registry is complete."""
 
 from quarry.plans import (  # noqa: F401
+    eval_compare,
     workload_aggs,
     workload_joins,
     workload_select,
