@@ -155,17 +155,17 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
     """Unordered tolerant match.
 
     Phase 1 pairs exactly equal rows (canonical key + duplicate number).
-    Phase 2 takes only the residue, blocks rows on their normalised text
-    cells plus an ``asinh`` bucket of the first numeric cell (each gold row
-    is also sent to the neighbouring buckets and to the x100 / x0.01
-    buckets), and matches one-to-one inside each block with a grouped
-    pandas matcher.  Returns one verdict row.
+    Phase 2 takes only the residue.  Rows are blocked on their normalised
+    text cells plus an ``asinh`` bucket of the first floating cell (each
+    gold row is also sent to the neighbouring buckets and to the x100 and
+    x0.01 buckets, so every tolerant partner shares a block); candidate
+    pairs come from a JVM-side equi-join on the block filtered by the cell
+    rule, and a pandas step assigns partners one-to-one per block, in
+    sorted id order.  Returns one verdict row.
     """
     cols = gold.columns
-    gf = float_cols(gold)
-    pcols = pred.columns
-    pred = pred.select(*[F.col(pc).alias(gc) for pc, gc in zip(pcols, cols)])
-    pf = float_cols(pred)
+    pred = pred.select(*[F.col(pc).alias(gc) for pc, gc in zip(pred.columns, cols)])
+    gf, pf = float_cols(gold), float_cols(pred)
 
     def numbered(df):
         k = with_row_key(df)
@@ -179,95 +179,62 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
     text_cols = [c for c in cols if c not in gf and c not in pf]
     num_cols = [c for c in cols if c in gf or c in pf]
 
-    def block_text(df):
+    def block_text():
+        if not text_cols:
+            return F.lit("")
         return F.concat_ws("␟", *[F.when(_num(F.col(c)).isNotNull(), F.lit("#"))
                                        .otherwise(F.coalesce(norm_text(F.col(c)), F.lit(NULL_MARK)))
-                                       for c in text_cols]) if text_cols else F.lit("")
-
-    width = 2 * rtol
+                                  for c in text_cols])
 
     def bucket(x: Column) -> Column:
-        return F.floor(F.asinh(x) / F.lit(width))
+        return F.floor(F.asinh(x) / F.lit(2 * rtol))
 
-    first_num = _num(F.col(num_cols[0])) if num_cols else None
-    if first_num is not None:
+    if num_cols:
+        x = _num(F.col(num_cols[0]))
         gb = g_res.withColumn("_b", F.explode(F.array_distinct(F.array(
-            *[bucket(first_num * m) + d for m in (1.0, 100.0, 0.01) for d in (-1, 0, 1)]))))
-        pb = p_res.withColumn("_b", bucket(first_num))
+            *[bucket(x * m) + d for m in (1.0, 100.0, 0.01) for d in (-1, 0, 1)]))))
+        pb = p_res.withColumn("_b", bucket(x))
     else:
         gb, pb = g_res.withColumn("_b", F.lit(0)), p_res.withColumn("_b", F.lit(0))
-    gb = gb.withColumn("_blk", F.concat_ws("|", block_text(gb), F.coalesce(F.col("_b").cast("string"), F.lit("n"))))
-    pb = pb.withColumn("_blk", F.concat_ws("|", block_text(pb), F.coalesce(F.col("_b").cast("string"), F.lit("n"))))
-    gs = gb.select("_blk", F.to_json(F.struct(*cols)).alias("_row"), F.concat_ws(":", "_rk", "_dup").alias("_id"))
-    ps = pb.select("_blk", F.to_json(F.struct(*cols)).alias("_row"), F.concat_ws(":", "_rk", "_dup").alias("_id"))
-
-    import json
-    import math
-
-    def to_f(v):
-        if v is None or isinstance(v, bool):
-            return None if v is None else float(v)
-        try:
-            return float(str(v).strip())
-        except ValueError:
-            return None
-
-    def cell_eq(a, b):
-        if a is None and b is None:
-            return True
-        if a is None or b is None:
-            return False
-        fa, fb = to_f(a), to_f(b)
-        if fa is not None and fb is not None:
-            if math.isnan(fa) or math.isnan(fb):
-                return math.isnan(fa) and math.isnan(fb)
-            if abs(fa - fb) <= rtol * max(abs(fa), abs(fb), 1.0):
-                return True
-            if fa != 0 and fb != 0:
-                r = fa / fb
-                return abs(r - 100.0) <= 0.01 or abs(r - 0.01) <= 0.0001
-            return False
-        return " ".join(str(a).lower().split()) == " ".join(str(b).lower().split())
-
-    def match_block(key, gpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
+
+    def blocked(df, side):
+        blk = F.concat_ws("|", block_text(), F.coalesce(F.col("_b").cast("string"), F.lit("n")))
+        return df.select(blk.alias("_blk"), *[F.col(c).alias(f"{side}_{c}") for c in cols],
+                         F.concat_ws(":", "_rk", F.col("_dup").cast("string")).alias(f"{side}_id"))
+
+    ok = F.lit(True)
+    for c in cols:
+        ok = ok & eq_semantic(F.col(f"g_{c}"), F.col(f"p_{c}"), rtol, c in gf, c in pf)
+    cand = blocked(gb, "g").join(blocked(pb, "p"), "_blk").where(ok).select("_blk", "g_id", "p_id")
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        prow = [json.loads(r) for r in ppdf["_row"]] if len(ppdf) else []
-        order = sorted(range(len(gpdf)), key=lambda i: gpdf["_id"].iloc[i])
-        porder = sorted(range(len(ppdf)), key=lambda j: ppdf["_id"].iloc[j])
-        for i in order:
-            gr = json.loads(gpdf["_row"].iloc[i])
-            for j in porder:
-                if j in used:
-                    continue
-                pr = prow[j]
-                if all(cell_eq(gr.get(c), pr.get(c)) for c in cols):
-                    used.add(j)
-                    out.append((gpdf["_id"].iloc[i], ppdf["_id"].iloc[j]))
-                    break
+        for _, blk in pdf.sort_values(["_blk", "g_id", "p_id"]).groupby("_blk", sort=False):
+            used_g, used_p = set(), set()
+            for g_id, p_id in zip(blk["g_id"], blk["p_id"]):
+                if g_id not in used_g and p_id not in used_p:
+                    used_g.add(g_id)
+                    used_p.add(p_id)
+                    out.append((g_id, p_id))
         return pd.DataFrame(out, columns=["g_id", "p_id"])
 
-    cand = gs.groupBy("_blk").cogroup(ps.groupBy("_blk")).applyInPandas(match_block, "g_id string, p_id string")
+    nb = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    matched = (cand.withColumn("_bucket", F.pmod(F.xxhash64("_blk"), F.lit(nb)))
+               .groupBy("_bucket").applyInPandas(assign, "g_id string, p_id string"))
     # a gold row copied into several blocks, or a pred row claimed twice,
-    # counts once: keep one partner per gold id and per pred id
-    w1 = Window.partitionBy("g_id").orderBy("p_id")
-    c1 = cand.withColumn("_r", F.row_number().over(w1)).where("_r = 1")
-    w2 = Window.partitionBy("p_id").orderBy("g_id")
-    tol = c1.withColumn("_r2", F.row_number().over(w2)).where("_r2 = 1")
-
-    gold_rows = gold.agg(F.count("*").alias("gold_rows"))
-    pred_rows = pred.agg(F.count("*").alias("pred_rows"))
-    exact = pairs.agg(F.count("*").alias("matched_exact"))
-    tolc = tol.agg(F.count("*").alias("matched_tolerant"))
-    v = gold_rows.crossJoin(pred_rows).crossJoin(exact).crossJoin(tolc)
-    matched = F.col("matched_exact") + F.col("matched_tolerant")
+    # counts once: one partner per gold id, then one per pred id
+    c1 = matched.withColumn("_r", F.row_number().over(Window.partitionBy("g_id").orderBy("p_id"))).where("_r = 1")
+    tol = c1.withColumn("_r2", F.row_number().over(Window.partitionBy("p_id").orderBy("g_id"))).where("_r2 = 1")
+
+    v = (gold.agg(F.count("*").alias("gold_rows")).crossJoin(pred.agg(F.count("*").alias("pred_rows")))
+         .crossJoin(pairs.agg(F.count("*").alias("matched_exact")))
+         .crossJoin(tol.agg(F.count("*").alias("matched_tolerant"))))
+    m = F.col("matched_exact") + F.col("matched_tolerant")
     return v.select("gold_rows", "pred_rows", "matched_exact", "matched_tolerant",
-                    (F.col("gold_rows") - matched).alias("unmatched_gold"),
-                    (F.col("pred_rows") - matched).alias("unmatched_pred"),
-                    ((F.col("gold_rows") == matched) & (F.col("pred_rows") == matched)).alias("match"),
-                    (F.col("gold_rows") == matched).alias("superset_match"),
-                    partial_score(matched, F.col("gold_rows"), F.col("pred_rows")).alias("partial_score"))
-
+                    (F.col("gold_rows") - m).alias("unmatched_gold"), (F.col("pred_rows") - m).alias("unmatched_pred"),
+                    ((F.col("gold_rows") == m) & (F.col("pred_rows") == m)).alias("match"),
+                    (F.col("gold_rows") == m).alias("superset_match"),
+                    partial_score(m, F.col("gold_rows"), F.col("pred_rows")).alias("partial_score"))
 
 # ---------------------------------------------------------------- alignment
 
