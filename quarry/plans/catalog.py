@@ -2,6 +2,7 @@
 
 from quarry.plans import (  # noqa: F401
     eval_compare,
+    eval_metrics,
     eval_querylog,
     workload_aggs,
     workload_joins,

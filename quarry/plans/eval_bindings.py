@@ -143,3 +143,52 @@ def _run_log_sql() -> str:
 
 
 RUN_LOG_SQL = _run_log_sql()
+
+
+def scored_run_log(t: Tables) -> DataFrame:
+    """run_log plus result row counts, repair fields, comparison details and
+    the logged gold / final SQL and question of the same query id."""
+    from quarry.plans.querylog_bindings import query_log
+    r = run_log(t)
+    h = md5_int(F.concat(F.col("config"), F.lit("#"), F.col("query_id").cast("string")))
+    gold_rows = h % 40
+    pred_rows = (F.when(F.col("correct") == 1, gold_rows).when(F.col("executed") == 0, F.lit(0))
+                 .otherwise(md5_int(F.concat(F.lit("r"), F.col("query_id").cast("string"))) % 97))
+    rep = ((F.col("correct") == 0) & (h % 2 == 0))
+    r = r.select("*", gold_rows.alias("gold_rows"), pred_rows.alias("pred_rows"), rep.alias("repair_attempted"),
+                 (rep & (h % 4 == 0)).alias("repair_success"))
+    r = r.withColumn("details", F.when(F.col("correct") == 1, "match").when(F.col("executed") == 0, "")
+                     .when(F.col("pred_rows") != F.col("gold_rows"), "row-count mismatch")
+                     .otherwise("large equal-sized result set"))
+    q = query_log(t).select("query_id", "question", "gold_sql", F.col("pred_sql").alias("final_sql"))
+    return r.join(q, "query_id", "left")
+
+
+def _scored_sql() -> str:
+    h = md5_int_sql("config || '#' || CAST(query_id AS VARCHAR)")
+    hr = md5_int_sql("'r' || CAST(query_id AS VARCHAR)")
+    return (f"srl0 AS (SELECT *, {h} % 40 AS gold_rows, "
+            f"CASE WHEN correct = 1 THEN {h} % 40 WHEN executed = 0 THEN 0 ELSE {hr} % 97 END AS pred_rows, "
+            f"(correct = 0 AND {h} % 2 = 0) AS repair_attempted, (correct = 0 AND {h} % 2 = 0 AND {h} % 4 = 0) AS repair_success "
+            f"FROM run_log), "
+            f"srl1 AS (SELECT *, CASE WHEN correct = 1 THEN 'match' WHEN executed = 0 THEN '' "
+            f"WHEN pred_rows != gold_rows THEN 'row-count mismatch' ELSE 'large equal-sized result set' END AS details FROM srl0), "
+            f"scored AS (SELECT s.*, q.question, q.gold_sql, q.pred_sql AS final_sql FROM srl1 s "
+            f"LEFT JOIN query_log q ON s.query_id = q.query_id)")
+
+
+def scored_sql() -> str:
+    from quarry.plans.querylog_bindings import QUERY_LOG_SQL
+    return f"{RUN_LOG_SQL}, {QUERY_LOG_SQL}, {_scored_sql()}"
+
+
+def outcomes(t: Tables) -> DataFrame:
+    """Long paired-outcome table (family=metric, config, query_id, outcome)."""
+    r = run_log(t)
+    return (r.select("config", "query_id", F.col("correct").alias("o")).withColumn("metric", F.lit("correct"))
+            .unionByName(r.select("config", "query_id", F.col("executed").alias("o")).withColumn("metric", F.lit("executed")))
+            .select("metric", "config", "query_id", F.col("o").cast("int").alias("outcome")))
+
+
+OUTCOMES_SQL = (RUN_LOG_SQL + ", outcomes AS (SELECT 'correct' AS metric, config, query_id, CAST(correct AS INTEGER) AS outcome "
+                "FROM run_log UNION ALL SELECT 'executed', config, query_id, CAST(executed AS INTEGER) FROM run_log)")
