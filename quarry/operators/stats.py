@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import broadcast_if_small
+
 LN2 = 0.6931471805599453
 
 # Erfc rational approximation coefficients (fractional
@@ -154,7 +156,10 @@ def bootstrap_rate(outc: DataFrame, group: list[str], replicates: int = 10000, s
     draws = (sizes.crossJoin(reps)                      # (#groups x B) rows: bounded by B per group
              .select(*group, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")))
     draws = draws.select(*group, "b", F.pmod(mix_draw(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).alias("idx"))
-    means = (draws.join(num.select(*group, "idx", "outcome"), [*group, "idx"])
+    # the outcome table is broadcast when its size is proven small, so the
+    # B x n draw rows are joined map-side and only (group, b) partial
+    # sums are shuffled
+    means = (draws.join(broadcast_if_small(num.select(*group, "idx", "outcome")), [*group, "idx"])
              .groupBy(*group, "b").agg(F.avg("outcome").alias("m")))
     stats = means.groupBy(*group).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"),
                                       F.stddev_samp("m").alias("se"))

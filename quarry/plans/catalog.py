@@ -3,6 +3,7 @@
 from quarry.plans import (  # noqa: F401
     eval_compare,
     eval_metrics,
+    eval_stats,
     eval_querylog,
     workload_aggs,
     workload_joins,
