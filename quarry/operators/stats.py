@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.joins import broadcast_if_small
+from quarry.operators.joins import broadcast_if_rows
 
 LN2 = 0.6931471805599453
 
@@ -152,14 +152,17 @@ def bootstrap_rate(outc: DataFrame, group: list[str], replicates: int = 10000, s
     w = Window.partitionBy(*group).orderBy("query_id")
     num = outc.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
     sizes = num.groupBy(*group).agg(F.count("*").alias("n"), F.avg("outcome").alias("rate"))
-    reps = spark.range(replicates).select(F.col("id").alias("b"))
-    draws = (sizes.crossJoin(reps)                      # (#groups x B) rows: bounded by B per group
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    reps = spark.range(0, replicates, 1, parts).select(F.col("id").alias("b"))
+    # replicates are the streamed, partitioned side; the per-group sizes
+    # (one row per group) are broadcast, so draws are generated in parallel
+    draws = (reps.crossJoin(F.broadcast(sizes.select(*group, "n")))
              .select(*group, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")))
     draws = draws.select(*group, "b", F.pmod(mix_draw(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).alias("idx"))
     # the outcome table is broadcast when its size is proven small, so the
     # B x n draw rows are joined map-side and only (group, b) partial
     # sums are shuffled
-    means = (draws.join(broadcast_if_small(num.select(*group, "idx", "outcome")), [*group, "idx"])
+    means = (draws.join(broadcast_if_rows(num.select(*group, "idx", "outcome")), [*group, "idx"])
              .groupBy(*group, "b").agg(F.avg("outcome").alias("m")))
     stats = means.groupBy(*group).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"),
                                       F.stddev_samp("m").alias("se"))
