@@ -4,6 +4,7 @@ from quarry.plans import (  # noqa: F401
     eval_compare,
     eval_metrics,
     eval_stats,
+    io_plans,
     eval_querylog,
     workload_aggs,
     workload_joins,

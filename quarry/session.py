@@ -65,3 +65,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory for data a job
+    writes and reads back (never a machine-local temp folder on a cluster)."""
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry-io/{name}-{uuid.uuid4().hex[:12]}"
