@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,13 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
     """
     part = [F.col(c) for c in partition_by]
     n = num_partitions or _num_partitions(df)
-    d = df.repartitionByRange(n, *part, *order).withColumn("_pid", F.spark_partition_id())
+    # The range bounds come from sampling, so two separately planned range
+    # exchanges may cut at different keys.  The partition id is therefore
+    # assigned once and persisted: the offsets table and the rows read the
+    # same assignment (a lost block is recomputed through the same shuffle
+    # dependency, hence the same bounds).
+    d = (df.repartitionByRange(n, *part, *order).withColumn("_pid", F.spark_partition_id())
+         .persist(StorageLevel.MEMORY_AND_DISK))
     local = Window.partitionBy("_pid", *partition_by).orderBy(*order)
     d = (d.withColumn("_lrn", F.row_number().over(local))
           .withColumn("_lrk", F.rank().over(local))
