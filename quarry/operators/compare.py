@@ -79,8 +79,12 @@ def float_cols(df: DataFrame) -> set[str]:
 
 
 def with_row_key(df: DataFrame, name: str = "_rk") -> DataFrame:
+    """Canonical row key: two independent 64-bit xxhash values of the
+    canonical row text (a 128-bit key; cheaper per row than a SHA digest,
+    collisions ~2^-128)."""
     fc = float_cols(df)
-    key = F.sha2(F.concat_ws("␟", *[canonical_cell(F.col(c), c in fc) for c in df.columns]), 256)
+    text = F.concat_ws("␟", *[canonical_cell(F.col(c), c in fc) for c in df.columns])
+    key = F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(F.lit("#"), text).cast("string"))
     return df.withColumn(name, key)
 
 

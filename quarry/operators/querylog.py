@@ -273,10 +273,21 @@ def pattern_jaccard(a, b) -> Column:
 
 # ------------------------------------------------------------ near-duplicates
 
-def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: float = 0.8) -> DataFrame:
+def token_sets(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, toks): distinct tokens of each whole text, computed once and
+    persisted (MEMORY_AND_DISK) because the similarity join reads it three
+    times (document frequencies, prefixes, verification)."""
+    from pyspark import StorageLevel
+    return (df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+
+
+def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: float = 0.8,
+                         tokenized: bool = False) -> DataFrame:
     """Exact set-similarity join: all pairs with token Jaccard >= threshold.
 
-    ``left(id, text)`` (and ``right`` or a self-join when None).  Prefix
+    ``left(id, text)`` (and ``right`` or a self-join when None), or
+    ``(id, toks)`` frames from ``token_sets`` when ``tokenized``.  Prefix
     filtering: tokens are ordered by global rarity and each set keeps its
     first |s| - ceil(t*|s|) + 1 tokens; two sets with Jaccard >= t must
     share a prefix token, so candidate pairs come from an equi-join on
@@ -284,11 +295,14 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: fl
     exact Jaccard on the full token sets.  Nothing is truncated.
     """
     self_join = right is None
-    L = left.select(F.col("id").alias("lid"), tokens("text").alias("lt"))
-    R = L.select(F.col("lid").alias("rid"), F.col("lt").alias("rt")) if self_join else \
-        right.select(F.col("id").alias("rid"), tokens("text").alias("rt"))
-    df = (L.select(F.explode("lt").alias("tok")).unionByName(R.select(F.explode("rt").alias("tok")))
-          .groupBy("tok").agg(F.count("*").alias("df")))
+    Ls = left if tokenized else token_sets(left)
+    Rs = Ls if self_join else (right if tokenized else token_sets(right))
+    L = Ls.select(F.col("id").alias("lid"), F.col("toks").alias("lt"))
+    R = Rs.select(F.col("id").alias("rid"), F.col("toks").alias("rt"))
+    src = Ls.select(F.explode("toks").alias("tok"))
+    if not self_join:
+        src = src.unionByName(Rs.select(F.explode("toks").alias("tok")))
+    df = src.groupBy("tok").agg(F.count("*").alias("df"))
 
     def prefix(side, idc, tc):
         x = side.select(idc, F.size(tc).alias("n"), F.explode(tc).alias("tok")).join(df, "tok")
@@ -298,7 +312,8 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: fl
         return x.where(F.col("pos") <= plen).select(idc, "tok", "n")
 
     lp = prefix(L, "lid", "lt").withColumnRenamed("n", "ln")
-    rp = prefix(R, "rid", "rt").withColumnRenamed("n", "rn")
+    rp = lp.select(F.col("lid").alias("rid"), "tok", F.col("ln").alias("rn")) if self_join else \
+        prefix(R, "rid", "rt").withColumnRenamed("n", "rn")
     cand = lp.join(rp, "tok")
     if self_join:
         cand = cand.where(F.col("lid") < F.col("rid"))
