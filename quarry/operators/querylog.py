@@ -222,45 +222,59 @@ def extract_sql(text) -> Column:
 def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
     """Per question, the k examples with the best combined score
     0.6*(Jaccard + min(0.05*shared keywords, 0.15)) + 0.4*pattern Jaccard,
-    ties by example id.
-
-    ``questions(qid, text)``, ``examples(eid, text, sql)``.  Token
-    intersections come from an inverted-index equi-join (token -> pairs),
-    aggregated per pair; examples that share no token with a question
-    score by pattern only, and those are completed exactly at the level of
-    pattern signatures: per (question, signature) only the first k + (#
-    overlapping examples of that signature) ids can matter, so the rank
-    slots are generated and equi-joined — no question x example product.
+    ties by example id.  ``questions(qid, text)``, ``examples(eid, text, sql)``.
+
+    Exact, without a question x example product:
+
+    * token overlaps come from an inverted-index equi-join.  The question
+      tokens (the evaluation set) are broadcast when their size is proven
+      small, and the examples are hash-partitioned by id, so the join and
+      the per-(question, example) counts are computed map-side and never
+      shuffled;
+    * the top-k of the overlapping examples is taken with a per-partition
+      group limit before the only shuffle;
+    * an example sharing no token scores 0.4 * pattern Jaccard, identical
+      for every example of the same pattern signature.  Such examples are
+      fetched (first ids of the signature, skipping overlapping ones) only
+      for (question, signature) pairs whose pattern-only score can still
+      reach the question's k-th best overlapping score.
     """
+    nparts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     q = questions.select("qid", tokens("text").alias("qt"), question_patterns("text").alias("qp"))
-    e = examples.select("eid", tokens("text").alias("et"), sql_skeleton("sql").alias("ep"))
-    e = e.withColumn("sig", F.array_join("ep", ","))
+    e = (examples.select("eid", tokens("text").alias("et"), sql_skeleton("sql").alias("ep"))
+         .repartition(nparts, "eid"))
+    e = e.select("eid", "et", "ep", F.array_join("ep", ",").alias("sig"), F.size("et").alias("ne"))
     kw = F.array(*[F.lit(x) for x in SIMILARITY_KEYWORDS])
-    qx = q.select("qid", F.explode("qt").alias("tok"))
+    qx = broadcast_if_small(q.select("qid", F.explode("qt").alias("tok")))
     ex = e.select("eid", F.explode("et").alias("tok"))
-    shared = (qx.join(ex, "tok").groupBy("qid", "eid")
+    shared = (ex.join(qx, "tok").groupBy("eid", "qid")
               .agg(F.count("*").alias("inter"), F.count_if(F.array_contains(kw, F.col("tok"))).alias("kwh")))
-    qs = q.select("qid", F.size("qt").alias("nq"), "qp")
-    es = e.select("eid", F.size("et").alias("ne"), "ep", "sig")
-    over = shared.join(qs, "qid").join(es, "eid")
+    qs = broadcast_if_small(q.select("qid", F.size("qt").alias("nq"), "qp"))
+    over = shared.join(e.select("eid", "ne", "ep", "sig"), "eid").join(qs, "qid")
     jac = F.col("inter") / (F.col("nq") + F.col("ne") - F.col("inter"))
     boost = F.least(F.col("kwh") * 0.05, F.lit(0.15))
     scored = over.select("qid", "eid", "sig", (0.6 * (jac + boost) + 0.4 * pattern_jaccard("qp", "ep")).alias("score"))
-
-    # zero-overlap completion by signature (empty questions score 0 everywhere)
-    w = Window.partitionBy("sig").orderBy("eid")
-    e_rank = es.select("eid", "sig", "ep", F.row_number().over(w).alias("srank"))
-    sigs = es.select("sig", "ep").distinct()
-    n_over = scored.groupBy("qid", "sig").agg(F.count("*").alias("n_over"))
-    slots = (q.select("qid", "qp").crossJoin(broadcast_if_small(sigs))   # #signatures is bounded by the label set
-             .join(n_over, ["qid", "sig"], "left").fillna(0, ["n_over"])
-             .select("qid", "sig", "qp", F.explode(F.sequence(F.lit(1), F.col("n_over") + k)).alias("srank")))
-    zero = (slots.join(e_rank.drop("ep"), ["sig", "srank"])
-            .join(scored.select("qid", "eid"), ["qid", "eid"], "left_anti")
-            .join(sigs, "sig")
-            .select("qid", "eid", "sig", (0.4 * pattern_jaccard("qp", "ep")).alias("score")))
-    allc = scored.unionByName(zero)
     rw = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("eid"))
+    top_over = scored.withColumn("rank", F.row_number().over(rw)).where(F.col("rank") <= k)
+    theta = top_over.groupBy("qid").agg(F.when(F.count("*") < k, F.lit(-1.0)).otherwise(F.min("score")).alias("theta"))
+
+    sigs = e.groupBy("sig").agg(F.first("ep").alias("ep"))            # distinct pattern signatures
+    need = (q.select("qid", "qp").crossJoin(broadcast_if_small(sigs))  # bounded by the pattern-label set
+            .withColumn("zscore", 0.4 * pattern_jaccard("qp", "ep"))
+            .join(theta, "qid", "left").where(F.col("zscore") >= F.coalesce("theta", F.lit(-1.0)))
+            .select("qid", "sig", "zscore"))
+    n_over = scored.join(need.select("qid", "sig"), ["qid", "sig"], "left_semi") \
+        .groupBy("qid", "sig").agg(F.count("*").alias("n_over"))
+    e_rank = e.select("eid", "sig", F.row_number().over(Window.partitionBy("sig").orderBy("eid")).alias("srank"))
+    slots = (need.join(n_over, ["qid", "sig"], "left").fillna(0, ["n_over"])
+             .select("qid", "sig", "zscore", F.explode(F.sequence(F.lit(1), F.col("n_over") + k)).alias("srank")))
+    # keep the candidates that share no token with the question (tested on
+    # the few candidates directly, not by anti-joining every scored pair)
+    zero = (slots.join(e_rank, ["sig", "srank"])
+            .join(e.select("eid", "et"), "eid").join(broadcast_if_small(q.select("qid", "qt")), "qid")
+            .where(F.size(F.array_intersect("qt", "et")) == 0)
+            .select("qid", "eid", "sig", F.col("zscore").alias("score")))
+    allc = top_over.drop("rank").unionByName(zero)
     return (allc.withColumn("rank", F.row_number().over(rw)).where(F.col("rank") <= k)
             .select("qid", "rank", "eid", F.round("score", 6).alias("score")))
 
