@@ -29,12 +29,16 @@ def _num_partitions(df: DataFrame) -> int:
 def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] = (),
            row_number: str | None = None, rank: str | None = None, dense_rank: str | None = None,
            ntile: tuple[str, int] | None = None, group_size: str | None = None,
-           num_partitions: int | None = None) -> DataFrame:
+           running: Sequence[tuple[str, str, str]] = (), num_partitions: int | None = None) -> DataFrame:
     """Add global (per ``partition_by`` group) row_number / rank / dense_rank /
     ntile columns without funnelling any group into one task.
 
-    ``order`` must be a total order when ``row_number`` or ``ntile`` is
-    requested (append a unique key), exactly as with SQL windows.
+    ``order`` must be a total order when ``row_number``, ``ntile`` or
+    ``running`` is requested (append a unique key), exactly as with SQL
+    windows.  ``running`` holds ``(fn, column, name)`` triples, fn one of
+    sum / count / min / max: the ROWS UNBOUNDED PRECEDING .. CURRENT ROW
+    aggregate, completed across range partitions by per-(partition, group)
+    totals of the earlier partitions.
     """
     part = [F.col(c) for c in partition_by]
     n = num_partitions or _num_partitions(df)
@@ -49,14 +53,22 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
     d = (d.withColumn("_lrn", F.row_number().over(local))
           .withColumn("_lrk", F.rank().over(local))
           .withColumn("_ldr", F.dense_rank().over(local)))
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fns = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    carry = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    for fn, col, name in running:
+        d = d.withColumn(f"_lr_{name}", fns[fn](col).over(upto))
     # one row per (range partition, group): size <= #groups + #partitions
-    s = d.groupBy("_pid", *partition_by).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_ldr").alias("_dcnt"))
+    s = d.groupBy("_pid", *partition_by).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_ldr").alias("_dcnt"),
+                                            *[fns[fn](col).alias(f"_pt_{name}") for fn, col, name in running])
     before = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*partition_by)
     s = (s.withColumn("_rows_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
           .withColumn("_dist_before", F.coalesce(F.sum("_dcnt").over(before), F.lit(0)))
           .withColumn("_gsize", F.sum("_cnt").over(whole))
           .drop("_cnt", "_dcnt"))
+    for fn, col, name in running:
+        s = s.withColumn(f"_pb_{name}", carry[fn](f"_pt_{name}").over(before)).drop(f"_pt_{name}")
     d = d.join(broadcast_if_small(s), ["_pid", *partition_by])
     rn = F.col("_rows_before") + F.col("_lrn")
     out = d
@@ -76,9 +88,31 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
         out = out.withColumn(name, b.cast("int"))
     if group_size:
         out = out.withColumn(group_size, F.col("_gsize"))
+    for fn, col, name in running:
+        loc, prev = F.col(f"_lr_{name}"), F.col(f"_pb_{name}")
+        if fn in ("sum", "count"):
+            val = F.when(prev.isNull(), loc).when(loc.isNull(), prev).otherwise(loc + prev)
+        elif fn == "max":
+            val = F.greatest(loc, prev)
+        else:
+            val = F.least(loc, prev)
+        out = out.withColumn(name, val).drop(f"_lr_{name}", f"_pb_{name}")
     return out.drop("_pid", "_lrn", "_lrk", "_ldr", "_rows_before", "_dist_before", "_gsize")
 
 
+def shifted(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str], cols: Sequence[str],
+            offset: int, prefix: str) -> DataFrame:
+    """lag (offset > 0) / lead (offset < 0) of ``cols`` within each group,
+    NULL at the edges, without a per-group window: rows get their exact
+    position from ``ranked`` and are equi-joined to the row ``offset``
+    positions earlier on (group, position) — a high-cardinality key, so a
+    hot group's rows spread over all tasks."""
+    r = ranked(df, order, partition_by, row_number="_pos")
+    other = r.select(*partition_by, (F.col("_pos") + offset).alias("_pos"),
+                     *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    return r.join(other, [*partition_by, "_pos"], "left")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by: Sequence[str] = (),
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles (the ``quantile``/``median``

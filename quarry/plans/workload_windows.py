@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct
-from quarry.operators.ranking import ranked
+from quarry.operators.ranking import ranked, shifted
 from quarry.operators.windows import frame, growth_pct, min_max_normalise, running, top_n_per_group
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
@@ -21,7 +21,9 @@ SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_i
 FROM events
 """)
 def w1(t: Tables):
-    return t.events.select("user_id", "event_id", "event_type", "ts", F.row_number().over(_uw()).alias("event_seq"))
+    """Per-user sequence numbers, skew-safe (a hot user is range-split)."""
+    e = t.events.select("user_id", "event_id", "event_type", "ts")
+    return ranked(e, [F.col("ts"), F.col("event_id")], ["user_id"], row_number="event_seq")
 
 
 @register("W2_rank_dense_rank", """
@@ -61,10 +63,14 @@ SELECT user_id, event_id, ts,
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def w4(t: Tables):
-    prev = F.lag("ts").over(_uw())
-    return t.events.select("user_id", "event_id", "ts", prev.alias("prev_ts"),
-                           boundary_diff("second", prev, F.col("ts")).alias("seconds_since_prev"),
-                           F.lead("event_type").over(_uw()).alias("next_event_type"))
+    """lag / lead as equi-joins on (user, position): no per-user window task."""
+    e = t.events.select("user_id", "event_id", "ts", "event_type")
+    order = [F.col("ts"), F.col("event_id")]
+    lagged = shifted(e, order, ["user_id"], ["ts"], 1, "prev_")
+    led = shifted(e, order, ["user_id"], ["event_type"], -1, "next_").select("event_id", "next_event_type")
+    return lagged.join(led, "event_id").select(
+        "user_id", "event_id", "ts", F.col("prev_ts"),
+        boundary_diff("second", F.col("prev_ts"), F.col("ts")).alias("seconds_since_prev"), "next_event_type")
 
 
 @register("W5_running_sum", """
@@ -73,8 +79,10 @@ SELECT user_id, event_id, ts,
 FROM events
 """)
 def w5(t: Tables):
-    return t.events.select("user_id", "event_id", "ts",
-                           F.round(F.sum("value").over(running(["user_id"], ["ts", "event_id"])), 6).alias("running_value"))
+    """Running sum per user, skew-safe (range-split groups + partition offsets)."""
+    e = t.events.select("user_id", "event_id", "ts", "value")
+    r = ranked(e, [F.col("ts"), F.col("event_id")], ["user_id"], running=[("sum", "value", "_rs")])
+    return r.select("user_id", "event_id", "ts", F.round("_rs", 6).alias("running_value"))
 
 
 @register("W6_moving_average", """
@@ -107,9 +115,13 @@ SELECT user_id, event_id,
 FROM events
 """)
 def w8(t: Tables):
-    w = frame(["user_id"], ["ts", "event_id"], Window.unboundedPreceding, Window.unboundedFollowing)
-    return t.events.select("user_id", "event_id", F.first("event_type").over(w).alias("first_type"),
-                           F.last("event_type").over(w).alias("last_type"))
+    """first/last value over the full frame = min_by/max_by per user joined
+    back: map-side combined, no per-user window buffer."""
+    e = t.events
+    k = F.struct("ts", "event_id")
+    ends = e.groupBy("user_id").agg(F.min_by("event_type", k).alias("first_type"),
+                                    F.max_by("event_type", k).alias("last_type"))
+    return e.select("user_id", "event_id").join(ends, "user_id")
 
 
 @register("W9_partition_aggregate", """
@@ -150,9 +162,12 @@ SELECT user_id, event_id, count(*) OVER w AS n_so_far, min(value) OVER w AS min_
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def w11(t: Tables):
-    w = running(["user_id"], ["ts", "event_id"])  # one named spec, reused
-    return t.events.select("user_id", "event_id", F.count("*").over(w).alias("n_so_far"),
-                           F.min("value").over(w).alias("min_so_far"), F.max("value").over(w).alias("max_so_far"))
+    """Three aggregates over one named running frame (count, min, max),
+    computed skew-safe in a single ranked pass."""
+    e = t.events.select("user_id", "event_id", "ts", "value")
+    r = ranked(e, [F.col("ts"), F.col("event_id")], ["user_id"],
+               running=[("count", "value", "n_so_far"), ("min", "value", "min_so_far"), ("max", "value", "max_so_far")])
+    return r.select("user_id", "event_id", "n_so_far", "min_so_far", "max_so_far")
 
 
 @register("W12_top_n_per_group", """
@@ -238,11 +253,14 @@ SELECT user_id, event_id, value, min(value) OVER w AS min_v, max(value) OVER w A
 FROM events WINDOW w AS (PARTITION BY user_id)
 """)
 def w17(t: Tables):
-    w = Window.partitionBy("user_id")
-    e = t.events
-    return e.select("user_id", "event_id", "value", F.min("value").over(w).alias("min_v"),
-                    F.max("value").over(w).alias("max_v"),
-                    F.round(min_max_normalise("value", w), 6).alias("normalized_score"))
+    """Min-max normalisation per user; min/max are a per-user aggregate
+    joined back (map-side combined) rather than an unordered window."""
+    e = t.events.select("user_id", "event_id", "value")
+    mm = e.groupBy("user_id").agg(F.min("value").alias("min_v"), F.max("value").alias("max_v"))
+    j = e.join(mm, "user_id")
+    norm = F.when(F.col("max_v") == F.col("min_v"), F.lit(0.0)).otherwise(
+        (F.col("value") - F.col("min_v")) / (F.col("max_v") - F.col("min_v")))
+    return j.select("user_id", "event_id", "value", "min_v", "max_v", F.round(norm, 6).alias("normalized_score"))
 
 
 @register("W18_window_count_arg_max", """

@@ -44,3 +44,24 @@ def test_exact_quantiles(spark):
             assert abs(q[g][name] - np.quantile(sub["v"].to_numpy(), p)) < 1e-9
     glob = exact_quantiles(df, "v", [0.5]).first()["p50"]
     assert abs(glob - np.quantile(pdf["v"].to_numpy(), 0.5)) < 1e-9
+
+
+def test_running_and_shift(spark):
+    from quarry.operators.ranking import shifted
+    df = _data(spark)
+    ours = ranked(df, [F.col("v"), F.col("id")], ["g"],
+                  running=[("sum", "v", "rs"), ("count", "v", "rc"), ("max", "v", "rmax"), ("min", "v", "rmin")])
+    w = Window.partitionBy("g").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("id", F.sum("v").over(w).alias("rs"), F.count("v").over(w).alias("rc"),
+                    F.max("v").over(w).alias("rmax"), F.min("v").over(w).alias("rmin"))
+    a = {r["id"]: (round(r["rs"], 6), r["rc"], r["rmax"], r["rmin"]) for r in ours.collect()}
+    b = {r["id"]: (round(r["rs"], 6), r["rc"], r["rmax"], r["rmin"]) for r in ref.collect()}
+    assert a == b
+    lag = shifted(df, [F.col("v"), F.col("id")], ["g"], ["id"], 1, "prev_")
+    lead = shifted(df, [F.col("v"), F.col("id")], ["g"], ["id"], -1, "next_")
+    w2 = Window.partitionBy("g").orderBy("v", "id")
+    refl = {r["id"]: (r["p"], r["n"]) for r in df.select("id", F.lag("id").over(w2).alias("p"),
+                                                         F.lead("id").over(w2).alias("n")).collect()}
+    gotl = {r["id"]: r["prev_id"] for r in lag.collect()}
+    gotn = {r["id"]: r["next_id"] for r in lead.collect()}
+    assert all(gotl[i] == refl[i][0] and gotn[i] == refl[i][1] for i in refl)
