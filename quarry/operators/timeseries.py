@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import iso_weekday, start_of_month, start_of_week
+from quarry.operators.ranking import ranked, shifted
 
 
 def calendar_counts(df: DataFrame, ts: str) -> DataFrame:
@@ -30,14 +31,19 @@ def calendar_counts(df: DataFrame, ts: str) -> DataFrame:
 def sessionize(df: DataFrame, user: str, ts: str, tiebreak: str, gap_seconds: int) -> DataFrame:
     """Gap-based sessions: a new session starts when the gap to the user's
     previous event exceeds ``gap_seconds``.  Adds ``session_no`` (1-based per
-    user).  Partitioned by user, so it parallelises over users."""
-    w = Window.partitionBy(user).orderBy(ts, tiebreak)
-    prev = F.lag(ts).over(w)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
-    start = F.when(prev.isNull() | (gap > F.lit(gap_seconds * 1_000_000)), 1).otherwise(0)
-    d = df.withColumn("_start", start)
-    return d.withColumn("session_no", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .drop("_start")
+    user).
+
+    Skew-safe: the previous event comes from an equi-join on (user,
+    position) and the session number is a running count of session starts
+    over range-split users, so a user holding a third of all events is
+    spread over many tasks instead of one window task."""
+    order = [F.col(ts), F.col(tiebreak)]
+    d = shifted(df, order, [user], [ts], 1, "_prev_")
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"_prev_{ts}").cast("timestamp"))
+    d = d.withColumn("_start", F.when(F.col(f"_prev_{ts}").isNull() | (gap > F.lit(gap_seconds * 1_000_000)), 1)
+                     .otherwise(0)).drop(f"_prev_{ts}", "_pos")
+    r = ranked(d, order, [user], running=[("sum", "_start", "session_no")])
+    return r.drop("_start")
 
 
 def session_table(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:

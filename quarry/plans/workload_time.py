@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct, ratio, start_of_month, start_of_week
 from quarry.operators.joins import semi_join_top_k
+from quarry.operators.ranking import ranked, shifted
 from quarry.operators.timeseries import calendar_counts, session_table, sessionize
 from quarry.operators.windows import frame, growth_pct, top_n_per_group
 from quarry.plans.registry import register
@@ -191,9 +192,12 @@ SELECT user_id, event_id, ts FROM (
 WHERE event_type = 'view' AND nxt = 'purchase'
 """)
 def r12(t: Tables):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return (t.events.select("user_id", "event_id", "ts", "event_type", F.lead("event_type").over(w).alias("nxt"))
-            .where((F.col("event_type") == "view") & (F.col("nxt") == "purchase")).select("user_id", "event_id", "ts"))
+    """A view immediately followed (per user) by a purchase; the next event
+    comes from the skew-safe (user, position) join."""
+    e = t.events.select("user_id", "event_id", "ts", "event_type")
+    nxt = shifted(e, [F.col("ts"), F.col("event_id")], ["user_id"], ["event_type"], -1, "next_")
+    return (nxt.where((F.col("event_type") == "view") & (F.col("next_event_type") == "purchase"))
+            .select("user_id", "event_id", "ts"))
 
 
 @register("R13_funnel_by_country", """
@@ -248,8 +252,8 @@ def x11(t: Tables, chunk_size: int = 1000):
     order; sessions longer than ``chunk_size`` are split into numbered
     chunks so no single array grows with a hot user's history."""
     s = sessionize(t.events.select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id", 3600)
-    rn = F.row_number().over(Window.partitionBy("user_id", "session_no").orderBy("ts", "event_id"))
-    q = s.withColumn("chunk", F.floor((rn - 1) / chunk_size).cast("bigint"))
+    q = ranked(s, [F.col("ts"), F.col("event_id")], ["user_id", "session_no"], row_number="_rn")
+    q = q.withColumn("chunk", F.floor((F.col("_rn") - 1) / chunk_size).cast("bigint"))
     seq = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
     return q.groupBy("user_id", "session_no", "chunk").agg(
         F.array_join(F.transform(seq, lambda x: x["event_type"]), ">").alias("event_sequence"),
