@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.joins import broadcast_if_rows
 
 LN2 = 0.6931471805599453
 
@@ -140,30 +139,72 @@ def mix_draw(*parts: Column) -> Column:
     return x
 
 
-def bootstrap_rate(outc: DataFrame, group: list[str], replicates: int = 10000, seed: int = 42) -> DataFrame:
+def bootstrap_rate(outc: DataFrame, group: list[str], replicates: int = 10000, seed: int = 42,
+                   max_array: int = 2_000_000) -> DataFrame:
     """T6s: percentile bootstrap of the mean outcome per group.
 
     Every group's outcomes are numbered 0..n-1; replicate b draws n indices
-    j -> mix(seed, b, j) mod n; the replicate means are aggregated per
-    (group, b), then the 2.5 / 97.5 percentiles and the standard error.
-    Draws are generated from ``spark.range`` and joined to the outcomes by
-    (group, index), so work is spread over (replicate, draw) rows."""
+    j -> mix(seed, b, j) mod n; the replicate means give the 2.5 / 97.5
+    percentiles and the standard error.  Replicates come from a partitioned
+    ``spark.range``.  When every group is small enough (row count checked)
+    its outcomes travel as one broadcast array and each replicate folds its
+    n draws in a single row (no B x n rows); otherwise draws are rows joined
+    to the outcomes by index."""
     spark = outc.sparkSession
     w = Window.partitionBy(*group).orderBy("query_id")
     num = outc.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
     sizes = num.groupBy(*group).agg(F.count("*").alias("n"), F.avg("outcome").alias("rate"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     reps = spark.range(0, replicates, 1, parts).select(F.col("id").alias("b"))
-    # replicates are the streamed, partitioned side; the per-group sizes
-    # (one row per group) are broadcast, so draws are generated in parallel
-    draws = (reps.crossJoin(F.broadcast(sizes.select(*group, "n")))
-             .select(*group, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")))
-    draws = draws.select(*group, "b", F.pmod(mix_draw(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).alias("idx"))
-    # the outcome table is broadcast when its size is proven small, so the
-    # B x n draw rows are joined map-side and only (group, b) partial
-    # sums are shuffled
-    means = (draws.join(broadcast_if_rows(num.select(*group, "idx", "outcome")), [*group, "idx"])
-             .groupBy(*group, "b").agg(F.avg("outcome").alias("m")))
+    if outc.count() <= max_array:
+        arrs = num.groupBy(*group).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("idx", "outcome"))), lambda x: x["outcome"]).alias("arr"))
+        g = F.broadcast(arrs.join(sizes.select(*group, "n"), group))
+        # one input row per (group, replicate bucket): the outcome array is
+        # shipped to Python once per bucket, the bucket's replicates are
+        # folded there with vectorised numpy
+        per = -(-replicates // parts)
+        buckets = spark.range(0, parts, 1, parts).select(F.col("id").alias("bucket"))
+        rows = buckets.crossJoin(g).select(*group, "bucket", "n", "arr")
+        out_schema = ", ".join([f"{c} string" for c in group] + ["b bigint", "m double"])
+
+        def fold(batches):
+            import numpy as np
+            import pandas as pd
+            M = MODULUS
+            for pdf in batches:
+                outs = []
+                for rec in pdf.itertuples(index=False):
+                    d = rec._asdict()
+                    n, arr = int(d["n"]), np.asarray(d["arr"], dtype=np.int64)
+                    bs = np.arange(d["bucket"] * per, min(replicates, (d["bucket"] + 1) * per), dtype=np.int64)
+                    if len(bs) == 0:
+                        continue
+                    j = np.arange(n, dtype=np.int64)
+                    step = max(1, 4_000_000 // n)          # bound the draw matrix to ~32 MB
+                    m = np.empty(len(bs))
+                    for lo in range(0, len(bs), step):
+                        x = (12345 + seed * 7919) % M
+                        x = (x + bs[lo:lo + step, None] * 104729) % M
+                        x = (x + j[None, :] * 1299709) % M
+                        for _ in range(3):
+                            x = (x * 48271) % M
+                        m[lo:lo + step] = arr[x % n].sum(axis=1) / n
+                    o = pd.DataFrame({c: [str(d[c])] * len(bs) for c in group})
+                    o["b"], o["m"] = bs, m
+                    outs.append(o)
+                if outs:
+                    yield pd.concat(outs, ignore_index=True)
+
+        means = rows.mapInPandas(fold, out_schema)
+        for c in group:
+            means = means.withColumn(c, F.col(c).cast(dict(outc.dtypes)[c]))
+    else:
+        draws = (reps.crossJoin(F.broadcast(sizes.select(*group, "n")))
+                 .select(*group, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")))
+        draws = draws.select(*group, "b", F.pmod(mix_draw(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).alias("idx"))
+        means = (draws.join(num.select(*group, "idx", "outcome"), [*group, "idx"])
+                 .groupBy(*group, "b").agg(F.avg("outcome").alias("m")))
     stats = means.groupBy(*group).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"),
                                       F.stddev_samp("m").alias("se"))
     return sizes.join(stats, group)
