@@ -147,3 +147,27 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by:
     return (q.groupBy(*group_by).pivot("_qi", list(range(len(probs))))
             .agg(F.first("_q"))
             .select(*group_by, *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)]))
+
+
+def moving_frame(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str], value: str,
+                 lo: int, hi: int, keep: Sequence[str], out: str, fn: str = "avg") -> DataFrame:
+    """``fn(value) OVER (PARTITION BY … ORDER BY … ROWS BETWEEN lo AND hi)``
+    (lo <= hi <= 0) without a per-group window task.
+
+    Rows get exact positions from ``ranked``; each row is copied to every
+    target position whose frame contains it (target = pos + d, d in
+    [-hi, -lo]) plus a marker copy for itself, and a group-by on
+    (group, target) aggregates the frame.  Ranked rows are contiguous
+    inside range partitions, so the partial aggregation combines most
+    copies before the shuffle; a hot group's targets hash across tasks."""
+    r = ranked(df, order, partition_by, row_number="_pos")
+    ds = sorted(set(range(-hi, -lo + 1)) | {0})
+    c = r.select(*partition_by, "_pos", value, *keep, F.explode(F.array(*[F.lit(d) for d in ds])).alias("_d"))
+    c = c.withColumn("_t", F.col("_pos") + F.col("_d"))
+    inside = F.col("_d").between(-hi, -lo)
+    v = F.when(inside, F.col(value))
+    agg = {"avg": F.avg(v), "sum": F.sum(v), "count": F.count(v), "min": F.min(v), "max": F.max(v)}[fn]
+    g = c.groupBy(*partition_by, "_t").agg(agg.alias(out), F.max(F.when(F.col("_d") == 0, F.struct(
+        F.col(value).alias("_v"), *[F.col(k) for k in keep]))).alias("_self"))
+    return g.where(F.col("_self").isNotNull()).select(*partition_by, F.col("_self._v").alias(value),
+                                                      *[F.col(f"_self.{k}").alias(k) for k in keep], out)

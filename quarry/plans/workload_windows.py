@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct
-from quarry.operators.ranking import ranked, shifted
+from quarry.operators.ranking import moving_frame, ranked, shifted
 from quarry.operators.windows import frame, growth_pct, min_max_normalise, running, top_n_per_group
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
@@ -91,8 +91,10 @@ SELECT user_id, event_id, ts,
 FROM events
 """)
 def w6(t: Tables):
-    return t.events.select("user_id", "event_id", "ts",
-                           F.round(F.avg("value").over(frame(["user_id"], ["ts", "event_id"], -6, 0)), 6).alias("moving_avg_7"))
+    """7-row moving average per user, skew-safe (position copies + group-by)."""
+    e = t.events.select("user_id", "event_id", "ts", "value")
+    m = moving_frame(e, [F.col("ts"), F.col("event_id")], ["user_id"], "value", -6, 0, ["event_id", "ts"], "_ma")
+    return m.select("user_id", "event_id", "ts", F.round("_ma", 6).alias("moving_avg_7"))
 
 
 @register("W7_trailing_excluding_current", """
@@ -103,8 +105,10 @@ SELECT user_id, event_id, value, rolling_avg FROM (
 WHERE rolling_avg > 0 AND value > rolling_avg * 3
 """)
 def w7(t: Tables):
-    r = t.events.select("user_id", "event_id", "value",
-                        F.round(F.avg("value").over(frame(["user_id"], ["ts", "event_id"], -5, -1)), 6).alias("rolling_avg"))
+    """Trailing 5-row average excluding the current row, skew-safe."""
+    e = t.events.select("user_id", "event_id", "ts", "value")
+    m = moving_frame(e, [F.col("ts"), F.col("event_id")], ["user_id"], "value", -5, -1, ["event_id"], "_ra")
+    r = m.select("user_id", "event_id", "value", F.round("_ra", 6).alias("rolling_avg"))
     return r.where((F.col("rolling_avg") > 0) & (F.col("value") > F.col("rolling_avg") * 3))
 
 

@@ -65,3 +65,15 @@ def test_running_and_shift(spark):
     gotl = {r["id"]: r["prev_id"] for r in lag.collect()}
     gotn = {r["id"]: r["next_id"] for r in lead.collect()}
     assert all(gotl[i] == refl[i][0] and gotn[i] == refl[i][1] for i in refl)
+
+
+def test_moving_frame(spark):
+    from quarry.operators.ranking import moving_frame
+    df = _data(spark)
+    for lo, hi in [(-6, 0), (-5, -1)]:
+        ours = moving_frame(df, [F.col("v"), F.col("id")], ["g"], "v", lo, hi, ["id"], "ma")
+        w = Window.partitionBy("g").orderBy("v", "id").rowsBetween(lo, hi)
+        ref = df.select("id", F.avg("v").over(w).alias("ma"))
+        a = {r["id"]: None if r["ma"] is None else round(r["ma"], 9) for r in ours.collect()}
+        b = {r["id"]: None if r["ma"] is None else round(r["ma"], 9) for r in ref.collect()}
+        assert a == b
