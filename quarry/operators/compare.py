@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,8 +173,10 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
     gf, pf = float_cols(gold), float_cols(pred)
 
     def numbered(df):
+        # read by the exact pairing, the residue and the counts: keep once
         k = with_row_key(df)
-        return k.withColumn("_dup", F.row_number().over(Window.partitionBy("_rk").orderBy(*cols)))
+        return (k.withColumn("_dup", F.row_number().over(Window.partitionBy("_rk").orderBy(*cols)))
+                .persist(StorageLevel.MEMORY_AND_DISK))
 
     g, p = numbered(gold), numbered(pred)
     pairs = g.select("_rk", "_dup").join(p.select("_rk", "_dup"), ["_rk", "_dup"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct
 from quarry.operators.ranking import moving_frame, ranked, shifted
-from quarry.operators.windows import frame, growth_pct, min_max_normalise, running, top_n_per_group
+from quarry.operators.windows import frame, growth_pct, running, top_n_per_group
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
