@@ -392,3 +392,39 @@ def x10(t: Tables):
     return (j.groupBy("tag").agg(F.count(F.lit(1)).alias("total_events"), purchases.alias("purchases"),
                                  F.round(purchases * 100.0 / F.count(F.lit(1)), 2).alias("conversion_rate"))
             .where(F.col("total_events") >= 100))
+
+
+# ---------------------------------------------------------------- scalar functions
+
+from quarry.functions.text import DOMAIN_RE, HOST_RE, PATH_RE, enum_code, registered_domain, url_path  # noqa: E402
+
+
+@register("F15_url_parts", f"""
+WITH u AS (SELECT page_id, regexp_extract(url, '{PATH_RE}', 1) AS path,
+                  regexp_extract(regexp_replace(lower(regexp_extract(url, '{HOST_RE}', 1)), '^www\\.', ''), '{DOMAIN_RE}', 1) AS domain
+           FROM pages)
+SELECT domain, count(*) AS n_pages, count(DISTINCT path) AS n_paths,
+       count(*) FILTER (WHERE position('/en/' IN path) > 0) AS en_pages
+FROM u GROUP BY domain
+""")
+def f15(t: Tables):
+    """path(), cutToFirstSignificantSubdomain() and position() over page URLs."""
+    u = t.pages.select("page_id", url_path("url").alias("path"), registered_domain("url").alias("domain"))
+    return u.groupBy("domain").agg(F.count("*").alias("n_pages"), F.countDistinct("path").alias("n_paths"),
+                                   F.count_if(F.locate("/en/", F.col("path")) > 0).alias("en_pages"))
+
+
+# Segment enum codes.
+SEGMENT_CODES = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
+
+
+@register("F16_enum_codes", """
+SELECT CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3
+                         WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END AS segment_code,
+       count(*) AS n_customers, CAST(min(c_custkey) AS BIGINT) AS first_key
+FROM customer GROUP BY 1
+""")
+def f16(t: Tables):
+    """toInt8(enum): a declared literal code map, then grouping by the code."""
+    return t.customer.groupBy(enum_code("c_mktsegment", SEGMENT_CODES).alias("segment_code")).agg(
+        F.count("*").alias("n_customers"), F.min("c_custkey").alias("first_key"))

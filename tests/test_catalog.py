@@ -24,8 +24,18 @@ def duck():
     return con
 
 
+SURVEY_KEYS = ([f"IO{i}" for i in range(1, 12)] + [f"F{i}" for i in range(1, 15)] + [f"J{i}" for i in range(1, 15)]
+               + [f"A{i}" for i in range(1, 19)] + [f"W{i}" for i in range(1, 19)] + [f"O{i}" for i in range(1, 4)]
+               + [f"U{i}" for i in range(1, 5)] + [f"X{i}" for i in range(1, 12)]
+               + [f"E{i}" for i in list(range(1, 13)) + [14, 15, 16]] + [f"L{i}" for i in range(1, 17)]
+               + ["P1", "P2"] + [f"M{i}" for i in range(1, 10)] + [f"T{i}s" for i in range(1, 11)]
+               + [f"R{i}" for i in range(1, 15)])
+
+
 def test_registry_complete():
-    assert len(KEYS) == 159
+    have = {k.split("_")[0] for k in KEYS}
+    assert len(SURVEY_KEYS) == 159
+    assert set(SURVEY_KEYS) <= have
     assert set(ORACLES) <= set(KEYS)
     assert not any("pipeline" in k or k.lower().startswith("op") for k in KEYS)
 
