@@ -54,4 +54,7 @@ def boundary_diff(unit: str, start, end) -> Column:
         return F.datediff(F.to_date(e), F.to_date(s))
     if unit not in _TRUNC:
         raise ValueError(f"unsupported unit {unit}")
-    return F.timestamp_diff(unit.upper(), F.date_trunc(_TRUNC[unit], s), F.date_trunc(_TRUNC[unit], e))
+    # date_trunc returns a zoned timestamp; back to wall-clock (ntz) values so
+    # the count does not depend on the session time zone's DST rules
+    return F.timestamp_diff(unit.upper(), F.date_trunc(_TRUNC[unit], s).cast("timestamp_ntz"),
+                            F.date_trunc(_TRUNC[unit], e).cast("timestamp_ntz"))

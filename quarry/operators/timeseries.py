@@ -39,7 +39,7 @@ def sessionize(df: DataFrame, user: str, ts: str, tiebreak: str, gap_seconds: in
     spread over many tasks instead of one window task."""
     order = [F.col(ts), F.col(tiebreak)]
     d = shifted(df, order, [user], [ts], 1, "_prev_")
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"_prev_{ts}").cast("timestamp"))
+    gap = F.timestamp_diff("MICROSECOND", F.col(f"_prev_{ts}"), F.col(ts))   # zone-free on timestamp_ntz
     d = d.withColumn("_start", F.when(F.col(f"_prev_{ts}").isNull() | (gap > F.lit(gap_seconds * 1_000_000)), 1)
                      .otherwise(0)).drop(f"_prev_{ts}", "_pos")
     r = ranked(d, order, [user], running=[("sum", "_start", "session_no")])
@@ -53,8 +53,7 @@ def session_table(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:
     first_key = F.struct("ts", "event_id")
     return s.groupBy("user_id", "session_no").agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1_000_000)
-        .alias("duration_seconds"),
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1_000_000).alias("duration_seconds"),
         F.count("*").alias("event_count"),
         F.min_by("event_type", first_key).alias("entry_type"),
         F.max_by("event_type", first_key).alias("exit_type"),
