@@ -3,8 +3,6 @@ array expressions; cross-row work is explode + join + aggregate."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

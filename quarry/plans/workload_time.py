@@ -9,7 +9,7 @@ from quarry.functions import boundary_diff, pct, ratio, start_of_month, start_of
 from quarry.operators.joins import semi_join_top_k
 from quarry.operators.ranking import ranked, shifted
 from quarry.operators.timeseries import calendar_counts, session_table, sessionize
-from quarry.operators.windows import frame, growth_pct, top_n_per_group
+from quarry.operators.windows import growth_pct, top_n_per_group
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
