@@ -297,43 +297,68 @@ def token_sets(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
             .persist(StorageLevel.MEMORY_AND_DISK))
 
 
+def token_rarity(*sets: DataFrame) -> DataFrame:
+    """(tok, df): document frequency over the union of token-set frames —
+    the global rarity order used by prefix filtering."""
+    src = None
+    for x in sets:
+        e = x.select(F.explode("toks").alias("tok"))
+        src = e if src is None else src.unionByName(e)
+    return src.groupBy("tok").agg(F.count("*").alias("df"))
+
+
+def prefix_table(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """(id, tok, pos, n): the first |s| - ceil(t*|s|) + 1 tokens of every set
+    in (df, tok) order, with their 1-based position."""
+    from pyspark import StorageLevel
+    x = sets.select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(rarity, "tok")
+    x = x.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "tok")))
+    plen = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
+    return x.where(F.col("pos") <= plen).select("id", "tok", "pos", "n").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def similar_pairs(lsets: DataFrame, lpre: DataFrame, rsets: DataFrame | None, rpre: DataFrame | None,
+                  threshold: float) -> DataFrame:
+    """Pairs with Jaccard >= threshold from prefix tables (self-join when
+    ``rsets`` is None).  Filters, cheapest first: shared prefix token
+    (equi-join), length ratio, then the positional bound at the pair's first
+    shared token (all earlier tokens of both sets are unshared, so the
+    overlap is at most 1 + min(n_l - i, n_r - j) and must reach
+    t/(1+t) * (n_l + n_r)); only survivors get the exact Jaccard."""
+    self_join = rsets is None
+    lp = lpre.select(F.col("id").alias("lid"), "tok", F.col("pos").alias("lpos"), F.col("n").alias("ln"))
+    rp = (lpre if self_join else rpre).select(F.col("id").alias("rid"), "tok", F.col("pos").alias("rpos"),
+                                               F.col("n").alias("rn"))
+    cand = lp.join(rp, "tok")
+    if self_join:
+        cand = cand.where(F.col("lid") < F.col("rid"))
+    t = F.lit(threshold)
+    cand = cand.where((F.col("rn") >= t * F.col("ln")) & (F.col("ln") >= t * F.col("rn")))
+    first = cand.groupBy("lid", "rid").agg(F.min("lpos").alias("i"), F.min("rpos").alias("j"),
+                                           F.first("ln").alias("ln"), F.first("rn").alias("rn"))
+    need = F.ceil(t / (1 + t) * (F.col("ln") + F.col("rn")) - F.lit(1e-9))
+    first = first.where(1 + F.least(F.col("ln") - F.col("i"), F.col("rn") - F.col("j")) >= need)
+    L = lsets.select(F.col("id").alias("lid"), F.col("toks").alias("lt"))
+    R = (lsets if self_join else rsets).select(F.col("id").alias("rid"), F.col("toks").alias("rt"))
+    full = first.select("lid", "rid").join(L, "lid").join(R, "rid")
+    jac = jaccard_sets(F.col("lt"), F.col("rt"))
+    return full.where(jac >= threshold).select("lid", "rid", F.round(jac, 6).alias("jaccard"))
+
+
 def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: float = 0.8,
                          tokenized: bool = False) -> DataFrame:
     """Exact set-similarity join: all pairs with token Jaccard >= threshold.
 
     ``left(id, text)`` (and ``right`` or a self-join when None), or
     ``(id, toks)`` frames from ``token_sets`` when ``tokenized``.  Prefix
-    filtering: tokens are ordered by global rarity and each set keeps its
-    first |s| - ceil(t*|s|) + 1 tokens; two sets with Jaccard >= t must
-    share a prefix token, so candidate pairs come from an equi-join on
-    prefix tokens (rare tokens: small groups), then a length filter and the
-    exact Jaccard on the full token sets.  Nothing is truncated.
+    filtering over the global rarity order: two sets with Jaccard >= t must
+    share a prefix token, so candidates come from an equi-join on prefix
+    tokens (rare tokens: small groups), then length and positional filters
+    and the exact Jaccard on the full sets.  Nothing is truncated.
     """
-    self_join = right is None
     Ls = left if tokenized else token_sets(left)
-    Rs = Ls if self_join else (right if tokenized else token_sets(right))
-    L = Ls.select(F.col("id").alias("lid"), F.col("toks").alias("lt"))
-    R = Rs.select(F.col("id").alias("rid"), F.col("toks").alias("rt"))
-    src = Ls.select(F.explode("toks").alias("tok"))
-    if not self_join:
-        src = src.unionByName(Rs.select(F.explode("toks").alias("tok")))
-    df = src.groupBy("tok").agg(F.count("*").alias("df"))
-
-    def prefix(side, idc, tc):
-        x = side.select(idc, F.size(tc).alias("n"), F.explode(tc).alias("tok")).join(df, "tok")
-        w = Window.partitionBy(idc).orderBy("df", "tok")
-        x = x.withColumn("pos", F.row_number().over(w))
-        plen = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-        return x.where(F.col("pos") <= plen).select(idc, "tok", "n")
-
-    lp = prefix(L, "lid", "lt").withColumnRenamed("n", "ln")
-    rp = lp.select(F.col("lid").alias("rid"), "tok", F.col("ln").alias("rn")) if self_join else \
-        prefix(R, "rid", "rt").withColumnRenamed("n", "rn")
-    cand = lp.join(rp, "tok")
-    if self_join:
-        cand = cand.where(F.col("lid") < F.col("rid"))
-    cand = cand.where((F.col("rn") >= F.lit(threshold) * F.col("ln")) & (F.col("ln") >= F.lit(threshold) * F.col("rn")))
-    cand = cand.select("lid", "rid").distinct()
-    full = cand.join(L, "lid").join(R, "rid")
-    j = jaccard_sets(F.col("lt"), F.col("rt"))
-    return full.where(j >= threshold).select("lid", "rid", F.round(j, 6).alias("jaccard"))
+    Rs = None if right is None else (right if tokenized else token_sets(right))
+    rarity = token_rarity(Ls) if Rs is None else token_rarity(Ls, Rs)
+    lpre = prefix_table(Ls, rarity, threshold)
+    rpre = None if Rs is None else prefix_table(Rs, rarity, threshold)
+    return similar_pairs(Ls, lpre, Rs, rpre, threshold)

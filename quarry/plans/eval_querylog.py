@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import querylog as QL
 from quarry.operators.querylog import (column_refs, extract_sql, mask_values, near_duplicate_pairs, normalize_sql,
-                                       prf1, token_sets, question_class, question_patterns, sql_skeleton, table_refs,
+                                       prf1, prefix_table, similar_pairs, token_rarity, token_sets, question_class, question_patterns, sql_skeleton, table_refs,
                                        token_budget, tokens, top_k_similar, top_n_value)
 from quarry.operators.relational import arr_str
 from quarry.plans.querylog_bindings import QUERY_LOG_SQL, query_log
@@ -222,8 +222,11 @@ def l11(t: Tables):
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
     b = t.benchmark.select(F.col("item_id").alias("id"), "text")
     dt, bt = token_sets(d), token_sets(b)           # each whole text tokenised once
-    dd = near_duplicate_pairs(dt, None, tokenized=True).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
-    db = near_duplicate_pairs(dt, bt, tokenized=True).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
+    # one rarity order for both joins, so the documents' prefixes are built once
+    rarity = token_rarity(dt, bt)
+    dpre, bpre = prefix_table(dt, rarity, 0.8), prefix_table(bt, rarity, 0.8)
+    dd = similar_pairs(dt, dpre, None, None, 0.8).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
+    db = similar_pairs(dt, dpre, bt, bpre, 0.8).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
     norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
     ex = (d.select(F.col("id").alias("lid"), F.sha2(norm(F.col("text")), 256).alias("h"))
           .join(b.select(F.col("id").alias("rid"), F.sha2(norm(F.col("text")), 256).alias("h")), "h")
