@@ -169,6 +169,60 @@ def question_patterns(text) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*parts)))))
 
 
+# Bit positions of the structural labels (for set arithmetic as integers).
+LABEL_BITS = {lbl: i for i, lbl in enumerate([
+    "AGG_COUNT", "AGG_SUM", "AGG_AVG", "AGG_MAX", "AGG_MIN", "HAS_AGGREGATION", "HAS_CONDITIONAL_AGG",
+    "HAS_GROUP_BY", "HAS_WINDOW", "HAS_JOIN", "HAS_TIME", "HAS_ORDER", "HAS_LIMIT", "HAS_SUBQUERY"])}
+
+
+def _bits(labels) -> int:
+    v = 0
+    for lbl in labels:
+        v |= 1 << LABEL_BITS[lbl]
+    return v
+
+
+def sql_skeleton_mask(sql) -> Column:
+    """``sql_skeleton`` as a bitmask: one OR per rule, no arrays."""
+    s = F.upper(_c(sql))
+    m = F.lit(0).cast("bigint")
+    for rx, labels in SKELETON_RULES:
+        m = m.bitwiseOR(F.when(s.rlike(rx), F.lit(_bits(labels))).otherwise(F.lit(0)))
+    sub = s.rlike(r"\bWITH\b") | (F.size(F.split(s, "SELECT")) - 1 > 1)
+    return m.bitwiseOR(F.when(sub, F.lit(_bits(["HAS_SUBQUERY"]))).otherwise(F.lit(0)))
+
+
+def question_patterns_mask(text) -> Column:
+    """``question_patterns`` as a bitmask."""
+    q = F.lower(_c(text))
+
+    def any_of(words):
+        e = F.lit(False)
+        for w in words:
+            e = e | q.contains(w)
+        return e
+
+    m = F.lit(0).cast("bigint")
+    for k, lbl in QUESTION_AGG_WORDS:
+        m = m.bitwiseOR(F.when(q.contains(k), F.lit(_bits([lbl, "HAS_AGGREGATION"]))).otherwise(F.lit(0)))
+    n_tables = sum((F.when(q.contains(tn), 1).otherwise(0) for tn in QUESTION_TABLE_WORDS), F.lit(0))
+    W = QUESTION_FLAG_WORDS
+    top_n = q.rlike(r"\b(top|first|last|bottom)\s+\d+")
+    flags = [(any_of(W["HAS_GROUP_BY"]), "HAS_GROUP_BY"), (any_of(W["HAS_WINDOW"]), "HAS_WINDOW"),
+             ((n_tables >= 2) | any_of(W["HAS_JOIN"]), "HAS_JOIN"), (any_of(W["HAS_TIME"]), "HAS_TIME"),
+             (top_n, "HAS_LIMIT"), (top_n | any_of(W["HAS_ORDER"]), "HAS_ORDER"),
+             (any_of(W["HAS_CONDITIONAL_AGG"]), "HAS_CONDITIONAL_AGG"), (any_of(W["HAS_SUBQUERY"]), "HAS_SUBQUERY")]
+    for cond, lbl in flags:
+        m = m.bitwiseOR(F.when(cond, F.lit(_bits([lbl]))).otherwise(F.lit(0)))
+    return m
+
+
+def mask_jaccard(a, b) -> Column:
+    a, b = _c(a), _c(b)
+    u = F.bit_count(a.bitwiseOR(b))
+    return F.when(u == 0, 0.0).otherwise(F.bit_count(a.bitwiseAND(b)) / u)
+
+
 def tokens(text) -> Column:
     """Distinct lower-case [a-z0-9_]+ tokens of the whole text (the maximal
     runs of those characters: a split on everything else, empties dropped —
@@ -220,63 +274,82 @@ def extract_sql(text) -> Column:
 
 # ------------------------------------------------------------------ top-k
 
-def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
+def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3, frequent_share: float = 0.01) -> DataFrame:
     """Per question, the k examples with the best combined score
     0.6*(Jaccard + min(0.05*shared keywords, 0.15)) + 0.4*pattern Jaccard,
     ties by example id.  ``questions(qid, text)``, ``examples(eid, text, sql)``.
 
-    Exact, without a question x example product:
-
-    * token overlaps come from an inverted-index equi-join.  The question
-      tokens (the evaluation set) are broadcast when their size is proven
-      small, and the examples are hash-partitioned by id, so the join and
-      the per-(question, example) counts are computed map-side and never
-      shuffled;
-    * the top-k of the overlapping examples is taken with a per-partition
-      group limit before the only shuffle;
-    * an example sharing no token scores 0.4 * pattern Jaccard, identical
-      for every example of the same pattern signature.  Such examples are
-      fetched (first ids of the signature, skipping overlapping ones) only
-      for (question, signature) pairs whose pattern-only score can still
-      reach the question's k-th best overlapping score.
+    Exact, without a question x example product.  Example tokens are split
+    into frequent ones (in more than ``frequent_share`` of the examples: stop
+    words, template words) and rare ones.  An example that shares no rare
+    token with a question scores exactly like every example with the same
+    signature Z = (frequent-token set, token count, pattern set), so per
+    (question, Z) only the first k + (#examples of Z with a rare overlap)
+    ids by id can reach the top k: those rank slots are generated and
+    equi-joined.  Examples with a rare overlap come from an inverted-index
+    join on rare tokens only and are scored one by one.  The number of
+    distinct signatures is bounded by the frequent vocabulary and pattern
+    labels, not by the number of examples.
     """
-    nparts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    q = questions.select("qid", tokens("text").alias("qt"), question_patterns("text").alias("qp"))
-    e = (examples.select("eid", tokens("text").alias("et"), sql_skeleton("sql").alias("ep"))
-         .repartition(nparts, "eid"))
-    e = e.select("eid", "et", "ep", F.array_join("ep", ",").alias("sig"), F.size("et").alias("ne"))
+    from quarry.operators.ranking import ranked
     kw = F.array(*[F.lit(x) for x in SIMILARITY_KEYWORDS])
-    qx = broadcast_if_small(q.select("qid", F.explode("qt").alias("tok")))
+    q = questions.select("qid", tokens("text").alias("qt"), question_patterns_mask("text").alias("qp"))
+    q = q.withColumn("nq", F.size("qt"))
+    from pyspark import StorageLevel
+    # the example side feeds six branches (frequencies, signatures, rare
+    # pairs, ranks): tokenise / label it once
+    e = (examples.select("eid", tokens("text").alias("et"), sql_skeleton_mask("sql").alias("ep"))
+         .persist(StorageLevel.MEMORY_AND_DISK))
     ex = e.select("eid", F.explode("et").alias("tok"))
-    shared = (ex.join(qx, "tok").groupBy("eid", "qid")
-              .agg(F.count("*").alias("inter"), F.count_if(F.array_contains(kw, F.col("tok"))).alias("kwh")))
-    qs = broadcast_if_small(q.select("qid", F.size("qt").alias("nq"), "qp"))
-    over = shared.join(e.select("eid", "ne", "ep", "sig"), "eid").join(qs, "qid")
-    jac = F.col("inter") / (F.col("nq") + F.col("ne") - F.col("inter"))
-    boost = F.least(F.col("kwh") * 0.05, F.lit(0.15))
-    scored = over.select("qid", "eid", "sig", (0.6 * (jac + boost) + 0.4 * pattern_jaccard("qp", "ep")).alias("score"))
+    total = F.broadcast(e.agg(F.count("*").alias("_ne_total")))                       # one row
+    freq = (ex.groupBy("tok").agg(F.count("*").alias("_df")).crossJoin(total)
+            .where(F.col("_df") > F.lit(frequent_share) * F.col("_ne_total")).select("tok"))
+    freq = broadcast_if_small(freq)                # bounded: <= (avg tokens per example) / frequent_share
+    sigf = (ex.join(freq, "tok", "left_semi").groupBy("eid")
+            .agg(F.array_sort(F.collect_list("tok")).alias("fset")))
+    es = (e.join(sigf, "eid", "left")
+          .select("eid", F.coalesce("fset", F.array().cast("array<string>")).alias("fset"),
+                  F.size("et").alias("ne"), "ep"))
+    es = es.withColumn("z", F.concat_ws("|", F.array_join("fset", ","), F.col("ne").cast("string"),
+                                        F.col("ep").cast("string"))).persist(StorageLevel.MEMORY_AND_DISK)
+    zt = es.groupBy("z").agg(F.first("fset").alias("fset"), F.first("ne").alias("ne"), F.first("ep").alias("ep"))
+    # frequent part of every (question, signature): |Q| x #signatures rows
+    qz = (q.crossJoin(broadcast_if_small(zt))
+          .withColumn("finter", F.size(F.array_intersect("qt", "fset")))
+          .withColumn("fkw", F.size(F.array_intersect(F.array_intersect("qt", "fset"), kw)))
+          .withColumn("pj", mask_jaccard("qp", "ep"))
+          .select("qid", "z", "nq", "ne", "finter", "fkw", "pj"))
+
+    def score(inter, kwh):
+        jac = inter / (F.col("nq") + F.col("ne") - inter)
+        return 0.6 * (jac + F.least(kwh * 0.05, F.lit(0.15))) + 0.4 * F.col("pj")
+
+    # examples with a rare overlap, scored one by one
+    rare = ex.join(freq, "tok", "left_anti")
+    qx = broadcast_if_small(q.select("qid", F.explode("qt").alias("tok")))
+    rpairs = (rare.join(qx, "tok").groupBy("eid", "qid")
+              .agg(F.count("*").alias("rinter"), F.count_if(F.array_contains(kw, F.col("tok"))).alias("rkw")))
+    ind = (rpairs.join(es.select("eid", "z"), "eid").join(qz, ["qid", "z"])
+           .select("qid", "eid", "z", score(F.col("rinter") + F.col("finter"), F.col("rkw") + F.col("fkw")).alias("score")))
+    # signature completion: first k + (#rare-overlap members) ids of each signature
+    r_cnt = ind.groupBy("qid", "z").agg(F.count("*").alias("r"))
+    zsize = es.groupBy("z").agg(F.count("*").alias("nz"))
+    zs = (qz.join(r_cnt, ["qid", "z"], "left").fillna(0, ["r"]).join(broadcast_if_small(zsize), "z")
+          .select("qid", "z", "r", (F.col("nz") - F.col("r")).alias("avail"),
+                  score(F.col("finter"), F.col("fkw")).alias("score")))
+    # only the best signatures can hold top-k members: walk signatures by
+    # score; theta = score of the one where the available members first
+    # reach k; everything scoring below theta is beaten k times over
+    wz = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("z"))
+    zs = zs.withColumn("_before", F.coalesce(F.sum("avail").over(wz.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    theta = zs.where(F.col("_before") < k).groupBy("qid").agg(F.min("score").alias("theta"))
+    keep = zs.join(theta, "qid").where(F.col("score") >= F.col("theta"))
+    zrank = ranked(es.select("eid", "z"), [F.col("eid")], ["z"], row_number="zrank")   # skew-safe: Z groups are big
+    slots = keep.select("qid", "z", "score", F.explode(F.sequence(F.lit(1), F.col("r") + k)).alias("zrank"))
+    zero = (slots.join(zrank, ["z", "zrank"]).join(ind.select("qid", "eid"), ["qid", "eid"], "left_anti")
+            .select("qid", "eid", "z", "score"))
     rw = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("eid"))
-    top_over = scored.withColumn("rank", F.row_number().over(rw)).where(F.col("rank") <= k)
-    theta = top_over.groupBy("qid").agg(F.when(F.count("*") < k, F.lit(-1.0)).otherwise(F.min("score")).alias("theta"))
-
-    sigs = e.groupBy("sig").agg(F.first("ep").alias("ep"))            # distinct pattern signatures
-    need = (q.select("qid", "qp").crossJoin(broadcast_if_small(sigs))  # bounded by the pattern-label set
-            .withColumn("zscore", 0.4 * pattern_jaccard("qp", "ep"))
-            .join(theta, "qid", "left").where(F.col("zscore") >= F.coalesce("theta", F.lit(-1.0)))
-            .select("qid", "sig", "zscore"))
-    n_over = scored.join(need.select("qid", "sig"), ["qid", "sig"], "left_semi") \
-        .groupBy("qid", "sig").agg(F.count("*").alias("n_over"))
-    e_rank = e.select("eid", "sig", F.row_number().over(Window.partitionBy("sig").orderBy("eid")).alias("srank"))
-    slots = (need.join(n_over, ["qid", "sig"], "left").fillna(0, ["n_over"])
-             .select("qid", "sig", "zscore", F.explode(F.sequence(F.lit(1), F.col("n_over") + k)).alias("srank")))
-    # keep the candidates that share no token with the question (tested on
-    # the few candidates directly, not by anti-joining every scored pair)
-    zero = (slots.join(e_rank, ["sig", "srank"])
-            .join(e.select("eid", "et"), "eid").join(broadcast_if_small(q.select("qid", "qt")), "qid")
-            .where(F.size(F.array_intersect("qt", "et")) == 0)
-            .select("qid", "eid", "sig", F.col("zscore").alias("score")))
-    allc = top_over.drop("rank").unionByName(zero)
-    return (allc.withColumn("rank", F.row_number().over(rw)).where(F.col("rank") <= k)
+    return (ind.unionByName(zero).withColumn("rank", F.row_number().over(rw)).where(F.col("rank") <= k)
             .select("qid", "rank", "eid", F.round("score", 6).alias("score")))
 
 
