@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import pct, ratio
 from quarry.operators.ranking import exact_quantiles
 from quarry.operators.relational import arr_str
+from quarry.operators.windows import top_n_per_group
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
@@ -141,11 +142,14 @@ def a11(t: Tables):
     groupArray(3) ordered by price (a max_by-style top-3, never relying on
     input order)."""
     p = t.part
-    top3 = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("p_retailprice")).alias("pr"),
-                                                         F.col("p_partkey").alias("k"),
-                                                         F.col("p_name").alias("n")))), 1, 3)
-    return p.groupBy("p_type").agg(arr_str(F.collect_set("p_brand")).alias("brands"),
-                                   F.array_join(F.transform(top3, lambda x: x["n"]), "|").alias("top3_by_price"))
+    brands = p.groupBy("p_type").agg(arr_str(F.collect_set("p_brand")).alias("brands"))
+    # top 3 per type first (a group limit below the shuffle), so the collected
+    # array never holds more than three entries
+    top = top_n_per_group(p, ["p_type"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 3)
+    top3 = F.array_sort(F.collect_list(F.struct((-F.col("p_retailprice")).alias("pr"), F.col("p_partkey").alias("k"),
+                                                F.col("p_name").alias("n"))))
+    names = top.groupBy("p_type").agg(F.array_join(F.transform(top3, lambda x: x["n"]), "|").alias("top3_by_price"))
+    return brands.join(names, "p_type")
 
 
 @register("A12_having", """
