@@ -130,7 +130,7 @@ def e7(t: Tables):
 @register("E8_column_alignment", f"""
 WITH {RESULT_GOLD_SQL}
 SELECT CAST(count(*) AS BIGINT) AS gold_rows, CAST(count(*) AS BIGINT) AS pred_rows, CAST(count(*) AS BIGINT) AS matched_rows,
-       CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows, TRUE AS match, 1.0 AS partial_score FROM gold
+       CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows, TRUE AS match, CAST(1.0 AS DOUBLE) AS partial_score FROM gold
 """)
 def e8(t: Tables):
     """Prediction with renamed, reordered and one extra column: aligned by
@@ -159,9 +159,9 @@ def e9(t: Tables):
 WITH g AS (SELECT count(*) AS n FROM orders WHERE o_totalprice < 0),
      p AS (SELECT count(*) AS n FROM orders WHERE o_totalprice < 0),
      g2 AS (SELECT count(*) AS n FROM orders)
-SELECT 'both_empty' AS case_name, (g.n = 0 AND p.n = 0) AS match, CASE WHEN g.n = 0 AND p.n = 0 THEN 1.0 ELSE 0.0 END AS score FROM g, p
-UNION ALL SELECT 'pred_empty', (g2.n = 0), CASE WHEN g2.n = 0 THEN 1.0 ELSE 0.0 END FROM g2
-UNION ALL SELECT 'column_count_mismatch', FALSE, 0.0
+SELECT 'both_empty' AS case_name, (g.n = 0 AND p.n = 0) AS match, CAST(CASE WHEN g.n = 0 AND p.n = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM g, p
+UNION ALL SELECT 'pred_empty', (g2.n = 0), CAST(CASE WHEN g2.n = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) FROM g2
+UNION ALL SELECT 'column_count_mismatch', FALSE, CAST(0.0 AS DOUBLE)
 """)
 def e10(t: Tables):
     """Verdicts decided from counts and schemas before any row compare."""
@@ -219,7 +219,7 @@ def e12(t: Tables):
 @register("E14_result_fingerprint", """
 WITH h AS (SELECT l_orderkey, md5(concat_ws('|', CAST(l_linenumber AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(12,2)) AS VARCHAR), l_returnflag)) AS h
            FROM lineitem)
-SELECT l_orderkey, count(*) AS n_rows, sum(('0x' || substr(h, 1, 8))::BIGINT) AS fp_sum,
+SELECT l_orderkey, count(*) AS n_rows, CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS BIGINT) AS fp_sum,
        bit_xor(('0x' || substr(h, 9, 15))::BIGINT) AS fp_xor
 FROM h GROUP BY l_orderkey
 """)

@@ -89,7 +89,7 @@ def _headline(df, *keys):
 WITH {RUN_LOG_SQL}
 SELECT config, count(*) AS n, round(avg(executed), 6) AS executed_rate, round(avg(correct), 6) AS correct_rate,
        round(avg(tokens), 2) AS mean_tokens, round(avg(latency_ms), 2) AS mean_latency_ms,
-       sum(executed) AS n_executed, sum(correct) AS n_correct
+       CAST(sum(executed) AS BIGINT) AS n_executed, CAST(sum(correct) AS BIGINT) AS n_correct
 FROM run_log GROUP BY config
 """)
 def m1(t: Tables):

@@ -291,7 +291,7 @@ cs AS (SELECT q.query_id, c.table_name,
                 + len(list_intersect(q.qt, string_split(c.column_name, '_')))) AS s
        FROM q JOIN catalog c ON TRUE GROUP BY 1, 2),
 tot AS (SELECT ts.query_id, ts.table_name, ts.s + coalesce(cs.s, 0) AS score FROM ts LEFT JOIN cs USING (query_id, table_name))
-SELECT query_id, table_name, score FROM tot WHERE score > 0
+SELECT query_id, table_name, CAST(score AS BIGINT) AS score FROM tot WHERE score > 0
 """)
 def l13(t: Tables):
     """Relevant-table score per question: +5 table name as token, +5 table
@@ -355,7 +355,7 @@ def l15(t: Tables):
 
 @register("L16_token_budget", """
 SELECT source, lang, count(*) AS n_docs,
-       sum(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 3.5) AS BIGINT)) END) AS est_tokens
+       CAST(sum(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(text) / 3.5) AS BIGINT)) END) AS BIGINT) AS est_tokens
 FROM documents GROUP BY source, lang
 """)
 def l16(t: Tables):

@@ -67,7 +67,7 @@ _SSB_TABLES = {
 
 
 @register("IO3_pipe_load", " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, count(*) AS n_rows, sum({k}) AS key_sum FROM {n}" for n, (k, _) in _SSB_TABLES.items()))
+    f"SELECT '{n}' AS table_name, count(*) AS n_rows, CAST(sum({k}) AS BIGINT) AS key_sum FROM {n}" for n, (k, _) in _SSB_TABLES.items()))
 def io3(t: Tables):
     """Five tables through the '|'-delimited loader; rows and key sums per table."""
     out = None
