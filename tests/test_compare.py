@@ -104,3 +104,38 @@ def test_tolerant_vs_brute_force(spark, seed):
     assert r["matched_exact"] + r["matched_tolerant"] == _brute(gold, pred)
     assert r["gold_rows"] == len(gold) and r["pred_rows"] == len(pred)
     assert not math.isnan(r["partial_score"])
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_multiset_and_keyed_vs_python(spark, seed):
+    from collections import Counter
+
+    from quarry.operators.compare import keyed_mismatch_counts
+    rnd = random.Random(seed)
+    gold = [(rnd.randrange(30), rnd.choice(["x", "y", "Z"]), round(rnd.uniform(0, 100), 2)) for _ in range(80)]
+    pred = [r for r in gold if rnd.random() > 0.15] + [(rnd.randrange(30), "x", 1.0) for _ in range(5)]
+    schema = "k int, s string, v double"
+    m = multiset_compare(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema)).first()
+    cg, cp = Counter(gold), Counter(pred)
+    assert m["matched_rows"] == sum((cg & cp).values())
+    assert m["missing_rows"] == sum((cg - cp).values()) and m["extra_rows"] == sum((cp - cg).values())
+
+    # keyed exact vs semantic mismatch counts against a direct Python count
+    kg = {i: (f"s{i % 4}", float(i) * 1.5) for i in range(40)}
+    kp = {}
+    for i, (s, v) in kg.items():
+        r = rnd.random()
+        if r < 0.1:
+            continue
+        kp[i] = (s.upper() if r < 0.3 else s, v * (1 + 1e-6) if r < 0.5 else (v + 5 if r < 0.6 else v))
+    g = spark.createDataFrame([(i, s, v) for i, (s, v) in kg.items()], "k int, s string, v double")
+    p = spark.createDataFrame([(i, s, v) for i, (s, v) in kp.items()], "k int, s string, v double")
+    ex = keyed_mismatch_counts(g, p, ["k"], semantic=False).first()
+    se = keyed_mismatch_counts(g, p, ["k"], semantic=True).first()
+    missing = sum(1 for i in kg if i not in kp)
+    assert ex["s_mismatches"] == missing + sum(1 for i in kp if kp[i][0] != kg[i][0])
+    assert ex["v_mismatches"] == missing + sum(1 for i in kp if kp[i][1] != kg[i][1])
+    assert se["s_mismatches"] == missing
+    assert se["v_mismatches"] == missing + sum(
+        1 for i in kp if abs(kp[i][1] - kg[i][1]) > 1e-4 * max(abs(kp[i][1]), abs(kg[i][1]), 1.0)
+        and not (kg[i][1] != 0 and abs(kp[i][1] / kg[i][1] - 100) <= 0.01))
