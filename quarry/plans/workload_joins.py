@@ -225,3 +225,70 @@ def j14(t: Tables):
     p = t.part.select("p_partkey")
     j = e.join(p, (e.event_type == "purchase") & (e.product_id == p.p_partkey), "left")
     return j.groupBy("event_type").agg(F.count("*").alias("n_events"), F.count("p_partkey").alias("matched_products"))
+
+
+def _region_nations(t: Tables, region: str):
+    """Nations of one region: at most 25 rows by definition, broadcast."""
+    reg = t.region.where(F.col("r_name") == region).select("r_regionkey")
+    return F.broadcast(t.nation.join(F.broadcast(reg), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+                       .select("n_nationkey", "n_name"))
+
+
+@register("J5_star_flight1", """
+SELECT round(sum(l.l_extendedprice * l.l_discount), 2) AS revenue
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+WHERE year(o.o_orderdate) = 1996 AND l.l_discount BETWEEN 0.01 AND 0.03 AND l.l_quantity < 25
+""")
+def star_flight1(t: Tables):
+    """SSB flight 1: one fact-dimension join, filters on both sides, one sum."""
+    li = t.lineitem.where(F.col("l_discount").between(0.01, 0.03) & (F.col("l_quantity") < 25)) \
+        .select("l_orderkey", "l_extendedprice", "l_discount")
+    o = t.orders.where(F.year("o_orderdate") == 1996).select("o_orderkey")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(
+        F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
+
+
+@register("J5_star_flight2", """
+SELECT year(o.o_orderdate) AS d_year, p.p_brand, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE p.p_type = 'ECONOMY' AND r.r_name = 'AMERICA'
+GROUP BY d_year, p.p_brand
+""")
+def star_flight2(t: Tables):
+    """SSB flight 2: revenue by year and brand for one part type and one supplier region."""
+    supp = t.supplier.select("s_suppkey", "s_nationkey").join(
+        _region_nations(t, "AMERICA"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
+    part = t.part.where(F.col("p_type") == "ECONOMY").select("p_partkey", "p_brand")
+    li = (t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
+          .join(supp, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+          .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    j = li.join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy(F.year("o_orderdate").alias("d_year"), "p_brand").agg(
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@register("J5_star_flight3", """
+SELECT cn.n_name AS c_nation, sn.n_name AS s_nation, year(o.o_orderdate) AS d_year,
+       round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation cn ON c.c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
+JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation sn ON s.s_nationkey = sn.n_nationkey
+JOIN region sr ON sn.n_regionkey = sr.r_regionkey
+WHERE cr.r_name = 'ASIA' AND sr.r_name = 'ASIA' AND year(o.o_orderdate) BETWEEN 1996 AND 1999
+GROUP BY c_nation, s_nation, d_year
+""")
+def star_flight3(t: Tables):
+    """SSB flight 3: revenue by customer nation, supplier nation and year within one region."""
+    nat = _region_nations(t, "ASIA")
+    cust = t.customer.select("c_custkey", "c_nationkey").join(nat, F.col("c_nationkey") == F.col("n_nationkey")) \
+        .select("c_custkey", F.col("n_name").alias("c_nation"))
+    supp = t.supplier.select("s_suppkey", "s_nationkey").join(nat, F.col("s_nationkey") == F.col("n_nationkey")) \
+        .select("s_suppkey", F.col("n_name").alias("s_nation"))
+    o = (t.orders.where(F.year("o_orderdate").between(1996, 1999)).select("o_orderkey", "o_custkey", "o_orderdate")
+         .join(cust, F.col("o_custkey") == F.col("c_custkey")))
+    li = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+    return j.groupBy("c_nation", "s_nation", F.year("o_orderdate").alias("d_year")).agg(
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
