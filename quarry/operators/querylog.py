@@ -330,7 +330,8 @@ def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3, frequen
     rpairs = (rare.join(qx, "tok").groupBy("eid", "qid")
               .agg(F.count("*").alias("rinter"), F.count_if(F.array_contains(kw, F.col("tok"))).alias("rkw")))
     ind = (rpairs.join(es.select("eid", "z"), "eid").join(qz, ["qid", "z"])
-           .select("qid", "eid", "z", score(F.col("rinter") + F.col("finter"), F.col("rkw") + F.col("fkw")).alias("score")))
+           .select("qid", "eid", "z", score(F.col("rinter") + F.col("finter"), F.col("rkw") + F.col("fkw")).alias("score"))
+           .persist(StorageLevel.MEMORY_AND_DISK))   # rare-overlap pairs: few, read three times
     # signature completion: first k + (#rare-overlap members) ids of each signature
     r_cnt = ind.groupBy("qid", "z").agg(F.count("*").alias("r"))
     zsize = es.groupBy("z").agg(F.count("*").alias("nz"))
