@@ -58,3 +58,10 @@ def test_query(spark, duck, key):
     assert c1 == c2
     assert len(r1) == len(r2)
     assert r1 == r2
+
+
+def test_approx_distinct_within_bound(spark):
+    rows = E.queries()["A5_approx_distinct"](spark, SF_SMALL).collect()
+    assert rows
+    for r in rows:
+        assert abs(r["approx_users"] - r["exact_users"]) <= max(2, 0.05 * r["exact_users"])

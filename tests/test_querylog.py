@@ -77,3 +77,13 @@ def test_top_k_similar_vs_brute_force(spark):
             scores.append((-(0.6 * (j + boost) + 0.4 * pj), eid))
         scores.sort()
         assert [got[(qid, 1)], got[(qid, 2)]] == [scores[0][1], scores[1][1]]
+
+
+def test_column_refs(spark):
+    from quarry.operators.querylog import column_refs
+    sql = ("SELECT c.c_name, sum(o.o_totalprice) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey "
+           "WHERE o.o_orderstatus = 'F' GROUP BY c.c_name ORDER BY total DESC")
+    df = spark.createDataFrame([(sql,)], "s string").select(column_refs(normalize_sql("s")).alias("c"))
+    cols = set(df.first()["c"])
+    assert {"c_name", "o_totalprice", "o_custkey", "c_custkey", "o_orderstatus"} <= cols
+    assert not cols & {"total", "sum", "orders", "customer", "o", "c"}
