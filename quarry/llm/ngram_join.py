@@ -46,6 +46,8 @@ from quarry.session import scratch_path
 HOT_LIMIT = 1 << 20
 #: n-grams in the repeated-shingle summary kept per task before it is pruned by one count
 SUMMARY_LIMIT = 1 << 20
+#: tables of ids up to this many rows (about 30 bytes each) are broadcast, so that texts stay in place; larger ones are shuffled
+BROADCAST_ROWS = 1_000_000
 _SEEDS = np.array([0x1234567, 0x9ABCDEF1, 0x55AA55AA5, 0xF00DF00D7], dtype=np.uint64)
 
 
@@ -72,6 +74,11 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def broadcast_if_small(df: DataFrame, written: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if ``written``, a written table with at least its rows, is checked to be small."""
+    return F.broadcast(df) if written.count() <= BROADCAST_ROWS else df
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -156,7 +163,7 @@ def _prefixes(n: int, num: int, den: int, hot):
     return run
 
 
-def _segments(n: int, fragments: int):
+def _segments(n: int, fragments: int, names: list[str]):
     """doc_id, text -> one row per fragment of the document's set."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -171,7 +178,7 @@ def _segments(n: int, fragments: int):
                             frag.append(f)
                             size.append(len(s))
                             seg.append(x.tobytes())
-                yield pd.DataFrame({"doc_id": ids, "frag": frag, "n": size, "seg": seg})
+                yield pd.DataFrame({"doc_id": ids, "frag": frag, "n": size, "seg": seg}).set_axis(names, axis=1)
     return run
 
 
@@ -187,12 +194,13 @@ def vertical_overlaps(pairs: DataFrame, src: DataFrame, n: int, fragments: int)
 
     ``pairs`` has distinct (a, b).  Pairs whose sets share nothing are absent.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    seg = (src.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-           .mapInPandas(_segments(n, fragments), "doc_id long, frag int, n int, seg binary"))
-    # b's segments travel to the pair once, then meet a's by (a, fragment)
-    left = pairs.join(seg.select(F.col("doc_id").alias("b"), "frag", F.col("n").alias("n_b"), F.col("seg").alias("seg_b")), "b")
-    both = left.join(seg.select(F.col("doc_id").alias("a"), "frag", F.col("n").alias("n_a"), F.col("seg").alias("seg_a")), ["a", "frag"])
+    def segments(side: str) -> DataFrame:
+        ids = pairs.select(F.col(side).alias("doc_id")).distinct()
+        return (src.join(broadcast_if_small(ids, pairs), "doc_id", "left_semi").select("doc_id", "text")
+                .mapInPandas(_segments(n, fragments, [side, "frag", f"n_{side}", f"seg_{side}"]), f"{side} long, frag int, n_{side} int, seg_{side} binary"))
+
+    # b's segments travel once, to a's of the same fragment
+    both = segments("b").join(broadcast_if_small(pairs, pairs), "b").join(segments("a"), ["a", "frag"])
     parts = both.select("a", "b", "frag", "n_a", "n_b", "seg_a", "seg_b").mapInPandas(
         _partial_overlap, "a long, b long, frag int, n_a int, n_b int, overlap long")
     # repeated rows of one doc_id give a fragment's count more than once
@@ -233,8 +241,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     reps = (classes.select(F.col("rep").alias("doc_id")).join(comps, F.col("doc_id") == F.col("id"), "left")
             .select("doc_id", F.coalesce("component", "doc_id").alias("comp")))
     hot = spark.sparkContext.broadcast(_hot_ngrams(summary))
-    one_row = src.join(reps, "doc_id")  # rows with the same id and different texts stay apart below
-    post = (one_row.select("doc_id", "comp", "text")
+    path = scratch_path(spark, "ngram-reps")
+    reps.write.parquet(path)
+    reps = spark.read.parquet(path)
+    post = (src.join(broadcast_if_small(reps, reps), "doc_id").select("doc_id", "comp", "text")
             .mapInPandas(_prefixes(n, num, den, hot), "doc_id long, comp long, n int, grams array<long>")
             .select("doc_id", "comp", "n", F.explode("grams").alias("g")))
     post_path = scratch_path(spark, "ngram-postings")
