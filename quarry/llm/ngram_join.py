@@ -260,9 +260,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
              .agg(F.max(F.struct("c", "comp")).alias("m")).select("g", F.col("m.comp").alias("heavy")))
     left = shared.join(heavy, "g").where("comp <> heavy")
     right = shared.select("g", F.col("doc_id").alias("d2"), F.col("comp").alias("c2"), F.col("n").alias("n2"))
-    pairs = (left.join(right, "g").where("comp <> c2")
-             .where(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-             .select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct())
+    # overlap of the two prefixes, the first fragment of a pair; at most the rest of one of the sets comes on top
+    common = (left.join(right, "g").where((F.col("comp") != F.col("c2")) & ((F.col("c2") == F.col("heavy")) | (F.col("doc_id") < F.col("d2"))))
+              .where(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+              .groupBy(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b"),
+                       F.least("n", "n2").alias("lo"), F.greatest("n", "n2").alias("hi")).agg(F.count("*").alias("c")))
+    rest = F.floor((F.col("hi") * num + den - 1) / den) - 1  # elements behind the longer prefix
+    pairs = common.where((F.col("c") + rest) * (den + num) >= (F.col("lo") + F.col("hi")) * num).select("a", "b").distinct()
     more = _verified(pairs, src, n, num, den, fragments, spark, "ngram-pairs")
     final = connected_components(links.unionByName(more))
 
