@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import ngram_join
+from quarry.llm import chat, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,13 +34,163 @@ def _reach(nodes: str, links: str) -> str:
     comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
 
+def vocabulary(name: str) -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+# DuckDB twin of the word rules: A-Z lower-cased, then split
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _alnum_words(text: str) -> str:
+    return f"regexp_extract_all({_lower(text)}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query("op1_embedding_near_dups", f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_inner_product(x.e, y.e) / (sqrt(list_inner_product(x.e, x.e)) * sqrt(list_inner_product(y.e, y.e))) >= 0.95),
+{_reach("SELECT vec_id AS id FROM embeddings", "SELECT a, b FROM links")},
+degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM embeddings v JOIN comp c ON c.id = v.vec_id LEFT JOIN degree d ON d.a = v.vec_id
+""")
+def op1_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at cosine 0.95 and their components."""
+    return embedding_join.cosine_components(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label quality score of every document."""
+    return quality.score_quality(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents into bit-packed files and read them back."""
+    return token_files.read_token_files(token_files.write_token_files(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def _url_oracle() -> str:
+    weights = ", ".join(map(repr, url_filter.weights_plain(url_filter.default_labels())))
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+    def of(text, tag, n):
+        return (f"list_transform(range(1, greatest(length({text}) - {n} + 1, 1) + 1), "
+                f"lambda i: CAST(('0x' || substr(md5('{tag}' || substr({text}, i, {n})), 1, 6)) AS BIGINT) % {url_filter.BUCKETS})")
+    grams = f"list_distinct(list_concat(list_concat({of('h', 'h', 3)}, {of('h', 'h', 4)}), list_concat({of('p', 'p', 3)}, {of('p', 'p', 4)})))"
+    return f"""
+WITH rest AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS t FROM pages),
+parts AS (SELECT r, page_id, coalesce(translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(t, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+rules(verdict, h, p) AS (VALUES {rules}),
+fits AS (SELECT r, max_by(x.h || x.p, length(x.h || x.p)) AS rule, max_by(x.verdict, length(x.h || x.p)) AS verdict
+  FROM parts JOIN rules x ON (host = x.h OR ends_with(host, '.' || x.h)) AND starts_with(path, x.p) GROUP BY r),
+g AS (SELECT r, {grams} AS g FROM (SELECT r, '^' || host || '$' AS h, '^' || path || '$' AS p FROM parts)),
+w AS (SELECT [{weights}] AS w),
+scores AS (SELECT r, round(1 / (1 + exp(-(list_sum(list_transform(g, lambda b: w.w[b + 1])) + w.w[{url_filter.BUCKETS + 1}]) / sqrt(len(g)))), 6) AS score FROM g, w)
+SELECT page_id, host, path, f.rule, coalesce(f.verdict, CASE WHEN s.score > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, s.score
+FROM parts JOIN scores s USING (r) LEFT JOIN fits f USING (r)
+"""
+
+
+@query("op4_url_filter", _url_oracle())
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, then a logistic regression on hashed n-grams, for every page's url."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), None, URL_RULES)
+
+
+@query("op5_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_alnum_words("text")} AS w FROM documents),
+b AS (SELECT item_id, {_alnum_words("text")} AS w FROM benchmark),
+item_windows AS (SELECT DISTINCT item_id, n, g FROM (
+  SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g
+  FROM d, lengths WHERE len(w) >= n),
+hits AS (SELECT r, pos, x.n, item_id FROM doc_windows x JOIN item_windows y ON x.n = y.n AND x.g = y.g),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS k FROM hits) GROUP BY r),
+items AS (SELECT r, array_agg(DISTINCT CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+""")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside any benchmark window of ten words."""
+    found = decontaminate.contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by averaged subword embeddings."""
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+#: the tool that conversations are read as calls of
+REPLY_SCHEMA = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
+                          "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0, "maximum": 6}}}}
+
+
+@query("op8_tool_calls", """
+WITH parts AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+ids AS (SELECT DISTINCT conv_id, turn FROM parts WHERE role = 'user'),
+answers AS (SELECT DISTINCT conv_id, turn FROM parts WHERE role = 'assistant')
+SELECT p.conv_id, p.turn, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'tool' ELSE coalesce(role, 'unknown') END AS role,
+  CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+  CASE role WHEN 'user' THEN 'c' || p.turn WHEN 'assistant' THEN 'c' || (p.turn - 1) END AS call_id,
+  CASE WHEN role = 'assistant' AND i.turn IS NOT NULL THEN p.turn - 1 ELSE p.turn END AS anchor,
+  CAST(CASE WHEN role = 'user' OR (role = 'assistant' AND i.turn IS NOT NULL) THEN 1 ELSE 0 END AS INTEGER) AS place,
+  CAST(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS INTEGER) AS part,
+  CASE WHEN role = 'user' AND (p.turn > 6 OR p.turn < 0 OR text = '') THEN 'invalid_arguments' WHEN role = 'user' AND a.turn IS NULL THEN 'unanswered'
+       WHEN role = 'assistant' AND i.turn IS NULL THEN 'orphan_result' ELSE 'ok' END AS status
+FROM parts p LEFT JOIN ids i ON p.conv_id = i.conv_id AND i.turn = p.turn - 1 LEFT JOIN answers a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1
+""")
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations read as tool traffic: a user's turn is a call of ``reply``,
+    the assistant's next turn its result; linked, ordered, validated, serialised."""
+    c = _table(spark, sf_dir, "conversations")
+    call = F.to_json(F.struct(F.array(F.struct(
+        F.concat(F.lit("c"), F.col("turn")).alias("id"), F.lit("reply").alias("name"),
+        F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn").alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    traffic = c.select("conv_id", "turn",
+                       F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+                       F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
+    return chat.link_tool_calls(traffic, REPLY_SCHEMA).drop("depth", "json")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query("op9_ngram_jaccard", f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 shingles AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
 flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM shingles),
 links AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM flat x JOIN flat y ON x.g = y.g AND x.doc_id < y.doc_id
   AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 75
