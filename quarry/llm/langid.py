@@ -70,7 +70,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 3) -> LanguageModel:
+def train(texts: list[str], langs: list[str], updates: int = 15_000, rate: float = 0.5, seed: int = 3) -> LanguageModel:
     """SGD on (texts, langs); a quarter is held back for temperature and threshold."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], dtype=np.int64)
@@ -84,6 +84,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
     order = rng.permutation(len(texts))
     n_val = len(texts) // 4
     val, fit = order[:n_val], order[n_val:]
+    epochs = int(np.clip(updates // max(1, len(fit)), 6, 100))  # a small sample is seen more often
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):

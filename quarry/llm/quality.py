@@ -24,21 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.sampling import bounded_sample
-from quarry.llm.spans import SPACE_WORDS, prefix_hash, range_hash, sub_batches, words_of
+from quarry.llm.spans import SPACE_WORDS, mix, prefix_hash, range_hash, sub_batches, words_of
 
 #: labeller, measure, good up to, bad from (reversed where good is the larger value); between them no vote
 LABELLERS = (
     ("capitals", "upper_share", 0.20, 0.45),
     ("symbols", "symbol_share", 0.03, 0.12),
     ("shouting", "exclaim_share", 0.05, 0.20),
+    ("formed words", "formed_share", 0.85, 0.60),
+    ("bursts", "burst_share", 0.03, 0.15),
+    ("bare symbols", "bare_share", 0.03, 0.15),
     ("stutter", "stutter_share", 0.04, 0.15),
+    ("runs", "run_share", 0.01, 0.08),
     ("variety", "distinct_share", 0.35, 0.15),
+    ("pairs", "pair_share", 0.60, 0.35),
     ("short words", "short_share", 0.08, 0.02),
-    ("sentences", "stop_share", 0.03, 0.005),
-    ("long words", "long_share", 0.10, 0.30),
 )
 BUCKET_BITS = 14
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 if c in (9, 13, 32) else c for c in range(256))
+_LETTERS = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
+_ENDS = np.array([chr(c) in ".,;:?!" for c in range(256)])
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#$%&*|<>{}^~=+_\\@`[]"]] = True
 
@@ -67,18 +72,33 @@ def measures(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     same = np.zeros(len(words), bool)
     if len(words) > 1:
         same[1:] = (words[1:] == words[:-1]) & (word_owner[1:] == word_owner[:-1])
-    pair = np.unique(np.stack([word_owner.astype(np.uint64), words], axis=1), axis=0)[:, 0].astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    distinct = np.bincount(pair, minlength=len(rows))
+    thrice = np.zeros(len(words), bool)
+    thrice[2:] = same[2:] & same[1:-1]
+    owners = word_owner.astype(np.uint64) << np.uint64(40)
+    _, once = np.unique(mix(mix(words[1:] + np.uint64(1)) ^ words[:-1] ^ owners[1:]), return_index=True)
+    pairs = np.bincount(word_owner[1:][once], minlength=len(rows))
+    _, once = np.unique(mix(words ^ owners), return_index=True)
+    distinct = np.bincount(word_owner[once], minlength=len(rows))
+    # punctuation inside words: its number, runs of it, and whether it is one mark at the end
+    punct = (buf >= 33) & (buf <= 126) & ~_LETTERS[buf]
+    marks = np.concatenate([[0], np.cumsum(punct)])
+    runs = np.concatenate([[0, 0], np.cumsum(punct[1:] & punct[:-1])])
+    in_word = marks[end] - marks[start]
+    formed = (in_word == 0) | ((in_word == 1) & _ENDS[buf[end - 1]])
+    burst = runs[end] - runs[np.minimum(start + 1, end)] > 0
     with np.errstate(divide="ignore", invalid="ignore"):
         out = {
             "upper_share": upper / np.maximum(upper + lower, 1),
             "symbol_share": per_byte(_SYMBOLS[buf]) / np.maximum(size, 1) * 2,
             "exclaim_share": per_byte(buf == 33) / np.maximum(n, 1),
             "stutter_share": np.bincount(word_owner[same], minlength=len(rows)) / np.maximum(n, 1),
+            "run_share": np.bincount(word_owner[thrice], minlength=len(rows)) / np.maximum(n, 1),
+            "pair_share": np.where(n >= 20, pairs / np.maximum(n, 1), np.nan),
             "distinct_share": np.where(n >= 40, distinct / np.maximum(n, 1) * np.sqrt(np.maximum(n, 1) / 40) ** 0.5, np.nan),
             "short_share": np.where(n >= 20, per_word(length <= 3) / np.maximum(n, 1), np.nan),
-            "stop_share": np.where(n >= 20, per_byte(buf == 46) / np.maximum(n, 1), np.nan),
-            "long_share": per_word(length > 24) / np.maximum(n, 1),
+            "formed_share": per_word(formed & (in_word < length)) / np.maximum(n, 1),
+            "burst_share": per_word(burst) / np.maximum(n, 1),
+            "bare_share": per_word(in_word == length) / np.maximum(n, 1),
         }
     return {k: np.where(n > 0, v, np.nan) for k, v in out.items()}
 
@@ -114,7 +134,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
     Labellers start better than chance, which fixes which class is "good";
     one pseudo-vote of each kind keeps probabilities inside (0, 1).
     """
-    m = LabelModel(0.8, np.full(patterns.shape[1], 0.9), np.full(patterns.shape[1], 0.6))
+    m = LabelModel(0.8, np.full(patterns.shape[1], 0.95), np.full(patterns.shape[1], 0.6))
     w = counts.astype(float)
     for _ in range(rounds):
         p = m.posterior(patterns)
@@ -207,7 +227,7 @@ def fit_quality_model(docs: DataFrame, quota: int = 3000) -> QualityModel | None
     """Label model from the vote counts of all documents, scorer from about ``quota`` documents."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") > 0)
     counts = (src.select("text").mapInPandas(_vote_rows, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-              .orderBy("pattern").toPandas())  # at most 3 ^ 8 patterns
+              .orderBy("pattern").toPandas())  # at most 3 ^ 11 patterns
     if not len(counts):
         return None
     labels = fit_label_model(_pattern_matrix(counts["pattern"].tolist()), counts["n"].to_numpy())

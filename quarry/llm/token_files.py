@@ -15,7 +15,7 @@ manifest, written by Spark, lists the attempts that count.  A lost executor
 leaves at most an unlisted file.
 
 A null or empty text has only the end id; a null ``doc_id`` sorts first;
-repeated ids are ordered by text.  An empty table gives no file.
+repeated ids are ordered by a hash of the text.  An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder:
     folder = folder or scratch_path(spark, "token-files")
     manifest = f"{folder}/manifest"
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-     .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+     .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
      .mapInPandas(_write(folder, tokenizer, end_id), "part int, uri string, n_docs long, n_ids long").write.parquet(manifest))
     return spark.read.parquet(manifest)
 
