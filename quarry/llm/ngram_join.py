@@ -42,12 +42,12 @@ from quarry.llm.components import connected_components
 from quarry.llm.spans import SPACE_WORDS, mix, runs_of, sub_batches, words_of
 from quarry.session import scratch_path
 
-#: the frequent n-grams ordered last; at most this many are shipped to tasks (8 bytes each)
+#: the repeated n-grams, ordered by how often, behind all others; at most this many are shipped to tasks (9 bytes each)
 HOT_LIMIT = 1 << 20
 #: n-grams in the repeated-shingle summary kept per task before it is pruned by one count
 SUMMARY_LIMIT = 1 << 20
 #: tables of ids up to this many rows (about 30 bytes each) are broadcast, so that texts stay in place; larger ones are shuffled
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 _SEEDS = np.array([0x1234567, 0x9ABCDEF1, 0x55AA55AA5, 0xF00DF00D7], dtype=np.uint64)
 
 
@@ -133,18 +133,20 @@ def _summarise(n: int):
     return run
 
 
-def _hot_ngrams(summary: DataFrame) -> np.ndarray:
-    """Most repeated n-grams, at most ``HOT_LIMIT`` (a bounded table), sorted by hash."""
+def _hot_ngrams(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Most repeated n-grams, at most ``HOT_LIMIT`` (a bounded table), sorted by hash, and the binary logarithm of their counts."""
     counts = (summary.where("n = -1").select(F.explode(F.arrays_zip("hot", "hot_count")).alias("x"))
-              .groupBy(F.col("x.hot").alias("h")).agg(F.sum("x.hot_count").alias("c")).where("c >= 16"))
-    rows = counts.orderBy(F.desc("c"), "h").limit(HOT_LIMIT).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+              .groupBy(F.col("x.hot").alias("h")).agg(F.sum("x.hot_count").alias("c")))
+    rows = counts.orderBy(F.desc("c"), "h").limit(HOT_LIMIT).select("h", F.floor(F.log2("c")).cast("byte").alias("c")).toPandas()
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], rows["c"].to_numpy(np.uint8)[order]
 
 
 def _prefixes(n: int, num: int, den: int, hot):
-    """doc_id, comp, text -> doc_id, comp, size and the prefix in the order (hot, hash)."""
+    """doc_id, comp, text -> doc_id, comp, size and the prefix in the order (repetition, hash)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = hot.value
+        frequent, level = hot.value
         for pdf in batches:
             for first, last in sub_batches(pdf["text"].tolist()):
                 part = pdf.iloc[first:last]
@@ -153,8 +155,7 @@ def _prefixes(n: int, num: int, den: int, hot):
                     p = prefix_size(len(s), num, den) if len(s) else 0
                     if len(frequent) and p:
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        is_hot = frequent[at] == s
-                        s2 = np.concatenate([s[~is_hot], s[is_hot]])[:p]
+                        s2 = s[np.argsort(np.where(frequent[at] == s, level[at] + 1, 0), kind="stable")[:p]]
                     else:
                         s2 = s[:p]
                     size.append(len(s))
@@ -246,12 +247,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     reps = spark.read.parquet(path)
     post = (src.join(broadcast_if_small(reps, reps), "doc_id").select("doc_id", "comp", "text")
             .mapInPandas(_prefixes(n, num, den, hot), "doc_id long, comp long, n int, grams array<long>")
-            .select("doc_id", "comp", "n", F.explode("grams").alias("g")))
+            .select("doc_id", "comp", "n", F.posexplode("grams").alias("at", "g")))
     post_path = scratch_path(spark, "ngram-postings")
     post.write.parquet(post_path)
     post = spark.read.parquet(post_path)
-    mixed = (post.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g"))
-    shared = post.join(mixed, "g", "left_semi")
+    path = scratch_path(spark, "ngram-mixed")
+    post.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g").write.parquet(path)
+    mixed = spark.read.parquet(path)
+    shared = post.join(broadcast_if_small(mixed, mixed), "g", "left_semi")
     shared_path = scratch_path(spark, "ngram-shared")
     shared.write.parquet(shared_path)
     shared = spark.read.parquet(shared_path)
@@ -259,14 +262,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     heavy = (shared.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g")
              .agg(F.max(F.struct("c", "comp")).alias("m")).select("g", F.col("m.comp").alias("heavy")))
     left = shared.join(heavy, "g").where("comp <> heavy")
-    right = shared.select("g", F.col("doc_id").alias("d2"), F.col("comp").alias("c2"), F.col("n").alias("n2"))
-    # overlap of the two prefixes, the first fragment of a pair; at most the rest of one of the sets comes on top
-    common = (left.join(right, "g").where((F.col("comp") != F.col("c2")) & ((F.col("c2") == F.col("heavy")) | (F.col("doc_id") < F.col("d2"))))
-              .where(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-              .groupBy(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b"),
-                       F.least("n", "n2").alias("lo"), F.greatest("n", "n2").alias("hi")).agg(F.count("*").alias("c")))
-    rest = F.floor((F.col("hi") * num + den - 1) / den) - 1  # elements behind the longer prefix
-    pairs = common.where((F.col("c") + rest) * (den + num) >= (F.col("lo") + F.col("hi")) * num).select("a", "b").distinct()
+    right = shared.select("g", F.col("doc_id").alias("d2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    # at the first common n-gram of a linked pair, enough n-grams are left in both sets
+    need = (F.col("n") + F.col("n2")) * num
+    pairs = (left.join(right, "g").where((F.col("comp") != F.col("c2")) & ((F.col("c2") == F.col("heavy")) | (F.col("doc_id") < F.col("d2"))))
+             .where(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (den + num) >= need)
+             .select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct())
     more = _verified(pairs, src, n, num, den, fragments, spark, "ngram-pairs")
     final = connected_components(links.unionByName(more))
 
