@@ -11,10 +11,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def start_of_minute(c) -> Column:
-    return F.date_trunc("minute", _c(c))
-
-
 def start_of_day(c) -> Column:
     return F.to_date(_c(c))
 
@@ -33,8 +29,9 @@ def iso_weekday(c) -> Column:
     return F.weekday(_c(c)) + 1
 
 
-def yyyymm(c) -> Column:
-    return F.year(_c(c)) * 100 + F.month(_c(c))
+def in_years(c, first: int, last: int) -> Column:
+    """Timestamp within the calendar years, as a range that parquet scans can prune on."""
+    return (_c(c) >= F.lit(f"{first}-01-01").cast("timestamp_ntz")) & (_c(c) < F.lit(f"{last + 1}-01-01").cast("timestamp_ntz"))
 
 
 _TRUNC = {"second": "second", "minute": "minute", "hour": "hour", "day": "day", "month": "month",

@@ -66,8 +66,11 @@ def eq_semantic(a: Column, b: Column, rtol: float = DEFAULT_RTOL, a_float: bool
             .otherwise(norm_text(a) == norm_text(b)))
 
 
-def canonical_cell(c: Column, is_float: bool = False) -> Column:
-    """Text form under which exactly-equal cells coincide."""
+def canonical_cell(c: Column, is_float: bool = False, is_number: bool = False) -> Column:
+    """Text form under which exactly-equal cells coincide; typed numbers are not parsed."""
+    if is_number:
+        x = c.cast("double") + F.lit(0.0)  # -0.0 becomes 0.0
+        return F.when(_is_null_or_nan(c, is_float), F.lit(NULL_MARK)).otherwise(F.concat(F.lit("n:"), x.cast("string")))
     nan_or_null = _is_null_or_nan(c, is_float)
     num = _num(c)
     return (F.when(nan_or_null, F.lit(NULL_MARK))
@@ -84,7 +87,8 @@ def with_row_key(df: DataFrame, name: str = "_rk") -> DataFrame:
     canonical row text (a 128-bit key; cheaper per row than a SHA digest,
     collisions ~2^-128)."""
     fc = float_cols(df)
-    text = F.concat_ws("␟", *[canonical_cell(F.col(c), c in fc) for c in df.columns])
+    num = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    text = F.concat_ws("␟", *[canonical_cell(F.col(c), c in fc, c in num) for c in df.columns])
     key = F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(F.lit("#"), text).cast("string"))
     return df.withColumn(name, key)
 
@@ -120,15 +124,14 @@ def ordered_compare(gold: DataFrame, pred: DataFrame, pos: str = "pos") -> DataF
     rows are full-joined on position and every cell must be exactly equal."""
     cols = [c for c in gold.columns if c != pos]
     gf, pf = float_cols(gold), float_cols(pred)
-    g = gold.select(F.col(pos), *[F.col(c).alias(f"g_{c}") for c in cols])
-    p = pred.select(F.col(pos), *[F.col(c).alias(f"p_{c}") for c in cols])
+    g = gold.select(F.col(pos), F.lit(1).alias("_gi"), *[F.col(c).alias(f"g_{c}") for c in cols])
+    p = pred.select(F.col(pos), F.lit(1).alias("_pi"), *[F.col(c).alias(f"p_{c}") for c in cols])
     j = g.join(p, pos, "full_outer")
-    present = F.col(f"g_{cols[0]}").isNotNull() | F.col(f"p_{cols[0]}").isNotNull()
-    same = F.lit(True)
+    same = F.col("_gi").isNotNull() & F.col("_pi").isNotNull()
     for c in cols:
         same = same & eq_exact(F.col(f"g_{c}"), F.col(f"p_{c}"), c in gf, c in pf)
-    hit = F.when(present & same, 1).otherwise(0)
-    a = j.agg(F.count(F.col(f"g_{cols[0]}")).alias("gold_rows"), F.count(F.col(f"p_{cols[0]}")).alias("pred_rows"),
+    hit = F.when(same, 1).otherwise(0)
+    a = j.agg(F.count("_gi").alias("gold_rows"), F.count("_pi").alias("pred_rows"),
               F.coalesce(F.sum(hit), F.lit(0)).alias("position_hits"))
     return a.select("*", ((F.col("position_hits") == F.col("gold_rows")) & (F.col("gold_rows") == F.col("pred_rows")))
                     .alias("ordered_match"),
@@ -246,31 +249,30 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
 # ---------------------------------------------------------------- alignment
 
 
-def align_columns(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Project ``pred`` onto ``gold``'s columns by name.
+def align_columns(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Project both results onto their shared columns, in gold's order.
 
     Works on the two schemas only (a handful of strings on the driver):
-    exact case-blind name first (first wins), else a name containing or
-    contained in the gold name, closest in length.  The data is never
-    collected; the result is one ``select``.  Gold columns with no partner
-    come back as NULL.
+    the first predicted column of the same case-blind name, else one whose
+    name contains or is contained in the gold name, closest in length.
+    Gold columns without a partner leave *both* sides; None without any
+    shared column.  The data is never collected; each side is one ``select``.
     """
     pcols = list(pred.columns)
     used: set[str] = set()
-    picks = []
+    pairs: list[tuple[str, str]] = []
     for gcol in gold.columns:
         gl = gcol.lower()
-        hit = next((p for p in pcols if p.lower() == gl and p not in used), None)
-        if hit is None:
+        hit = next((p for p in pcols if p.lower() == gl), None)
+        if hit is None or hit in used:
             cands = [p for p in pcols if p not in used and (gl in p.lower() or p.lower() in gl)]
-            cands.sort(key=lambda p: (abs(len(p) - len(gcol)), pcols.index(p)))
-            hit = cands[0] if cands else None
+            hit = min(cands, key=lambda p: (abs(len(p) - len(gcol)), pcols.index(p)), default=None)
         if hit is not None:
             used.add(hit)
-            picks.append(F.col(hit).alias(gcol))
-        else:
-            picks.append(F.lit(None).cast("string").alias(gcol))
-    return pred.select(*picks)
+            pairs.append((gcol, hit))
+    if not pairs:
+        return None
+    return gold.select(*[F.col(g) for g, _ in pairs]), pred.select(*[F.col(p).alias(g) for g, p in pairs])
 
 
 def result_fingerprint(df: DataFrame, group: Sequence[str], cells: Sequence[Column]) -> DataFrame:

@@ -27,15 +27,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return df
 
 
-def broadcast_if_rows(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast ``df`` when a row count (one scalar brought back to the
-    driver, never the rows) proves it small; otherwise leave the join to
-    the planner.  For sides whose optimizer estimate is loose."""
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def semi_join_top_k(df: DataFrame, key: str, k: int, weight: str | None = None) -> DataFrame:
     """Keep rows whose ``key`` is among the top-k keys by row count.
 

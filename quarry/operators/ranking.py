@@ -22,6 +22,15 @@ from pyspark.sql import functions as F
 from quarry.operators.joins import broadcast_if_small
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL equals NULL, as groups of a SQL window do."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -47,19 +56,22 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
     # assigned once and persisted: the offsets table and the rows read the
     # same assignment (a lost block is recomputed through the same shuffle
     # dependency, hence the same bounds).
-    d = (df.repartitionByRange(n, *part, *order).withColumn("_pid", F.spark_partition_id())
+    d = (df.repartitionByRange(n, *part, *order).sortWithinPartitions(*part, *order)
+         .withColumn("_pid", F.spark_partition_id())
+         # place in the sorted partition: the low bits of the generated id
+         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
          .persist(StorageLevel.MEMORY_AND_DISK))
     local = Window.partitionBy("_pid", *partition_by).orderBy(*order)
-    d = (d.withColumn("_lrn", F.row_number().over(local))
-          .withColumn("_lrk", F.rank().over(local))
-          .withColumn("_ldr", F.dense_rank().over(local)))
+    if rank or dense_rank:
+        d = d.withColumn("_lrk", F.rank().over(local)).withColumn("_ldr", F.dense_rank().over(local))
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fns = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     carry = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     for fn, col, name in running:
         d = d.withColumn(f"_lr_{name}", fns[fn](col).over(upto))
     # one row per (range partition, group): size <= #groups + #partitions
-    s = d.groupBy("_pid", *partition_by).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_ldr").alias("_dcnt"),
+    s = d.groupBy("_pid", *partition_by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_at").alias("_first"),
+                                            (F.max("_ldr") if rank or dense_rank else F.lit(0)).alias("_dcnt"),
                                             *[fns[fn](col).alias(f"_pt_{name}") for fn, col, name in running])
     before = Window.partitionBy(*partition_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*partition_by)
@@ -69,8 +81,9 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
           .drop("_cnt", "_dcnt"))
     for fn, col, name in running:
         s = s.withColumn(f"_pb_{name}", carry[fn](f"_pt_{name}").over(before)).drop(f"_pt_{name}")
-    d = d.join(broadcast_if_small(s), ["_pid", *partition_by])
-    rn = F.col("_rows_before") + F.col("_lrn")
+    d = null_safe_join(d, broadcast_if_small(s), ["_pid", *partition_by])
+    # rows of a group are consecutive in a sorted partition, so places count them without a window
+    rn = F.col("_rows_before") + F.col("_at") - F.col("_first") + 1
     out = d
     if row_number:
         out = out.withColumn(row_number, rn.cast("int"))
@@ -97,56 +110,51 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
         else:
             val = F.least(loc, prev)
         out = out.withColumn(name, val).drop(f"_lr_{name}", f"_pb_{name}")
-    return out.drop("_pid", "_lrn", "_lrk", "_ldr", "_rows_before", "_dist_before", "_gsize")
+    return out.drop("_pid", "_at", "_first", "_lrk", "_ldr", "_rows_before", "_dist_before", "_gsize")
 
 
-def shifted(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str], cols: Sequence[str],
-            offset: int, prefix: str) -> DataFrame:
-    """lag (offset > 0) / lead (offset < 0) of ``cols`` within each group,
-    NULL at the edges, without a per-group window: rows get their exact
-    position from ``ranked`` and are equi-joined to the row ``offset``
+def shifted(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str],
+            shifts: Sequence[tuple[Sequence[str], int, str]]) -> DataFrame:
+    """lag (offset > 0) / lead (offset < 0) within each group, NULL at the
+    edges, without a per-group window: rows are ranked once, and each of
+    ``shifts`` (columns, offset, prefix) is an equi-join to the row ``offset``
     positions earlier on (group, position) — a high-cardinality key, so a
     hot group's rows spread over all tasks."""
     r = ranked(df, order, partition_by, row_number="_pos")
-    other = r.select(*partition_by, (F.col("_pos") + offset).alias("_pos"),
-                     *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-    return r.join(other, [*partition_by, "_pos"], "left")
+    out = r
+    for cols, offset, prefix in shifts:
+        other = r.select(*partition_by, (F.col("_pos") + offset).alias("_pos"), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+        out = null_safe_join(out, other, [*partition_by, "_pos"], "left")
+    return out
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by: Sequence[str] = (),
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles (the ``quantile``/``median``
-    semantics) computed with a distributed sort rather than by buffering
-    every value of a group in one task.
+    semantics) from counts of the distinct values of a group: ties are
+    combined before the shuffle, the distinct values are range-sorted with a
+    running count, and a quantile's neighbours are the smallest values whose
+    running count reaches their positions.
 
-    Returns one row per group with one column per probability.
+    Returns one row per group (NULL is a group) with one column per probability.
     """
     names = list(names or [f"p{int(round(p * 100)):02d}" for p in probs])
-    spark = df.sparkSession
-    base = df.where(F.col(value).isNotNull()).select(*group_by, F.col(value).cast("double").alias("_v"))
-    r = ranked(base, [F.col("_v")], group_by, row_number="_rn", group_size="_n")
-    # target positions: tiny table (#groups x #probs x 2), built from the data
-    pr = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_qi int, _p double")
-    groups = r.select(*group_by, "_n").distinct()
-    tgt = (groups.crossJoin(F.broadcast(pr))
-           .withColumn("_h", F.col("_p") * (F.col("_n") - 1))
-           .withColumn("_lo", (F.floor("_h") + 1).cast("int"))
-           .withColumn("_hi", (F.ceil("_h") + 1).cast("int"))
-           .withColumn("_frac", F.col("_h") - F.floor("_h")))
-    gmap = {g: f"_g{i}" for i, g in enumerate(group_by)}
-    pos = tgt.select(*[F.col(g).alias(gmap[g]) for g in group_by], "_qi", "_frac", F.explode(F.array(
-        F.struct(F.col("_lo").alias("_pos"), F.lit("lo").alias("_side")),
-        F.struct(F.col("_hi").alias("_pos"), F.lit("hi").alias("_side")))).alias("_t")) \
-        .select(*gmap.values(), "_qi", "_frac", "_t._pos", "_t._side")
-    cond = [F.col(g) == F.col(gmap[g]) for g in group_by] + [F.col("_rn") == F.col("_pos")]
-    hit = r.join(broadcast_if_small(pos), cond).select(*group_by, "_qi", "_frac", "_side", "_v")
-    q = (hit.groupBy(*group_by, "_qi", "_frac")
-         .agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_vlo"),
-              F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_vhi"))
-         .withColumn("_q", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
-    return (q.groupBy(*group_by).pivot("_qi", list(range(len(probs))))
-            .agg(F.first("_q"))
-            .select(*group_by, *[F.col(str(i)).alias(nm) for i, nm in enumerate(names)]))
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*group_by, F.col(value).cast("double").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    upto = ranked(counts, [F.col("_v")], group_by, running=[("sum", "_c", "_upto")])
+    sizes = counts.groupBy(*group_by).agg(F.sum("_c").alias("_n"))
+    upto = null_safe_join(upto, broadcast_if_small(sizes), group_by)
+
+    def value_at(pos: Column) -> Column:
+        return F.min(F.when(F.col("_upto") >= pos, F.col("_v")))
+
+    sides = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        sides += [value_at(F.floor(h) + 1).alias(f"_lo{i}"), value_at(F.ceil(h) + 1).alias(f"_hi{i}")]
+    q = upto.groupBy(*group_by).agg(*sides, F.max("_n").alias("_n"))
+    frac = [F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs]
+    return q.select(*group_by, *[(F.col(f"_lo{i}") + frac[i] * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm) for i, nm in enumerate(names)])
 
 
 def moving_frame(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str], value: str,

@@ -8,8 +8,13 @@ are column expressions, so no outcome vector is ever collected.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 LN2 = 0.6931471805599453
@@ -41,20 +46,37 @@ def paired_tables(outc: DataFrame) -> DataFrame:
         F.count_if((F.col("oa") == 0) & (F.col("ob") == 0)).alias("n00"))
 
 
+def binom_tail_half(n: int, k: int) -> float:
+    """P[X <= k] for X ~ Bin(n, 1/2), k <= n / 2: the largest term from
+    log-gammas, the smaller ones as ratios to it, so nothing overflows."""
+    largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * LN2
+    total, term, i = 1.0, 1.0, k
+    while i > 0 and term > 1e-18 * total:
+        term *= i / (n - i + 1)
+        total += term
+        i -= 1
+    return math.exp(largest + math.log(total))
+
+
+@F.pandas_udf(T.DoubleType())
+def _two_sided(b: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or pd.isna(y) else 1.0 if x + y == 0
+                      else min(1.0, 2.0 * binom_tail_half(int(x + y), int(min(x, y)))) for x, y in zip(b, c)], dtype="float64")
+
+
 def binom_two_sided_exact(b: Column, c: Column) -> Column:
-    """Exact two-sided sign-test p: min(1, 2 * P[X <= min(b,c)]), X~Bin(b+c, 1/2),
-    summed in log space so it holds at any count."""
-    n = b + c
-    k = F.least(b, c)
-    # log C(n, i) accumulated over i = 0..k
+    """Exact two-sided sign-test p: min(1, 2 * P[X <= min(b, c)]), X ~ Bin(b + c, 1/2);
+    a batch of the few test rows at a time."""
+    return _two_sided(b.cast("bigint"), c.cast("bigint"))
+
+
+def _small_exact(b: Column, c: Column, limit: int = 25) -> Column:
+    """The same below ``limit`` discordant pairs, as a plain expression."""
+    n, k = b + c, F.least(b, c)
     terms = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-        F.struct(F.lit(0.0).alias("lc"), F.lit(1.0).alias("acc")),  # i = 0 term: C(n,0) = 1 -> exp(0)
-        lambda s, i: F.struct(
-            (s["lc"] + F.log(n - i + 1) - F.log(i)).alias("lc"),
-            (s["acc"] + F.when(i <= k, F.exp(s["lc"] + F.log(n - i + 1) - F.log(i))).otherwise(0.0)).alias("acc")))
-    tail = F.exp(F.log(terms["acc"]) - n * F.lit(LN2))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * tail))
+        F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("acc")),
+        lambda s, i: F.struct((s["t"] * (n - i + 1) / i).alias("t"), (s["acc"] + F.when(i <= k, s["t"] * (n - i + 1) / i).otherwise(0.0)).alias("acc")))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2.0 * terms["acc"] / F.pow(F.lit(2.0), n)))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
@@ -62,7 +84,7 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     else chi-square with continuity correction (1 df tail = erfc(sqrt(x/2)))."""
     n = b + c
     x = F.pow(F.abs(b - c) - 1.0, 2) / n
-    return (F.when(n == 0, 1.0).when(n < 25, binom_two_sided_exact(b, c))
+    return (F.when(n == 0, 1.0).when(n < 25, _small_exact(b, c))
             .otherwise(erfc(F.sqrt(x / 2.0))))
 
 
@@ -87,16 +109,26 @@ def holm(df: DataFrame, family: str, p: str, out: str = "p_holm") -> DataFrame:
             .drop("_rk", "_m", "_adj"))
 
 
-def chi2_sf_even(x: Column, df: int) -> Column:
-    """Chi-square survival for even df: exp(-x/2) * sum_{i<df/2} (x/2)^i / i!."""
-    half = x / 2.0
-    s = F.lit(0.0)
-    term = F.lit(1.0)
-    for i in range(df // 2):
-        if i > 0:
-            term = term * half / i
-        s = s + term
-    return F.exp(-half) * s
+def chi2_tail(x: float, df: int) -> float:
+    """Chi-square survival function for any whole df >= 1, by the recurrence
+    Q(a + 1, y) = Q(a, y) + y^a e^-y / Gamma(a + 1) from a = 1/2 or 1."""
+    y = x / 2.0
+    if y <= 0:
+        return 1.0
+    a, q = (0.5, math.erfc(math.sqrt(y))) if df % 2 else (1.0, math.exp(-y))
+    while a < df / 2.0:
+        q += math.exp(a * math.log(y) - y - math.lgamma(a + 1))
+        a += 1.0
+    return min(1.0, q)
+
+
+@F.pandas_udf(T.DoubleType())
+def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else 1.0 if b < 1 else chi2_tail(float(a), int(b)) for a, b in zip(x, df)], dtype="float64")
+
+
+def chi2_sf(x: Column, df: Column) -> Column:
+    return _chi2(x.cast("double"), df.cast("bigint"))
 
 
 def cochrans_q(outc: DataFrame) -> DataFrame:
@@ -126,85 +158,44 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
 MODULUS = 2147483647  # 2^31 - 1
 
 
-def mix_draw(*parts: Column) -> Column:
-    """Deterministic pseudo-random integer in [0, 2^31-2] from integer parts:
-    a linear combination followed by three Park-Miller steps (all products
-    < 2^62, so plain bigint arithmetic, identical in any SQL engine)."""
-    primes = [7919, 104729, 1299709, 15485863]
-    x = F.lit(12345).cast("bigint")
-    for p_, c in zip(primes, parts):
-        x = F.pmod(x + c.cast("bigint") * p_, F.lit(MODULUS))
-    for _ in range(3):
-        x = F.pmod(x * 48271, F.lit(MODULUS))
-    return x
-
-
-def bootstrap_rate(outc: DataFrame, group: list[str], replicates: int = 10000, seed: int = 42,
-                   max_array: int = 2_000_000) -> DataFrame:
-    """T6s: percentile bootstrap of the mean outcome per group.
-
-    Every group's outcomes are numbered 0..n-1; replicate b draws n indices
-    j -> mix(seed, b, j) mod n; the replicate means give the 2.5 / 97.5
-    percentiles and the standard error.  Replicates come from a partitioned
-    ``spark.range``.  When every group is small enough (row count checked)
-    its outcomes travel as one broadcast array and each replicate folds its
-    n draws in a single row (no B x n rows); otherwise draws are rows joined
-    to the outcomes by index."""
-    spark = outc.sparkSession
-    w = Window.partitionBy(*group).orderBy("query_id")
-    num = outc.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
-    sizes = num.groupBy(*group).agg(F.count("*").alias("n"), F.avg("outcome").alias("rate"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    reps = spark.range(0, replicates, 1, parts).select(F.col("id").alias("b"))
-    if outc.count() <= max_array:
-        arrs = num.groupBy(*group).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("idx", "outcome"))), lambda x: x["outcome"]).alias("arr"))
-        g = F.broadcast(arrs.join(sizes.select(*group, "n"), group))
-        # one input row per (group, replicate bucket): the outcome array is
-        # shipped to Python once per bucket, the bucket's replicates are
-        # folded there with vectorised numpy
-        per = -(-replicates // parts)
-        buckets = spark.range(0, parts, 1, parts).select(F.col("id").alias("bucket"))
-        rows = buckets.crossJoin(g).select(*group, "bucket", "n", "arr")
-        out_schema = ", ".join([f"{c} string" for c in group] + ["b bigint", "m double"])
-
-        def fold(batches):
-            import numpy as np
-            import pandas as pd
-            M = MODULUS
-            for pdf in batches:
-                outs = []
-                for rec in pdf.itertuples(index=False):
-                    d = rec._asdict()
-                    n, arr = int(d["n"]), np.asarray(d["arr"], dtype=np.int64)
-                    bs = np.arange(d["bucket"] * per, min(replicates, (d["bucket"] + 1) * per), dtype=np.int64)
-                    if len(bs) == 0:
-                        continue
-                    j = np.arange(n, dtype=np.int64)
-                    step = max(1, 4_000_000 // n)          # bound the draw matrix to ~32 MB
-                    m = np.empty(len(bs))
-                    for lo in range(0, len(bs), step):
-                        x = (12345 + seed * 7919) % M
-                        x = (x + bs[lo:lo + step, None] * 104729) % M
-                        x = (x + j[None, :] * 1299709) % M
-                        for _ in range(3):
-                            x = (x * 48271) % M
-                        m[lo:lo + step] = arr[x % n].sum(axis=1) / n
-                    o = pd.DataFrame({c: [str(d[c])] * len(bs) for c in group})
-                    o["b"], o["m"] = bs, m
-                    outs.append(o)
-                if outs:
-                    yield pd.concat(outs, ignore_index=True)
-
-        means = rows.mapInPandas(fold, out_schema)
-        for c in group:
-            means = means.withColumn(c, F.col(c).cast(dict(outc.dtypes)[c]))
-    else:
-        draws = (reps.crossJoin(F.broadcast(sizes.select(*group, "n")))
-                 .select(*group, "n", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")))
-        draws = draws.select(*group, "b", F.pmod(mix_draw(F.lit(seed), F.col("b"), F.col("j")), F.col("n")).alias("idx"))
-        means = (draws.join(num.select(*group, "idx", "outcome"), [*group, "idx"])
-                 .groupBy(*group, "b").agg(F.avg("outcome").alias("m")))
-    stats = means.groupBy(*group).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"),
-                                      F.stddev_samp("m").alias("se"))
-    return sizes.join(stats, group)
+def _binomial_replicates(n: int, successes: int, u: np.ndarray) -> np.ndarray:
+    """Success counts of resamples of n outcomes with ``successes`` ones: the
+    Bin(n, successes / n) quantiles of the uniform draws ``u``."""
+    if successes in (0, n):
+        return np.full(len(u), successes)
+    p = successes / n
+    spread = 9.0 * math.sqrt(n * p * (1 - p)) + 9
+    lo, hi = max(0, math.floor(successes - spread)), min(n, math.ceil(successes + spread))
+    k = np.arange(lo, hi)
+    log_pmf = np.concatenate([[0.0], np.cumsum(np.log((n - k) / (k + 1.0)) + math.log(p / (1 - p)))])
+    pmf = np.exp(log_pmf - log_pmf.max())
+    cdf = np.cumsum(pmf) / pmf.sum()
+    return lo + np.minimum(np.searchsorted(cdf, u, side="left"), hi - lo)
+
+
+def bootstrap_rate(outc: DataFrame, group: list[str], replicates: int = 10000, seed: int = 42) -> DataFrame:
+    """T6s: percentile bootstrap of the mean of 0/1 outcomes per group.
+
+    A resample of n outcomes is determined by its number of ones, which is
+    Bin(n, rate); replicate b takes the binomial quantile of one
+    deterministic uniform draw from (seed, b).  Groups are reduced to
+    (n, ones) by a map-side combined aggregate; a group then costs its
+    replicates and a table of about 18 standard deviations of counts,
+    whatever its number of rows.  The replicate rates give the 2.5 / 97.5
+    percentiles and the standard error."""
+    sizes = outc.groupBy(*group).agg(F.count("outcome").alias("n"), F.sum(F.col("outcome").cast("bigint")).alias("ones"),
+                                     F.avg("outcome").alias("rate")).where("n > 0")
+    schema = sizes.schema.simpleString()[len("struct<"):-1].replace(":", " ") + ", ci_low double, ci_high double, se double"
+
+    def fold(batches):
+        x = (12345 + seed * 7919) % MODULUS
+        x = (x + np.arange(replicates, dtype=np.int64) * 104729) % MODULUS
+        for _ in range(3):
+            x = (x * 48271) % MODULUS
+        u = (x + 0.5) / MODULUS
+        for pdf in batches:
+            rates = [_binomial_replicates(int(n), int(s), u) / n for n, s in zip(pdf["n"], pdf["ones"])]
+            yield pdf.assign(ci_low=[np.quantile(m, 0.025) for m in rates], ci_high=[np.quantile(m, 0.975) for m in rates],
+                             se=[m.std(ddof=1) for m in rates])
+
+    return sizes.mapInPandas(fold, schema).drop("ones")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import iso_weekday, start_of_month, start_of_week
-from quarry.operators.ranking import ranked, shifted
+from quarry.operators.joins import broadcast_if_small
+from quarry.operators.ranking import null_safe_join
 
 
 def calendar_counts(df: DataFrame, ts: str) -> DataFrame:
@@ -33,17 +35,27 @@ def sessionize(df: DataFrame, user: str, ts: str, tiebreak: str, gap_seconds: in
     previous event exceeds ``gap_seconds``.  Adds ``session_no`` (1-based per
     user).
 
-    Skew-safe: the previous event comes from an equi-join on (user,
-    position) and the session number is a running count of session starts
-    over range-split users, so a user holding a third of all events is
-    spread over many tasks instead of one window task."""
+    Skew-safe in one pass: events are range-partitioned on (user, time), so a
+    user holding a third of all events spans many tasks; the first event of a
+    user in a task compares with the user's last event of the tasks before
+    it, and session starts are counted per task and completed by the counts
+    of those tasks.  Events without a user are one group."""
     order = [F.col(ts), F.col(tiebreak)]
-    d = shifted(df, order, [user], [ts], 1, "_prev_")
-    gap = F.timestamp_diff("MICROSECOND", F.col(f"_prev_{ts}"), F.col(ts))   # zone-free on timestamp_ntz
-    d = d.withColumn("_start", F.when(F.col(f"_prev_{ts}").isNull() | (gap > F.lit(gap_seconds * 1_000_000)), 1)
-                     .otherwise(0)).drop(f"_prev_{ts}", "_pos")
-    r = ranked(d, order, [user], running=[("sum", "_start", "session_no")])
-    return r.drop("_start")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.repartitionByRange(n, F.col(user), *order).withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    local = Window.partitionBy("_pid", user).orderBy(*order)
+    before = Window.partitionBy(user).orderBy("_pid")
+    # one row per (task, user): at most users + tasks
+    last = d.groupBy("_pid", user).agg(F.max(ts).alias("_last")).withColumn("_carry", F.lag("_last").over(before)).drop("_last")
+    d = null_safe_join(d.withColumn("_prev", F.lag(ts).over(local)), broadcast_if_small(last), ["_pid", user])
+    d = d.withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry")
+    gap = F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts))   # zone-free on timestamp_ntz
+    d = d.withColumn("_start", F.when(F.col("_prev").isNull() | (gap > F.lit(gap_seconds * 1_000_000)), 1).otherwise(0)).drop("_prev")
+    d = d.withColumn("_n", F.sum("_start").over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    starts = (d.groupBy("_pid", user).agg(F.sum("_start").alias("_s"))
+              .withColumn("_earlier", F.coalesce(F.sum("_s").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s"))
+    d = null_safe_join(d, broadcast_if_small(starts), ["_pid", user])
+    return d.withColumn("session_no", F.col("_earlier") + F.col("_n")).drop("_pid", "_start", "_n", "_earlier")
 
 
 def session_table(events: DataFrame, gap_seconds: int = 3600) -> DataFrame:

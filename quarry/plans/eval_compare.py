@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators.compare import (align_columns, eq_exact, keyed_mismatch_counts, multiset_compare,
                                       ordered_compare, result_fingerprint, tolerant_compare, with_row_key)
 from quarry.operators.ranking import ranked
+from quarry.operators.windows import top_n_per_group
 from quarry.plans.eval_bindings import (RESULT_GOLD_SQL, RESULT_PRED_KEYED_SQL, RESULT_PRED_MULTISET_SQL,
                                         RUN_LOG_SQL, md5_int, md5_int_sql, result_gold, result_pred_keyed,
                                         result_pred_multiset, run_log, sql_eq_exact, sql_eq_semantic)
@@ -127,56 +128,86 @@ def e7(t: Tables):
     return m.select("gold_rows", "pred_rows", "matched_rows", "partial_score")
 
 
+_E8_KEY = "o_custkey, n_orders, total, top_status"
+
+
+def _e8_case(name: str, cols: str, pred: str) -> str:
+    keys = cols.split(", ")
+    on = " AND ".join(f"g.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)
+    return (f"SELECT '{name}' AS case_name, CAST(sum(coalesce(g.c, 0)) AS BIGINT) AS gold_rows, CAST(sum(coalesce(p.c, 0)) AS BIGINT) AS pred_rows, "
+            f"CAST(sum(least(coalesce(g.c, 0), coalesce(p.c, 0))) AS BIGINT) AS matched_rows, "
+            f"sum(abs(coalesce(g.c, 0) - coalesce(p.c, 0))) = 0 AS match "
+            f"FROM (SELECT {cols}, count(*) AS c FROM gold GROUP BY ALL) g FULL JOIN (SELECT {cols}, count(*) AS c FROM ({pred}) GROUP BY ALL) p ON {on}")
+
+
 @register("E8_column_alignment", f"""
 WITH {RESULT_GOLD_SQL}
-SELECT CAST(count(*) AS BIGINT) AS gold_rows, CAST(count(*) AS BIGINT) AS pred_rows, CAST(count(*) AS BIGINT) AS matched_rows,
-       CAST(0 AS BIGINT) AS missing_rows, CAST(0 AS BIGINT) AS extra_rows, TRUE AS match, CAST(1.0 AS DOUBLE) AS partial_score FROM gold
+{_e8_case("renamed_and_more", _E8_KEY, "SELECT * FROM gold")}
+UNION ALL {_e8_case("fewer", "o_custkey, total", "SELECT o_custkey, total FROM gold")}
+UNION ALL {_e8_case("reordered_and_changed", _E8_KEY, "SELECT o_custkey, n_orders + CASE WHEN n_orders > 15 THEN 1 ELSE 0 END AS n_orders, total, top_status FROM gold")}
+UNION ALL SELECT 'nothing_shared', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), count(*) = 0 FROM gold
 """)
 def e8(t: Tables):
-    """Prediction with renamed, reordered and one extra column: aligned by
-    name (schema-only, driver side), then compared as a multiset."""
-    g = result_gold(t)
-    pred = g.select(F.col("total").alias("total_value"), F.col("top_status").alias("TOP_STATUS"),
-                    F.col("o_custkey").alias("custkey"), F.lit("x").alias("extra_col"),
-                    F.col("n_orders").alias("n_orders_cnt"))
-    aligned = align_columns(g.select("o_custkey", "n_orders", "total", "top_status"), pred)
-    return multiset_compare(g, aligned)
+    """Predictions with renamed, more, fewer, reordered or no shared columns:
+    aligned by name (schema-only, driver side), then compared as multisets."""
+    g = result_gold(t).select("o_custkey", "n_orders", "total", "top_status")
+    more = g.select(F.col("total").alias("total_value"), F.col("top_status").alias("TOP_STATUS"), F.col("o_custkey").alias("custkey"),
+                    F.lit("x").alias("extra_col"), F.col("n_orders").alias("n_orders_cnt"))
+    fewer = g.select(F.col("total").alias("TOTAL"), "o_custkey")
+    changed = g.select("top_status", "total", (F.col("n_orders") + F.when(F.col("n_orders") > 15, 1).otherwise(0)).alias("N_Orders"), "o_custkey")
+    other = g.select(F.col("o_custkey").alias("zzz"))
+    out = None
+    for name, pred in (("renamed_and_more", more), ("fewer", fewer), ("reordered_and_changed", changed), ("nothing_shared", other)):
+        both = align_columns(g, pred)
+        if both is None:
+            n = g.agg(F.count("*").alias("gold_rows")).crossJoin(pred.agg(F.count("*").alias("pred_rows")))
+            one = n.select(F.lit(name).alias("case_name"), "gold_rows", "pred_rows", F.lit(0).cast("bigint").alias("matched_rows"),
+                           ((F.col("gold_rows") == 0) & (F.col("pred_rows") == 0)).alias("match"))
+        else:
+            one = multiset_compare(*both).select(F.lit(name).alias("case_name"), "gold_rows", "pred_rows", "matched_rows", "match")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("E9_scalar_shortcut", """
-SELECT CAST(count(*) AS DOUBLE) AS gold_value, CAST(count(*) AS DOUBLE) AS pred_value, TRUE AS match FROM orders
+WITH v AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders)
+SELECT 'same' AS case_name, CAST(n AS DOUBLE) AS gold_value, CAST(n AS DOUBLE) AS pred_value, n = n AS match FROM v
+UNION ALL SELECT 'other', CAST(n AS DOUBLE), CAST(f AS DOUBLE), n = f FROM v
 """)
 def e9(t: Tables):
-    """1x1 results compare by value only (column names ignored)."""
+    """1x1 results compare by value only (column names and types ignored)."""
     gold = t.orders.agg(F.count("*").alias("n"))
-    pred = t.orders.agg((F.count("*") * 1.0).cast("string").alias("cnt"))
-    j = gold.crossJoin(pred)
-    return j.select(F.col("n").cast("double").alias("gold_value"), F.col("cnt").cast("double").alias("pred_value"),
-                    eq_exact(F.col("n"), F.col("cnt")).alias("match"))
-
-
-@register("E10_empty_and_shape_verdicts", """
-WITH g AS (SELECT count(*) AS n FROM orders WHERE o_totalprice < 0),
-     p AS (SELECT count(*) AS n FROM orders WHERE o_totalprice < 0),
-     g2 AS (SELECT count(*) AS n FROM orders)
-SELECT 'both_empty' AS case_name, (g.n = 0 AND p.n = 0) AS match, CAST(CASE WHEN g.n = 0 AND p.n = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM g, p
-UNION ALL SELECT 'pred_empty', (g2.n = 0), CAST(CASE WHEN g2.n = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) FROM g2
-UNION ALL SELECT 'column_count_mismatch', FALSE, CAST(0.0 AS DOUBLE)
+    same = t.orders.agg((F.count("*") * 1.0).cast("string").alias("cnt"))
+    other = t.orders.agg((F.count_if(F.col("o_orderstatus") == "F") * 1.0).cast("string").alias("cnt"))
+    out = [gold.crossJoin(p).select(F.lit(name).alias("case_name"), F.col("n").cast("double").alias("gold_value"), F.col("cnt").cast("double").alias("pred_value"),
+                                    eq_exact(F.col("n"), F.col("cnt")).alias("match")) for name, p in (("same", same), ("other", other))]
+    return out[0].unionByName(out[1])
+
+
+@register("E10_empty_and_shape_verdicts", f"""
+WITH {RESULT_GOLD_SQL}, c AS (SELECT count(*) FILTER (WHERE o_totalprice < 0) AS neg, count(*) AS n FROM orders),
+r AS (SELECT count(*) AS n FROM gold)
+SELECT 'both_empty' AS case_name, neg = 0 AS match, CAST(CASE WHEN neg = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM c
+UNION ALL SELECT 'pred_empty', n = 0 AND neg = 0, CAST(CASE WHEN n = 0 AND neg = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) FROM c
+UNION ALL SELECT 'gold_empty', n = 0 AND neg = 0, CAST(CASE WHEN n = 0 AND neg = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) FROM c
+UNION ALL SELECT 'column_count_mismatch', n = 0, CAST(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) FROM r
 """)
 def e10(t: Tables):
     """Verdicts decided from counts and schemas before any row compare."""
     o = t.orders
     empty = o.where(F.col("o_totalprice") < 0)
-    both = empty.agg(F.count("*").alias("g")).crossJoin(empty.agg(F.count("*").alias("p")))
-    v1 = both.select(F.lit("both_empty").alias("case_name"), ((F.col("g") == 0) & (F.col("p") == 0)).alias("match"),
-                     F.when((F.col("g") == 0) & (F.col("p") == 0), 1.0).otherwise(0.0).alias("score"))
-    v2 = o.agg(F.count("*").alias("g")).select(F.lit("pred_empty").alias("case_name"), (F.col("g") == 0).alias("match"),
-                                               F.when(F.col("g") == 0, 1.0).otherwise(0.0).alias("score"))
-    gold, pred = result_gold(t), result_gold(t).drop("top_status")
-    shape_ok = len(gold.columns) == len(pred.columns)
-    v3 = t.spark.range(1).select(F.lit("column_count_mismatch").alias("case_name"), F.lit(shape_ok).alias("match"),
-                                 F.lit(1.0 if shape_ok else 0.0).alias("score"))
-    return v1.unionByName(v2).unionByName(v3)
+
+    def case(name, gold, pred):
+        n = gold.agg(F.count("*").alias("g")).crossJoin(pred.agg(F.count("*").alias("p")))
+        none = (F.col("g") == 0) & (F.col("p") == 0)
+        # with rows on both sides the column counts decide: they differ here
+        return n.select(F.lit(name).alias("case_name"), none.alias("match"), F.when(none, 1.0).otherwise(0.0).alias("score"))
+
+    gold = result_gold(t)
+    pred = gold.drop("top_status")
+    assert len(gold.columns) != len(pred.columns)
+    return (case("both_empty", empty, empty).unionByName(case("pred_empty", o, empty)).unionByName(case("gold_empty", empty, o))
+            .unionByName(case("column_count_mismatch", gold, pred)))
 
 
 @register("E11_mismatch_samples", f"""
@@ -191,29 +222,38 @@ SELECT side, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (WHERE rn <=
        count(*) FILTER (WHERE rn > 3) AS remainder FROM r GROUP BY side
 """)
 def e11(t: Tables):
-    """First three differing rows per side (by key) plus the remainder count."""
+    """First three differing rows per side (by key) plus the remainder count:
+    the first rows by a group limit, the counts by a plain aggregate."""
     cols = ["o_custkey", "n_orders", "total", "top_status"]
     g = result_gold(t).groupBy(*cols).agg(F.count("*").alias("_g"))
     p = result_pred_multiset(t).groupBy(*cols).agg(F.count("*").alias("_p"))
     j = g.join(p, cols, "full_outer").select(F.col("o_custkey").alias("k"),
                                              (F.coalesce("_g", F.lit(0)) - F.coalesce("_p", F.lit(0))).alias("d"))
-    r = (j.where(F.col("d") != 0).withColumn("side", F.when(F.col("d") > 0, "missing").otherwise("extra"))
-         .withColumn("rn", F.row_number().over(Window.partitionBy("side").orderBy("k"))))
-    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= 3, F.col("k"))))
-    return r.groupBy("side").agg(F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("sample_keys"),
-                                 F.count_if(F.col("rn") > 3).alias("remainder"))
+    r = j.where(F.col("d") != 0).select("k", F.when(F.col("d") > 0, "missing").otherwise("extra").alias("side"))
+    first = top_n_per_group(r, ["side"], [F.col("k")], 3).groupBy("side").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    counts = r.groupBy("side").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(first), "side").select(  # two sides of three keys
+        "side", F.array_join(F.transform("ks", lambda x: x.cast("string")), ",").alias("sample_keys"), (F.col("n") - F.size("ks")).alias("remainder"))
 
 
 @register("E12_large_equal_size", """
-SELECT count(*) = count(*) AS gate_pass, TRUE AS match, count(*) AS gold_rows FROM lineitem
+WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem),
+g AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, count(*) AS c FROM lineitem GROUP BY ALL),
+k AS (SELECT *, count(*) AS c FROM p GROUP BY ALL),
+j AS (SELECT coalesce(g.c, 0) AS g, coalesce(k.c, 0) AS p FROM g FULL JOIN k USING (l_orderkey, l_linenumber, l_quantity, l_returnflag))
+SELECT 'reordered' AS case_name, (SELECT count(*) FROM lineitem) = (SELECT count(*) FROM lineitem) AS gate_pass, TRUE AS match, count(*) AS gold_rows, count(*) AS matched_rows FROM lineitem
+UNION ALL SELECT 'perturbed', sum(g) = sum(p), sum(abs(g - p)) = 0, CAST(sum(g) AS BIGINT), CAST(sum(least(g, p)) AS BIGINT) FROM j
 """)
 def e12(t: Tables):
     """Large results: row-count gate, then the hash multiset compare for any
-    size (no 5,000-row switch, no truncation)."""
+    size (no 5,000-row switch, no truncation); against the same rows and
+    against rows of which one order in fifty differs."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    pred = li.orderBy(F.col("l_quantity").desc(), "l_orderkey", "l_linenumber")
-    m = multiset_compare(li, pred)
-    return m.select((F.col("gold_rows") == F.col("pred_rows")).alias("gate_pass"), "match", "gold_rows")
+    same = li.repartition("l_returnflag", "l_linenumber")
+    other = li.withColumn("l_quantity", F.when(F.col("l_orderkey") % 50 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    out = [multiset_compare(li, p).select(F.lit(name).alias("case_name"), (F.col("gold_rows") == F.col("pred_rows")).alias("gate_pass"), "match", "gold_rows", "matched_rows")
+           for name, p in (("reordered", same), ("perturbed", other))]
+    return out[0].unionByName(out[1])
 
 
 @register("E14_result_fingerprint", """

@@ -199,13 +199,13 @@ def m5(t: Tables):
 @register("M6_error_mix", f"""
 WITH {RUN_LOG_SQL},
 e AS (SELECT config, regexp_extract(error, 'Code:\\s*(\\d+)', 1) AS code, regexp_extract(error, '(DB::\\w+)', 1) AS name,
-             left(trim(regexp_replace(error, '^Code:\\s*\\d+\\.\\s*(DB::\\w+:)?', '')), 500) AS message
+             trim(regexp_replace(error, '^Code:\\s*\\d+\\.\\s*(DB::\\w+:)?', '')) AS message
       FROM run_log WHERE error IS NOT NULL)
 SELECT config, code, name, count(*) AS n, count(DISTINCT message) AS n_messages FROM e GROUP BY 1, 2, 3
 """)
 def m6(t: Tables):
     e = run_log(t).where(F.col("error").isNotNull())
-    msg = F.substring(F.trim(F.regexp_replace("error", r"^Code:\s*\d+\.\s*(DB::\w+:)?", "")), 1, 500)
+    msg = F.trim(F.regexp_replace("error", r"^Code:\s*\d+\.\s*(DB::\w+:)?", ""))
     return (e.select("config", F.regexp_extract("error", r"Code:\s*(\d+)", 1).alias("code"),
                      F.regexp_extract("error", r"(DB::\w+)", 1).alias("name"), msg.alias("message"))
             .groupBy("config", "code", "name").agg(F.count("*").alias("n"), F.countDistinct("message").alias("n_messages")))

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quarry.operators.querylog import near_duplicate_pairs
-from quarry.operators.stats import (ERFC_COEFFS, MODULUS, binom_two_sided_exact, bootstrap_rate, chi2_sf_even,
+from quarry.operators.stats import (ERFC_COEFFS, MODULUS, binom_two_sided_exact, bootstrap_rate, chi2_sf,
                                     cochrans_q, cohens_h, h_label, holm, mcnemar_p, paired_tables, wilson)
 from quarry.plans.eval_bindings import OUTCOMES_SQL, md5_int, outcomes
 from quarry.plans.registry import register
@@ -31,18 +31,10 @@ def _erfc_sql(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN {ans} ELSE 2.0 - {ans} END)"
 
 
-def _exact_sql(b: str, c: str) -> str:
-    """min(1, 2 * P[X <= min(b,c)]), summed over i with log C(n, i) as a running sum."""
-    n = f"({b} + {c})"
-    return (f"(CASE WHEN {n} = 0 THEN 1.0 ELSE least(1.0, 2.0 * exp(ln((SELECT sum(exp(lc)) FROM ("
-            f"SELECT coalesce(sum(ln({n} - i + 1) - ln(i)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS lc "
-            f"FROM (SELECT unnest(range(0, least({b}, {c}) + 1)) AS i) s0 WHERE i >= 0) s1 )) - {n} * ln(2))) END)")
-
-
 def _exact_sql_lateral(b: str, c: str) -> str:
     n = f"({b} + {c})"
-    return (f"(CASE WHEN {n} = 0 THEN 1.0 ELSE least(1.0, 2.0 * exp(ln(list_sum(list_transform(range(0, least({b}, {c}) + 1), "
-            f"lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1))))) - {n} * ln(2))) END)")
+    return (f"(CASE WHEN {n} = 0 THEN 1.0 ELSE least(1.0, 2.0 * list_sum(list_transform(range(0, least({b}, {c}) + 1), "
+            f"lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))))) END)")
 
 
 def _mcnemar_sql(b: str, c: str) -> str:
@@ -93,7 +85,7 @@ def t1(t: Tables):
 @register("T2s_mcnemar", f"""
 WITH {OUTCOMES_SQL}, {_PAIRS_SQL}
 SELECT metric, config_a, config_b, n10 AS b, n01 AS c, round({_mcnemar_sql('n10', 'n01')}, 10) AS p_value,
-       round({_exact_sql_lateral('n10', 'n01')}, 10) AS p_exact,
+       round({_exact_sql_lateral('n10', 'n01')}, 8) AS p_exact,
        CASE WHEN n10 + n01 = 0 THEN 'none' WHEN n10 + n01 < 25 THEN 'exact' ELSE 'chi2_cc' END AS method
 FROM pairs
 """)
@@ -103,7 +95,7 @@ def t2(t: Tables):
     p = paired_tables(outcomes(t))
     b, c = F.col("n10"), F.col("n01")
     return p.select("metric", "config_a", "config_b", b.alias("b"), c.alias("c"),
-                    F.round(mcnemar_p(b, c), 10).alias("p_value"), F.round(binom_two_sided_exact(b, c), 10).alias("p_exact"),
+                    F.round(mcnemar_p(b, c), 10).alias("p_value"), F.round(binom_two_sided_exact(b, c), 8).alias("p_exact"),
                     F.when(b + c == 0, "none").when(b + c < 25, "exact").otherwise("chi2_cc").alias("method"))
 
 
@@ -147,30 +139,25 @@ q AS (SELECT rs.metric, k.k, rs.n_queries,
 SELECT metric, k, n_queries, round(q, 6) AS q, k - 1 AS df, round(exp(-q / 2.0), 10) AS p_value FROM q
 """)
 def t5(t: Tables):
-    """Cochran's Q over the three configs (df = 2, closed-form tail)."""
+    """Cochran's Q over the three configs (chi-square tail of any df; three configs here, so the oracle has df 2)."""
     q = cochrans_q(outcomes(t))
     return q.select("metric", "k", "n_queries", F.round("q", 6).alias("q"), "df",
-                    F.round(chi2_sf_even(F.col("q"), 2), 10).alias("p_value"))
-
-
-def _draw_sql(seed, b, j) -> str:
-    x = "12345"
-    for p_, c in zip([7919, 104729, 1299709], [str(seed), b, j]):
-        x = f"(({x} + CAST({c} AS BIGINT) * {p_}) % {MODULUS})"
-    for _ in range(3):
-        x = f"(({x} * 48271) % {MODULUS})"
-    return x
+                    F.round(chi2_sf(F.col("q"), F.col("df")), 10).alias("p_value"))
 
 
 def _boot_sql(group: str, outcomes_cte: str, reps: int = 10000, seed: int = 42) -> str:
-    g = ", ".join(group.split(","))
-    on = " AND ".join(f"d.{c} = nm.{c}" for c in group.split(","))
-    return f"""num AS (SELECT {g}, outcome, row_number() OVER (PARTITION BY {g} ORDER BY query_id) - 1 AS idx FROM {outcomes_cte}),
-sizes AS (SELECT {g}, count(*) AS n, avg(outcome) AS rate FROM num GROUP BY {g}),
-draws AS (SELECT {g}, b, {_draw_sql(seed, 'b', 'j')} % n AS idx
-          FROM sizes, (SELECT unnest(range({reps})) AS b) rb, LATERAL (SELECT unnest(range(n)) AS j) rj),
-means AS (SELECT {', '.join('d.' + c for c in group.split(','))}, d.b, avg(nm.outcome) AS m
-          FROM draws d JOIN num nm ON {on} AND d.idx = nm.idx GROUP BY ALL),
+    """Binomial quantiles of one draw a replicate, with log-gamma probabilities."""
+    g, join = group, lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in group.split(","))
+    x = f"((12345 + {seed * 7919}) % {MODULUS} + b * 104729) % {MODULUS}"
+    for _ in range(3):
+        x = f"(({x}) * 48271) % {MODULUS}"
+    return f"""sizes AS (SELECT {g}, count(*) AS n, avg(outcome) AS rate, sum(outcome) AS ones FROM {outcomes_cte} GROUP BY {g}),
+cells AS (SELECT {g}, n, ones, unnest(range(greatest(0, CAST(floor(ones - 10 * sqrt(n) - 10) AS BIGINT)), least(n, CAST(ceil(ones + 10 * sqrt(n) + 10) AS BIGINT)) + 1)) AS k FROM sizes WHERE ones > 0 AND ones < n),
+pmf AS (SELECT {g}, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(ones / n) + (n - k) * ln(1 - ones / n)) AS p FROM cells),
+cdf AS (SELECT {g}, n, k, sum(p) OVER (PARTITION BY {g} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM pmf),
+draws AS (SELECT b, ({x} + 0.5) / {MODULUS} AS u FROM (SELECT unnest(range({reps})) AS b)),
+means AS (SELECT {', '.join('c.' + c for c in group.split(','))}, d.b, min(c.k) / any_value(c.n) AS m FROM draws d JOIN cdf c ON c.c >= d.u GROUP BY ALL
+          UNION ALL SELECT {g}, b, ones / n FROM sizes, draws WHERE ones = 0 OR ones = n),
 stats AS (SELECT {g}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, stddev_samp(m) AS se FROM means GROUP BY {g})"""
 
 
@@ -250,6 +237,35 @@ def t9(t: Tables):
                     (F.col("p_holm") < 0.05).alias("significant"))
 
 
+_WILSON_SQL = """ci AS (SELECT metric, config, n, rate, (rate + 1.96 * 1.96 / (2.0 * n)) / (1.0 + 1.96 * 1.96 / n) AS center,
+  1.96 * sqrt(rate * (1.0 - rate) / n + 1.96 * 1.96 / (4.0 * n * n)) / (1.0 + 1.96 * 1.96 / n) AS half FROM rates)"""
+
+
+@register("T9s_family_totals", f"""
+WITH {OUTCOMES_SQL}, {_TESTS_SQL}, {_WILSON_SQL},
+r AS (SELECT metric, query_id, sum(outcome) AS r FROM outcomes GROUP BY 1, 2),
+c AS (SELECT metric, config, sum(outcome) AS c FROM outcomes GROUP BY 1, 2),
+rs AS (SELECT metric, sum(r * r) AS sr2, sum(r) AS total, count(*) AS n_queries FROM r GROUP BY 1),
+cs AS (SELECT metric, sum(c * c) AS sc2, count(*) AS k FROM c GROUP BY 1),
+q AS (SELECT rs.metric, n_queries, k, CASE WHEN k * total - sr2 = 0 THEN 0.0 ELSE (k - 1) * (k * sc2 - total * total) / (k * total - sr2) END AS q FROM rs JOIN cs USING (metric)),
+n AS (SELECT metric, count(*) AS n_tests, count(*) FILTER (WHERE p_holm < 0.05) AS n_significant FROM tests GROUP BY metric)
+SELECT metric AS family, config, ci.n, round(rate, 6) AS rate, round(center - half, 6) AS ci_low, round(center + half, 6) AS ci_high,
+  n_queries, round(q, 6) AS cochran_q, k - 1 AS df, round(exp(-q / 2.0), 10) AS cochran_p, n_tests, n_significant
+FROM ci JOIN q USING (metric) JOIN n USING (metric)
+""")
+def t9_totals(t: Tables):
+    """Per family and config: rate with Wilson interval, and the family's
+    Cochran Q test, number of tests and of significant ones."""
+    o = outcomes(t)
+    r = _rates(o)
+    lo, hi = wilson(F.col("rate") * F.col("n"), F.col("n"))
+    n = _tests(o).groupBy("metric").agg(F.count("*").alias("n_tests"), F.count_if(F.col("p_holm") < 0.05).alias("n_significant"))
+    q = cochrans_q(o).select("metric", "n_queries", "q", "df")
+    return r.join(q, "metric").join(n, "metric").select(
+        F.col("metric").alias("family"), "config", "n", F.round("rate", 6).alias("rate"), F.round(lo, 6).alias("ci_low"), F.round(hi, 6).alias("ci_high"),
+        "n_queries", F.round("q", 6).alias("cochran_q"), "df", F.round(chi2_sf(F.col("q"), F.col("df")), 10).alias("cochran_p"), "n_tests", "n_significant")
+
+
 @register("T10s_contrast_without_duplicates", f"""
 WITH {OUTCOMES_SQL.replace('outcomes AS (', 'outcomes_all AS (')},
 dt AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) AS tk FROM documents),

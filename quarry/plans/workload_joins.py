@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import anti_join_not_in, semi_join_top_k
+from quarry.functions import in_years
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
@@ -69,7 +70,7 @@ def j2(t: Tables):
     """Customers with their 1997 order count, zero kept for non-buyers.
     The order side is pre-aggregated per customer before the join, so the
     join moves one row per customer rather than every order."""
-    per = (t.orders.where(F.year("o_orderdate") == 1997).groupBy("o_custkey")
+    per = (t.orders.where(in_years("o_orderdate", 1997, 1997)).groupBy("o_custkey")
            .agg(F.count("o_orderkey").alias("order_count")))
     c = t.customer
     return (c.join(per, c.c_custkey == per.o_custkey, "left")
@@ -243,7 +244,7 @@ def star_flight1(t: Tables):
     """SSB flight 1: one fact-dimension join, filters on both sides, one sum."""
     li = t.lineitem.where(F.col("l_discount").between(0.01, 0.03) & (F.col("l_quantity") < 25)) \
         .select("l_orderkey", "l_extendedprice", "l_discount")
-    o = t.orders.where(F.year("o_orderdate") == 1996).select("o_orderkey")
+    o = t.orders.where(in_years("o_orderdate", 1996, 1996)).select("o_orderkey")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").agg(
         F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
 
@@ -286,7 +287,7 @@ def star_flight3(t: Tables):
         .select("c_custkey", F.col("n_name").alias("c_nation"))
     supp = t.supplier.select("s_suppkey", "s_nationkey").join(nat, F.col("s_nationkey") == F.col("n_nationkey")) \
         .select("s_suppkey", F.col("n_name").alias("s_nation"))
-    o = (t.orders.where(F.year("o_orderdate").between(1996, 1999)).select("o_orderkey", "o_custkey", "o_orderdate")
+    o = (t.orders.where(in_years("o_orderdate", 1996, 1999)).select("o_orderkey", "o_custkey", "o_orderdate")
          .join(cust, F.col("o_custkey") == F.col("c_custkey")))
     li = t.lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey"))

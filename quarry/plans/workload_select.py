@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators.relational import arr_str, multiset_diff_keys, top_k, ts_lit
+from quarry.functions import in_years
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
@@ -68,7 +69,7 @@ FROM customer c LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE year(o_or
 WHERE o.o_custkey IS NULL AND c.c_name IS NOT NULL
 """)
 def f6(t: Tables):
-    buyers = t.orders.where(F.year("o_orderdate") == 1996).select(F.col("o_custkey")).distinct()
+    buyers = t.orders.where(in_years("o_orderdate", 1996, 1996)).select(F.col("o_custkey")).distinct()
     c = t.customer
     return (c.join(buyers, c.c_custkey == buyers.o_custkey, "left")
             .where(F.col("o_custkey").isNull() & F.col("c_name").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct
-from quarry.operators.ranking import moving_frame, ranked, shifted
+from quarry.operators.ranking import exact_quantiles, moving_frame, null_safe_join, ranked, shifted
 from quarry.operators.windows import frame, growth_pct, running, top_n_per_group
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
@@ -66,9 +66,8 @@ def w4(t: Tables):
     """lag / lead as equi-joins on (user, position): no per-user window task."""
     e = t.events.select("user_id", "event_id", "ts", "event_type")
     order = [F.col("ts"), F.col("event_id")]
-    lagged = shifted(e, order, ["user_id"], ["ts"], 1, "prev_")
-    led = shifted(e, order, ["user_id"], ["event_type"], -1, "next_").select("event_id", "next_event_type")
-    return lagged.join(led, "event_id").select(
+    both = shifted(e, order, ["user_id"], [(["ts"], 1, "prev_"), (["event_type"], -1, "next_")])
+    return both.select(
         "user_id", "event_id", "ts", F.col("prev_ts"),
         boundary_diff("second", F.col("prev_ts"), F.col("ts")).alias("seconds_since_prev"), "next_event_type")
 
@@ -125,7 +124,7 @@ def w8(t: Tables):
     k = F.struct("ts", "event_id")
     ends = e.groupBy("user_id").agg(F.min_by("event_type", k).alias("first_type"),
                                     F.max_by("event_type", k).alias("last_type"))
-    return e.select("user_id", "event_id").join(ends, "user_id")
+    return null_safe_join(e.select("user_id", "event_id"), ends, ["user_id"])
 
 
 @register("W9_partition_aggregate", """
@@ -140,7 +139,7 @@ def w9(t: Tables):
     hot user never has to sit in one window buffer."""
     e = t.events.select("user_id", "event_id", "value")
     agg = e.groupBy("user_id").agg(F.avg("value").alias("_avg"), F.sum("value").alias("_sum"))
-    return e.join(agg, "user_id").select(
+    return null_safe_join(e, agg, ["user_id"]).select(
         "user_id", "event_id", "value", F.round("_avg", 6).alias("user_avg"),
         F.round(F.col("value") - F.round("_avg", 6), 6).alias("diff_from_avg"),
         F.round(pct("value", "_sum"), 6).alias("share_pct"))
@@ -261,7 +260,7 @@ def w17(t: Tables):
     joined back (map-side combined) rather than an unordered window."""
     e = t.events.select("user_id", "event_id", "value")
     mm = e.groupBy("user_id").agg(F.min("value").alias("min_v"), F.max("value").alias("max_v"))
-    j = e.join(mm, "user_id")
+    j = null_safe_join(e, mm, ["user_id"])
     norm = F.when(F.col("max_v") == F.col("min_v"), F.lit(0.0)).otherwise(
         (F.col("value") - F.col("min_v")) / (F.col("max_v") - F.col("min_v")))
     return j.select("user_id", "event_id", "value", "min_v", "max_v", F.round(norm, 6).alias("normalized_score"))
@@ -282,3 +281,52 @@ def w18(t: Tables):
                                                         F.col("product_id") == F.col("p_partkey"))
     return x.groupBy("p_type").agg(F.count("*").alias("n_events"),
                                    F.max_by("event_type", F.struct("type_cnt", "event_type")).alias("most_common_type"))
+
+
+# a tenth of the events has no user: NULL is one (large) group of a window
+_NULL_USERS = "ev AS (SELECT CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, event_id, event_type, ts, value FROM events)"
+
+
+def _null_users(t: Tables):
+    return t.events.select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id"), "event_id", "event_type", "ts", "value")
+
+
+@register("W19_null_group_ranking", f"""
+WITH {_NULL_USERS}
+SELECT user_id, event_id, row_number() OVER w AS rn, lag(event_id) OVER w AS prev_id, lead(event_type) OVER w AS next_event_type,
+       round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_value
+FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def w19(t: Tables):
+    """Positions, neighbours and running sums where events without a user are one group."""
+    e, order = _null_users(t), [F.col("ts"), F.col("event_id")]
+    r = ranked(e, order, ["user_id"], row_number="rn", running=[("sum", "value", "_rs")])
+    s = shifted(r.drop("value"), order, ["user_id"], [(["event_id"], 1, "prev_"), (["event_type"], -1, "next_")])
+    return s.select("user_id", "event_id", "rn", F.col("prev_event_id").alias("prev_id"), "next_event_type", F.round("_rs", 6).alias("running_value"))
+
+
+@register("W20_null_group_aggregates", f"""
+WITH {_NULL_USERS}
+SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id), 6) AS user_avg, max(value) OVER (PARTITION BY user_id) AS max_v,
+       first_value(event_type) OVER w AS first_type,
+       round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS moving_avg_7
+FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+""")
+def w20(t: Tables):
+    """Partition aggregates and moving averages where events without a user are one group."""
+    e = _null_users(t)
+    agg = e.groupBy("user_id").agg(F.avg("value").alias("_avg"), F.max("value").alias("max_v"),
+                                   F.min_by("event_type", F.struct("ts", "event_id")).alias("first_type"))
+    m = moving_frame(e, [F.col("ts"), F.col("event_id")], ["user_id"], "value", -6, 0, ["event_id"], "_ma")
+    return null_safe_join(m, agg, ["user_id"]).select("user_id", "event_id", F.round("_avg", 6).alias("user_avg"), "max_v", "first_type",
+                                                      F.round("_ma", 6).alias("moving_avg_7"))
+
+
+@register("W21_null_group_quantiles", f"""
+WITH {_NULL_USERS}
+SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.9), 6) AS p90_value FROM ev GROUP BY user_id
+""")
+def w21(t: Tables):
+    """Exact quantiles per user, events without a user being a group."""
+    q = exact_quantiles(_null_users(t), "value", [0.5, 0.9], ["user_id"], ["m", "p"])
+    return q.select("user_id", F.round("m", 6).alias("median_value"), F.round("p", 6).alias("p90_value"))

@@ -28,5 +28,6 @@ def write_month_layout(df: DataFrame, path: str, ts: str, sort_cols: list[str])
     month, rows clustered by month and sorted inside each file, so a month
     filter prunes folders and the sort keys give tight parquet min/max stats."""
     d = df.withColumn("ym", F.date_format(ts, "yyyyMM").cast("int"))
-    (d.repartition("ym").sortWithinPartitions("ym", *sort_cols)
+    # range partitions over month and sort keys: a large month spans several tasks and files
+    (d.repartitionByRange("ym", *sort_cols).sortWithinPartitions("ym", *sort_cols)
      .write.mode("overwrite").partitionBy("ym").parquet(path))
