@@ -268,6 +268,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 10
     pairs = (left.join(right, "g").where((F.col("comp") != F.col("c2")) & ((F.col("c2") == F.col("heavy")) | (F.col("doc_id") < F.col("d2"))))
              .where(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (den + num) >= need)
              .select(F.least("doc_id", "d2").alias("a"), F.greatest("doc_id", "d2").alias("b")).distinct())
+    # overlap of the two prefixes, the first fragment of a pair: at most the rest
+    # of the longer set can come on top, so most pairs end here
+    heads = shared.groupBy("doc_id").agg(F.collect_set("g").alias("head"), F.max("n").alias("n"))  # at most a prefix each
+    both = (pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("head").alias("ha"), F.col("n").alias("na")), "a")
+            .join(heads.select(F.col("doc_id").alias("b"), F.col("head").alias("hb"), F.col("n").alias("nb")), "b"))
+    rest = F.floor((F.greatest("na", "nb") * num + den - 1) / den) - 1
+    pairs = both.where((F.size(F.array_intersect("ha", "hb")) + rest) * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
     more = _verified(pairs, src, n, num, den, fragments, spark, "ngram-pairs")
     final = connected_components(links.unionByName(more))
 
