@@ -4,26 +4,74 @@ Both kinds of vocabulary file cut a text at white space before merging, so a
 text's ids are the ids of its space-separated pieces in order.  Pieces repeat
 far more than texts do; each task encodes a piece once with the tokenizers
 library and reuses its ids.  Texts whose cut is not independent of the
-neighbours (a space between white space) are encoded whole.
+neighbours (a space between white space) are encoded whole.  A new piece is
+cut once more, into letter runs and what lies between them, where that is
+independent too; of these parts only the unseen ones reach the tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
-#: pieces kept per worker process (about 200 bytes each)
-CACHE_PIECES = 700_000
+#: pieces, and parts of pieces, in a generation of a worker's cache; two generations are kept (about 200 bytes an entry)
+CACHE_PIECES = 500_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: white space after the first character, or nothing but white space
 _INNER_SPACE = re.compile(r".\s|^\s*$", re.S)
 _ZERO = re.compile("0")
+# Parts of a piece: letter runs (with a leading space) and what lies between.
+# Both kinds of vocabulary cut there, if a piece has ASCII and Latin-1 letters
+# only, no apostrophe (contractions) and no two white-space characters in a row.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"(?!.*\s\s)[\x00-\x26\x28-\x7F{_LETTER}]+", re.S)
+_RUN = re.compile(rf" ?[{_LETTER}]+")
+_PARTS = re.compile(rf" ?[{_LETTER}]+|[^{_LETTER}]+(?<! )| ")
 _ENCODERS: dict = {}
 
 
+class Generations:
+    """Bounded cache that forgets what has not been used for a whole generation."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys without a value; the others are in ``now`` afterwards."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        out = []
+        for k in keys:
+            if k not in self.now:
+                v = self.before.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self.now[k] = v
+        return out
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies:
+    printable Latin-1 bytes for themselves, the others from U+0100 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+def little(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit bytes of ids."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceEncoder:
     """Little-endian uint32 ids of texts, as bytes.
 
@@ -39,7 +87,17 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = bool(self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids)
         self.width = (self.tok.get_vocab_size() - 1).bit_length()
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.parts = Generations(CACHE_PIECES), Generations(CACHE_PIECES)
+        # the merge model alone, if it gives what the whole tokenizer gives for words
+        self.characters = dict(enumerate(byte_characters()))
+        self.blank = self.characters[32]
+        self.merges = None
+        merges = self.tok.model.tokenize
+        probe = ["the", " the", "éüñß", " Straße", "qzxkw"]
+        probe = [x if self.spaced else x.strip().lower() for x in probe]
+        if [[t.id for t in merges(x.encode().decode("latin-1").translate(self.characters))] for x in probe] == [
+                self.tok.encode(x, add_special_tokens=False).ids for x in probe]:
+            self.merges = merges
         # a mark between pieces, whose one id no simple piece can contain
         self.mark, self.simple = ("\n", _INNER_SPACE) if self.spaced else (" 0 ", _ZERO)
         found = self.tok.encode("a" + self.mark + "a", add_special_tokens=False).ids
@@ -49,7 +107,31 @@ class PieceEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many pieces by one call per group of simple ones."""
+        """Ids of many different pieces: their parts are encoded once each."""
+        lead = 1 if self.spaced else 0
+        cut = []
+        for p in pieces:
+            if not self.spaced:
+                p = p.lower() if _PLAIN.fullmatch(p) else p
+            if p.isascii() and (p[lead:] if p[:1] == " " else p).isalpha():
+                cut.append((p,))
+            else:
+                cut.append(_PARTS.findall(p) if _PLAIN.fullmatch(p) else (p,))
+        new = self.parts.missing(set().union(*cut))
+        parts = self.parts.now
+        rest = []
+        for x in new:
+            if self.merges and _RUN.fullmatch(x):  # one word for the merge model, nothing to cut or normalise any more
+                word = x.replace(" ", self.blank) if x.isascii() else x.encode().decode("latin-1").translate(self.characters)
+                parts[x] = little([t.id for t in self.merges(word)])
+            else:
+                rest.append(x)
+        parts.update(zip(rest, self.marked(rest)))
+        get = parts.__getitem__
+        return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+
+    def marked(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces or parts, by one call per group of simple ones."""
         out: dict[str, bytes] = {}
         simple = [p for p in pieces if not self.simple.search(p)] if self.mark_id is not None else []
         for i in range(0, len(simple), 4096):
@@ -69,22 +151,21 @@ class PieceEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            if not self.spaced:
-                pieces.append(t.split())
-            elif _UNSAFE.search(t):
-                pieces.append(None)
-            else:
-                p = t.split(" ")
-                pieces.append([p[0], *[" " + x for x in p[1:]]])
-        missing = list({x for p in pieces if p for x in p if x not in cache})
-        cache.update(zip(missing, self.pieces(missing)))
+        # byte-level: a key stands for the piece with a space before it; the first piece of a text has none
+        cut = [t.split(" ") if self.spaced else t.split() for t in texts]
+        whole = {i for i, t in enumerate(texts) if self.spaced and _UNSAFE.search(t)}
+        first = [b""] * len(texts)
+        if self.spaced:
+            heads = sorted({c[0] for i, c in enumerate(cut) if i not in whole and c[0]})
+            ids = dict(zip(heads, self.pieces(heads)))
+            first = [ids.get(c.pop(0), b"") if i not in whole else b"" for i, c in enumerate(cut)]
+        for i in whole:
+            first[i], cut[i] = self.whole([texts[i]])[0], []
+        missing = self.cache.missing(set().union(*cut))
+        cache = self.cache.now
+        cache.update(zip(missing, self.pieces([" " + x for x in missing] if self.spaced else missing)))
         get = cache.__getitem__
-        return [self.whole([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
+        return [f + b"".join(map(get, c)) for f, c in zip(first, cut)]
 
 
 def encoder(path: str) -> PieceEncoder:
