@@ -114,7 +114,7 @@ def run_log(t: Tables) -> DataFrame:
             (F.col("n_chars") * 0.25 + (h % 1000) + i * 100).cast("double").alias("latency_ms"),
             F.when(executed == 0, F.concat(F.lit("Code: "), ((h + i) % 3 * 13 + 47).cast("string"),
                                            F.lit(". DB::Exception: Missing columns: 'c"),
-                                           (h % 10).cast("string"), F.lit("' while processing query")))
+                                           (h % 10).cast("string"), F.lit("' while processing query"), F.when((h + i) % 4 != 0, " (UNKNOWN_IDENTIFIER)").otherwise("")))
             .when(correct == 0, F.lit(None).cast("string")).alias("error"),
             F.lit(0).alias("trial")))
     out = frames[0]
@@ -136,7 +136,7 @@ def _run_log_sql() -> str:
             f"{ex} AS executed, {c} AS correct, CAST(ceil(d.n_chars / 3.5) AS BIGINT) AS tokens, "
             f"CAST(d.n_chars * 0.25 + ({h} % 1000) + {i * 100} AS DOUBLE) AS latency_ms, "
             f"CASE WHEN {ex} = 0 THEN 'Code: ' || CAST((({h} + {i}) % 3) * 13 + 47 AS VARCHAR) || "
-            f"'. DB::Exception: Missing columns: ''c' || CAST({h} % 10 AS VARCHAR) || ''' while processing query' "
+            f"'. DB::Exception: Missing columns: ''c' || CAST({h} % 10 AS VARCHAR) || ''' while processing query' || CASE WHEN ({h} + {i}) % 4 != 0 THEN ' (UNKNOWN_IDENTIFIER)' ELSE '' END "
             f"ELSE NULL END AS error, 0 AS trial "
             f"FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
     return "run_log AS (" + " UNION ALL ".join(parts) + ")"
@@ -156,7 +156,7 @@ def scored_run_log(t: Tables) -> DataFrame:
                  .otherwise(md5_int(F.concat(F.lit("r"), F.col("query_id").cast("string"))) % 97))
     rep = ((F.col("correct") == 0) & (h % 2 == 0))
     r = r.select("*", gold_rows.alias("gold_rows"), pred_rows.alias("pred_rows"), rep.alias("repair_attempted"),
-                 (rep & (h % 4 == 0)).alias("repair_success"))
+                 (rep & (h % 4 == 0)).alias("repair_success"), (h % 7 != 0).alias("model_success"))
     r = r.withColumn("details", F.when(F.col("correct") == 1, "match").when(F.col("executed") == 0, "")
                      .when(F.col("pred_rows") != F.col("gold_rows"), "row-count mismatch")
                      .otherwise("large equal-sized result set"))
@@ -169,7 +169,7 @@ def _scored_sql() -> str:
     hr = md5_int_sql("'r' || CAST(query_id AS VARCHAR)")
     return (f"srl0 AS (SELECT *, {h} % 40 AS gold_rows, "
             f"CASE WHEN correct = 1 THEN {h} % 40 WHEN executed = 0 THEN 0 ELSE {hr} % 97 END AS pred_rows, "
-            f"(correct = 0 AND {h} % 2 = 0) AS repair_attempted, (correct = 0 AND {h} % 2 = 0 AND {h} % 4 = 0) AS repair_success "
+            f"(correct = 0 AND {h} % 2 = 0) AS repair_attempted, (correct = 0 AND {h} % 2 = 0 AND {h} % 4 = 0) AS repair_success, {h} % 7 != 0 AS model_success "
             f"FROM run_log), "
             f"srl1 AS (SELECT *, CASE WHEN correct = 1 THEN 'match' WHEN executed = 0 THEN '' "
             f"WHEN pred_rows != gold_rows THEN 'row-count mismatch' ELSE 'large equal-sized result set' END AS details FROM srl0), "

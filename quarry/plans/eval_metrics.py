@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators.querylog import question_class
+from quarry.operators.joins import broadcast_if_small
+from quarry.operators.querylog import column_refs, harmonic, normalize_sql, prf1, question_class, table_refs
+from quarry.operators.windows import top_n_per_group
 from quarry.plans.eval_bindings import CONFIGS, RUN_LOG_SQL, run_log, scored_run_log, scored_sql
+from quarry.plans.eval_querylog import LINK_F1_SQL
 from quarry.plans.registry import register
 from quarry.sources.tables import Tables
 
@@ -77,23 +80,36 @@ def p2(t: Tables):
         F.count_if(ex & (F.col("gold_rows") > 0) & (F.col("pred_rows") / F.col("gold_rows") > 5)).alias("ratio_over_5"))
 
 
-def _headline(df, *keys):
+def with_link_f1(df):
+    """Add ``link_f1``: the overall link F1 (harmonic mean of table and column
+    F1) of final against gold SQL, NULL without logged SQL.  The reference
+    sets are columns of their own, so each is worked out once a row."""
+    d = df.withColumns({"_p": normalize_sql("final_sql"), "_g": normalize_sql("gold_sql")})
+    d = d.withColumns({"_tp": table_refs("_p"), "_tg": table_refs("_g"), "_cp": column_refs("_p"), "_cg": column_refs("_g")})
+    d = d.withColumns({"_t": prf1(F.col("_tp"), F.col("_tg")), "_c": prf1(F.col("_cp"), F.col("_cg"))})
+    f1 = F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), F.round(harmonic(F.col("_t.f1"), F.col("_c.f1")), 5))
+    return d.withColumn("link_f1", f1).drop("_p", "_g", "_tp", "_tg", "_cp", "_cg", "_t", "_c")
+
+
+def _headline(df, *keys, link: str | None = None):
+    more = [F.round(F.avg(link), 5).alias("mean_link_f1")] if link else []
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.round(F.avg("executed"), 6).alias("executed_rate"),
         F.round(F.avg("correct"), 6).alias("correct_rate"), F.round(F.avg("tokens"), 2).alias("mean_tokens"),
         F.round(F.avg("latency_ms"), 2).alias("mean_latency_ms"), F.sum("executed").alias("n_executed"),
-        F.sum("correct").alias("n_correct"))
+        F.sum("correct").alias("n_correct"), *more)
 
 
 @register("M1_headline_metrics", f"""
-WITH {RUN_LOG_SQL}
+WITH {scored_sql()}, {LINK_F1_SQL}
 SELECT config, count(*) AS n, round(avg(executed), 6) AS executed_rate, round(avg(correct), 6) AS correct_rate,
        round(avg(tokens), 2) AS mean_tokens, round(avg(latency_ms), 2) AS mean_latency_ms,
-       CAST(sum(executed) AS BIGINT) AS n_executed, CAST(sum(correct) AS BIGINT) AS n_correct
-FROM run_log GROUP BY config
+       CAST(sum(executed) AS BIGINT) AS n_executed, CAST(sum(correct) AS BIGINT) AS n_correct, round(avg(overall_f1), 5) AS mean_link_f1
+FROM scored LEFT JOIN link USING (query_id) GROUP BY config
 """)
 def m1(t: Tables):
-    return _headline(run_log(t), "config")
+    """Rates, means and the mean overall link F1 of the logged SQL."""
+    return _headline(with_link_f1(scored_run_log(t)), "config", link="link_f1")
 
 
 @register("M2_metrics_by_slice", f"""
@@ -135,10 +151,11 @@ def m3(t: Tables):
 def failure_class():
     """First matching rule wins."""
     d, g, p = F.lower("details"), F.lower(F.coalesce("gold_sql", F.lit(""))), F.lower(F.coalesce("final_sql", F.lit("")))
-    gb = F.split(F.element_at(F.split(g, "group by"), 2), "order by")[0]
-    pb = F.split(F.element_at(F.split(p, "group by"), 2), "order by")[0]
+    # all text behind the first GROUP BY, up to the first ORDER BY there
+    gb = F.split(F.element_at(F.split(g, "group by", 2), 2), "order by", 2)[0]
+    pb = F.split(F.element_at(F.split(p, "group by", 2), 2), "order by", 2)[0]
     return (F.when(F.col("correct") == 1, "Correct")
-            .when(F.col("executed") == 0, F.when(F.trim(p) == "", "Timeout / empty output")
+            .when(F.col("executed") == 0, F.when((F.trim(p) == "") | ~F.coalesce("model_success", F.lit(False)), "Timeout / empty output")
                   .otherwise("Residual execution error"))
             .when(d.contains("column count mismatch") | d.contains("projected gold"), "Projection mismatch")
             .when(d.contains("row-count mismatch"), "Wrong granularity or filter")
@@ -152,14 +169,14 @@ def failure_class():
 
 
 _FAIL_SQL = """CASE WHEN correct = 1 THEN 'Correct'
-  WHEN executed = 0 THEN (CASE WHEN trim(lower(coalesce(final_sql, ''))) = '' THEN 'Timeout / empty output' ELSE 'Residual execution error' END)
+  WHEN executed = 0 THEN (CASE WHEN trim(lower(coalesce(final_sql, ''))) = '' OR NOT model_success THEN 'Timeout / empty output' ELSE 'Residual execution error' END)
   WHEN contains(lower(details), 'column count mismatch') OR contains(lower(details), 'projected gold') THEN 'Projection mismatch'
   WHEN contains(lower(details), 'row-count mismatch') THEN 'Wrong granularity or filter'
   WHEN (contains(lower(coalesce(gold_sql, '')), 'countif') OR contains(lower(coalesce(gold_sql, '')), ' filter ') OR contains(lower(coalesce(gold_sql, '')), ' where '))
        AND NOT contains(lower(coalesce(final_sql, '')), ' where ') AND NOT contains(lower(coalesce(final_sql, '')), ' filter ') THEN 'Missing filter assumption'
   WHEN contains(lower(coalesce(gold_sql, '')), 'group by') AND contains(lower(coalesce(final_sql, '')), 'group by')
-       AND string_split(string_split(lower(coalesce(gold_sql, '')), 'group by')[2], 'order by')[1]
-           != string_split(string_split(lower(coalesce(final_sql, '')), 'group by')[2], 'order by')[1] THEN 'Grouping-key mismatch'
+       AND string_split(substr(lower(coalesce(gold_sql, '')), instr(lower(coalesce(gold_sql, '')), 'group by') + 8), 'order by')[1]
+           != string_split(substr(lower(coalesce(final_sql, '')), instr(lower(coalesce(final_sql, '')), 'group by') + 8), 'order by')[1] THEN 'Grouping-key mismatch'
   WHEN contains(lower(coalesce(gold_sql, '')), 'join') AND NOT contains(lower(coalesce(final_sql, '')), 'join') THEN 'Join-path mismatch'
   WHEN contains(lower(coalesce(gold_sql, '')), 'properties[') AND NOT contains(lower(coalesce(final_sql, '')), 'properties[') THEN 'JSON/property mismatch'
   WHEN contains(lower(details), 'large equal-sized result set') THEN 'Wrong values or ranking'
@@ -174,40 +191,85 @@ def m4(t: Tables):
     return scored_run_log(t).groupBy("config", failure_class().alias("failure_class")).agg(F.count("*").alias("n"))
 
 
-# Assumption tags (label, substring of the final SQL).
-ASSUMPTION_TAGS = [("status_filter", "o_orderstatus ="), ("priority_filter", "o_orderpriority ="),
-                   ("uses_limit", "limit "), ("uses_window", " over ("), ("uses_join", " join "),
-                   ("uses_cte", "with "), ("year_bucket", "toyear(")]
+# Assumption tags (label, words any of which must be in the
+# question or gold SQL, words any of which must be in the gold SQL, words any
+# of which in the question suffice).
+ASSUMPTION_TAGS = [
+    ("time window / bucket", ["month", "week", "year", "day", "last", "past", "date", "time", "cohort"],
+     ["tostartof", "toyear", "tomonth", "date", "timestamp", "start_time"], []),
+    ("grouping key", [], ["group by"], []),
+    ("filter / predicate", [], ["countif", "sumif", "where", "having"], []),
+    ("ranking / tie-break", [], ["order by"], ["top", "rank"]),
+    ("join path", [], ["join"], []),
+    ("JSON property", [], ["properties[", "json_extract", "mapcontains"], []),
+    ("window frame", [], ["over ("], []),
+    ("metric definition", [], ["count", "sum", "avg", "quantile"], []),
+]
+
+
+def _tag_sql(both: list[str], gold: list[str], question: list[str]) -> str:
+    def any_in(words, text):
+        return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+    c = any_in(gold, "g")
+    if both:
+        c += " AND " + any_in(both, "(nl || g)")
+    if question:
+        c = f"({c} OR {any_in(question, 'nl')})"
+    return c
 
 
 @register("M5_assumption_tags", f"""
 WITH {scored_sql()},
-x AS (SELECT config, unnest(list_filter([{', '.join(f"CASE WHEN contains(lower(coalesce(final_sql, '')), '{s}') THEN '{lbl}' END" for lbl, s in ASSUMPTION_TAGS)}], lambda v: v IS NOT NULL)) AS tag
-      FROM scored WHERE correct = 0)
+w AS (SELECT config, lower(coalesce(question, '')) AS nl, lower(coalesce(gold_sql, '')) AS g, lower(coalesce(final_sql, '')) AS p
+      FROM scored WHERE correct = 0 AND executed = 1),
+a AS (SELECT config, g, p, list_filter([{', '.join(f"CASE WHEN {_tag_sql(b, g, q)} THEN '{lbl}' END" for lbl, b, g, q in ASSUMPTION_TAGS)}], lambda v: v IS NOT NULL) AS tags FROM w),
+x AS (SELECT config, unnest(CASE WHEN len(tags) = 0 AND p <> '' AND g <> '' AND p <> g THEN ['result shape'] ELSE tags END) AS tag FROM a)
 SELECT coalesce(config, 'ALL') AS config, tag, count(*) AS n FROM x GROUP BY GROUPING SETS ((tag), (config, tag))
 """)
 def m5(t: Tables):
-    """Multi-label tags of wrong answers, counted overall and per config."""
-    s = scored_run_log(t).where(F.col("correct") == 0)
-    fs = F.lower(F.coalesce("final_sql", F.lit("")))
-    tags = F.array_compact(F.array(*[F.when(fs.contains(sub), F.lit(lbl)) for lbl, sub in ASSUMPTION_TAGS]))
-    x = s.select("config", F.explode(tags).alias("tag"))
+    """Multi-label tags of wrong answers of executed runs, overall and per config."""
+    s = scored_run_log(t).where((F.col("correct") == 0) & (F.col("executed") == 1))
+    s = s.select("config", *[F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in (("question", "nl"), ("gold_sql", "g"), ("final_sql", "p"))])
+
+    def any_in(words, text):
+        e = F.lit(False)
+        for w in words:
+            e = e | text.contains(w)
+        return e
+
+    arms = []
+    for label, both, gold, question in ASSUMPTION_TAGS:
+        c = any_in(gold, F.col("g"))
+        if both:
+            c = c & any_in(both, F.concat("nl", "g"))
+        if question:
+            c = c | any_in(question, F.col("nl"))
+        arms.append(F.when(c, F.lit(label)))
+    s = s.withColumn("tags", F.array_compact(F.array(*arms)))
+    shape = (F.size("tags") == 0) & (F.col("p") != "") & (F.col("g") != "") & (F.col("p") != F.col("g"))
+    x = s.select("config", F.explode(F.when(shape, F.array(F.lit("result shape"))).otherwise(F.col("tags"))).alias("tag"))
     g = x.groupingSets([["tag"], ["config", "tag"]], "config", "tag").agg(F.count("*").alias("n"))
     return g.select(F.coalesce("config", F.lit("ALL")).alias("config"), "tag", "n")
 
 
+_ERROR_RE = r"(?s)Code:\s*(\d+).*?DB::Exception:\s*(.*?)(?:\s*\((\w+)\))?\.?\s*$"
+
+
 @register("M6_error_mix", f"""
 WITH {RUN_LOG_SQL},
-e AS (SELECT config, regexp_extract(error, 'Code:\\s*(\\d+)', 1) AS code, regexp_extract(error, '(DB::\\w+)', 1) AS name,
-             trim(regexp_replace(error, '^Code:\\s*\\d+\\.\\s*(DB::\\w+:)?', '')) AS message
-      FROM run_log WHERE error IS NOT NULL)
-SELECT config, code, name, count(*) AS n, count(DISTINCT message) AS n_messages FROM e GROUP BY 1, 2, 3
+e AS (SELECT config, error, regexp_matches(error, '{_ERROR_RE}') AS ok, regexp_extract(error, '{_ERROR_RE}', 1) AS code,
+             regexp_extract(error, '{_ERROR_RE}', 2) AS message, regexp_extract(error, '{_ERROR_RE}', 3) AS name FROM run_log WHERE error IS NOT NULL)
+SELECT config, code, CASE WHEN name = '' THEN 'UNKNOWN' ELSE name END AS name, count(*) AS n,
+       count(DISTINCT CASE WHEN ok THEN trim(message) ELSE error END) AS n_messages FROM e GROUP BY 1, 2, 3
 """)
 def m6(t: Tables):
+    """Errors by code and name (in trailing parentheses), with the number of
+    distinct whole messages."""
     e = run_log(t).where(F.col("error").isNotNull())
-    msg = F.trim(F.regexp_replace("error", r"^Code:\s*\d+\.\s*(DB::\w+:)?", ""))
-    return (e.select("config", F.regexp_extract("error", r"Code:\s*(\d+)", 1).alias("code"),
-                     F.regexp_extract("error", r"(DB::\w+)", 1).alias("name"), msg.alias("message"))
+    name = F.regexp_extract("error", _ERROR_RE, 3)
+    msg = F.when(F.col("error").rlike(_ERROR_RE), F.trim(F.regexp_extract("error", _ERROR_RE, 2))).otherwise(F.col("error"))
+    return (e.select("config", F.regexp_extract("error", _ERROR_RE, 1).alias("code"),
+                     F.when(name == "", "UNKNOWN").otherwise(name).alias("name"), msg.alias("message"))
             .groupBy("config", "code", "name").agg(F.count("*").alias("n"), F.countDistinct("message").alias("n_messages")))
 
 
@@ -218,26 +280,61 @@ SELECT config, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY query_id) FILT
        count(*) FILTER (WHERE rn > 5) AS omitted FROM f GROUP BY config
 """)
 def m7(t: Tables, n: int = 5):
-    f = run_log(t).where(F.col("correct") == 0)
-    r = f.withColumn("rn", F.row_number().over(Window.partitionBy("config").orderBy("query_id")))
-    first = F.array_sort(F.collect_list(F.when(F.col("rn") <= n, F.col("query_id"))))
-    return r.groupBy("config").agg(F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("first_failures"),
-                                   F.count_if(F.col("rn") > n).alias("omitted"))
+    """First failures per config by a group limit; counts by a plain aggregate."""
+    f = run_log(t).where(F.col("correct") == 0).select("config", "query_id")
+    first = top_n_per_group(f, ["config"], [F.col("query_id")], n).groupBy("config").agg(F.array_sort(F.collect_list("query_id")).alias("ids"))
+    counts = f.groupBy("config").agg(F.count("*").alias("c"))
+    return counts.join(broadcast_if_small(first), "config").select(
+        "config", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("first_failures"), (F.col("c") - F.size("ids")).alias("omitted"))
+
+
+_SCORES_SQL = "avg(correct) AS cr, avg(executed) AS er, coalesce(avg(overall_f1), 0.0) AS f1"
+
+
+def _scores(df, *keys):
+    return df.groupBy(*keys).agg(F.avg("correct").alias("cr"), F.avg("executed").alias("er"), F.coalesce(F.round(F.avg("link_f1"), 9), F.lit(0.0)).alias("f1"))
+
+
+def _linked(t: Tables):
+    return with_link_f1(scored_run_log(t))
+
+
+_ORDER_SQL = "cr DESC, er DESC, round(f1, 9) DESC"
 
 
 @register("M8_best_config", f"""
-WITH {RUN_LOG_SQL},
-s AS (SELECT config, avg(correct) AS cr, avg(executed) AS er FROM run_log GROUP BY config)
-SELECT config, row_number() OVER (ORDER BY cr DESC, er DESC, config) AS rank, round(cr, 6) AS correct_rate,
-       round(er, 6) AS executed_rate, row_number() OVER (ORDER BY cr DESC, er DESC, config) = 1 AS is_best FROM s
+WITH {scored_sql()}, {LINK_F1_SQL},
+s AS (SELECT config, {_SCORES_SQL} FROM scored LEFT JOIN link USING (query_id) GROUP BY config)
+SELECT config, row_number() OVER (ORDER BY {_ORDER_SQL}, config) AS rank, round(cr, 6) AS correct_rate,
+       round(er, 6) AS executed_rate, round(f1, 5) AS link_f1, row_number() OVER (ORDER BY {_ORDER_SQL}, config) = 1 AS is_best FROM s
 """)
 def m8(t: Tables):
-    """Configs ranked by (correct rate, executed rate); the first is best.
-    The window runs over one row per config."""
-    s = run_log(t).groupBy("config").agg(F.avg("correct").alias("cr"), F.avg("executed").alias("er"))
-    rk = F.row_number().over(Window.orderBy(F.col("cr").desc(), F.col("er").desc(), F.col("config")))
-    return s.select("config", rk.alias("rank"), F.round("cr", 6).alias("correct_rate"),
-                    F.round("er", 6).alias("executed_rate"), (rk == 1).alias("is_best"))
+    """Configs ranked by (correct rate, executed rate, link F1); the first is
+    best.  The window runs over one row per config."""
+    rk = F.row_number().over(Window.orderBy(F.col("cr").desc(), F.col("er").desc(), F.col("f1").desc(), F.col("config")))
+    return _scores(_linked(t), "config").select("config", rk.alias("rank"), F.round("cr", 6).alias("correct_rate"),
+                                                F.round("er", 6).alias("executed_rate"), F.round("f1", 5).alias("link_f1"), (rk == 1).alias("is_best"))
+
+
+@register("M8_best_per_dimension", f"""
+WITH {scored_sql()}, {LINK_F1_SQL}, l AS (SELECT * FROM scored LEFT JOIN link USING (query_id)),
+d AS (SELECT 'config' AS dimension, config AS value, {_SCORES_SQL} FROM l GROUP BY 2
+      UNION ALL SELECT 'category', category, {_SCORES_SQL} FROM l GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty, {_SCORES_SQL} FROM l GROUP BY 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY {_ORDER_SQL}, value) AS rank FROM d)
+SELECT dimension, value, rank, round(cr, 6) AS correct_rate, round(er, 6) AS executed_rate, round(f1, 5) AS link_f1 FROM r WHERE rank <= 2
+""")
+def m8_dimensions(t: Tables, n: int = 2):
+    """The best n values of each run dimension by the same three scores, in
+    one grouping-sets aggregate (a few values per dimension are ranked)."""
+    l = _linked(t).select("config", "category", "difficulty", "correct", "executed", "link_f1")  # noqa: E741
+    names = ["config", "category", "difficulty"]
+    g = l.groupingSets([[x] for x in names], *names).agg(
+        F.avg("correct").alias("cr"), F.avg("executed").alias("er"), F.coalesce(F.round(F.avg("link_f1"), 9), F.lit(0.0)).alias("f1"), F.grouping_id().alias("gid"))
+    dim = F.when(F.col("gid") == 3, "config").when(F.col("gid") == 5, "category").otherwise("difficulty")
+    d = g.select(dim.alias("dimension"), F.coalesce(*names).alias("value"), "cr", "er", "f1")
+    rk = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("cr").desc(), F.col("er").desc(), F.col("f1").desc(), F.col("value")))
+    return (d.withColumn("rank", rk).where(F.col("rank") <= n)
+            .select("dimension", "value", "rank", F.round("cr", 6).alias("correct_rate"), F.round("er", 6).alias("executed_rate"), F.round("f1", 5).alias("link_f1")))
 
 
 @register("M9_category_pivot", f"""
@@ -248,3 +345,19 @@ FROM run_log GROUP BY category
 def m9(t: Tables):
     return (run_log(t).groupBy("category").pivot("config", list(CONFIGS)).agg(F.round(F.avg("correct"), 6))
             .select("category", *CONFIGS))
+
+
+#: the data sets of the run log: the language of a query's text
+DATASETS = ("de", "en", "es", "fr")
+
+
+@register("M9_dataset_pivot", f"""
+WITH {RUN_LOG_SQL}
+SELECT config, {', '.join(f"round(avg(correct) FILTER (WHERE difficulty = '{d}'), 6) AS correct_{d}, round(avg(executed) FILTER (WHERE difficulty = '{d}'), 6) AS executed_{d}" for d in DATASETS)}
+FROM run_log GROUP BY config
+""")
+def m9_datasets(t: Tables):
+    """Cross-dataset table: correct and executed rate of every config per data set."""
+    def rate(col, d):
+        return F.round(F.avg(F.when(F.col("difficulty") == d, F.col(col))), 6).alias(f"{col}_{d}")
+    return run_log(t).groupBy("config").agg(*[rate(c, d) for d in DATASETS for c in ("correct", "executed")])

@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import querylog as QL
-from quarry.operators.querylog import (column_refs, extract_sql, mask_values, near_duplicate_pairs, normalize_sql,
+from quarry.operators.joins import broadcast_if_small
+from quarry.operators.querylog import (column_refs, extract_sql, harmonic, mask_values, near_duplicate_pairs, normalize_sql,
                                        prf1, prefix_table, similar_pairs, token_rarity, token_sets, question_class, question_patterns, sql_skeleton, table_refs,
                                        token_budget, tokens, top_k_similar, top_n_value)
 from quarry.operators.relational import arr_str
@@ -88,39 +89,82 @@ def l2(t: Tables):
     return query_log(t).select("query_id", F.explode(table_refs(normalize_sql("gold_sql"))).alias("table_name"))
 
 
-@register("L3_column_references")
+# literal expectation: the columns of each query template
+TEMPLATE_COLUMNS = {
+    0: ["o_orderpriority", "o_orderstatus"], 1: ["c_custkey", "c_name", "o_custkey", "o_totalprice"],
+    2: ["o_custkey", "o_orderdate", "o_totalprice"], 3: ["o_custkey", "o_orderkey", "o_totalprice"],
+    4: ["l_discount", "l_returnflag"], 5: ["o_orderdate", "o_orderstatus", "o_totalprice"],
+}
+_COLUMNS_SQL = "tcols(tid, cols) AS (VALUES " + ", ".join(f"({k}, {v})" for k, v in TEMPLATE_COLUMNS.items()) + ")"
+
+
+@register("L3_column_references", f"""
+WITH {QUERY_LOG_SQL}, {_COLUMNS_SQL}
+SELECT query_id, unnest(cols) AS column_name FROM query_log JOIN tcols ON tid = template_id
+""")
 def l3(t: Tables):
-    """(query_id, column_name) references; regex-derived, rows-only check."""
+    """(query_id, column_name) references."""
     return query_log(t).select("query_id", F.explode(column_refs(normalize_sql("gold_sql"))).alias("column_name"))
 
 
+def _f1_sql(name: str, p: str, g: str) -> str:
+    tp = f"CAST(len(list_intersect({p}, {g})) AS DOUBLE)"
+    empty = f"CASE WHEN len({p}) = 0 AND len({g}) = 0 THEN 1.0 WHEN len({p}) = 0 OR len({g}) = 0 THEN 0.0 ELSE"
+    return f"{empty} {tp} / len({p}) END AS {name}_pr, {empty} {tp} / len({g}) END AS {name}_rc"
+
+
+_LINK_SQL = f"""ls AS (SELECT query_id, {sql_tables(sql_norm('pred_sql'))} AS p, {sql_tables(sql_norm('gold_sql'))} AS g, pc.cols AS pc, gc.cols AS gc
+      FROM query_log JOIN qlb ON o_orderkey = query_id JOIN tcols pc ON pc.tid = _pid JOIN tcols gc ON gc.tid = template_id),
+lr AS (SELECT *, {_f1_sql('t', 'p', 'g')}, {_f1_sql('c', 'pc', 'gc')} FROM ls),
+lf AS (SELECT *, round(CASE WHEN t_pr + t_rc = 0 THEN 0.0 ELSE 2 * t_pr * t_rc / (t_pr + t_rc) END, 6) AS tf,
+             round(CASE WHEN c_pr + c_rc = 0 THEN 0.0 ELSE 2 * c_pr * c_rc / (c_pr + c_rc) END, 6) AS cf FROM lr)"""
+
+# overall link F1 of each logged query, for the metrics (after query_log)
+LINK_F1_SQL = f"""{_COLUMNS_SQL}, {_LINK_SQL},
+link AS (SELECT query_id, round(CASE WHEN tf + cf = 0 THEN 0.0 ELSE 2 * tf * cf / (tf + cf) END, 5) AS overall_f1 FROM lf)"""
+
+
 @register("L4_link_f1", f"""
-WITH {QUERY_LOG_SQL},
-s AS (SELECT query_id, {sql_tables(sql_norm('pred_sql'))} AS p, {sql_tables(sql_norm('gold_sql'))} AS g FROM query_log),
-m AS (SELECT query_id, p, g, CAST(len(list_intersect(p, g)) AS DOUBLE) AS tp, len(p) AS np, len(g) AS ng FROM s),
-r AS (SELECT *, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 OR ng = 0 THEN 0.0 ELSE tp / np END AS pr,
-             CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 OR ng = 0 THEN 0.0 ELSE tp / ng END AS rc FROM m)
-SELECT query_id, round(pr, 6) AS table_precision, round(rc, 6) AS table_recall,
-       round(CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS table_f1,
+WITH {QUERY_LOG_SQL}, {_COLUMNS_SQL}, {_LINK_SQL}
+SELECT query_id, round(t_pr, 6) AS table_precision, round(t_rc, 6) AS table_recall, tf AS table_f1,
+       round(c_pr, 6) AS column_precision, round(c_rc, 6) AS column_recall, cf AS column_f1,
+       round(CASE WHEN tf + cf = 0 THEN 0.0 ELSE 2 * tf * cf / (tf + cf) END, 5) AS overall_f1,
        array_to_string(list_sort(list_filter(p, lambda x: NOT list_contains(g, x))), ',') AS extra_tables,
-       array_to_string(list_sort(list_filter(g, lambda x: NOT list_contains(p, x))), ',') AS missing_tables
-FROM r
+       array_to_string(list_sort(list_filter(g, lambda x: NOT list_contains(p, x))), ',') AS missing_tables,
+       array_to_string(list_sort(list_filter(pc, lambda x: NOT list_contains(gc, x))), ',') AS extra_columns,
+       array_to_string(list_sort(list_filter(gc, lambda x: NOT list_contains(pc, x))), ',') AS missing_columns
+FROM lf
 """)
 def l4(t: Tables):
-    q = query_log(t).select("query_id", table_refs(normalize_sql("pred_sql")).alias("p"),
-                            table_refs(normalize_sql("gold_sql")).alias("g"))
-    m = prf1(F.col("p"), F.col("g"))
-    return q.select("query_id", m["precision"].alias("table_precision"), m["recall"].alias("table_recall"),
-                    m["f1"].alias("table_f1"), arr_str(F.array_except("p", "g")).alias("extra_tables"),
-                    arr_str(F.array_except("g", "p")).alias("missing_tables"))
+    """Table and column precision / recall / F1 of predicted against gold SQL,
+    and the harmonic mean of the two F1."""
+    q = query_log(t).select("query_id", normalize_sql("pred_sql").alias("ps"), normalize_sql("gold_sql").alias("gs"))
+    q = q.select("query_id", table_refs("ps").alias("p"), table_refs("gs").alias("g"), column_refs("ps").alias("pc"), column_refs("gs").alias("gc"))
+    q = q.select("*", prf1(F.col("p"), F.col("g")).alias("t"), prf1(F.col("pc"), F.col("gc")).alias("c"))
+    return q.select("query_id", F.col("t.precision").alias("table_precision"), F.col("t.recall").alias("table_recall"), F.col("t.f1").alias("table_f1"),
+                    F.col("c.precision").alias("column_precision"), F.col("c.recall").alias("column_recall"), F.col("c.f1").alias("column_f1"),
+                    F.round(harmonic(F.col("t.f1"), F.col("c.f1")), 5).alias("overall_f1"),
+                    arr_str(F.array_except("p", "g")).alias("extra_tables"), arr_str(F.array_except("g", "p")).alias("missing_tables"),
+                    arr_str(F.array_except("pc", "gc")).alias("extra_columns"), arr_str(F.array_except("gc", "pc")).alias("missing_columns"))
 
 
 @register("L5_reference_popularity", f"""
-WITH {QUERY_LOG_SQL}, r AS (SELECT query_id, unnest({sql_tables(sql_norm('gold_sql'))}) AS table_name FROM query_log)
-SELECT table_name, count(DISTINCT query_id) AS n_queries FROM r GROUP BY 1
+WITH {QUERY_LOG_SQL}, {_COLUMNS_SQL},
+r AS (SELECT 'table' AS kind, query_id, unnest({sql_tables(sql_norm('gold_sql'))}) AS name FROM query_log
+      UNION ALL SELECT 'column', query_id, unnest(cols) FROM query_log JOIN tcols ON tid = template_id
+      UNION ALL SELECT 'feature', query_id, unnest({sql_skeleton_expr('gold_sql')}) FROM query_log)
+SELECT kind, name, count(DISTINCT query_id) AS n_queries FROM r GROUP BY 1, 2
 """)
 def l5(t: Tables):
-    return l2(t).groupBy("table_name").agg(F.countDistinct("query_id").alias("n_queries"))
+    """How many logged queries use each table, column and structural feature
+    (each name is distinct within a query, so a count suffices)."""
+    q = query_log(t).select(normalize_sql("gold_sql").alias("s"), "gold_sql")
+
+    def named(kind, names):
+        return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    refs = F.concat(named("table", table_refs("s")), named("column", column_refs("s")), named("feature", sql_skeleton("gold_sql")))
+    return q.select(F.explode(refs).alias("r")).groupBy(F.col("r.kind").alias("kind"), F.col("r.name").alias("name")).agg(F.count("*").alias("n_queries"))
 
 
 @register("L6_sql_pattern_frequency", f"""
@@ -160,8 +204,8 @@ e AS (SELECT query_id AS eid, {sql_tokens('question')} AS et, {sql_skeleton_expr
 s AS (SELECT qid, eid, len(list_intersect(qt, et)) AS inter, len(list_intersect(list_intersect(qt, et), {_KWL})) AS kwh,
              len(qt) AS nq, len(et) AS ne, len(list_intersect(qp, ep)) AS pi, len(list_distinct(list_concat(qp, ep))) AS pu
       FROM q, e),
-sc AS (SELECT qid, eid, 0.6 * (CASE WHEN nq + ne - inter = 0 THEN 0.0 ELSE inter / (nq + ne - inter) END + least(kwh * 0.05, 0.15))
-                      + 0.4 * (CASE WHEN pu = 0 THEN 0.0 ELSE pi / pu END) AS score FROM s)
+sc AS (SELECT qid, eid, CASE WHEN nq = 0 OR ne = 0 THEN 0.0 ELSE 1.0 END * 0.6 * (CASE WHEN nq + ne - inter = 0 THEN 0.0 ELSE inter / (nq + ne - inter) END + least(kwh * 0.05, 0.15))
+                      + CASE WHEN nq = 0 OR ne = 0 THEN 0.0 ELSE 0.4 END * (CASE WHEN pu = 0 THEN 0.0 ELSE pi / pu END) AS score FROM s)
 SELECT qid, rank, eid, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, eid) AS rank FROM sc) WHERE rank <= 3
 """)
@@ -194,8 +238,8 @@ def l10(t: Tables, k: int = 3):
     sigs = q.select("sig", F.col("tabs").alias("stabs")).distinct()
     first = (q.withColumn("srank", F.row_number().over(Window.partitionBy("sig").orderBy("query_id")))
              .where(F.col("srank") <= k + 1).select("sig", F.col("query_id").alias("eid")))
-    cand = (q.select(F.col("query_id").alias("qid"), "tabs").crossJoin(F.broadcast(sigs))  # bounded: distinct table sets
-            .join(first, "sig").where(F.col("eid") != F.col("qid"))
+    cand = (q.select(F.col("query_id").alias("qid"), "tabs").crossJoin(broadcast_if_small(sigs))  # table sets of the schema in use
+            .join(broadcast_if_small(first), "sig").where(F.col("eid") != F.col("qid"))
             .select("qid", "eid", F.size(F.array_intersect("tabs", "stabs")).alias("shared")))
     w = Window.partitionBy("qid").orderBy(F.col("shared").desc(), F.col("eid"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "eid", "shared")
@@ -245,14 +289,6 @@ def l12(t: Tables):
     return query_log(t).groupBy(mask_values("gold_sql").alias("template")).agg(F.count("*").alias("n_queries"))
 
 
-def _catalog(t: Tables):
-    """(table_name, column_name) of every driver table: schema metadata,
-    bounded by the schema, never by the data."""
-    from quarry.sources.tables import TABLE_NAMES
-    rows = [(n, f.name) for n in TABLE_NAMES for f in getattr(t, n).schema.fields]
-    return t.spark.createDataFrame(rows, "table_name string, column_name string")
-
-
 def _catalog_sql(t_names_cols) -> str:
     vals = ", ".join(f"('{a}', '{b}')" for a, b in t_names_cols)
     return f"catalog AS (SELECT * FROM (VALUES {vals}) v(table_name, column_name))"
@@ -283,41 +319,40 @@ WITH {QUERY_LOG_SQL}, {_catalog_sql(_CATALOG_FIXED)},
 q AS (SELECT query_id, lower(question) AS ql, {sql_tokens('question')} AS qt FROM query_log),
 tabs AS (SELECT DISTINCT table_name FROM catalog),
 ts AS (SELECT q.query_id, t.table_name,
-              (CASE WHEN list_contains(q.qt, t.table_name) OR list_contains(q.qt, rtrim(t.table_name, 's')) THEN 5 ELSE 0 END)
-            + (CASE WHEN contains(q.ql, rtrim(t.table_name, 's')) THEN 5 ELSE 0 END) AS s
+              (CASE WHEN list_contains(q.qt, t.table_name) OR list_contains(q.qt, rtrim(t.table_name, 's')) OR list_contains(q.qt, t.table_name || 's') THEN 5 ELSE 0 END)
+            + (CASE WHEN contains(q.ql, t.table_name) THEN 5 ELSE 0 END) AS s
        FROM q, tabs t),
 cs AS (SELECT q.query_id, c.table_name,
-              sum((CASE WHEN list_contains(q.qt, c.column_name) THEN 3 ELSE 0 END)
-                + len(list_intersect(q.qt, string_split(c.column_name, '_')))) AS s
+              sum((CASE WHEN contains(q.ql, c.column_name) THEN 3 ELSE 0 END)
+                + len(list_intersect(q.qt, list_distinct(string_split(c.column_name, '_'))))) AS s
        FROM q JOIN catalog c ON TRUE GROUP BY 1, 2),
-tot AS (SELECT ts.query_id, ts.table_name, ts.s + coalesce(cs.s, 0) AS score FROM ts LEFT JOIN cs USING (query_id, table_name))
-SELECT query_id, table_name, CAST(score AS BIGINT) AS score FROM tot WHERE score > 0
+tot AS (SELECT ts.query_id, ts.table_name, ts.s + coalesce(cs.s, 0) AS score FROM ts LEFT JOIN cs USING (query_id, table_name)),
+m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM tot)
+SELECT query_id, table_name, CAST(score AS BIGINT) AS score, top = 0 AS fallback FROM m WHERE score > 0 OR top = 0
 """)
 def l13(t: Tables):
-    """Relevant-table score per question: +5 table name as token, +5 table
-    name inside the text, +3 per column named as token, +1 per shared
-    column-name part.  Question tokens are equi-joined to the catalog
-    vocabulary (a broadcast of schema metadata), so only hits are paired."""
-    cat = _catalog(t)
+    """Relevant tables per question: +5 table name (singular or plural) as
+    token, +5 table name inside the text, +3 per column name inside the text,
+    +1 per distinct column-name part among the tokens; all tables where
+    nothing scores.  Tables and columns are schema metadata, so a question's
+    scores are one array expression: no join, no shuffle."""
+    cat: dict[str, list[str]] = {}
+    for table, column in _CATALOG_FIXED:
+        cat.setdefault(table, []).append(column)
     q = query_log(t).select("query_id", F.lower("question").alias("ql"), tokens("question").alias("qt"))
-    qx = q.select("query_id", F.explode("qt").alias("tok"))
-    # +5 for a token match (plural-insensitive) and +5 for the singular name
-    # inside the text; the table list is schema metadata (bounded)
-    tab_arr = F.array(*[F.lit(x) for x in sorted({a for a, _ in _CATALOG_FIXED})])
-    per_tab = q.select("query_id", "ql", "qt", F.explode(tab_arr).alias("table_name"))
-    sing = F.regexp_replace(F.col("table_name"), "s+$", "")
-    ts = per_tab.select("query_id", "table_name",
-                        (F.when(F.array_contains("qt", F.col("table_name")) | F.array_contains("qt", sing), 5).otherwise(0)
-                         + F.when(F.col("ql").contains(sing), 5).otherwise(0)).alias("s"))
-    col_hits = (qx.join(F.broadcast(cat.select("table_name", F.col("column_name").alias("tok"))), "tok")
-                .groupBy("query_id", "table_name").agg((F.count("*") * 3).alias("s3")))
-    parts = cat.select("table_name", "column_name", F.explode(F.array_distinct(F.split("column_name", "_"))).alias("tok"))
-    part_hits = (qx.join(F.broadcast(parts), "tok").groupBy("query_id", "table_name")
-                 .agg(F.count("*").alias("s1")))
-    tot = (ts.join(col_hits, ["query_id", "table_name"], "left").join(part_hits, ["query_id", "table_name"], "left")
-           .select("query_id", "table_name",
-                   (F.col("s") + F.coalesce("s3", F.lit(0)) + F.coalesce("s1", F.lit(0))).alias("score")))
-    return tot.where(F.col("score") > 0)
+
+    def score(table):
+        names = F.array(*[F.lit(x) for x in dict.fromkeys((table, table.rstrip("s"), table + "s"))])
+        s = F.when(F.arrays_overlap("qt", names), 5).otherwise(0) + F.when(F.col("ql").contains(table), 5).otherwise(0)
+        for c in cat[table]:
+            parts = F.array(*[F.lit(x) for x in dict.fromkeys(c.split("_"))])
+            s = s + F.when(F.col("ql").contains(c), 3).otherwise(0) + F.size(F.array_intersect("qt", parts))
+        return F.struct(F.lit(table).alias("table_name"), s.cast("bigint").alias("score"))
+
+    scored = q.select("query_id", F.array(*[score(x) for x in cat]).alias("all"))
+    hits = F.filter("all", lambda x: x["score"] > 0)
+    return (scored.select("query_id", (F.size(hits) == 0).alias("fallback"), F.explode(F.when(F.size(hits) > 0, hits).otherwise(F.col("all"))).alias("x"))
+            .select("query_id", "x.table_name", "x.score", "fallback"))
 
 
 @register("L14_question_mix", f"""
