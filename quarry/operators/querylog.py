@@ -443,3 +443,18 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: fl
     lpre = prefix_table(Ls, rarity, threshold)
     rpre = None if Rs is None else prefix_table(Rs, rarity, threshold)
     return similar_pairs(Ls, lpre, Rs, rpre, threshold)
+
+
+def later_near_copies(df: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Ids of the texts that have a near copy (token Jaccard >= threshold) with a smaller id.
+
+    Texts with equal token sets collapse first: all but the smallest id of a
+    class are later copies, and only the smallest ids enter the similarity
+    join, so a text copied a million times costs its rows, not their pairs.
+    """
+    keyed = (token_sets(df).where(F.size("toks") > 0)
+             .withColumn("key", F.sha2(F.array_join(F.array_sort("toks"), " "), 256)))
+    first = keyed.groupBy("key").agg(F.min("id").alias("first"))
+    own = keyed.join(first, "key")
+    near = near_duplicate_pairs(own.where(F.col("id") == F.col("first")).select("id", "toks").distinct(), None, threshold, tokenized=True)
+    return own.where(F.col("id") != F.col("first")).select("id").unionByName(near.select(F.col("rid").alias("id"))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from quarry.operators.querylog import near_duplicate_pairs
+from quarry.operators.querylog import later_near_copies
 from quarry.operators.stats import (ERFC_COEFFS, MODULUS, binom_two_sided_exact, bootstrap_rate, chi2_sf,
                                     cochrans_q, cohens_h, h_label, holm, mcnemar_p, paired_tables, wilson)
 from quarry.plans.eval_bindings import OUTCOMES_SQL, md5_int, outcomes
@@ -281,7 +281,7 @@ def t10(t: Tables):
     """Paired contrasts after dropping queries flagged as near-duplicates
     (the later id of every Jaccard >= 0.8 document pair)."""
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
-    dup = near_duplicate_pairs(d, None).select(F.col("rid").alias("query_id")).distinct()
+    dup = later_near_copies(d).withColumnRenamed("id", "query_id")
     # the battery reads the outcomes in four branches; keep the (run-log
     # sized) de-duplicated table instead of re-running the similarity join
     o = outcomes(t).join(dup, "query_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)

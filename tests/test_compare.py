@@ -55,9 +55,20 @@ def test_ordered(spark):
 def test_align(spark):
     gold = spark.createDataFrame([(1, 2.0, "x")], "id int, total double, name string")
     pred = spark.createDataFrame([("x", 1, 2.0, 9)], "NAME string, id int, total_value double, extra int")
-    a = align_columns(gold, pred)
-    assert a.columns == ["id", "total", "name"]
+    g, a = align_columns(gold, pred)
+    assert a.columns == g.columns == ["id", "total", "name"]
     assert a.first().asDict() == {"id": 1, "total": 2.0, "name": "x"}
+    # gold columns without a partner leave both sides; nothing shared is None
+    g, a = align_columns(gold, pred.select("id"))
+    assert a.columns == g.columns == ["id"]
+    assert align_columns(gold, pred.select(F.col("id").alias("qqq"))) is None
+
+
+def test_ordered_null_first_cells(spark):
+    g = spark.createDataFrame([(1, None, "x"), (2, "a", "y")], "pos int, c string, d string")
+    p = spark.createDataFrame([(1, None, "z"), (2, "a", "y")], "pos int, c string, d string")
+    r = ordered_compare(g, p).first()
+    assert (r["gold_rows"], r["pred_rows"], r["position_hits"], r["ordered_match"]) == (2, 2, 1, False)
 
 
 def _brute(gold, pred, rtol=1e-4):

@@ -87,3 +87,17 @@ def test_column_refs(spark):
     cols = set(df.first()["c"])
     assert {"c_name", "o_totalprice", "o_custkey", "c_custkey", "o_orderstatus"} <= cols
     assert not cols & {"total", "sum", "orders", "customer", "o", "c"}
+
+
+def test_column_references_skip_keywords(spark):
+    from pyspark.sql import functions as F
+    from quarry.operators.querylog import SQL_KEYWORDS, column_refs, normalize_sql
+    cases = {
+        "SELECT a1, b1 FROM t ORDER BY a1 DESC NULLS LAST": ["a1", "b1"],
+        "WITH x AS (SELECT u1 AS v1 FROM t WHERE w1 > 3) SELECT v1, max(z1) FILTER (WHERE q1 = 'k') FROM x GROUP BY v1": ["q1", "u1", "w1", "z1"],
+        "SELECT t.a1 FROM db.tab AS t JOIN other o ON t.k1 = o.k2": ["a1", "k1", "k2"],
+    }
+    df = spark.createDataFrame([(s,) for s in cases], "s string").select("s", column_refs(normalize_sql("s")).alias("c"))
+    got = {r["s"]: r["c"] for r in df.collect()}
+    assert {k: sorted(v) for k, v in got.items()} == cases
+    assert {"nulls", "first", "last", "filter", "intersect", "except", "values", "set"} <= set(SQL_KEYWORDS)

@@ -57,8 +57,8 @@ def test_running_and_shift(spark):
     a = {r["id"]: (round(r["rs"], 6), r["rc"], r["rmax"], r["rmin"]) for r in ours.collect()}
     b = {r["id"]: (round(r["rs"], 6), r["rc"], r["rmax"], r["rmin"]) for r in ref.collect()}
     assert a == b
-    lag = shifted(df, [F.col("v"), F.col("id")], ["g"], ["id"], 1, "prev_")
-    lead = shifted(df, [F.col("v"), F.col("id")], ["g"], ["id"], -1, "next_")
+    both = shifted(df, [F.col("v"), F.col("id")], ["g"], [(["id"], 1, "prev_"), (["id"], -1, "next_")])
+    lag = lead = both
     w2 = Window.partitionBy("g").orderBy("v", "id")
     refl = {r["id"]: (r["p"], r["n"]) for r in df.select("id", F.lag("id").over(w2).alias("p"),
                                                          F.lead("id").over(w2).alias("n")).collect()}
@@ -77,3 +77,30 @@ def test_moving_frame(spark):
         a = {r["id"]: None if r["ma"] is None else round(r["ma"], 9) for r in ours.collect()}
         b = {r["id"]: None if r["ma"] is None else round(r["ma"], 9) for r in ref.collect()}
         assert a == b
+
+
+def test_null_groups_are_groups(spark):
+    """A hot group and a NULL group equal Spark's own windows."""
+    from quarry.operators.ranking import moving_frame, shifted
+    from quarry.operators.timeseries import sessionize
+    df = _data(spark).withColumn("g", F.when(F.col("id") % 4 != 1, F.col("g")))
+    order = [F.col("v"), F.col("id")]
+    w = Window.partitionBy("g").orderBy("v", "id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ours = ranked(df, order, ["g"], row_number="rn", rank="rk", dense_rank="dr", ntile=("nt", 3), running=[("sum", "v", "rs")])
+    ref = df.select("id", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.ntile(3).over(w).alias("nt"), F.sum("v").over(upto).alias("rs"))
+    cols = ["id", "rn", "rk", "dr", "nt", "rs"]
+    assert sorted(map(tuple, ours.select(*cols).collect())) == sorted(map(tuple, ref.select(*cols).collect()))
+    got = shifted(df, order, ["g"], [(["id"], 1, "p_"), (["v"], -1, "n_")]).select("id", "p_id", "n_v").collect()
+    want = df.select("id", F.lag("id").over(w).alias("p"), F.lead("v").over(w).alias("n")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(map(tuple, want), key=lambda r: r[0])
+    got = moving_frame(df, order, ["g"], "v", -3, 0, ["id"], "ma").select("id", F.round("ma", 9)).collect()
+    want = df.select("id", F.round(F.avg("v").over(w.rowsBetween(-3, 0)), 9)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    med = {r["g"]: r["p50"] for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    assert med == {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    ev = df.select("g", F.timestamp_seconds((F.col("v") * 1800).cast("long")).cast("timestamp_ntz").alias("ts"), "id")
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("g").orderBy("ts", "id")))
+    start = ev.withColumn("s", F.when(gap.isNull() | (gap > 900), 1).otherwise(0))
+    want = start.select("id", F.sum("s").over(Window.partitionBy("g").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    assert sorted(map(tuple, sessionize(ev, "g", "ts", "id", 900).select("id", "session_no").collect())) == sorted(map(tuple, want.collect()))
