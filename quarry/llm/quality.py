@@ -201,7 +201,7 @@ def train_scorer(texts: list[bytes], posterior: np.ndarray, epochs: int = 30, ra
     for t in texts:
         b, _, x = shape_features([t])
         u, at = np.unique(b, return_inverse=True)
-        feats.append((u, np.bincount(at, weights=x)))
+        feats.append((u.astype(np.int16), np.bincount(at, weights=x).astype(np.float32)))  # bounded by the buckets, 6 bytes each
     share = float(np.clip(posterior.mean(), 0.02, 0.98)) if len(posterior) else 0.5
     weight = posterior * 0.5 / share + (1 - posterior) * 0.5 / (1 - share)
     for epoch in range(epochs):
@@ -235,7 +235,8 @@ def fit_quality_model(docs: DataFrame, quota: int = 3000) -> QualityModel | None
     texts = sample["text"].tolist()
     if not texts:
         return QualityModel(labels, np.zeros(1 << BUCKET_BITS), 0.0)
-    return QualityModel(labels, *train_scorer(texts, labels.posterior(votes(texts))))
+    v = np.concatenate([votes(texts[first:last]) for first, last in sub_batches(texts)])  # a megabyte of text at a time
+    return QualityModel(labels, *train_scorer(texts, labels.posterior(v)))
 
 
 def _score(model):
