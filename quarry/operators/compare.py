@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import scratch_path
+
 DEFAULT_RTOL = 1e-4
 NULL_MARK = "␀"
 
@@ -159,6 +160,37 @@ def keyed_mismatch_counts(gold: DataFrame, pred: DataFrame, keys: Sequence[str],
 # ---------------------------------------------------------------- tolerant
 
 
+def match_one_to_one(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """A maximal one-to-one matching of candidate pairs (g_id, p_id).
+
+    Rounds of proposals: every g proposes to one of its p, drawn by a hash of
+    pair and round, and every p accepts one; matched rows leave.  A constant
+    share of the rest is matched per round, and a round is two map-side
+    combined aggregates, so no block is gathered in one task.
+    """
+    spark = pairs.sparkSession
+
+    def written(df, name):
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    rest, matched = written(pairs, "match-pairs"), []
+    for r in range(max_rounds):
+        proposed = rest.groupBy("g_id").agg(F.min_by("p_id", F.xxhash64(F.lit(r), "g_id", "p_id")).alias("p_id"))
+        won = written(proposed.groupBy("p_id").agg(F.min("g_id").alias("g_id")).select("g_id", "p_id"), "match-won")
+        if won.isEmpty():
+            break
+        matched.append(won)
+        rest = written(rest.join(won.select("g_id"), "g_id", "left_anti").join(won.select("p_id"), "p_id", "left_anti"), "match-rest")
+    else:
+        raise RuntimeError(f"no matching after {max_rounds} rounds")
+    out = rest
+    for won in matched:
+        out = out.unionByName(won)
+    return out
+
+
 def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTOL) -> DataFrame:
     """Unordered tolerant match.
 
@@ -168,8 +200,8 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
     gold row is also sent to the neighbouring buckets and to the x100 and
     x0.01 buckets, so every tolerant partner shares a block); candidate
     pairs come from a JVM-side equi-join on the block filtered by the cell
-    rule, and a pandas step assigns partners one-to-one per block, in
-    sorted id order.  Returns one verdict row.
+    rule, and rounds of proposals assign partners one-to-one.  Returns one
+    verdict row.
     """
     cols = gold.columns
     pred = pred.select(*[F.col(pc).alias(gc) for pc, gc in zip(pred.columns, cols)])
@@ -187,7 +219,8 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
     p_res = p.join(pairs, ["_rk", "_dup"], "left_anti")
 
     text_cols = [c for c in cols if c not in gf and c not in pf]
-    num_cols = [c for c in cols if c in gf or c in pf]
+    whole = {f.name for f in gold.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    num_cols = [c for c in cols if c in gf or c in pf] or [c for c in cols if c in whole]
 
     def block_text():
         if not text_cols:
@@ -197,7 +230,10 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
                                   for c in text_cols])
 
     def bucket(x: Column) -> Column:
-        return F.floor(F.asinh(x) / F.lit(2 * rtol))
+        # NULL and NaN are one block, each infinity another
+        inf = float("inf")
+        return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("bigint")).when(x == inf, F.lit(2**62)).when(x == -inf, F.lit(-(2**62)))
+                .otherwise(F.floor(F.asinh(x) / F.lit(2 * rtol))))
 
     if num_cols:
         x = _num(F.col(num_cols[0]))
@@ -217,24 +253,7 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
         ok = ok & eq_semantic(F.col(f"g_{c}"), F.col(f"p_{c}"), rtol, c in gf, c in pf)
     cand = blocked(gb, "g").join(blocked(pb, "p"), "_blk").where(ok).select("_blk", "g_id", "p_id")
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, blk in pdf.sort_values(["_blk", "g_id", "p_id"]).groupby("_blk", sort=False):
-            used_g, used_p = set(), set()
-            for g_id, p_id in zip(blk["g_id"], blk["p_id"]):
-                if g_id not in used_g and p_id not in used_p:
-                    used_g.add(g_id)
-                    used_p.add(p_id)
-                    out.append((g_id, p_id))
-        return pd.DataFrame(out, columns=["g_id", "p_id"])
-
-    nb = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    matched = (cand.withColumn("_bucket", F.pmod(F.xxhash64("_blk"), F.lit(nb)))
-               .groupBy("_bucket").applyInPandas(assign, "g_id string, p_id string"))
-    # a gold row copied into several blocks, or a pred row claimed twice,
-    # counts once: one partner per gold id, then one per pred id
-    c1 = matched.withColumn("_r", F.row_number().over(Window.partitionBy("g_id").orderBy("p_id"))).where("_r = 1")
-    tol = c1.withColumn("_r2", F.row_number().over(Window.partitionBy("p_id").orderBy("g_id"))).where("_r2 = 1")
+    tol = match_one_to_one(cand.select("g_id", "p_id").distinct())
 
     v = (gold.agg(F.count("*").alias("gold_rows")).crossJoin(pred.agg(F.count("*").alias("pred_rows")))
          .crossJoin(pairs.agg(F.count("*").alias("matched_exact")))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators.compare import (align_columns, eq_exact, keyed_mismatch_counts, multiset_compare,
-                                      ordered_compare, result_fingerprint, tolerant_compare, with_row_key)
+                                      ordered_compare, result_fingerprint, tolerant_compare)
 from quarry.operators.ranking import ranked
 from quarry.operators.windows import top_n_per_group
 from quarry.plans.eval_bindings import (RESULT_GOLD_SQL, RESULT_PRED_KEYED_SQL, RESULT_PRED_MULTISET_SQL,
@@ -76,41 +76,62 @@ def e4(t: Tables):
     return multiset_compare(result_gold(t), result_pred_multiset(t))
 
 
-@register("E5_tolerant_match")
+def _tolerant_sql(pred: str) -> str:
+    """Gold rows with a semantically equal prediction.  ``o_custkey`` is unique
+    on both sides and a match needs every cell equal, so matches are counted
+    over all pairs that agree, each gold row once."""
+    eq = " AND ".join(sql_eq_semantic(f"g.{c}", f"p.{c}", a_float=f, b_float=f) for c, f in (("n_orders", False), ("total", True), ("top_status", False)))
+    return f"""pred AS ({pred}),
+hit AS (SELECT count(*) AS n FROM gold g JOIN pred p ON g.o_custkey = p.o_custkey AND {eq}),
+c AS (SELECT (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM pred) AS p, hit.n AS m FROM hit)"""
+
+
+_E5_COLUMNS = """g AS gold_rows, p AS pred_rows, m AS matched_rows, g - m AS unmatched_gold, p - m AS unmatched_pred, g = m AND p = m AS match,
+       g = m AS superset_match, round(CASE WHEN g = 0 THEN CASE WHEN p = 0 THEN 1.0 ELSE 0.0 END ELSE m / g END, 6) AS partial_score"""
+
+
+def _tolerant(gold, pred):
+    r = tolerant_compare(gold, pred)
+    return r.select("gold_rows", "pred_rows", (F.col("matched_exact") + F.col("matched_tolerant")).alias("matched_rows"), "unmatched_gold",
+                    "unmatched_pred", "match", "superset_match", "partial_score")
+
+
+def _e5_sql(pred: str) -> str:
+    gold = RESULT_GOLD_SQL.replace("gold AS (", "gold0 AS (", 1)
+    return f"WITH {gold}, gold AS (SELECT CAST(o_custkey AS VARCHAR) || 'k' AS o_custkey, n_orders, total, top_status FROM gold0), {_tolerant_sql(pred)} SELECT {_E5_COLUMNS} FROM c"
+
+
+def _text_key(g):
+    return g.select(F.concat(F.col("o_custkey").cast("string"), F.lit("k")).alias("o_custkey"), "n_orders", "total", "top_status")
+
+
+_CHANGED = """SELECT o_custkey, n_orders, CASE WHEN n_orders % 7 = 0 THEN total * 1.01 WHEN n_orders % 3 = 0 THEN total * 1.00002 ELSE total END AS total,
+  CASE WHEN n_orders % 2 = 0 THEN lower(top_status) ELSE top_status END AS top_status FROM gold"""
+
+
+def _changed(g):
+    n = F.col("n_orders")
+    return g.select("o_custkey", "n_orders", F.when(n % 7 == 0, F.col("total") * 1.01).when(n % 3 == 0, F.col("total") * 1.00002).otherwise(F.col("total")).alias("total"),
+                    F.when(n % 2 == 0, F.lower("top_status")).otherwise(F.col("top_status")).alias("top_status"))
+
+
+@register("E5_tolerant_match", _e5_sql(_CHANGED))
 def e5(t: Tables):
-    """Unordered tolerant match of gold vs a drifted/case-changed/trimmed
-    prediction (exact phase + blocked one-to-one phase)."""
-    return tolerant_compare(result_gold(t), result_pred_keyed(t).select(
-        "o_custkey", F.col("n_orders").cast("bigint").alias("n_orders"), "total", "top_status"))
+    """Unordered tolerant match of gold vs a drifted, case-changed prediction
+    with some rows beyond the tolerance (exact phase, then one-to-one
+    matching of the rest).  The customer key is text, hence exact."""
+    g = _text_key(result_gold(t))
+    return _tolerant(g, _changed(g))
 
 
-@register("E6_superset_match", f"""
-WITH {RESULT_GOLD_SQL},
-pred AS (SELECT o_custkey, n_orders, total, lower(top_status) AS top_status FROM gold
-         UNION ALL SELECT o_custkey + 1000000000, n_orders, total, top_status FROM gold WHERE n_orders >= 20),
-gk AS (SELECT o_custkey, n_orders, total, lower(top_status) AS s, count(*) AS c FROM gold GROUP BY ALL),
-pk AS (SELECT o_custkey, n_orders, total, lower(top_status) AS s, count(*) AS c FROM pred GROUP BY ALL),
-j AS (SELECT gk.c AS g, coalesce(pk.c, 0) AS p FROM gk LEFT JOIN pk
-      ON gk.o_custkey = pk.o_custkey AND gk.n_orders = pk.n_orders AND gk.total = pk.total AND gk.s = pk.s)
-SELECT CAST(sum(g) AS BIGINT) AS gold_rows, CAST(sum(greatest(g - p, 0)) AS BIGINT) AS gold_unmatched,
-       sum(greatest(g - p, 0)) = 0 AS superset_match FROM j
-""")
+@register("E6_superset_match", _e5_sql("SELECT o_custkey, n_orders, total * 1.00002 AS total, lower(top_status) AS top_status FROM gold WHERE n_orders <> 9 "
+                                       "UNION ALL SELECT o_custkey || 'x', n_orders, total, top_status FROM gold WHERE n_orders >= 20"))
 def e6(t: Tables):
-    """Superset tolerance: extra predicted rows are allowed; text cells
-    compare case-insensitively (SET rule); only gold residuals matter."""
-    g = result_gold(t)
-    pred = g.select("o_custkey", "n_orders", "total", F.lower("top_status").alias("top_status")).unionByName(
-        g.where(F.col("n_orders") >= 20).withColumn("o_custkey", F.col("o_custkey") + 1_000_000_000))
-
-    def keyed(df):
-        d = df.withColumn("top_status", F.regexp_replace(F.lower(F.trim("top_status")), r"\s+", " "))
-        return with_row_key(d).groupBy("_rk").agg(F.count("*").alias("_n"))
-
-    gk, pk = keyed(g).withColumnRenamed("_n", "_g"), keyed(pred).withColumnRenamed("_n", "_p")
-    j = gk.join(pk, "_rk", "left").fillna(0, ["_p"])
-    res = F.greatest(F.col("_g") - F.col("_p"), F.lit(0))
-    return j.agg(F.sum("_g").cast("bigint").alias("gold_rows"), F.sum(res).cast("bigint").alias("gold_unmatched"),
-                 (F.sum(res) == 0).alias("superset_match"))
+    """Superset tolerance under the tolerant cell rule: extra predicted rows
+    are allowed, gold rows without a partner are not."""
+    g = _text_key(result_gold(t))
+    pred = g.where(F.col("n_orders") != 9).select("o_custkey", "n_orders", (F.col("total") * 1.00002).alias("total"), F.lower("top_status").alias("top_status"))
+    return _tolerant(g, pred.unionByName(g.where(F.col("n_orders") >= 20).withColumn("o_custkey", F.concat("o_custkey", F.lit("x")))))
 
 
 @register("E7_partial_score", f"""

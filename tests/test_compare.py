@@ -150,3 +150,14 @@ def test_multiset_and_keyed_vs_python(spark, seed):
     assert se["v_mismatches"] == missing + sum(
         1 for i in kp if abs(kp[i][1] - kg[i][1]) > 1e-4 * max(abs(kp[i][1]), abs(kg[i][1]), 1.0)
         and not (kg[i][1] != 0 and abs(kp[i][1] / kg[i][1] - 100) <= 0.01))
+
+
+def test_tolerant_match_finds_all_of_400(spark):
+    """Two matchable rows per key on both sides, NULL against NaN, infinities, integers only."""
+    gold = [(f"k{i}", 1000.0 + i * 7 + d) for i in range(200) for d in (0.0, 0.01)] + [("inf", float("inf")), ("nan", None)]
+    pred = [(f"K{i}", (1000.0 + i * 7 + d) * 1.00003) for i in range(200) for d in (0.01, 0.0)] + [("INF", float("inf")), ("NaN ", float("nan"))]
+    r = tolerant_compare(spark.createDataFrame(gold, "k string, v double"), spark.createDataFrame(pred, "k string, v double")).first()
+    assert r["match"] and r["matched_exact"] + r["matched_tolerant"] == 402
+    a, b = [(i * 1000, "x") for i in range(300)], [(i * 1000, "X") for i in range(1, 300)] + [(999_999_999, "x")]
+    r = tolerant_compare(spark.createDataFrame(a, "n long, s string"), spark.createDataFrame(b, "n long, s string")).first()
+    assert not r["match"] and r["unmatched_gold"] == 1 == r["unmatched_pred"]
