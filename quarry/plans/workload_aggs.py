@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import pct, ratio
-from quarry.operators.ranking import exact_quantiles
+from quarry.functions import or_zero, pct, ratio
+from quarry.operators.ranking import exact_quantiles, null_safe_join, ranked
 from quarry.operators.relational import arr_str
 from quarry.operators.windows import top_n_per_group
 from quarry.plans.registry import register
@@ -227,3 +227,21 @@ def a18(t: Tables):
     return e.groupBy(F.hour("ts").alias("hour_of_day")).agg(
         F.count("*").alias("total_events"),
         F.round(ratio(F.count("*"), F.countDistinct(F.to_date("ts"))), 6).alias("avg_events_per_day"))
+
+
+@register("F17_number_functions", """
+WITH e AS (SELECT event_type, value, prop_k FROM event_facts)
+SELECT event_type, list_sort(array_agg(value) FILTER (WHERE value IS NOT NULL))[CAST(floor(0.5 * count(value)) AS BIGINT) + 1] AS exact_median,
+       CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS sum_whole, round(sum(coalesce(TRY_CAST(prop_k AS DOUBLE), 0.0)), 4) AS sum_k_or_zero
+FROM e GROUP BY event_type
+""", bind=("event_facts",))
+def f17(t: Tables):
+    """Exact quantile that is an element (no interpolation), whole unsigned
+    numbers, and numbers parsed from text with 0 where there is none."""
+    e = t.event_facts.select("event_type", "value", "prop_k")
+    sums = e.groupBy("event_type").agg(F.count("value").alias("_n"), F.sum(F.col("value").cast("bigint")).alias("sum_whole"),
+                                       F.round(F.sum(or_zero("prop_k")), 4).alias("sum_k_or_zero"))
+    counts = e.where(F.col("value").isNotNull()).groupBy("event_type", "value").agg(F.count("*").alias("_c"))
+    upto = null_safe_join(ranked(counts, [F.col("value")], ["event_type"], running=[("sum", "_c", "_upto")]), sums, ["event_type"])
+    return (upto.where(F.col("_upto") >= F.floor(F.col("_n") * 0.5) + 1).groupBy("event_type")
+            .agg(F.min("value").alias("exact_median"), F.first("sum_whole").alias("sum_whole"), F.first("sum_k_or_zero").alias("sum_k_or_zero")))
