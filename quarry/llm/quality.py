@@ -41,6 +41,8 @@ LABELLERS = (
     ("short words", "short_share", 0.08, 0.02),
 )
 BUCKET_BITS = 14
+#: text worked on at a time; measures and shape n-grams take some 200 bytes a text byte
+TEXT_BYTES = 1 << 18
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 if c in (9, 13, 32) else c for c in range(256))
 _LETTERS = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _ENDS = np.array([chr(c) in ".,;:?!" for c in range(256)])
@@ -184,7 +186,7 @@ def shape_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, n
 def _vote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].tolist()
-        for first, last in sub_batches(texts):
+        for first, last in sub_batches(texts, TEXT_BYTES):
             v = votes(texts[first:last]) + 1
             yield pd.DataFrame({"pattern": ["".join(map(str, row)) for row in v.tolist()], "n": 1}).groupby("pattern", as_index=False).sum()
 
@@ -235,7 +237,7 @@ def fit_quality_model(docs: DataFrame, quota: int = 3000) -> QualityModel | None
     texts = sample["text"].tolist()
     if not texts:
         return QualityModel(labels, np.zeros(1 << BUCKET_BITS), 0.0)
-    v = np.concatenate([votes(texts[first:last]) for first, last in sub_batches(texts)])  # a megabyte of text at a time
+    v = np.concatenate([votes(texts[first:last]) for first, last in sub_batches(texts, TEXT_BYTES)])  # a megabyte of text at a time
     return QualityModel(labels, *train_scorer(texts, labels.posterior(v)))
 
 
@@ -244,7 +246,7 @@ def _score(model):
         m: QualityModel | None = model.value
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for first, last in sub_batches(texts):
+            for first, last in sub_batches(texts, TEXT_BYTES):
                 part = texts[first:last]
                 v = votes(part)
                 empty = np.array([not (t or b"").split() for t in part])
