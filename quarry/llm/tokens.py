@@ -20,7 +20,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: pieces, and parts of pieces, in a generation of a worker's cache; two generations are kept (about 200 bytes an entry)
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: white space after the first character, or nothing but white space
 _INNER_SPACE = re.compile(r".\s|^\s*$", re.S)
