@@ -4,7 +4,8 @@ Both kinds of vocabulary file cut a text at white space before merging, so a
 text's ids are the ids of its space-separated pieces in order.  Pieces repeat
 far more than texts do; each task encodes a piece once with the tokenizers
 library and reuses its ids.  Texts whose cut is not independent of the
-neighbours (a space between white space) are encoded whole.  A new piece is
+neighbours (a space between white space) or that hold the string of an added
+token (``<|endoftext|>``) are encoded whole.  A new piece is
 cut once more, into letter runs and what lies between them, where that is
 independent too; of these parts only the unseen ones reach the tokenizer.
 """
@@ -84,7 +85,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text with the string of an added token has its id there: such texts are encoded whole
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.spaced = bool(self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids)
         self.width = (self.tok.get_vocab_size() - 1).bit_length()
         self.cache, self.parts = Generations(CACHE_PIECES), Generations(CACHE_PIECES)
@@ -153,7 +156,7 @@ class PieceEncoder:
         texts = [t or "" for t in texts]
         # byte-level: a key stands for the piece with a space before it; the first piece of a text has none
         cut = [t.split(" ") if self.spaced else t.split() for t in texts]
-        whole = {i for i, t in enumerate(texts) if self.spaced and _UNSAFE.search(t)}
+        whole = {i for i, t in enumerate(texts) if self.added.search(t) or (self.spaced and _UNSAFE.search(t))}
         first = [b""] * len(texts)
         if self.spaced:
             heads = sorted({c[0] for i, c in enumerate(cut) if i not in whole and c[0]})

@@ -20,6 +20,18 @@ def test_piecewise_ids_equal_whole_ids(name):
     assert enc.encode(texts) == enc.whole(texts)  # from the cache
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_have_their_ids(name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary(name))  # nothing set
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|startoftext|> y<|endoftext|>", "<|endoftext|> <|endoftext|>\n z", "<|ENDOFTEXT|>", "<|endoftext |>", "no mark"]
+    want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    enc = tokens.PieceEncoder(vocabulary(name))
+    assert enc.encode(texts) == want == enc.whole(texts)
+    assert [len(w) // 4 for w in want[:2]] == [3, 1]
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 23, 32])
 def test_pack_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 4099, dtype=np.uint64).astype(np.uint32)
