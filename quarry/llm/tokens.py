@@ -26,6 +26,9 @@ _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 #: white space after the first character, or nothing but white space
 _INNER_SPACE = re.compile(r".\s|^\s*$", re.S)
 _ZERO = re.compile("0")
+# str.split() and \s take these for white space, the tokenizers library does not
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_SPACED = re.compile(r"[\S\x1c-\x1f]+")
 # Parts of a piece: letter runs (with a leading space) and what lies between.
 # Both kinds of vocabulary cut there, if a piece has ASCII and Latin-1 letters
 # only, no apostrophe (contractions) and no two white-space characters in a row.
@@ -73,6 +76,11 @@ def little(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def words(text: str) -> list[str]:
+    """The text cut at what the tokenizers library takes for white space."""
+    return _SPACED.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
 class PieceEncoder:
     """Little-endian uint32 ids of texts, as bytes.
 
@@ -155,7 +163,7 @@ class PieceEncoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         # byte-level: a key stands for the piece with a space before it; the first piece of a text has none
-        cut = [t.split(" ") if self.spaced else t.split() for t in texts]
+        cut = [t.split(" ") if self.spaced else words(t) for t in texts]
         whole = {i for i, t in enumerate(texts) if self.added.search(t) or (self.spaced and _UNSAFE.search(t))}
         first = [b""] * len(texts)
         if self.spaced:

@@ -32,6 +32,17 @@ def test_added_tokens_have_their_ids(name):
     assert [len(w) // 4 for w in want[:2]] == [3, 1]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_control_characters_keep_their_ids(name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary(name))
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["ab\x1fcd", "a \x1c b", "\x1d", " \x1e\x1e ", *(a + c + b for c in [*map(chr, range(32)), *spaces] for a in ("a", "a ", "") for b in ("b", " b", c, ""))]
+    enc = tokens.PieceEncoder(vocabulary(name))
+    assert enc.encode(texts) == [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("width", [1, 5, 8, 16, 17, 23, 32])
 def test_pack_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 4099, dtype=np.uint64).astype(np.uint32)
