@@ -10,8 +10,9 @@ left of the article (else of ``main``, else of the body) is the text: one
 line a block, white space folded, character references decoded.
 
 Copies of a page count once, plain paragraphs inside an article are content
-however often they recur, and a subtree that holds the article or most of
-the page's text is never template.  Null or empty html gives empty text; a
+however often they recur, and a subtree that holds the article is never
+template.  A page counts for a subtree that is at most half of its text; a
+template found so also goes on pages where it is more.  Null or empty html gives empty text; a
 null url has the empty host.  Rows keep their multiplicity; extra columns
 are ignored.
 """
@@ -186,10 +187,14 @@ def annotate(root: Node) -> list[Node]:
     return nodes
 
 
-def template_candidates(root: Node) -> list[bytes]:
-    """Hashes of subtrees that may be templates: containers with text that are not plain article content."""
+def template_candidates(root: Node) -> tuple[list[bytes], list[bytes]]:
+    """Hashes of subtrees that may be templates: containers with text that are not plain article content.
+
+    First those with at most half of the page's text, which are evidence for a
+    template; then the larger ones, which go only if other pages show that.
+    """
     nodes = annotate(root)
-    found, inside = set(), {id(root): False}
+    minor, major, inside = set(), set(), {id(root): False}
     for node in nodes:
         within = inside[id(node)] or node.tag in ("article", "main")
         for c in node.children:
@@ -199,9 +204,8 @@ def template_candidates(root: Node) -> list[bytes]:
             continue
         if node.tag in _PLAIN and (inside[id(node)] or node.tag not in ("ul", "ol", "table", "p")):
             continue
-        if 2 * node.size <= root.size:
-            found.add(node.hash)
-    return sorted(found)
+        (minor if 2 * node.size <= root.size else major).add(node.hash)
+    return sorted(minor), sorted(major - minor)
 
 
 def main_text(page: str | None, templates: frozenset[bytes] = frozenset()) -> str:
@@ -266,11 +270,11 @@ def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for url, page in zip(part["url"], part["html"]):
                 if page:
                     root = parse(page)
-                    hashes = template_candidates(root)
-                    rows.append((host_of(url), root.hash, hashes))
+                    minor, major = template_candidates(root)
+                    rows.append((host_of(url), root.hash, minor, major))
                 else:
-                    rows.append((host_of(url), None, []))
-            yield pd.DataFrame({"page": part["page"].array, "host": [r[0] for r in rows], "body": [r[1] for r in rows], "trees": [r[2] for r in rows]})
+                    rows.append((host_of(url), None, [], []))
+            yield pd.DataFrame({"page": part["page"].array, **{c: [r[i] for r in rows] for i, c in enumerate(("host", "body", "trees", "larger"))}})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,14 +295,15 @@ def extract_pages(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     keyed = src.withColumn("page", F.xxhash64("page_id", "url", "html"))
     path = scratch_path(spark, "page-trees")
-    keyed.select("page", "url", "html").mapInPandas(_subtrees, "page long, host string, body binary, trees array<binary>").write.parquet(path)
+    keyed.select("page", "url", "html").mapInPandas(_subtrees, "page long, host string, body binary, trees array<binary>, larger array<binary>").write.parquet(path)
     trees = spark.read.parquet(path)
     hosts = trees.groupBy("host").agg(F.count_distinct("body").alias("pages"))
-    each = trees.select("page", "host", "body", F.explode("trees").alias("tree"))
-    recurring = (each.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
+    minor = trees.select("host", "body", F.explode("trees").alias("tree"))
+    each = trees.select("page", "host", F.explode(F.concat("trees", "larger")).alias("tree"))
+    recurring = (minor.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
                  .join(hosts, "host").where(F.col("on") >= F.col("pages") * min_share).select("host", "tree"))
     path = scratch_path(spark, "page-templates")
-    (each.select("page", "host", "tree").join(recurring, ["host", "tree"]).groupBy("page").agg(F.collect_set("tree").alias("templates"))  # at most a page's elements
+    (each.join(recurring, ["host", "tree"]).groupBy("page").agg(F.collect_set("tree").alias("templates"))  # at most a page's elements
      .write.parquet(path))
     found = spark.read.parquet(path)
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found

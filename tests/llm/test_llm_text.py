@@ -147,6 +147,18 @@ def test_templates_are_removed_per_host(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_templates_go_on_pages_they_dominate(spark):
+    menu = "<div>" + "".join(f"<a href='/{k}'><span>section {k}</span></a>" for k in range(9)) + "</div>"
+
+    def page(i, words):
+        return (i, f"http://h.example/{i}", f"<html><body>{menu}<div><p>story {i} " + "text " * words + "</p></div></body></html>")
+
+    rows = [page(i, 60) for i in range(20)] + [page(i, 1) for i in range(20, 24)] + [(99, "http://h.example/99", f"<html><body>{menu}</body></html>"), (50, "http://other.example/", page(50, 1)[2])]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "story 3 " + ("text " * 60).strip() and got[21] == "story 21 text" and got[99] == ""
+    assert "section 1" in got[50]  # nothing recurs on its host
+
+
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": ["integer", "null"], "maximum": 9}, "y": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
 
 
