@@ -2,8 +2,8 @@
 
 Pages are parsed into element trees.  Every container subtree with text is
 hashed; Spark counts, per host, the distinct pages a subtree occurs on, and
-subtrees that recur across many pages of the host (``min_pages`` and
-``min_share`` of them) are deleted.  Menus, headers, footers, sidebars,
+subtrees that recur on ``min_pages`` pages of the host, however many it has,
+are deleted.  Menus, headers, footers, sidebars,
 notices, adverts, forms, comments and the like are also recognised by tag,
 role, class and id, so a page alone on its host loses them too.  What is
 left of the article (else of ``main``, else of the body) is the text: one
@@ -289,7 +289,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 BROADCAST_ROWS = 200_000
 
 
-def extract_pages(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05) -> DataFrame:
+def extract_pages(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     spark = pages.sparkSession
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -297,11 +297,10 @@ def extract_pages(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05)
     path = scratch_path(spark, "page-trees")
     keyed.select("page", "url", "html").mapInPandas(_subtrees, "page long, host string, body binary, trees array<binary>, larger array<binary>").write.parquet(path)
     trees = spark.read.parquet(path)
-    hosts = trees.groupBy("host").agg(F.count_distinct("body").alias("pages"))
     minor = trees.select("host", "body", F.explode("trees").alias("tree"))
     each = trees.select("page", "host", F.explode(F.concat("trees", "larger")).alias("tree"))
-    recurring = (minor.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
-                 .join(hosts, "host").where(F.col("on") >= F.col("pages") * min_share).select("host", "tree"))
+    recurring = (minor.select("host", "tree", "body").distinct().groupBy("host", "tree").agg(F.count("*").alias("on"))
+                 .where(F.col("on") >= min_pages).select("host", "tree"))
     path = scratch_path(spark, "page-templates")
     (each.join(recurring, ["host", "tree"]).groupBy("page").agg(F.collect_set("tree").alias("templates"))  # at most a page's elements
      .write.parquet(path))

@@ -159,6 +159,18 @@ def test_templates_go_on_pages_they_dominate(spark):
     assert "section 1" in got[50]  # nothing recurs on its host
 
 
+def test_templates_of_a_large_host(spark):
+    def page(host, i):
+        notice = "<div><span>Section</span> notice of ten pages</div>" if i < 10 else f"<div><span>own</span> remark {i} of this page</div>"
+        return (host * 10000 + i, f"http://h{host}.example/{i}", f"<html><body>{notice}<div><p>story {i} " + "text " * 30 + "</p></div></body></html>")
+
+    rows = [page(1, i) for i in range(3000)] + [page(2, i) for i in range(20)] + [page(3, i) for i in range(3, 10)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("notice" not in got[h * 10000 + i] and got[h * 10000 + i].startswith("story") for h in (1, 2) for i in range(10))
+    assert "remark 2500" in got[12500] and "remark 15" in got[20015]
+    assert "notice" in got[30005]  # on seven pages of its host only
+
+
 SCHEMAS = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": ["integer", "null"], "maximum": 9}, "y": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
 
 
