@@ -8,6 +8,10 @@ next one's documents.  The first four return the columns they were given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +19,37 @@ from quarry.llm import decontaminate, langid, ngram_join, packing, quality
 from quarry.llm.queries import vocabulary
 from quarry.session import scratch_path
 
-#: tables of rejected ids up to this many rows (8 bytes each) are broadcast, larger ones are joined by a shuffle
+#: tables of rejected rows up to this many (an id and 16 bytes each) are broadcast, larger ones are joined by a shuffle
 BROADCAST_ROWS = 1_000_000
+#: column that tells rows of one doc_id apart inside a stage
+TEXT_KEY = "_text_key"
 
 
-def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``rejected``; a null id matches a null id."""
-    path = scratch_path(spark, name)
-    rejected.select(F.col("doc_id").alias("_gone")).distinct().write.parquet(path)
+def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str, *also: str) -> DataFrame:
+    """``docs`` without the rows whose doc_id (and columns ``also``) are in ``rejected``; a null matches a null."""
+    path, keys = scratch_path(spark, name), ("doc_id", *also)
+    rejected.select(*(F.col(k).alias(f"_gone_{k}") for k in keys)).distinct().write.parquet(path)
     gone = spark.read.parquet(path)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    same = [docs[k].eqNullSafe(gone[f"_gone_{k}"]) for k in keys]
+    return docs.join(gone, reduce(and_, same), "left_anti")
+
+
+def _without_texts(spark: SparkSession, docs: DataFrame, rejected: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``docs`` without the rejected rows, told apart by doc_id and a 128-bit digest of the text: a verdict hangs
+    on the text alone, and rows that share an id (or have none) may have different texts."""
+    marked = docs.withColumn(TEXT_KEY, F.unhex(F.md5(F.col("text").cast("binary"))))
+    return _without(spark, marked, rejected(marked), name, TEXT_KEY).drop(TEXT_KEY)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return _without(spark, docs, quality.score_quality(docs).where(~F.col("kept")), "pipeline-quality")
+    return _without_texts(spark, docs, lambda d: quality.score_quality(d, carry=TEXT_KEY).where(~F.col("kept")), "pipeline-quality")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with enough certainty."""
-    return _without(spark, docs, langid.identify_languages(docs).where(~F.col("accepted")), "pipeline-language")
+    return _without_texts(spark, docs, lambda d: langid.identify_languages(d, carry=TEXT_KEY).where(~F.col("accepted")), "pipeline-language")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +70,7 @@ def _one_row_per_id(docs: DataFrame) -> DataFrame:
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     bench = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    return _without(spark, docs, decontaminate.contaminated_words(docs, bench).where("contaminated"), "pipeline-benchmark")
+    return _without_texts(spark, docs, lambda d: decontaminate.contaminated_words(d, bench, carry=TEXT_KEY).where("contaminated"), "pipeline-benchmark")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

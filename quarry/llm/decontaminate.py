@@ -111,13 +111,14 @@ def _extend(window: int, k: int):
                     else:
                         spans.update((s, window) for s in range(p - (window - k), p + 1))
                 out.append([{"s": s, "len": n, "digest": _digest(words[s:s + n])} for s, n in sorted(spans) if s >= 0 and s + n <= len(words)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_words": n_words, "spans": out})
+            yield pdf.drop(columns=["text", "hits"]).assign(n_words=n_words, spans=out)
     return run
 
 
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
-    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, carry: str | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated; first the binary column ``carry``."""
+    carried = [carry] if carry else []
+    d = docs.select(*(F.col(c).cast("binary").alias(c) for c in carried), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     b = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     windows = _written(b.mapInPandas(_item_windows(window), "item_id long, len int, digest binary").distinct(), "decon-windows")
     short = sorted(r["len"] for r in windows.select("len").distinct().where(F.col("len") < window).collect())  # below window values
@@ -127,12 +128,12 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                            # a run of a short length counts only as a whole item
                            .where((F.col("x.k") > 0) | (F.col("x.k") == -F.col("n_words")))
                            .select("x.h", "x.k").distinct(), "decon-prints")
-    hits = (d.mapInPandas(_fingerprints(k, window, short), prints).select("id", each)
+    hits = (d.select("id", "text").mapInPandas(_fingerprints(k, window, short), prints).select("id", each)
             .select("id", "x.h", "x.k", "x.p").join(_small(item_prints), ["h", "k"], "left_semi")
             .groupBy("id").agg(F.collect_set(F.struct("k", "p")).alias("hits")))  # at most the document's words
     hits = _written(hits.withColumnRenamed("id", "hit_id"), "decon-hits")
-    found = (d.join(_small(hits), F.col("id").eqNullSafe(F.col("hit_id")), "left").select(F.col("id").alias("doc_id"), "text", "hits")
-             .mapInPandas(_extend(window, k), "doc_id long, n_words long, spans array<struct<s:int,len:int,digest:binary>>"))
+    found = (d.join(_small(hits), F.col("id").eqNullSafe(F.col("hit_id")), "left").select(*carried, F.col("id").alias("doc_id"), "text", "hits")
+             .mapInPandas(_extend(window, k), "".join(f"{c} binary, " for c in carried) + "doc_id long, n_words long, spans array<struct<s:int,len:int,digest:binary>>"))
     rows = _written(found.withColumn("row", F.monotonically_increasing_id()), "decon-rows")
     inside = (rows.where(F.size("spans") > 0).select("row", F.explode("spans").alias("x")).select("row", "x.s", "x.len", "x.digest")
               .join(_small(windows), ["len", "digest"]))
@@ -144,8 +145,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         lambda acc: acc["n"])
     per_row = inside.groupBy("row").agg(
         covered.alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    return (rows.select("row", "doc_id", "n_words").join(per_row, "row", "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    return (rows.select("row", *carried, "doc_id", "n_words").join(per_row, "row", "left")
+            .select(*carried, "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
                     F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated")))

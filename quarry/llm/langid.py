@@ -150,8 +150,9 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, quota: int = 800) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, accepted of every row."""
+def identify_languages(docs: DataFrame, quota: int = 800, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, accepted of every row; first the binary column ``carry``."""
+    more = [F.col(carry).cast("binary").alias(carry)] if carry else []
     model = docs.sparkSession.sparkContext.broadcast(fit_language_model(docs, ~held_out(), quota))
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-            .mapInPandas(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"))
+    return (docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+            .mapInPandas(_predict(model), (f"{carry} binary, " if carry else "") + "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean"))

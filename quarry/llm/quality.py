@@ -257,13 +257,14 @@ def _score(model):
                     z = np.bincount(o, weights=m.weights[b] * x, minlength=len(part)) + m.bias
                     score = np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
                     post = np.where(empty, 0.0, m.labels.posterior(v))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[first:last], "votes_good": (v == 1).sum(axis=1), "votes_bad": (v == 0).sum(axis=1),
+                yield pd.DataFrame({**{c: pdf[c].array[first:last] for c in pdf.columns if c != "text"}, "votes_good": (v == 1).sum(axis=1), "votes_bad": (v == 0).sum(axis=1),
                                     "posterior": post, "score": score, "kept": score >= 0.5})
     return run
 
 
-def score_quality(docs: DataFrame, quota: int = 3000) -> DataFrame:
-    """doc_id, votes_good, votes_bad, posterior (label model), score (scorer), kept of every row."""
+def score_quality(docs: DataFrame, quota: int = 3000, carry: str | None = None) -> DataFrame:
+    """doc_id, votes_good, votes_bad, posterior (label model), score (scorer), kept of every row; first the binary column ``carry``."""
+    more = [F.col(carry).cast("binary").alias(carry)] if carry else []
     model = docs.sparkSession.sparkContext.broadcast(fit_quality_model(docs, quota))
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-            .mapInPandas(_score(model), "doc_id long, votes_good long, votes_bad long, posterior double, score double, kept boolean"))
+    return (docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+            .mapInPandas(_score(model), (f"{carry} binary, " if carry else "") + "doc_id long, votes_good long, votes_bad long, posterior double, score double, kept boolean"))

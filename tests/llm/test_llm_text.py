@@ -230,5 +230,23 @@ def test_pipeline_stages(spark):
     assert names == ["quality classifier", "language ID", "n-gram Jaccard join", "benchmark decontamination"]
 
 
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    good = stages["language ID"](spark, stages["quality classifier"](spark, table, SF), SF)
+    good = [r["text"] for r in stages["benchmark decontamination"](spark, good, SF).orderBy("doc_id").limit(3).collect()]
+    assert len(good) == 3
+    for stage, bad in (("quality classifier", ""), ("quality classifier", None), ("language ID", "12 34 !!"), ("benchmark decontamination", item)):
+        own = [(None, good[0]), (None, bad), (None, good[0]), (-5, good[1]), (-5, bad), (-6, good[2])]
+        docs = table.unionByName(spark.createDataFrame([(i, t, None, "s", 0) for i, t in own], table.schema))
+        kept = stages[stage](spark, docs, SF)
+        assert kept.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.where("doc_id is null or doc_id < 0").collect()]
+        assert sorted(got, key=str) == sorted([(None, good[0])] * 2 + [(-5, good[1]), (-6, good[2])], key=str), stage
+
+
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
