@@ -153,6 +153,10 @@ def _is_boilerplate(node: Node, in_article: bool) -> bool:
     return bool(words & _WORDS) or (not in_article and bool(words & _OUTSIDE_ARTICLE) and "article" not in words)
 
 
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or ("main" in node.attrs.lower() and _attributes(node.attrs).get("role", "").lower() == "main")
+
+
 def _walk(root: Node) -> list[Node]:
     """Nodes parents first."""
     out = [root]
@@ -215,17 +219,18 @@ def main_text(page: str | None, templates: frozenset[bytes] = frozenset()) -> st
     root = parse(page)
     annotate(root)
     articles, mains, stack = [], [], [(root, False)]
-    while stack:
-        node, inner = stack.pop()
+    while stack:  # in the order of the page
+        node, in_main = stack.pop()
+        if node.tag == "article":
+            articles.append(node)
+            continue
+        if not in_main and _is_main(node):
+            mains.append(node)
+            in_main = True
         for c in reversed(node.children):
-            if isinstance(c, Node) and not _is_boilerplate(c, inner) and not (c.hash in templates and not c.holds_main and c.tag not in ("article", "main")):
-                if c.tag == "article" and not inner:
-                    articles.append(c)
-                    continue
-                if c.tag == "main" or "role=\"main\"" in c.attrs:
-                    mains.append(c)
-                stack.append((c, inner or c.tag == "article"))
-    tops = articles[:] or mains[:1] or [root]
+            if isinstance(c, Node) and not _is_boilerplate(c, False) and not (c.hash in templates and not c.holds_main and c.tag not in ("article", "main")):
+                stack.append((c, in_main))
+    tops = articles or mains or [root]
     blocks, words = [], []
 
     def flush():

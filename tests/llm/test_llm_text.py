@@ -130,6 +130,12 @@ def test_html_cases():
     assert html_text.main_text("<" * 5000 + "a") != ""
 
 
+def test_all_outermost_mains_are_kept():
+    assert html_text.main_text("<p>no</p><main><p>one</main><div><main>two<div role=main>in</div></main></div><div role='main'>three</div><section role=\"main\">four</section>") == "one\ntwo\nin\nthree\nfour"
+    assert html_text.main_text("<main>no<article>one</article></main><main><article>two</article></main>") == "one\ntwo"
+    assert html_text.main_text("<article>one</article><article>two</article>") == "one\ntwo"
+
+
 def test_templates_are_removed_per_host(spark):
     def page(host, i, promo):
         body = f"<div><span>{promo}</span> join us</div><div><p>story {i} " + "text " * 30 + "</p></div>"
