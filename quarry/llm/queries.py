@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, token_files, url_filter
+from quarry.llm import (chat, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, token_files,
+                        url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +202,9 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id FROM shi
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on 5-word shingles at Jaccard 0.75."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened leading components of every vector."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
