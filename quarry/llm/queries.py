@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (chat, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, token_files,
+from quarry.llm import (chat, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, rule_cascade, token_files,
                         url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened leading components of every vector."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the rule cascade for every document."""
+    return rule_cascade.apply_rules(_table(spark, sf_dir, "documents")).drop("failed_rule", "rules_measured")
