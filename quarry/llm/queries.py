@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (chat, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, rule_cascade, token_files,
+from quarry.llm import (chat, collocations, decontaminate, embedding_join, html_text, langid, ngram_join, packing, quality, rule_cascade, token_files,
                         url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,39 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the rule cascade for every document."""
     return rule_cascade.apply_rules(_table(spark, sf_dir, "documents")).drop("failed_rule", "rules_measured")
+
+
+def _phrases(k: int) -> str:
+    """Contiguous phrases of k words of the pieces' word lists ``p(lang, w)``."""
+    return f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase FROM p WHERE len(w) >= {k}"
+
+
+def _cuts() -> str:
+    """Every cut of every candidate."""
+    return " UNION ALL ".join(f"SELECT lang, phrase, a, {c} AS cut, array_to_string(w[1:{c}], ' ') AS first, array_to_string(w[{c + 1}:{k}], ' ') AS rest FROM cand WHERE k = {k}"
+                              for k in (2, 3, 4) for c in range(1, k))
+
+
+def _inner() -> str:
+    """Phrases of two or more words strictly inside a candidate."""
+    return " UNION ALL ".join(f"SELECT lang, array_to_string(w[{i}:{i + m - 1}], ' ') AS phrase, a FROM cand WHERE k = {k}"
+                              for k in (3, 4) for m in range(2, k) for i in range(1, k - m + 2))
+
+
+@query("op11_phrase_collocations", f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({" UNION ALL ".join(_phrases(k) for k in (1, 2, 3, 4))}) GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cand AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, CAST((c.a::HUGEINT * 2000000) // (x.f::HUGEINT + y.f::HUGEINT) AS BIGINT) AS score
+  FROM ({_cuts()}) c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM ({_inner()}) GROUP BY lang, phrase),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.longest IS NULL OR 100 * g.longest < 80 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language, found at least 30 times."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
