@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,73 +159,167 @@ def keyed_mismatch_counts(gold: DataFrame, pred: DataFrame, keys: Sequence[str],
 # ---------------------------------------------------------------- tolerant
 
 
-def match_one_to_one(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """A maximal one-to-one matching of candidate pairs (g_id, p_id).
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    Rounds of proposals: every g proposes to one of its p, drawn by a hash of
-    pair and round, and every p accepts one; matched rows leave.  A constant
-    share of the rest is matched per round, and a round is two map-side
-    combined aggregates, so no block is gathered in one task.
+
+def _added(flow: DataFrame, more: DataFrame) -> DataFrame:
+    """Sum of two flows (g, p, f), without the pairs that cancel out."""
+    return _written(flow.unionByName(more).groupBy("g", "p").agg(F.sum("f").alias("f")).where("f > 0"), "match-flow")
+
+
+def _open(nodes: DataFrame, flow: DataFrame, side: str) -> DataFrame:
+    """Nodes (side, n) with copies that the flow leaves unmatched: (side, slack)."""
+    used = flow.groupBy(side).agg(F.sum("f").alias("_used"))
+    return (nodes.join(used, side, "left").select(side, (F.col("n") - F.coalesce("_used", F.lit(0))).alias("slack")).where("slack > 0"))
+
+
+def _split(rows: DataFrame, by: str, want: str, limit: str, seed: int) -> DataFrame:
+    """``rows`` with ``want`` cut down so that its sum per ``by`` is at most ``limit``, and exactly that if they want more.
+
+    Rows are served in the order of a hash, first in up to 1,024 parts of a
+    group, then inside each part, so that a row with very many pairs is not
+    sorted in one task.
     """
-    spark = pairs.sparkSession
-
-    def written(df, name):
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    rest, matched = written(pairs, "match-pairs"), []
-    for r in range(max_rounds):
-        proposed = rest.groupBy("g_id").agg(F.min_by("p_id", F.xxhash64(F.lit(r), "g_id", "p_id")).alias("p_id"))
-        won = written(proposed.groupBy("p_id").agg(F.min("g_id").alias("g_id")).select("g_id", "p_id"), "match-won")
-        if won.isEmpty():
+    h = F.xxhash64(F.lit(seed), "g", "p")
+    rows = rows.withColumn("_part", F.pmod(h, F.lit(1024)))
+    parts = rows.groupBy(by, "_part").agg(F.sum(want).alias("_want"), F.first(limit).alias("_limit"))
+    upto = F.sum("_want").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    share = parts.select(by, "_part", F.least("_want", F.col("_limit") - (upto - F.col("_want"))).alias("_share")).where("_share > 0")
+    own = Window.partitionBy(by, "_part").orderBy(h, "g", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = F.least(F.col(want), F.col("_share") - (F.sum(want).over(own) - F.col(want)))
+    return rows.join(share, [by, "_part"]).withColumn("_got", got).where("_got > 0").withColumn(want, F.col("_got")).drop("_part", "_share", "_got")
+
+
+def maximum_matching(gold: DataFrame, pred: DataFrame, flow: DataFrame, edges_of) -> DataFrame:
+    """A maximum one-to-one matching between copies of distinct rows.
+
+    ``gold(g, n)`` and ``pred(p, n)`` are distinct rows with their numbers of
+    copies, ``flow(g, p, f)`` a first matching, ``edges_of(golds)`` the pairs
+    (g, p) of some gold rows (a table ``g``).  Returns (g, p, f): f copies of
+    g matched with copies of p.
+
+    First, open copies on both sides are matched directly in rounds: a gold
+    row offers its copies to its open partners one after the other, a
+    predicted row takes as many of what it is offered as it has.  Then augmenting paths:
+    all open gold rows search breadth-first at once, each row being reached
+    by one search only, so the paths of a pass do not meet and all of them
+    are applied together.  The matching is maximum when no search reaches an
+    open predicted row.  Pairs are looked up for gold rows that a search
+    reaches, not for those that have their exact partner and are never met.
+    """
+    flow = _written(flow, "match-flow")
+    known: DataFrame | None = None  # pairs of the gold rows looked up so far
+    asked: DataFrame | None = None
+
+    def pairs_of(golds: DataFrame) -> DataFrame:
+        nonlocal known, asked
+        new = golds.select("g") if asked is None else golds.select("g").join(asked, "g", "left_anti")
+        new = _written(new.distinct(), "match-golds")
+        if not new.isEmpty():
+            found = _written(edges_of(new).select("g", "p").distinct(), "match-pairs")
+            known = found if known is None else known.unionByName(found)
+            asked = new if asked is None else asked.unionByName(new)
+        return known
+
+    for turn in range(1 << 30):  # every turn adds to the flow or ends
+        left = _written(_open(gold, flow, "g").select("g", F.lit(None).cast(pred.schema["p"].dataType).alias("p"), "slack")
+                        .unionByName(_open(pred, flow, "p").select(F.lit(None).cast(gold.schema["g"].dataType).alias("g"), "p", "slack")), "match-open")
+        roots, sinks = left.where("g is not null").select("g", "slack"), left.where("p is not null").select("p", "slack")
+        some = left.agg(F.count("g"), F.count("p")).first()
+        if not some[0] or not some[1]:
+            return flow
+        pairs = pairs_of(roots) if known is None else known  # the open gold rows only become fewer
+        direct = _written(pairs.join(roots.withColumnRenamed("slack", "sg"), "g").join(sinks.withColumnRenamed("slack", "sp"), "p")
+                          .withColumn("f", F.least("sg", "sp")), "match-direct")
+        if not direct.isEmpty():
+            offered = _written(_split(direct, "g", "f", "sg", turn), "match-offered")
+            flow = _added(flow, _split(offered, "p", "f", "sp", turn).select("g", "p", "f"))
+            continue
+        more = _augment(roots, sinks, flow, pairs, pairs_of, turn)
+        if more is None:
+            return flow
+        flow = _added(flow, more)
+    raise AssertionError("unreachable")
+
+
+def _augment(roots: DataFrame, sinks: DataFrame, flow: DataFrame, pairs: DataFrame, pairs_of, turn: int) -> DataFrame | None:
+    """Changes of the flow along shortest augmenting paths that share no row, one a root at most; None if there is none."""
+    frontier = roots.select("g", F.col("g").alias("root"))
+    seen_g, seen_p = roots.select("g"), None
+    to_pred: list[DataFrame] = []  # (p, g, root): p reached from g
+    to_gold: list[DataFrame] = []  # (g, p, root): g reached from p, with which it is matched
+    while True:
+        h = F.xxhash64(F.lit(turn), "g", "p")
+        step = (pairs if not to_gold else pairs_of(frontier)).join(frontier, "g")
+        if seen_p is not None:
+            step = step.join(seen_p, "p", "left_anti")
+        layer = _written(step.groupBy("p").agg(F.min_by(F.struct("g", "root"), F.struct(h, F.col("g"))).alias("b")).select("p", "b.g", "b.root"), "match-layer-p")
+        if layer.isEmpty():
+            return None
+        to_pred.append(layer)
+        seen_p = layer.select("p") if seen_p is None else seen_p.unionByName(layer.select("p"))
+        ends = _written(layer.join(sinks, "p").groupBy("root").agg(F.min_by(F.struct("p", "slack"), F.struct(F.xxhash64(F.lit(turn), "p"), F.col("p"))).alias("e"))
+                        .select("root", "e.p", F.col("e.slack").alias("f")), "match-ends")
+        if not ends.isEmpty():
             break
-        matched.append(won)
-        rest = written(rest.join(won.select("g_id"), "g_id", "left_anti").join(won.select("p_id"), "p_id", "left_anti"), "match-rest")
-    else:
-        raise RuntimeError(f"no matching after {max_rounds} rounds")
-    out = rest
-    for won in matched:
-        out = out.unionByName(won)
-    return out
+        back = layer.select("p", "root").join(flow.select("g", "p"), "p").join(seen_g, "g", "left_anti")
+        golds = _written(back.groupBy("g").agg(F.min_by(F.struct("p", "root"), F.struct(h, F.col("p"))).alias("b")).select("g", "b.p", "b.root"), "match-layer-g")
+        if golds.isEmpty():
+            return None
+        to_gold.append(golds)
+        seen_g = seen_g.unionByName(golds.select("g"))
+        frontier = golds.select("g", "root")
+    # back from the ends: pairs that gain, pairs that lose, and the least that a path can carry
+    at, change = ends.select("root", "p", "f"), []
+    for depth in range(len(to_pred) - 1, -1, -1):
+        at = at.join(to_pred[depth].select("p", "g"), "p")
+        change.append(at.select("root", "g", "p", F.lit(1).alias("sign")))
+        if depth:
+            at = (at.select("root", "g", "f").join(to_gold[depth - 1].select("g", "p"), "g").join(flow.withColumnRenamed("f", "_f"), ["g", "p"])
+                  .select("root", "g", "p", F.least("f", "_f").alias("f")))
+            change.append(at.select("root", "g", "p", F.lit(-1).alias("sign")))
+            at = at.select("root", "p", "f")
+    amount = at.join(roots, at["root"] == roots["g"]).select("root", F.least("f", "slack").alias("f"))
+    steps = change[0]
+    for c in change[1:]:
+        steps = steps.unionByName(c)
+    return steps.join(amount, "root").select("g", "p", (F.col("f") * F.col("sign")).alias("f"))
 
 
 def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTOL) -> DataFrame:
-    """Unordered tolerant match.
-
-    Phase 1 pairs exactly equal rows (canonical key + duplicate number).
-    Phase 2 takes only the residue.  Rows are blocked on their normalised
-    text cells plus an ``asinh`` bucket of the first floating cell (each
-    gold row is also sent to the neighbouring buckets and to the x100 and
-    x0.01 buckets, so every tolerant partner shares a block); candidate
-    pairs come from a JVM-side equi-join on the block filtered by the cell
-    rule, and rounds of proposals assign partners one-to-one.  Returns one
-    verdict row.
+    """Unordered tolerant match, one verdict row.
+
+    Equal rows collapse to one row with a count on each side, and exactly
+    equal rows (canonical key) are matched first.  Tolerant pairs of the rest
+    come from a join on blocks: the normalised text cells plus an ``asinh``
+    bucket of the first floating cell (each gold row also asks the
+    neighbouring buckets and the x100 and x0.01 buckets, so every tolerant
+    partner shares a block), filtered by the cell rule.  ``maximum_matching``
+    then gives the largest one-to-one matching there is, undoing exact pairs
+    where that lets more rows match.
     """
     cols = gold.columns
     pred = pred.select(*[F.col(pc).alias(gc) for pc, gc in zip(pred.columns, cols)])
     gf, pf = float_cols(gold), float_cols(pred)
-
-    def numbered(df):
-        # read by the exact pairing, the residue and the counts: keep once
-        k = with_row_key(df)
-        return (k.withColumn("_dup", F.row_number().over(Window.partitionBy("_rk").orderBy(*cols)))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-
-    g, p = numbered(gold), numbered(pred)
-    pairs = g.select("_rk", "_dup").join(p.select("_rk", "_dup"), ["_rk", "_dup"])
-    g_res = g.join(pairs, ["_rk", "_dup"], "left_anti")
-    p_res = p.join(pairs, ["_rk", "_dup"], "left_anti")
-
     text_cols = [c for c in cols if c not in gf and c not in pf]
     whole = {f.name for f in gold.schema.fields if isinstance(f.dataType, T.IntegralType)}
     num_cols = [c for c in cols if c in gf or c in pf] or [c for c in cols if c in whole]
 
-    def block_text():
+    def distinct_rows(df: DataFrame, side: str) -> DataFrame:
+        # rows of one canonical key are equal for the cell rule as well: any of them stands for all
+        rows = with_row_key(df).groupBy("_rk").agg(F.count("*").alias("n"), *[F.first(c).alias(f"{side}_{c}") for c in cols])
+        return _written(rows.withColumnRenamed("_rk", side), f"compare-{side}")
+
+    g, p = distinct_rows(gold, "g"), distinct_rows(pred, "p")
+
+    def block_text(side: str) -> Column:
         if not text_cols:
             return F.lit("")
-        return F.concat_ws("␟", *[F.when(_num(F.col(c)).isNotNull(), F.lit("#"))
-                                       .otherwise(F.coalesce(norm_text(F.col(c)), F.lit(NULL_MARK)))
+        return F.concat_ws("␟", *[F.when(_num(F.col(f"{side}_{c}")).isNotNull(), F.lit("#"))
+                                       .otherwise(F.coalesce(norm_text(F.col(f"{side}_{c}")), F.lit(NULL_MARK)))
                                   for c in text_cols])
 
     def bucket(x: Column) -> Column:
@@ -235,36 +328,37 @@ def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTO
         return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("bigint")).when(x == inf, F.lit(2**62)).when(x == -inf, F.lit(-(2**62)))
                 .otherwise(F.floor(F.asinh(x) / F.lit(2 * rtol))))
 
-    if num_cols:
-        x = _num(F.col(num_cols[0]))
-        gb = g_res.withColumn("_b", F.explode(F.array_distinct(F.array(
-            *[bucket(x * m) + d for m in (1.0, 100.0, 0.01) for d in (-1, 0, 1)]))))
-        pb = p_res.withColumn("_b", bucket(x))
-    else:
-        gb, pb = g_res.withColumn("_b", F.lit(0)), p_res.withColumn("_b", F.lit(0))
-
-    def blocked(df, side):
-        blk = F.concat_ws("|", block_text(), F.coalesce(F.col("_b").cast("string"), F.lit("n")))
-        return df.select(blk.alias("_blk"), *[F.col(c).alias(f"{side}_{c}") for c in cols],
-                         F.concat_ws(":", "_rk", F.col("_dup").cast("string")).alias(f"{side}_id"))
+    def blocked(df: DataFrame, side: str, buckets: Column) -> DataFrame:
+        return (df.withColumn("_b", buckets).withColumn("_blk", F.concat_ws("|", block_text(side), F.coalesce(F.col("_b").cast("string"), F.lit("n")))).drop("_b", "n"))
 
     ok = F.lit(True)
     for c in cols:
         ok = ok & eq_semantic(F.col(f"g_{c}"), F.col(f"p_{c}"), rtol, c in gf, c in pf)
-    cand = blocked(gb, "g").join(blocked(pb, "p"), "_blk").where(ok).select("_blk", "g_id", "p_id")
-
-    tol = match_one_to_one(cand.select("g_id", "p_id").distinct())
 
-    v = (gold.agg(F.count("*").alias("gold_rows")).crossJoin(pred.agg(F.count("*").alias("pred_rows")))
-         .crossJoin(pairs.agg(F.count("*").alias("matched_exact")))
-         .crossJoin(tol.agg(F.count("*").alias("matched_tolerant"))))
-    m = F.col("matched_exact") + F.col("matched_tolerant")
-    return v.select("gold_rows", "pred_rows", "matched_exact", "matched_tolerant",
+    def edges_of(golds: DataFrame) -> DataFrame:
+        asked = g.join(golds, "g", "left_semi")
+        if num_cols:
+            x, y = _num(F.col(f"g_{num_cols[0]}")), _num(F.col(f"p_{num_cols[0]}"))
+            near = F.explode(F.array_distinct(F.array(*[bucket(x * m) + d for m in (1.0, 100.0, 0.01) for d in (-1, 0, 1)])))
+            left, right = blocked(asked, "g", near), blocked(p, "p", bucket(y))
+        else:
+            left, right = blocked(asked, "g", F.lit(0)), blocked(p, "p", F.lit(0))
+        return left.join(right, "_blk").where(ok)
+
+    gn, pn = g.select("g", "n"), p.select("p", "n")
+    exact = gn.withColumnRenamed("n", "_a").join(pn.withColumnRenamed("n", "_b"), F.col("g") == F.col("p")).select("g", "p", F.least("_a", "_b").alias("f"))
+    flow = maximum_matching(gn, pn, exact, edges_of)
+    zero = F.lit(0).cast("bigint")
+    v = (gn.agg(F.coalesce(F.sum("n"), zero).alias("gold_rows")).crossJoin(pn.agg(F.coalesce(F.sum("n"), zero).alias("pred_rows")))
+         .crossJoin(flow.agg(F.coalesce(F.sum(F.when(F.col("g") == F.col("p"), F.col("f"))), zero).alias("matched_exact"), F.coalesce(F.sum("f"), zero).alias("_m"))))
+    m = F.col("_m")
+    return v.select("gold_rows", "pred_rows", "matched_exact", (m - F.col("matched_exact")).alias("matched_tolerant"),
                     (F.col("gold_rows") - m).alias("unmatched_gold"), (F.col("pred_rows") - m).alias("unmatched_pred"),
                     ((F.col("gold_rows") == m) & (F.col("pred_rows") == m)).alias("match"),
                     (F.col("gold_rows") == m).alias("superset_match"),
                     partial_score(m, F.col("gold_rows"), F.col("pred_rows")).alias("partial_score"))
 
+
 # ---------------------------------------------------------------- alignment
 
 

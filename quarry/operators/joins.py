@@ -27,6 +27,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return df
 
 
+def spread(df: DataFrame, task_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """``df`` dealt over all cores before costly work on its rows, if it is too small to fill them by its files
+    (a file of one row group is one task); larger inputs are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    return df.repartition(cores) if size is not None and size < cores * task_bytes else df
+
+
 def semi_join_top_k(df: DataFrame, key: str, k: int, weight: str | None = None) -> DataFrame:
     """Keep rows whose ``key`` is among the top-k keys by row count.
 

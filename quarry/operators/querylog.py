@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.joins import broadcast_if_small
+from quarry.operators.joins import spread
+from quarry.session import scratch_path
 
 # Words that are never table or column names.
 SQL_KEYWORDS = [
@@ -286,96 +287,63 @@ def extract_sql(text) -> Column:
 
 # ------------------------------------------------------------------ top-k
 
-def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3, frequent_share: float = 0.01) -> DataFrame:
+def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
     """Per question, the k examples with the best combined score
     0.6*(Jaccard + min(0.05*shared keywords, 0.15)) + 0.4*pattern Jaccard,
     ties by example id.  ``questions(qid, text)``, ``examples(eid, text, sql)``.
 
-    Exact, without a question x example product.  Example tokens are split
-    into frequent ones (in more than ``frequent_share`` of the examples: stop
-    words, template words) and rare ones.  An example that shares no rare
-    token with a question scores exactly like every example with the same
-    signature Z = (frequent-token set, token count, pattern set), so per
-    (question, Z) only the first k + (#examples of Z with a rare overlap)
-    ids by id can reach the top k: those rank slots are generated and
-    equi-joined.  Examples with a rare overlap come from an inverted-index
-    join on rare tokens only and are scored one by one.  The number of
-    distinct signatures is bounded by the frequent vocabulary and pattern
-    labels, not by the number of examples.
+    Exact, through an inverted index over the classes of equal examples and
+    block bounds (``inverted_index.top_k``): only blocks that may hold a
+    better example than the k-th known one are opened.  Sides without tokens
+    score 0; examples with a null id are left out.
     """
-    from quarry.operators.ranking import ranked
-    kw = F.array(*[F.lit(x) for x in SIMILARITY_KEYWORDS])
-    q = questions.select("qid", tokens("text").alias("qt"), question_patterns_mask("text").alias("qp"))
-    q = q.withColumn("nq", F.size("qt"))
-    from pyspark import StorageLevel
-    # the example side feeds six branches (frequencies, signatures, rare
-    # pairs, ranks): tokenise / label it once
-    e = (examples.select("eid", tokens("text").alias("et"), sql_skeleton_mask("sql").alias("ep"))
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    ex = e.select("eid", F.explode("et").alias("tok"))
-    total = F.broadcast(e.agg(F.count("*").alias("_ne_total")))                       # one row
-    freq = (ex.groupBy("tok").agg(F.count("*").alias("_df")).crossJoin(total)
-            .where(F.col("_df") > F.lit(frequent_share) * F.col("_ne_total")).select("tok"))
-    freq = broadcast_if_small(freq)                # bounded: <= (avg tokens per example) / frequent_share
-    sigf = (ex.join(freq, "tok", "left_semi").groupBy("eid")
-            .agg(F.array_sort(F.collect_list("tok")).alias("fset")))
-    es = (e.join(sigf, "eid", "left")
-          .select("eid", F.coalesce("fset", F.array().cast("array<string>")).alias("fset"),
-                  F.size("et").alias("ne"), "ep"))
-    es = es.withColumn("z", F.concat_ws("|", F.array_join("fset", ","), F.col("ne").cast("string"),
-                                        F.col("ep").cast("string"))).persist(StorageLevel.MEMORY_AND_DISK)
-    zt = es.groupBy("z").agg(F.first("fset").alias("fset"), F.first("ne").alias("ne"), F.first("ep").alias("ep"))
-    # frequent part of every (question, signature): |Q| x #signatures rows
-    qz = (q.crossJoin(broadcast_if_small(zt))
-          .withColumn("finter", F.size(F.array_intersect("qt", "fset")))
-          .withColumn("fkw", F.size(F.array_intersect(F.array_intersect("qt", "fset"), kw)))
-          .withColumn("pj", mask_jaccard("qp", "ep"))
-          .select("qid", "z", "nq", "ne", "finter", "fkw", "pj"))
-
-    def score(inter, kwh):
-        jac = F.coalesce(F.try_divide(inter, F.col("nq") + F.col("ne") - inter), F.lit(0.0))
-        # an example without tokens scores 0; a question without any takes the first examples
-        return F.when((F.col("nq") == 0) | (F.col("ne") == 0), 0.0).otherwise(0.6 * (jac + F.least(kwh * 0.05, F.lit(0.15))) + 0.4 * F.col("pj"))
-
-    # examples with a rare overlap, scored one by one
-    rare = ex.join(freq, "tok", "left_anti")
-    qx = broadcast_if_small(q.select("qid", F.explode("qt").alias("tok")))
-    rpairs = (rare.join(qx, "tok").groupBy("eid", "qid")
-              .agg(F.count("*").alias("rinter"), F.count_if(F.array_contains(kw, F.col("tok"))).alias("rkw")))
-    ind = (rpairs.join(es.select("eid", "z"), "eid").join(qz, ["qid", "z"])
-           .select("qid", "eid", "z", score(F.col("rinter") + F.col("finter"), F.col("rkw") + F.col("fkw")).alias("score"))
-           .persist(StorageLevel.MEMORY_AND_DISK))   # rare-overlap pairs: few, read three times
-    # signature completion: first k + (#rare-overlap members) ids of each signature
-    r_cnt = ind.groupBy("qid", "z").agg(F.count("*").alias("r"))
-    zsize = es.groupBy("z").agg(F.count("*").alias("nz"))
-    zs = (qz.join(r_cnt, ["qid", "z"], "left").fillna(0, ["r"]).join(broadcast_if_small(zsize), "z")
-          .select("qid", "z", "r", (F.col("nz") - F.col("r")).alias("avail"),
-                  score(F.col("finter"), F.col("fkw")).alias("score")))
-    # only the best signatures can hold top-k members: walk signatures by
-    # score; theta = score of the one where the available members first
-    # reach k; everything scoring below theta is beaten k times over
-    wz = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("z"))
-    zs = zs.withColumn("_before", F.coalesce(F.sum("avail").over(wz.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    theta = zs.where(F.col("_before") < k).groupBy("qid").agg(F.min("score").alias("theta"))
-    keep = zs.join(theta, "qid").where(F.col("score") >= F.col("theta"))
-    zrank = ranked(es.select("eid", "z"), [F.col("eid")], ["z"], row_number="zrank")   # skew-safe: Z groups are big
-    slots = keep.select("qid", "z", "score", F.explode(F.sequence(F.lit(1), F.col("r") + k)).alias("zrank"))
-    zero = (slots.join(zrank, ["z", "zrank"]).join(ind.select("qid", "eid"), ["qid", "eid"], "left_anti")
-            .select("qid", "eid", "z", "score"))
-    rw = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("eid"))
-    return (ind.unionByName(zero).withColumn("rank", F.row_number().over(rw)).where(F.col("rank") <= k)
-            .select("qid", "rank", "eid", F.round("score", 6).alias("score")))
+    from quarry.operators.inverted_index import ClassTree, top_k
+    none = F.array().cast("array<string>")
+
+    def token_set(c: str) -> Column:
+        return F.array_sort(F.coalesce(tokens(c), none))
+
+    def score(nq, ne, inter, keywords, pattern):
+        jac = F.coalesce(F.try_divide(inter, nq + ne - inter), F.lit(0.0))
+        return 0.6 * (jac + F.least(keywords * 0.05, F.lit(0.15))) + 0.4 * pattern
+
+    q = questions.select("qid", token_set("text").alias("toks"), F.coalesce(question_patterns_mask("text"), F.lit(0)).alias("mask"))
+    # equal queries are tokenised once: their first k ids stand for all
+    same = Window.partitionBy("text", "sql").orderBy("eid")
+    first = examples.where(F.col("eid").isNotNull()).withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k)
+    tree = ClassTree(first.select("eid", token_set("text").alias("toks"), F.coalesce(sql_skeleton_mask("sql"), F.lit(0)).alias("mask")), k)
+    found = top_k(q, tree, F.col("tok").isin(SIMILARITY_KEYWORDS), score)
+    return found.select("qid", "rank", "eid", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------ near-duplicates
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def token_sets(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, toks): distinct tokens of each whole text, computed once and
-    persisted (MEMORY_AND_DISK) because the similarity join reads it three
-    times (document frequencies, prefixes, verification)."""
-    from pyspark import StorageLevel
-    return (df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    """(id, toks): distinct tokens of each whole text, written once because
+    the similarity join reads them three times (document frequencies,
+    prefixes, verification)."""
+    return _written(df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks")), "token-sets")
+
+
+def token_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of texts with equal, non-empty token sets: members (id, rep),
+    rep being the class's smallest id, and representatives (id, toks).
+
+    A text copied a million times is a million members and one representative;
+    rows with a null id are left out, a repeated row is one member.
+    """
+    keyed = _written(spread(df.select("id", "text")).select("id", tokens("text").alias("toks")).where(F.col("id").isNotNull() & (F.size("toks") > 0))
+                     .withColumn("key", F.sha2(F.array_join(F.array_sort("toks"), " "), 256)), "token-sets")
+    first = keyed.groupBy("key").agg(F.min("id").alias("rep"))
+    own = keyed.join(first, "key")
+    members = own.select("id", "rep").distinct()
+    return members, _written(own.where(F.col("id") == F.col("rep")).select("id", "toks").dropDuplicates(["id"]), "token-representatives")
 
 
 def token_rarity(*sets: DataFrame) -> DataFrame:
@@ -391,11 +359,10 @@ def token_rarity(*sets: DataFrame) -> DataFrame:
 def prefix_table(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
     """(id, tok, pos, n): the first |s| - ceil(t*|s|) + 1 tokens of every set
     in (df, tok) order, with their 1-based position."""
-    from pyspark import StorageLevel
     x = sets.select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(rarity, "tok")
     x = x.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "tok")))
     plen = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    return x.where(F.col("pos") <= plen).select("id", "tok", "pos", "n").persist(StorageLevel.MEMORY_AND_DISK)
+    return _written(x.where(F.col("pos") <= plen).select("id", "tok", "pos", "n"), "prefixes")
 
 
 def similar_pairs(lsets: DataFrame, lpre: DataFrame, rsets: DataFrame | None, rpre: DataFrame | None,
@@ -452,9 +419,6 @@ def later_near_copies(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     class are later copies, and only the smallest ids enter the similarity
     join, so a text copied a million times costs its rows, not their pairs.
     """
-    keyed = (token_sets(df).where(F.size("toks") > 0)
-             .withColumn("key", F.sha2(F.array_join(F.array_sort("toks"), " "), 256)))
-    first = keyed.groupBy("key").agg(F.min("id").alias("first"))
-    own = keyed.join(first, "key")
-    near = near_duplicate_pairs(own.where(F.col("id") == F.col("first")).select("id", "toks").distinct(), None, threshold, tokenized=True)
-    return own.where(F.col("id") != F.col("first")).select("id").unionByName(near.select(F.col("rid").alias("id"))).distinct()
+    members, reps = token_classes(df)
+    near = near_duplicate_pairs(reps, None, threshold, tokenized=True)
+    return members.where(F.col("id") != F.col("rep")).select("id").unionByName(near.select(F.col("rid").alias("id"))).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.operators.distincts import column_values
 from quarry.operators.joins import broadcast_if_small
 from quarry.operators.querylog import column_refs, harmonic, normalize_sql, prf1, question_class, table_refs
 from quarry.operators.windows import top_n_per_group
@@ -33,26 +34,25 @@ SELECT st.*, (SELECT count(*) FROM customer) AS n_rows, samp.samples FROM st LEF
 """)
 def p1(t: Tables):
     """Profile of every column of ``customer``: one wide aggregate (map-side
-    combined) for min/max/distinct/nulls, and the five smallest distinct
-    values per column via distinct + per-column top-5 (WindowGroupLimit)."""
+    combined) for min/max/nulls; distinct counts and the five smallest values
+    per column from one unpivoted distinct (WindowGroupLimit)."""
     c = t.customer
     cols = c.columns
     aggs = [F.count("*").alias("n_rows")]
     for x in cols:
         aggs += [F.min(x).cast("string").alias(f"{x}__min"), F.max(x).cast("string").alias(f"{x}__max"),
-                 F.countDistinct(x).alias(f"{x}__nd"),
                  F.round(100.0 * F.count_if(F.col(x).isNull()) / F.count("*"), 6).alias(f"{x}__null")]
     wide = c.agg(*aggs)
     long = wide.select("n_rows", F.inline(F.array(*[F.struct(
         F.lit(x).alias("column_name"), F.col(f"{x}__min").alias("min_value"), F.col(f"{x}__max").alias("max_value"),
-        F.col(f"{x}__nd").alias("n_distinct"), F.col(f"{x}__null").alias("null_pct")) for x in cols])))
-    vals = c.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(x).cast("string").alias("v"))
-                                       for x in cols]))).where(F.col("v").isNotNull()).distinct()
+        F.col(f"{x}__null").alias("null_pct")) for x in cols])))
+    vals = column_values(c)
     top = vals.withColumn("rn", F.row_number().over(Window.partitionBy("column_name").orderBy("v"))).where("rn <= 5")
     samp = top.groupBy("column_name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v"))), lambda s: s["v"]), "|").alias("samples"))
-    return long.join(samp, "column_name", "left").select("column_name", "min_value", "max_value", "n_distinct",
-                                                         "null_pct", "n_rows", "samples")
+    sizes = vals.groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+    return (long.join(samp, "column_name", "left").join(sizes, "column_name", "left")
+            .select("column_name", "min_value", "max_value", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"), "null_pct", "n_rows", "samples"))
 
 
 @register("P2_suspicious_results", f"""

@@ -7,13 +7,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import querylog as QL
-from quarry.operators.joins import broadcast_if_small
-from quarry.operators.querylog import (column_refs, extract_sql, harmonic, mask_values, near_duplicate_pairs, normalize_sql,
-                                       prf1, prefix_table, similar_pairs, token_rarity, token_sets, question_class, question_patterns, sql_skeleton, table_refs,
+from quarry.operators.inverted_index import read_postings, write_index
+from quarry.operators.joins import broadcast_if_small, spread
+from quarry.operators.querylog import (column_refs, extract_sql, harmonic, mask_values, normalize_sql, prf1,
+                                       prefix_table, similar_pairs, token_classes, token_rarity, question_class, question_patterns, sql_skeleton, table_refs,
                                        token_budget, tokens, top_k_similar, top_n_value)
 from quarry.operators.relational import arr_str
 from quarry.plans.querylog_bindings import QUERY_LOG_SQL, query_log
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 
 # ----------------------------------------------------------- SQL twins
@@ -190,10 +192,25 @@ SELECT tok AS token, count(*) AS df FROM (SELECT unnest({sql_tokens('text')}) AS
 """)
 def l8(t: Tables):
     """Inverted index document frequency over whole documents."""
-    return t.documents.select(F.explode(tokens("text")).alias("token")).groupBy("token") \
+    return spread(t.documents.select("text")).select(F.explode(tokens("text")).alias("token")).groupBy("token") \
         .agg(F.count("*").alias("df"))
 
 
+@register("L8_inverted_index", f"""
+SELECT tok AS token, count(*) AS df, CAST(sum(id) AS BIGINT) AS id_sum, min(id) AS first_id, max(id) AS last_id, count(DISTINCT id // 128) AS n_blocks
+FROM (SELECT DISTINCT doc_id AS id, unnest({sql_tokens('text')}) AS tok FROM documents) GROUP BY 1
+""")
+def l8_index(t: Tables):
+    """Inverted index over whole documents, written in posting blocks of 128
+    ids and read back: per token its ids and blocks."""
+    path = scratch_path(t.spark, "inverted-index")
+    write_index(spread(t.documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), tokens("text").alias("toks")), path)
+    blocks = t.spark.read.parquet(path)
+    ids = read_postings(blocks).groupBy("tok").agg(F.count("*").alias("df"), F.sum("id").alias("id_sum"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return (ids.join(blocks.groupBy("tok").agg(F.count("*").alias("n_blocks")), "tok")
+            .select(F.col("tok").alias("token"), "df", "id_sum", "first_id", "last_id", "n_blocks"))
+
+
 _KWL = "[" + ", ".join(f"'{k}'" for k in QL.SIMILARITY_KEYWORDS) + "]"
 
 
@@ -245,37 +262,55 @@ def l10(t: Tables, k: int = 3):
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "eid", "shared")
 
 
+def _classes_sql(name: str, table: str, key: str) -> str:
+    """Classes of equal token sets of a table: members and representatives."""
+    return f"""
+{name}t AS (SELECT DISTINCT {key} AS id, list_sort({sql_tokens('text')}) AS tk FROM {table} WHERE {key} IS NOT NULL),
+{name}m AS (SELECT id, tk, min(id) OVER (PARTITION BY tk) AS rep FROM {name}t WHERE len(tk) > 0),
+{name}r AS (SELECT id, tk FROM {name}m WHERE id = rep)"""
+
+
 @register("L11_leakage_audit", f"""
-WITH dt AS (SELECT doc_id AS id, {sql_tokens('text')} AS tk FROM documents),
-bt AS (SELECT item_id AS id, {sql_tokens('text')} AS tk FROM benchmark),
+WITH {_classes_sql('d', 'documents', 'doc_id')}, {_classes_sql('b', 'benchmark', 'item_id')},
 dd AS (SELECT a.id AS lid, b.id AS rid, len(list_intersect(a.tk, b.tk)) / len(list_distinct(list_concat(a.tk, b.tk))) AS j
-       FROM dt a JOIN dt b ON a.id < b.id
-       WHERE len(a.tk) > 0 AND len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
+       FROM dr a JOIN dr b ON a.id < b.id AND len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
 db AS (SELECT a.id AS lid, b.id AS rid, len(list_intersect(a.tk, b.tk)) / len(list_distinct(list_concat(a.tk, b.tk))) AS j
-       FROM dt a JOIN bt b ON len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk) WHERE len(a.tk) > 0),
-ex AS (SELECT d.doc_id AS lid, b.item_id AS rid FROM documents d JOIN benchmark b
-       ON regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g') = regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g'))
-SELECT 'doc_doc_near' AS kind, lid, rid, round(j, 6) AS jaccard FROM dd WHERE j >= 0.8
+       FROM dr a JOIN br b ON len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
+ex AS (SELECT d.doc_id AS lid, min(b.item_id) AS rid FROM documents d JOIN benchmark b
+       ON regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g') = regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g')
+       WHERE d.doc_id IS NOT NULL AND b.item_id IS NOT NULL GROUP BY d.doc_id)
+SELECT 'doc_member' AS kind, id AS lid, rep AS rid, 1.0 AS jaccard FROM dm WHERE id <> rep
+UNION ALL SELECT 'bench_member', id, rep, 1.0 FROM bm WHERE id <> rep
+UNION ALL SELECT 'doc_doc_near', lid, rid, round(j, 6) FROM dd WHERE j >= 0.8
 UNION ALL SELECT 'doc_bench_near', lid, rid, round(j, 6) FROM db WHERE j >= 0.8
 UNION ALL SELECT 'doc_bench_exact', lid, rid, 1.0 FROM ex
 """)
 def l11(t: Tables):
-    """Leakage audit: exact text matches documents x benchmark, and
-    near-duplicates (token Jaccard >= 0.8) within documents and between
-    documents and benchmark, by an exact prefix-filtered similarity join."""
+    """Leakage audit within documents and between documents and benchmark.
+
+    Texts with equal token sets are one class: ``*_member`` rows give the
+    representative (smallest id) of every other member, ``*_near`` rows the
+    pairs of representatives with token Jaccard >= 0.8, by an exact
+    prefix-filtered similarity join; the pairs of members follow from both
+    and are never written.  ``doc_bench_exact`` gives every document whose
+    whole normalised text is a benchmark item the smallest such item.
+    """
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
     b = t.benchmark.select(F.col("item_id").alias("id"), "text")
-    dt, bt = token_sets(d), token_sets(b)           # each whole text tokenised once
+    (dm, dr), (bm, br) = token_classes(d), token_classes(b)
     # one rarity order for both joins, so the documents' prefixes are built once
-    rarity = token_rarity(dt, bt)
-    dpre, bpre = prefix_table(dt, rarity, 0.8), prefix_table(bt, rarity, 0.8)
-    dd = similar_pairs(dt, dpre, None, None, 0.8).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
-    db = similar_pairs(dt, dpre, bt, bpre, 0.8).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
-    norm = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
-    ex = (d.select(F.col("id").alias("lid"), F.sha2(norm(F.col("text")), 256).alias("h"))
-          .join(b.select(F.col("id").alias("rid"), F.sha2(norm(F.col("text")), 256).alias("h")), "h")
+    rarity = token_rarity(dr, br)
+    dpre, bpre = prefix_table(dr, rarity, 0.8), prefix_table(br, rarity, 0.8)
+    dd = similar_pairs(dr, dpre, None, None, 0.8).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
+    db = similar_pairs(dr, dpre, br, bpre, 0.8).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
+    norm = lambda c: F.sha2(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), 256)
+    items = b.where("id is not null").groupBy(norm(F.col("text")).alias("h")).agg(F.min("id").alias("rid"))
+    ex = (d.where("id is not null").select(F.col("id").alias("lid"), norm(F.col("text")).alias("h")).join(items, "h").groupBy("lid").agg(F.min("rid").alias("rid"))
           .select(F.lit("doc_bench_exact").alias("kind"), "lid", "rid", F.lit(1.0).alias("jaccard")))
-    return dd.unionByName(db).unionByName(ex)
+
+    def member(m, kind):
+        return m.where("id <> rep").select(F.lit(kind).alias("kind"), F.col("id").alias("lid"), F.col("rep").alias("rid"), F.lit(1.0).alias("jaccard"))
+    return dd.unionByName(db).unionByName(ex).unionByName(member(dm, "doc_member")).unionByName(member(bm, "bench_member"))
 
 
 @register("L12_query_templates", f"""

@@ -17,7 +17,7 @@ from quarry.plans.registry import register
 from quarry.plans.workload_select import preferences
 from quarry.session import scratch_path
 from quarry.sources.delimited import read_delimited, write_delimited
-from quarry.sources.generator import generate
+from quarry.sources.generator import DEVICES, EVENT_MIX, PROPERTIES, generate
 from quarry.sources.jsonlogs import read_corpus, read_run_log
 from quarry.sources.sinks import write_batched, write_month_layout, write_report
 from quarry.sources.tables import TABLE_NAMES, Tables
@@ -197,17 +197,62 @@ def io10(t: Tables):
                                        F.col("ltv").cast("double").alias("lifetime_value"))
 
 
-@register("IO11_synthetic_generator")
+_INVARIANTS = ["devices", "event kinds", "events inside their session", "one product a part", "one user a customer", "product references", "property values", "sessions of known users", "skewed users"]
+
+
+@register("IO11_synthetic_generator", "SELECT unnest([" + ", ".join(f"'{x}'" for x in _INVARIANTS) + "]) AS invariant, true AS holds")
 def io11(t: Tables):
-    """Synthetic users/sessions/events scaled from ``customer``; returns
-    per-type event counts and the share of events inside their session span
-    (must be 1.0).  Rows-only check plus invariant tests."""
-    users, sessions, events = generate(t.customer)
-    j = events.join(sessions.select("session_id", "start_time", "duration_seconds", F.col("user_id").alias("su")),
-                    "session_id")
-    inside = ((F.col("timestamp") >= F.col("start_time")) &
-              (F.col("timestamp") < F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                                                              F.col("duration_seconds")))
-              & (F.col("user_id") == F.col("su")))
-    return j.groupBy("event_type").agg(F.count("*").alias("n_events"),
-                                       F.round(F.avg(F.when(inside, 1.0).otherwise(0.0)), 6).alias("inside_share"))
+    """Synthetic users, products, sessions and events scaled from ``customer``
+    and ``part``; one row for each property that the tables must have: links
+    between them, attributes copied from parents, shares of weighted draws
+    within four standard deviations, skew."""
+    def written(df, name):
+        path = scratch_path(t.spark, f"generated-{name}")
+        df.write.parquet(path)
+        return t.spark.read.parquet(path)
+
+    users, products, sessions, events = (written(x, n) for x, n in zip(generate(t.customer, t.part), ("users", "products", "sessions", "events")))
+    zero = F.lit(0).cast("bigint")
+
+    def shares(df, column, weights):
+        """Every weighted value's count is near what its weight says."""
+        total = sum(w for _, w in weights)
+        ok = F.count("*") == F.sum(F.when(F.col(column).isin([v for v, _ in weights]), 1).otherwise(0))
+        for v, w in weights:
+            p = w / total
+            ok = ok & (F.abs(F.count_if(F.col(column) == v) - F.count("*") * p) <= 4 * F.sqrt(F.count("*") * p * (1 - p)) + 1)
+        return df.agg(ok.alias("holds"))
+
+    def none(df):
+        return df.agg((F.count("*") == 0).alias("holds"))
+
+    j = events.join(sessions.select("session_id", "start_time", "duration_seconds", F.col("user_id").alias("su"), F.col("device_type").alias("sd"), F.col("country_id").alias("sc")), "session_id", "left")
+    inside = ((F.col("timestamp") >= F.col("start_time")) & (F.col("user_id") == F.col("su")) & (F.col("device_type") == F.col("sd")) & F.col("country_id").eqNullSafe(F.col("sc"))
+              & (F.col("timestamp") < F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("duration_seconds"))))
+    buys = events.where("event_type = 'purchase'").select(F.col("properties")["product_id"].cast("bigint").alias("product_id"))
+    allowed = F.lit(False)
+    for kind, names in PROPERTIES.items():
+        fine = F.col("event_type") == kind
+        for name, values in names.items():
+            fine = fine & F.col("properties")[name].isin(values)
+        if kind == "purchase":
+            fine = fine & F.col("properties")["quantity"].cast("int").between(1, 5) & F.col("properties")["amount"].cast("double").between(5, 500)
+        else:
+            fine = fine & ~F.map_contains_key("properties", F.lit("product_id"))
+        allowed = allowed | fine
+    per_user = sessions.groupBy("user_id").agg(F.count("*").alias("n"))
+    many = users.agg(F.count("*").alias("users")).crossJoin(per_user.agg(F.coalesce(F.max("n"), zero).alias("most"), F.coalesce(F.sum("n"), zero).alias("all")))
+    same = lambda a, b, key: (a.agg(F.count("*").alias("a")).crossJoin(b.agg(F.count("*").alias("b"))).crossJoin(a.agg(F.count_distinct(key).alias("d")))
+                              .select(((F.col("a") == F.col("b")) & (F.col("a") == F.col("d"))).alias("holds")))
+    found = {
+        "one user a customer": same(users, t.customer, "user_id"), "one product a part": same(products, t.part, "product_id"),
+        "sessions of known users": none(sessions.join(users, "user_id", "left_anti")), "events inside their session": none(j.where(~F.coalesce(inside, F.lit(False)))),
+        "product references": none(buys.join(products, "product_id", "left_anti")), "property values": none(events.where(~F.coalesce(allowed, F.lit(False)))),
+        "event kinds": shares(events, "event_type", EVENT_MIX), "devices": shares(sessions, "device_type", DEVICES),
+        "skewed users": many.select((F.col("most") * F.col("users") >= 5 * F.col("all")).alias("holds")),
+    }
+    out = None
+    for name, row in found.items():
+        row = row.select(F.lit(name).alias("invariant"), "holds")
+        out = row if out is None else out.unionByName(row)
+    return out

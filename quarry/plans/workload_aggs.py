@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import or_zero, pct, ratio
+from quarry.operators.distincts import (SKETCH_ERROR, count_bitmaps, distinct_if, estimate_sketches,
+                                        write_distinct_bitmaps, write_distinct_sketches)
 from quarry.operators.ranking import exact_quantiles, null_safe_join, ranked
 from quarry.operators.relational import arr_str
 from quarry.operators.windows import top_n_per_group
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 
 
@@ -94,14 +97,50 @@ SELECT CAST(ts AS DATE) AS day,
 FROM events GROUP BY day
 """)
 def a8(t: Tables):
-    e = t.events
+    """One (day, user) row with flags, no copy of a row per count."""
+    kind = F.col("event_type")
+    e = t.events.select(F.to_date("ts").alias("day"), "user_id", "event_type")
+    return distinct_if(e, ["day"], "user_id", {"viewers": kind == "view", "clickers": kind == "click", "purchasers": kind == "purchase"})
+
+
+_PERIODS = "(VALUES ('day'), ('week'), ('month')) AS g(grain)"
+_PERIOD_SQL = "CAST(date_trunc(grain, ts) AS DATE)"
+
 
-    def users_if(kind):
-        return F.countDistinct(F.when(e.event_type == kind, e.user_id))
+def _by_period(daily):
+    """Rows of days as rows of days, ISO weeks and months."""
+    return daily.select("*", F.inline(F.array(*[F.struct(F.lit(g).alias("grain"), F.to_date(F.date_trunc(g, "day")).alias("period")) for g in ("day", "week", "month")])))
 
-    return e.groupBy(F.to_date("ts").alias("day")).agg(users_if("view").alias("viewers"),
-                                                       users_if("click").alias("clickers"),
-                                                       users_if("purchase").alias("purchasers"))
+
+@register("A8_distinct_rollup", f"""
+SELECT grain, {_PERIOD_SQL} AS period, event_type, count(DISTINCT user_id) AS users
+FROM events, {_PERIODS} WHERE user_id IS NOT NULL GROUP BY ALL
+""")
+def a8_rollup(t: Tables):
+    """Exact distinct users of every day, week and month by kind of event,
+    all from one stored set of bitmaps a day: weeks and months are ORs of
+    days, the events are read once."""
+    path = scratch_path(t.spark, "user-bitmaps")
+    write_distinct_bitmaps(t.events.where("user_id is not null").select(F.to_date("ts").alias("day"), "event_type", "user_id"), ["day", "event_type"], "user_id", path)
+    return count_bitmaps(_by_period(t.spark.read.parquet(path)), ["grain", "period", "event_type"], "users")
+
+
+@register("A5_sketch_rollup", f"""
+SELECT grain, {_PERIOD_SQL} AS period, count(DISTINCT user_id) AS exact_users, true AS within_bound
+FROM events, {_PERIODS} WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL
+""")
+def a5_rollup(t: Tables):
+    """Approximate distinct users of every day, week and month from one stored
+    sketch a day, held against the exact numbers: ``within_bound`` says that
+    the estimate is within three standard errors (and half a user)."""
+    e = t.events.where("user_id is not null and ts is not null").select(F.to_date("ts").alias("day"), "user_id")
+    sketches, bitmaps = scratch_path(t.spark, "user-sketches"), scratch_path(t.spark, "user-bitmaps")
+    write_distinct_sketches(e, ["day"], "user_id", sketches)
+    write_distinct_bitmaps(e, ["day"], "user_id", bitmaps)
+    estimate = estimate_sketches(_by_period(t.spark.read.parquet(sketches)), ["grain", "period"], "estimate")
+    exact = count_bitmaps(_by_period(t.spark.read.parquet(bitmaps)), ["grain", "period"], "exact_users")
+    close = F.abs(F.col("estimate") - F.col("exact_users")) <= 3 * SKETCH_ERROR * F.col("exact_users") + 0.5
+    return exact.join(estimate, ["grain", "period"]).select("grain", "period", "exact_users", close.alias("within_bound"))
 
 
 @register("A9_quantiles", """

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct, ratio, start_of_month, start_of_week
+from quarry.operators.distincts import distinct_if
 from quarry.operators.joins import semi_join_top_k
 from quarry.operators.ranking import ranked, shifted
 from quarry.operators.timeseries import calendar_counts, session_table, sessionize
@@ -73,8 +74,8 @@ def r4(t: Tables):
     c = _cohorts(t)
     act = t.orders.select(F.col("o_custkey").alias("a_cust"), start_of_month("o_orderdate").alias("am")).distinct()
     j = c.join(act, (F.col("a_cust") == F.col("o_custkey")) & (F.col("am") == F.add_months("cohort_month", 1)), "left")
-    g = j.groupBy("cohort_month").agg(F.countDistinct("o_custkey").alias("cohort_size"),
-                                      F.countDistinct("a_cust").alias("retained_users"))
+    # a cohort row is one customer and an activity row one customer's month, so rows count customers
+    g = j.groupBy("cohort_month").agg(F.count("o_custkey").alias("cohort_size"), F.count("a_cust").alias("retained_users"))
     return g.withColumn("retention_pct", F.round(pct("retained_users", "cohort_size"), 2))
 
 
@@ -211,12 +212,8 @@ GROUP BY u.country
 def r13(t: Tables):
     e = t.events.where(F.col("user_id").isNotNull()).select("user_id", "event_type")
     j = e.join(t.users.select("user_id", "country"), "user_id")
-
-    def stage(kind):
-        return F.countDistinct(F.when(F.col("event_type") == kind, F.col("user_id")))
-
-    return j.groupBy("country").agg(stage("view").alias("visitors"), stage("click").alias("clickers"),
-                                    stage("signup").alias("signups"), stage("purchase").alias("purchasers"))
+    kind = F.col("event_type")
+    return distinct_if(j, ["country"], "user_id", {"visitors": kind == "view", "clickers": kind == "click", "signups": kind == "signup", "purchasers": kind == "purchase"})
 
 
 _SESSIONS_ORACLE = """

@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators.compare import (align_columns, eq_exact, eq_semantic, multiset_compare, ordered_compare,
-                                      tolerant_compare)
+from quarry.operators.compare import (align_columns, eq_exact, eq_semantic, maximum_matching, multiset_compare,
+                                      ordered_compare, tolerant_compare)
 
 
 def _cell(spark, a, b, semantic=False, ta="string", tb="string"):
@@ -161,3 +161,71 @@ def test_tolerant_match_finds_all_of_400(spark):
     a, b = [(i * 1000, "x") for i in range(300)], [(i * 1000, "X") for i in range(1, 300)] + [(999_999_999, "x")]
     r = tolerant_compare(spark.createDataFrame(a, "n long, s string"), spark.createDataFrame(b, "n long, s string")).first()
     assert not r["match"] and r["unmatched_gold"] == 1 == r["unmatched_pred"]
+
+
+def _kuhn(n_left, edges):
+    """Size of a maximum matching of left nodes 0..n-1 with ``edges[i]``: augmenting paths one by one."""
+    owner = {}
+
+    def place(i, seen):
+        for j in edges[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(n_left))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 5])
+def test_matching_is_maximum(spark, seed):
+    """Random pairs between rows with copies, started from any valid matching."""
+    r = random.Random(seed)
+    gold = {f"g{i}": r.choice([1, 1, 2, 5]) for i in range(12)}
+    pred = {f"p{i}": r.choice([1, 1, 2, 4]) for i in range(12)}
+    if seed == 5:  # one row with many copies against many rows, both ways
+        gold, pred = {"g0": 40, **{f"g{i}": 1 for i in range(1, 30)}}, {"p0": 5, **{f"p{i}": 1 for i in range(1, 40)}}
+        pairs = [("g0", f"p{i}") for i in range(40)] + [(f"g{i}", "p0") for i in range(30)]
+    else:
+        pairs = [(g, p) for g in gold for p in pred if r.random() < (0.12 if seed % 2 else 0.2)]
+    start, left, right = [], dict(gold), dict(pred)
+    for g, p in r.sample(pairs, len(pairs) // 3):
+        f = min(left[g], right[p])
+        if f:
+            start.append((g, p, f))
+            left[g] -= f
+            right[p] -= f
+    edge = spark.createDataFrame([*pairs, ("none", "none")], "g string, p string")
+    flow = maximum_matching(spark.createDataFrame([*gold.items()], "g string, n long"), spark.createDataFrame([*pred.items()], "p string, n long"),
+                            spark.createDataFrame(start, "g string, p string, f long"), lambda golds: edge.join(golds, "g", "left_semi")).collect()
+    copies = [(g, i) for g, n in gold.items() for i in range(n)]
+    edges = [[(p, j) for p, n in pred.items() if (g, p) in set(pairs) for j in range(n)] for g, _ in copies]
+    assert sum(x["f"] for x in flow) == _kuhn(len(copies), edges)
+    assert {(x["g"], x["p"]) for x in flow} <= set(pairs) and all(x["f"] > 0 for x in flow)
+    for side, have in (("g", gold), ("p", pred)):
+        for key, n in have.items():
+            assert sum(x["f"] for x in flow if x[side] == key) <= n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tolerant_match_is_maximum(spark, seed):
+    """Values closer than the tolerance to several others, with copies: exact pairs have to give way."""
+    r = random.Random(seed)
+    gold = [("a", 1000.0 + 0.03 * r.randint(0, 40)) for _ in range(40)] + [("b", None)] * 3
+    pred = [("A", 1000.0 + 0.03 * r.randint(0, 40)) for _ in range(38)] + [("B", float("nan"))] * 2
+    df = [spark.createDataFrame(x, "s string, x double") for x in (gold, pred)]
+    got = tolerant_compare(*df).first()
+    near = [[j for j, (s, y) in enumerate(pred) if s.lower() == t and ((x is None and s == "B") or (x is not None and s == "A" and abs(x - y) <= 1e-4 * max(abs(x), abs(y), 1.0)))]
+            for t, x in gold]
+    assert got["matched_exact"] + got["matched_tolerant"] == _kuhn(len(gold), near)
+
+
+def test_exact_pairs_give_way(spark):
+    gold = spark.createDataFrame([("k", 1000.0), ("k", 1000.08)], "s string, x double")
+    pred = spark.createDataFrame([("k", 1000.0), ("k", 999.92)], "s string, x double")
+    r = tolerant_compare(gold, pred).first()
+    assert r["match"] and (r["matched_exact"], r["matched_tolerant"]) == (0, 2)
+    r = tolerant_compare(gold.where("false"), pred).first()
+    assert (r["gold_rows"], r["unmatched_pred"], r["match"], r["superset_match"], r["partial_score"]) == (0, 2, False, True, 0.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import boundary_diff, iso_weekday, start_of_week
 from quarry.operators.timeseries import session_table
 from quarry.session import scratch_path
-from quarry.sources.generator import generate
+from quarry.sources.generator import alias_table, generate
 from quarry.sources.jsonlogs import read_corpus
 
 
@@ -32,15 +32,29 @@ def test_date_semantics(spark):
 
 
 def test_generator_invariants(spark):
-    cust = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
-    users, sessions, events = generate(cust)
-    assert users.count() == cust.count()
+    cust, part = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("customer", "part"))
+    users, products, sessions, events = generate(cust, part)
+    assert users.count() == cust.count() and products.count() == part.count()
     j = events.join(sessions.select("session_id", "start_time", "duration_seconds", F.col("user_id").alias("su")),
                     "session_id")
     bad = j.where((F.col("timestamp") < F.col("start_time")) | (F.col("user_id") != F.col("su"))).count()
     assert bad == 0
     mix = {r["event_type"]: r["count"] for r in events.groupBy("event_type").count().collect()}
     assert mix["page_view"] > mix["click"] > mix["purchase"]
+    again = generate(cust, part)[3]
+    assert sorted(map(str, events.collect())) == sorted(map(str, again.collect()))
+    empty = generate(cust.where("false"), part.where("false"))
+    assert [df.count() for df in empty] == [0, 0, 0, 0]
+
+
+def test_alias_table_keeps_weights():
+    for weights in ([1], [60, 25, 10, 3, 2], [5, 5, 5], [0, 1, 0, 7], [1e-9, 1]):
+        keep, other = alias_table(weights)
+        got = [0.0] * len(weights)
+        for i, (k, o) in enumerate(zip(keep, other)):
+            got[i] += k / len(weights)
+            got[o] += (1 - k) / len(weights)
+        assert all(abs(g - w / sum(weights)) < 1e-12 for g, w in zip(got, weights))
 
 
 def test_corpus_both_roots(spark):
