@@ -5,10 +5,12 @@ occurs ``support`` times in all occurs more than ``floor((support - 1) * w)``
 times in some shard, ``w`` being the shard's share of all words, because
 these floors add up to less than ``support``.  So every shard is mined
 completely at that lowered support, level by level (a phrase is looked at
-only where the shorter phrases in it are locally frequent somewhere): tasks
-count hashed phrases of their part of a shard, the parts meet by shard and
-phrase, and infrequent ones go.  The union of the locally frequent phrases
-is then counted exactly over all documents, as text.
+only where the shorter phrases in it are frequent): tasks count hashed
+phrases of their part of a shard, the parts meet by phrase with a sum a
+shard, and a phrase goes on if it is locally frequent in some shard and the
+shards do not already show that all its occurrences are too few.  The union
+of these phrases, and the words that they begin and end with, are then
+counted exactly over all documents, as text.
 
 Between the passes the union travels as a sieve, a table of at most
 ``SIEVE_BITS`` bits: a phrase it holds by chance costs a row and is dropped
@@ -42,10 +44,9 @@ BLOCK_BYTES = 1 << 20
 SIEVE_BITS = 1 << 27
 #: entries that a task gathers before it passes them on
 _GATHER = 1 << 20
-_PHRASES = 400_000
-#: shards at most: the upper four bits of a key
+#: phrases that a task of the exact count holds at most
+_PHRASES = 1_000_000
 MAX_SHARDS = 8
-_MASK = np.uint64((1 << 60) - 1)
 _PIECE, _SPACE = 10, 32
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else _PIECE if c in b".,;:!?\x0a\x0b\x0c\x0d" else _SPACE if c in b" \t" else c for c in range(256))
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -153,31 +154,37 @@ def _held(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class _Counts:
-    """Counts by key, passed on when many are gathered."""
+    """Counts by (key, shard), passed on when many are gathered."""
 
-    def __init__(self):
-        self.keys, self.n, self.size = [], [], 0
+    def __init__(self, shards: int):
+        self.keys, self.n, self.size = [[] for _ in range(shards)], [[] for _ in range(shards)], 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, shard: int, keys: np.ndarray) -> None:
         u, n = np.unique(keys, return_counts=True)
-        self.keys.append(u)
-        self.n.append(n)
+        self.keys[shard].append(u)
+        self.n[shard].append(n)
         self.size += len(u)
 
-    def merged(self) -> pd.DataFrame:
-        keys, n = np.concatenate(self.keys), np.concatenate(self.n)
-        u, at = np.unique(keys, return_inverse=True)
-        return pd.DataFrame({"key": u.view(np.int64), "c": np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)})
+    def merged(self) -> Iterator[pd.DataFrame]:
+        for shard, (keys, n) in enumerate(zip(self.keys, self.n)):
+            if keys:
+                u, at = np.unique(np.concatenate(keys), return_inverse=True)
+                yield pd.DataFrame({"key": u.view(np.int64), "shard": np.int8(shard), "c": np.bincount(at, weights=np.concatenate(n), minlength=len(u)).astype(np.int64)})
+
 
+def _local_counts(lengths: tuple[int, ...], sieve, shards: int):
+    """Counts of (phrase, shard) in a task.
 
-def _local_counts(lengths: tuple[int, ...], sieve):
-    """Counts of (shard, phrase) in a task.  ``sieve``: the shorter phrases that may be frequent, of ``min(lengths) - 1`` words."""
+    ``sieve``: the shorter phrases that may be frequent, of ``min(lengths) - 1``
+    words; where these are pairs, their words come along under the number of
+    shards as shard, each once a batch.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = _Counts()
+        counts = _Counts(shards + 1)
         for pdf in batches:
-            lang, shard = _lang_hashes(pdf), pdf["shard"].to_numpy().astype(np.uint64)
+            lang, shard = _lang_hashes(pdf), pdf["shard"].to_numpy()
             for words, ids in _word_batches(pdf):
-                langs, shards = lang[ids], shard[ids] << np.uint64(60)
+                langs, of = lang[ids], shard[ids][words.row]
                 part = min(lengths) - 1
                 good = _held(sieve.value, words.keys(part, langs)) if part else None
                 for k in lengths:
@@ -188,47 +195,59 @@ def _local_counts(lengths: tuple[int, ...], sieve):
                             fine &= good[at + j]
                         at = at[fine]
                     if len(at):
-                        counts.add((words.keys(k, langs)[at] & _MASK) | shards[words.row[at]])
+                        keys, mine = words.keys(k, langs)[at], of[at]
+                        for s in np.unique(mine):
+                            counts.add(int(s), keys[mine == s])
+                if part == 2:
+                    at = words.phrases(2)
+                    at = at[good[at]]
+                    if len(at):
+                        counts.add(shards, words.keys(1, langs)[np.unique(np.concatenate([at, at + 1]))])
                 if counts.size > _GATHER:
-                    yield counts.merged()
-                    counts = _Counts()
-        if counts.size:
-            yield counts.merged()
+                    yield from counts.merged()
+                    counts = _Counts(shards + 1)
+        yield from counts.merged()
     return run
 
 
-def _sieve(spark, frequent: DataFrame):
-    """Broadcast bit table of the keys (without their shard), 32 bits for a key up to ``SIEVE_BITS`` in all."""
+def _sieve(frequent: DataFrame):
+    """Broadcast bit table of the keys, 32 bits for a key up to ``SIEVE_BITS`` in all."""
     bits = min(SIEVE_BITS, max(1 << 12, 1 << int(frequent.count() * 32).bit_length()))
     slots = (frequent.select((F.col("key").bitwiseAND(F.lit(bits - 1))).alias("bit"))
              .groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
              .toPandas())  # at most bits / 64 rows
     table = np.zeros(bits // 64, dtype=np.uint64)
     table[slots["slot"].to_numpy(dtype=np.int64)] = slots["v"].to_numpy(dtype=np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(table)
+    return frequent.sparkSession.sparkContext.broadcast(table)
 
 
-def mine_shards(src: DataFrame, support: int) -> dict[int, object]:
-    """Sieves of the locally frequent phrases by length; 3 and 4 words share one."""
+def mine_shards(src: DataFrame, support: int, shards: int) -> dict[int, object]:
+    """Sieves of the candidates by length (3 and 4 words share one); for single words, those that candidates begin or end with."""
     spark = src.sparkSession
 
-    def counted(lengths, sieve=None):
-        return src.mapInPandas(_local_counts(lengths, sieve), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    def counted(lengths, sieve=None) -> DataFrame:
+        per_shard = [F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("c"))), F.lit(0)).alias(f"c{s}") for s in range(shards + 1)]
+        return src.mapInPandas(_local_counts(lengths, sieve, shards), "key long, shard byte, c long").groupBy("key").agg(*per_shard)
 
-    def written(df, name):
+    def written(df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(spark, name)
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    shard = F.shiftrightunsigned("key", 60)
     words = written(counted((1,)), "phrases-1")
-    totals = {r["s"]: r["c"] for r in words.groupBy(shard.alias("s")).agg(F.sum(F.col("c").cast("decimal(38,0)")).alias("c")).collect()}
-    whole = int(sum(totals.values())) or 1
-    limits = F.array(*[F.lit((support - 1) * int(totals.get(s, 0)) // whole + 1) for s in range(MAX_SHARDS)])
-    local = F.col("c") >= limits[shard.cast("int")]
-    sieves = {1: _sieve(spark, words.where(local))}
-    sieves[2] = _sieve(spark, written(counted((2,), sieves[1]).where(local), "phrases-2"))
-    sieves[3] = sieves[4] = _sieve(spark, written(counted((3, 4), sieves[2]).where(local), "phrases-3-4"))
+    sizes = words.agg(*[F.sum(F.col(f"c{s}").cast("decimal(38,0)")) for s in range(shards)]).first()
+    whole = int(sum(x or 0 for x in sizes)) or 1
+    local, total = F.lit(False), F.lit(0)
+    for s, size in enumerate(sizes):
+        local = local | (F.col(f"c{s}") >= (support - 1) * int(size or 0) // whole + 1)
+        total = total + F.col(f"c{s}")
+    candidate = local & (total >= support)
+    pairs = written(counted((2,), _sieve(words.where(candidate).select("key"))).where(candidate).select("key"), "phrases-2")
+    sieves = {2: _sieve(pairs)}
+    ends = F.col(f"c{shards}") > 0
+    longer = written(counted((3, 4), sieves[2]).where(candidate | ends).select("key", ends.alias("word")), "phrases-3-4")
+    sieves[1] = _sieve(longer.where("word").select("key"))
+    sieves[3] = sieves[4] = _sieve(longer.where("not word").select("key"))
     return sieves
 
 
@@ -238,19 +257,19 @@ def _exact_counts(sieves):
         totals: dict[str, int] = {}
         known = _Known()
         for pdf in batches:
-            lang, names = _lang_hashes(pdf), pdf["lang"].tolist()
+            lang, names = _lang_hashes(pdf), pdf["lang"].to_numpy()
             for words, ids in _word_batches(pdf, second=True):
-                langs = lang[ids]
+                langs, called = lang[ids], names[ids]
                 fresh = np.bincount(words.row[words.repeated:], minlength=len(ids))
                 for i in np.flatnonzero(fresh):
-                    totals[names[ids[i]]] = totals.get(names[ids[i]], 0) + int(fresh[i])
+                    totals[called[i]] = totals.get(called[i], 0) + int(fresh[i])
                 for k in range(1, LONGEST + 1):
                     at = words.phrases(k)
                     keys = words.keys(k, langs)[at] if len(at) else np.zeros(0, np.uint64)
                     held = _held(sieves[k].value, keys)
                     at, keys = at[held], keys[held]
                     if len(at):
-                        yield from known.add(words, k, at, keys, words.keys(k, langs, words.other)[at], lambda i, w=words, d=ids: names[d[w.row[i]]])
+                        yield from known.add(words, k, at, keys, words.keys(k, langs, words.other)[at], called)
                 if len(known.keys) > _PHRASES:
                     yield known.rows()
                     known = _Known()
@@ -268,9 +287,11 @@ class _Known:
         self.keys = np.zeros(0, np.uint64)
         self.others = np.zeros(0, np.uint64)
         self.f = np.zeros(0, np.int64)
-        self.names = np.zeros((0, 3), dtype=object)  # lang, k, phrase
+        self.k = np.zeros(0, np.int8)
+        self.lang = np.zeros(0, dtype=object)
+        self.phrase = np.zeros(0, dtype=object)
 
-    def add(self, words: Words, k: int, at, keys, others, lang_of) -> Iterator[pd.DataFrame]:
+    def add(self, words: Words, k: int, at, keys, others, langs: np.ndarray) -> Iterator[pd.DataFrame]:
         u, first, back = np.unique(keys, return_index=True, return_inverse=True)
         alike = others == others[first][back]
         place = np.searchsorted(self.keys, u)
@@ -281,33 +302,30 @@ class _Known:
         alike &= ~clash[back]
         if not alike.all():  # two phrases of one 64-bit hash: passed on one by one
             odd = at[~alike]
-            yield pd.DataFrame({"lang": [lang_of(i) for i in odd], "k": k, "phrase": [words.text(i, k) for i in odd], "f": 1})
+            yield pd.DataFrame({"lang": langs[words.row[odd]], "k": k, "phrase": [words.text(i, k) for i in odd], "f": 1})
         n = np.bincount(back[alike], minlength=len(u))
         self.f[place[seen]] += n[seen]
         new = np.flatnonzero(~seen)
         if len(new):
-            names = np.empty((len(new), 3), dtype=object)
-            for j, i in enumerate(at[first[new]]):
-                names[j] = lang_of(i), k, words.text(i, k)
-            keys = np.concatenate([self.keys, u[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys = keys[order]
-            self.others = np.concatenate([self.others, others[first[new]]])[order]
-            self.f = np.concatenate([self.f, n[new]])[order]
-            self.names = np.concatenate([self.names, names])[order]
+            where = at[first[new]]
+            phrase = np.empty(len(new), dtype=object)
+            phrase[:] = [words.text(i, k) for i in where.tolist()]
+            to = place[new]  # u is sorted, so these places keep the order
+            for name, values in (("keys", u[new]), ("others", others[first[new]]), ("f", n[new]), ("k", k), ("lang", langs[words.row[where]]), ("phrase", phrase)):
+                setattr(self, name, np.insert(getattr(self, name), to, values))
 
     def rows(self) -> pd.DataFrame:
-        return pd.DataFrame({"lang": self.names[:, 0], "k": self.names[:, 1].astype(np.int64), "phrase": self.names[:, 2], "f": self.f})
+        return pd.DataFrame({"lang": self.lang, "k": self.k, "phrase": self.phrase, "f": self.f})
 
 
 def phrase_counts(docs: DataFrame, support: int = 30, shards: int = 4) -> DataFrame:
-    """lang, k, phrase, f: every phrase of 1 to 4 words with f >= support, and k = 0 with the number of words of each lang."""
+    """lang, k, phrase, f: every phrase of 2 to 4 words with f >= support, the words that they begin and end with, and k = 0 with the number of words of each lang."""
     if not 1 <= shards <= MAX_SHARDS:
         raise ValueError(f"shards must be 1 to {MAX_SHARDS}")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     src = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lang_key"), F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int").alias("shard"),
                       F.col("text").cast("binary").alias("text"))
-    sieves = mine_shards(src.select("lang_key", "shard", "text"), support)
+    sieves = mine_shards(src.select("lang_key", "shard", "text"), support, shards)
     return (src.select("lang", "lang_key", "text").mapInPandas(_exact_counts(sieves), "lang string, k int, phrase binary, f long")
             .groupBy("lang", "k", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("f").alias("f"))
             .where((F.col("f") >= support) | (F.col("k") == 0)))

@@ -121,7 +121,7 @@ def test_memory_of_a_long_text():
     pdf = pd.DataFrame({"lang": ["en"], "lang_key": [1], "shard": [0], "text": [text.encode()]})
     tracemalloc.start()
     total = 0
-    for part in co._local_counts((1,), None)([pdf]):
+    for part in co._local_counts((1,), None, 1)([pdf]):
         total += part["c"].sum()
     none = SimpleNamespace(value=np.zeros(64, np.uint64))
     for part in co._exact_counts({k: none for k in (1, 2, 3, 4)})([pdf]):
