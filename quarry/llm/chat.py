@@ -19,8 +19,9 @@ Status: ``ok``; for calls ``unknown_tool``, ``invalid_arguments``,
 ``missing_dependency``, ``unanswered``; for results ``orphan_result``.
 Null or empty texts are ordinary empty messages, a null role is ``unknown``,
 a null conv_id is a conversation of its own kind (joined null-safe).  A
-repeated result row stays a row; a repeated call row is a duplicate.  Extra
-columns are ignored.
+repeated result row stays a row; a repeated call row is a duplicate.  A lone
+surrogate in escaped JSON becomes a question mark.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +41,14 @@ _PARSED = ("conv_id long, turn long, role string, kind string, place int, call_i
 _TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
 
 
+def _sound(text: str) -> str:
+    """The text with every lone surrogate, which JSON may escape and UTF-8 cannot hold, as a question mark."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
 def canonical(value) -> str:
-    """Canonical JSON; raises ValueError for non-finite numbers."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Canonical JSON; raises ValueError for non-finite numbers (and numbers beyond a double's range)."""
+    return _sound(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def schema_problem(value, schema: dict, at: str = "$") -> str | None:
@@ -82,7 +88,7 @@ def _needs(value) -> set[str]:
         v = stack.pop()
         if isinstance(v, dict):
             if set(v) == {"$result"}:
-                found.add(str(v["$result"]))
+                found.add(_sound(str(v["$result"])))
             else:
                 stack.extend(v.values())
         elif isinstance(v, list):
@@ -108,13 +114,13 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         content = v.get("content")
         try:
             content = content if isinstance(content, str) else canonical(content)
-        except ValueError:
+        except (ValueError, RecursionError):
             return [blank]
-        return [blank | {"kind": "result", "call_id": str(v["tool_call_id"]), "content": content}]
+        return [blank | {"kind": "result", "call_id": _sound(str(v["tool_call_id"])), "content": _sound(content)}]
     if role == "assistant" and (v := _object(text, "tool_calls")) is not None and isinstance(v["tool_calls"], list):
         items = []
         if v.get("content"):
-            items.append(blank | {"content": str(v["content"])})
+            items.append(blank | {"content": _sound(str(v["content"]))})
         for k, call in enumerate(v["tool_calls"]):
             call = call if isinstance(call, dict) else {}
             name, args, problem = call.get("name"), call.get("arguments"), None
@@ -123,14 +129,14 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
                     args = json.loads(args)
                 except (ValueError, RecursionError):
                     problem = "invalid_arguments"
-            name = None if name is None else str(name)
+            name = None if name is None else _sound(str(name))
             if problem is None:
                 problem = "unknown_tool" if name not in schemas else "invalid_arguments" if schema_problem(args, schemas[name]) else None
             try:
-                text_args = canonical(args)
-            except ValueError:
+                text_args = canonical([[[args]]])[3:-3]  # as deep as it will lie in a line
+            except (ValueError, RecursionError):
                 text_args, problem = "null", "invalid_arguments"
-            items.append(blank | {"kind": "call", "place": k + 1, "call_id": None if call.get("id") is None else str(call["id"]), "name": name,
+            items.append(blank | {"kind": "call", "place": k + 1, "call_id": None if call.get("id") is None else _sound(str(call["id"])), "name": name,
                                   "arguments": text_args, "content": "", "problem": problem, "needs": sorted(_needs(args))})
         return items or [blank]
     return [blank]

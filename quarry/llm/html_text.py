@@ -36,8 +36,9 @@ _VOID = set("area base br col embed hr img input link meta param source track wb
 _RAW = set("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
              "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROP = set("head script style noscript template nav aside footer form button select option textarea input label fieldset iframe object embed svg canvas math audio video map "
-            "dialog menu title xmp noembed noframes datalist".split())
+_DROP = set("head script style template nav aside footer form button select option textarea input iframe menu title noembed noframes".split())
+#: dropped around the article, kept in it
+_DROP_OUTSIDE = set("noscript label fieldset object svg canvas math audio video map dialog datalist xmp".split())
 _PLAIN = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption b i em strong a span code sub sup small u q cite abbr time br".split())
 # elements whose start ends an open one, up to the named containers
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -45,11 +46,11 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _P_SCOPE = {"table", "td", "th", "caption", "object", "button", "html", "body", "article", "section", "div", "li", "blockquote"}
 _WORDS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification popup "
-             "modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond "
-             "share sharing social related recommended widget masthead toolbar skip paywall login".split())
+             "modal sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments disqus reply replies respond".split())
 # names of reader comments, dropped even where they hold articles or headings of their own
 _COMMENTS = re.compile(r"(?:^|\s)(?:user-?|reader-?)?(?:comments?(?:-?(?:list|section|area|thread|wrapper|block|container))?|disqus\S*|repl(?:y|ies)(?:-\S*)?|respond)(?=\s|$)", re.I)
-_OUTSIDE_ARTICLE = set("header footer top bottom copyright legal".split())
+_OUTSIDE_ARTICLE = set("header footer top bottom copyright legal overlay newsletter subscribe subscription signup share sharing social related recommended widget masthead toolbar "
+                       "skip paywall login".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -61,18 +62,88 @@ class Node:
         self.hash, self.size, self.holds_main = b"", 0, False
 
 
+#: scopes that a start tag asks: tags counted, and tags inside which counting begins anew
+_SCOPES = {"p": ({"p"}, _P_SCOPE), **_CLOSES}
+_AFFECTS = {tag: [(name, tag in stop, tag in ends) for name, (ends, stop) in _SCOPES.items() if tag in stop or tag in ends]
+            for tag in set().union(*(ends | stop for ends, stop in _SCOPES.values()))}
+_OUTER = ("article", "main", "body", "html")
+
+
+class _Open:
+    """Open elements of a page.  Counts per scope tell whether a tag ends anything, so a stray tag costs
+    nothing, and elements are only walked over to be closed."""
+
+    def __init__(self, root: Node):
+        self.path = [root]
+        self.counts: dict[str, list[int]] = {name: [0] for name in _SCOPES}
+        self.total: dict[str, int] = {}
+        self.in_block: list[dict[str, int]] = [{}]  # inline elements since the last block
+        self.in_article: list[dict[str, int]] = [{}]  # elements since the last article or main
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.path.append(node)
+        for name, stop, ends in _AFFECTS.get(tag, ()):
+            if ends:
+                self.counts[name][-1] += 1
+            if stop:
+                self.counts[name].append(0)
+        self.total[tag] = self.total.get(tag, 0) + 1
+        self.in_article[-1][tag] = self.in_article[-1].get(tag, 0) + 1
+        if tag in ("article", "main"):
+            self.in_article.append({})
+        if tag in _BLOCK:
+            self.in_block.append({})
+        else:
+            self.in_block[-1][tag] = self.in_block[-1].get(tag, 0) + 1
+
+    def pop(self) -> Node:
+        node = self.path.pop()
+        tag = node.tag
+        for name, stop, ends in _AFFECTS.get(tag, ()):
+            if stop:
+                self.counts[name].pop()
+            if ends:
+                self.counts[name][-1] -= 1
+        self.total[tag] -= 1
+        if tag in ("article", "main"):
+            self.in_article.pop()
+        self.in_article[-1][tag] -= 1
+        if tag in _BLOCK:
+            self.in_block.pop()
+        else:
+            self.in_block[-1][tag] -= 1
+        return node
+
+    def end_tag(self, tag: str) -> None:
+        """An inline end tag does not close a block, and only its own end closes an article."""
+        seen = self.total if tag in _OUTER else self.in_article[-1] if tag in _BLOCK else self.in_block[-1]
+        if seen.get(tag):
+            while self.pop().tag != tag:
+                pass
+
+    def start_tag(self, name: str, outermost: bool) -> None:
+        """Close what the start of an element of this scope ends."""
+        if self.counts[name][-1]:
+            left = 0 if outermost else self.counts[name][-1] - 1
+            while self.counts[name][-1] > left:
+                self.pop()
+
+
 def parse(page: str) -> Node:
     """Element tree of a page; unclosed and stray tags are mended as browsers mostly do."""
-    root = cur = Node("#root", "", None)
-    pos, n, low = 0, len(page), None
+    root = Node("#root", "", None)
+    opened = _Open(root)
+    pos, n, low, last = 0, len(page), None, page.rfind(">")
     while pos < n:
+        cur = opened.path[-1]
         lt = page.find("<", pos)
         if lt < 0:
             cur.children.append(page[pos:])
             break
         if lt > pos:
             cur.children.append(page[pos:lt])
-        m = _TAG.match(page, lt)
+        m = None if lt > last and page[lt + 1:lt + 2].isalpha() else _TAG.match(page, lt)  # without a ">" to come no tag ends
         if not m:
             cur.children.append("<")
             pos = lt + 1
@@ -83,34 +154,13 @@ def parse(page: str) -> Node:
             continue
         tag, attrs, closing = name.lower(), m[3] or m[6] or "", bool(m[1] or m[4])
         if closing:
-            node = cur
-            while node is not root and node.tag != tag:
-                if tag not in _BLOCK and node.tag in _BLOCK:  # an inline end tag does not close a block
-                    node = root
-                    break
-                if tag not in ("article", "main", "body", "html") and node.tag in ("article", "main"):
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                cur = node.parent
+            opened.end_tag(tag)
             continue
         if tag in _BLOCK:
-            node = cur
-            while node is not root and node.tag not in _P_SCOPE and node.tag != "p":
-                node = node.parent
-            if node.tag == "p":
-                cur = node.parent
+            opened.start_tag("p", False)
         if tag in _CLOSES:
-            ends, stop = _CLOSES[tag]
-            node = cur
-            last = None
-            while node is not root and node.tag not in stop:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                cur = last.parent
+            opened.start_tag(tag, True)
+        cur = opened.path[-1]
         child = Node(tag, attrs, cur)
         cur.children.append(child)
         if tag in _VOID:
@@ -125,7 +175,7 @@ def parse(page: str) -> Node:
             gt = page.find(">", end)
             pos = gt + 1 if gt >= 0 else n
         elif not attrs.rstrip().endswith("/") or tag in _BLOCK or tag in ("b", "i", "em", "strong", "span", "a"):
-            cur = child
+            opened.push(child)
     return root
 
 
@@ -134,7 +184,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _is_boilerplate(node: Node, in_article: bool) -> bool:
-    if node.tag in _DROP:
+    if node.tag in _DROP or (not in_article and not node.holds_main and node.tag in _DROP_OUTSIDE):
         return True
     if node.tag == "header" and not in_article:
         return True
@@ -145,7 +195,7 @@ def _is_boilerplate(node: Node, in_article: bool) -> bool:
         return True
     if node.holds_main:
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
+    if not in_article and ("hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""))):
         return True
     if a.get("role", "").lower() in _ROLES:
         return True

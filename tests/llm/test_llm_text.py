@@ -130,6 +130,27 @@ def test_html_cases():
     assert html_text.main_text("<" * 5000 + "a") != ""
 
 
+def test_stray_tags_cost_nothing():
+    import time
+    pages = ["<span>" * 20000 + "</b>" * 20000, "<ul>" * 20000, "<span>" * 20000 + "<td>" * 20000, "<span>" * 20000 + "<li>" * 20000, "<div>" * 20000 + "</p>" * 20000,
+             "<article>" + "<div>" * 20000 + "</section>" * 20000, "<p>" + "<i>" * 20000 + "<div>" * 20000, '<a "' * 20000, "<option><b>" * 20000, "<dl>" + "<i>" * 20000 + "<dt>" * 20000]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page + "x")
+        assert time.time() - began < 5, page[:30]
+
+
+def test_only_what_the_contract_lists_goes_inside_an_article():
+    keep = ["<math>a</math>", "<label>a</label>", "<fieldset>a</fieldset>", "<noscript>a</noscript>", "<map>a</map>", "<svg><text>a</text></svg>", "<audio>a</audio>", "<video>a</video>",
+            "<object>a</object>", "<dialog>a</dialog>", "<div hidden>a</div>", "<div class=related>a</div>", "<div class='skip social login share'>a</div>", "<div style='display:none'>a</div>"]
+    for part in keep:
+        assert html_text.main_text(f"<article><p>x</p>{part}</article>") == "x\na", part
+    drop = ["<nav>a</nav>", "<aside>a</aside>", "<footer>a</footer>", "<form>a</form>", "<script>a</script>", "<style>a</style>", "<div class=ad>a</div>", "<div class=cookie-notice>a</div>",
+            "<div id=comments>a</div>", "<div class=sidebar>a</div>", "<!-- a -->", "<button>a</button>", "<div role=navigation>a</div>"]
+    for part in drop:
+        assert html_text.main_text(f"<article><p>x</p>{part}</article>") == "x", part
+
+
 def test_all_outermost_mains_are_kept():
     assert html_text.main_text("<p>no</p><main><p>one</main><div><main>two<div role=main>in</div></main></div><div role='main'>three</div><section role=\"main\">four</section>") == "one\ntwo\nin\nthree\nfour"
     assert html_text.main_text("<main>no<article>one</article></main><main><article>two</article></main>") == "one\ntwo"
@@ -208,6 +229,19 @@ def test_chat_linking_and_order(spark):
     assert chat.link_tool_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), SCHEMAS).count() == 0
 
 
+def test_lone_surrogates_and_deep_arguments(spark):
+    bad = "\\ud83d"
+    deep = "[" * 900 + "]" * 900
+    rows = [(1, 0, "assistant", f'{{"content":"{bad}","tool_calls":[{{"id":"a{bad}","name":"f{bad}","arguments":{{"x{bad}":"{bad}","y":{{"$result":"{bad}"}}}}}}]}}'),
+            (1, 1, "tool", f'{{"tool_call_id":"a{bad}","content":"x{bad}y"}}'), (1, 2, "tool", f'{{"tool_call_id":"b","content":{{"{bad}":1}}}}'),
+            (2, 0, "assistant", f'{{"tool_calls":[{{"id":"d","name":"f","arguments":{deep}}}]}}'), (2, 1, "tool", f'{{"tool_call_id":"d","content":{deep}}}'),
+            (2, 2, "tool", '{"tool_call_id":' + "1" * 5000 + ',"content":1}'), (3, 0, "assistant", '{"tool_calls":[' * 20000)]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    assert len(got) == 8 and all(json.loads(r["json"]) for r in got)
+    assert next(r for r in got if r["kind"] == "call" and r["conv_id"] == 1)["call_id"] == "a?"
+    assert "x?y" in next(r for r in got if r["kind"] == "result" and r["conv_id"] == 1 and r["turn"] == 1)["json"]
+
+
 def test_schema_problems():
     s = {"type": "object", "properties": {"n": {"type": "number", "minimum": 0}, "e": {"enum": [1, "a"]}, "s": {"type": "string", "minLength": 2}, "b": {"type": "boolean"}}, "required": ["n"]}
     assert chat.schema_problem({"n": 1.5, "e": "a", "s": "xy", "b": True, "other": 1}, s) is None
@@ -256,3 +290,15 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
 
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    t, v = " ".join(words), " ".join(reversed(words))
+    near = " ".join(words[:58])
+    rows = [(1, t), (5, t), (5, v), (None, t), (None, t), (None, v + " more"), (7, near), (8, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "").collect())
+    assert got == sorted([("1", t), ("5", v), ("8", ""), ("8", ""), ("None", "")])
