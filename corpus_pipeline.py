@@ -23,11 +23,22 @@ from quarry.session import scratch_path
 BROADCAST_ROWS = 1_000_000
 #: column that tells rows of one doc_id apart inside a stage
 TEXT_KEY = "_text_key"
+#: number of a row inside the near-duplicate stage
+ROW = "_row"
+#: texts in a batch for Python workers, in bytes and in rows
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 
 
-def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str, *also: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id (and columns ``also``) are in ``rejected``; a null matches a null."""
-    path, keys = scratch_path(spark, name), ("doc_id", *also)
+def _small_batches(spark: SparkSession) -> None:
+    """From here on texts go to Python workers a few megabytes at a time: a batch lies in the JVM, in Arrow and in
+    Python at once, and what a worker has taken for a large one it keeps through the stages that follow."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``docs`` without the rows whose columns ``keys`` are in ``rejected``; a null matches a null."""
+    path = scratch_path(spark, name)
     rejected.select(*(F.col(k).alias(f"_gone_{k}") for k in keys)).distinct().write.parquet(path)
     gone = spark.read.parquet(path)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
@@ -38,8 +49,9 @@ def _without(spark: SparkSession, docs: DataFrame, rejected: DataFrame, name: st
 def _without_texts(spark: SparkSession, docs: DataFrame, rejected: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """``docs`` without the rejected rows, told apart by doc_id and a 128-bit digest of the text: a verdict hangs
     on the text alone, and rows that share an id (or have none) may have different texts."""
+    _small_batches(spark)
     marked = docs.withColumn(TEXT_KEY, F.unhex(F.md5(F.col("text").cast("binary"))))
-    return _without(spark, marked, rejected(marked), name, TEXT_KEY).drop(TEXT_KEY)
+    return _without(spark, marked, rejected(marked), name, "doc_id", TEXT_KEY).drop(TEXT_KEY)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,18 +65,20 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    found = ngram_join.jaccard_components(docs)
-    return _without(spark, docs, found.where("doc_id <> component_id"), "pipeline-distinct").transform(_one_row_per_id)
-
-
-def _one_row_per_id(docs: DataFrame) -> DataFrame:
-    """Repeated rows of one doc_id are copies as well; rows without an id stay."""
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return docs
-    once = docs.join(twice.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(twice.select(F.col("doc_id").alias("_twice")), F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(once)
+    """One document of each near-duplicate group: the one with the smallest id (no id comes last).
+
+    Rows are numbered in a written table first and grouped by number, so rows
+    that share an id, or have none, are documents of their own: different
+    texts all stay, equal ones leave one row.
+    """
+    _small_batches(spark)
+    path = scratch_path(spark, "pipeline-rows")
+    docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = ngram_join.jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = (found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")).select(f"first.{ROW}"))
+    return _without(spark, rows, found.select(ROW).join(first, ROW, "left_anti"), "pipeline-distinct", ROW).drop(ROW)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,6 +89,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
