@@ -13,13 +13,13 @@ straddle a boundary and rank / dense_rank stay exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import broadcast_if_small
+from quarry.session import scratch_path
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,6 +35,19 @@ def _num_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def sorted_rows(df: DataFrame, keys: Sequence[Column], n: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys``, written with each row's partition ``_pid`` and place in it ``_at``."""
+    number = F.monotonically_increasing_id()  # partition in the high bits, place in the low ones
+    return _written(df.repartitionByRange(n or _num_partitions(df), *keys).sortWithinPartitions(*keys).withColumn("_pid", F.shiftright(number, 33).cast("int"))
+                    .withColumn("_at", number.bitwiseAND(F.lit((1 << 33) - 1))), "sorted-rows")
+
+
 def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] = (),
            row_number: str | None = None, rank: str | None = None, dense_rank: str | None = None,
            ntile: tuple[str, int] | None = None, group_size: str | None = None,
@@ -53,14 +66,9 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
     n = num_partitions or _num_partitions(df)
     # The range bounds come from sampling, so two separately planned range
     # exchanges may cut at different keys.  The partition id is therefore
-    # assigned once and persisted: the offsets table and the rows read the
-    # same assignment (a lost block is recomputed through the same shuffle
-    # dependency, hence the same bounds).
-    d = (df.repartitionByRange(n, *part, *order).sortWithinPartitions(*part, *order)
-         .withColumn("_pid", F.spark_partition_id())
-         # place in the sorted partition: the low bits of the generated id
-         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    # assigned once and written: the offsets table and the rows read the
+    # same assignment.
+    d = sorted_rows(df, [*part, *order], n)
     local = Window.partitionBy("_pid", *partition_by).orderBy(*order)
     if rank or dense_rank:
         d = d.withColumn("_lrk", F.rank().over(local)).withColumn("_ldr", F.dense_rank().over(local))
@@ -113,46 +121,95 @@ def ranked(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str] =
     return out.drop("_pid", "_at", "_first", "_lrk", "_ldr", "_rows_before", "_dist_before", "_gsize")
 
 
+def halo_windows(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str], before: int, after: int,
+                 columns: Callable[[WindowSpec], dict[str, Column]], block: int = 4096) -> DataFrame:
+    """Window columns whose frames reach at most ``before`` rows back and
+    ``after`` rows ahead, without a task per group.
+
+    Rows are range-partitioned by (group, order) once and numbered through
+    all partitions; every ``block`` consecutive rows are a block, and only the
+    rows near its ends are also sent to the neighbouring block.  A plain
+    window over (block, group) then sees every frame whole, and a group of
+    any size is as many blocks as its rows need.  ``columns`` gives the window
+    columns for a window specification; ``order`` must be a total order.
+    """
+    spark, names = df.sparkSession, df.columns
+    block = max(block, 4 * (before + after))
+    d = sorted_rows(df, [*[F.col(c) for c in partition_by], *order])
+    sizes = sorted((r["_pid"], r["n"]) for r in d.groupBy("_pid").agg(F.count("*").alias("n")).collect())  # one row a partition
+    offsets, total = [], 0
+    for pid, n in sizes:
+        offsets.append((pid, total))
+        total += n
+    d = d.join(F.broadcast(spark.createDataFrame(offsets, "_pid int, _first long")), "_pid").withColumn("_row", F.col("_first") + F.col("_at"))
+    own, place = F.floor(F.col("_row") / block), F.pmod(F.col("_row"), F.lit(block))
+
+    def to(by: int, when: Column) -> Column:
+        return F.when(when, F.struct((own + by).alias("_block"), F.lit(by == 0).alias("_own")))
+
+    targets = [to(0, F.lit(True))] + ([to(1, place >= block - before)] if before else []) + ([to(-1, place < after)] if after else [])
+    sent = d.select(*names, "_row", F.inline(F.array_compact(F.array(*targets))))
+    w = Window.partitionBy("_block", *partition_by).orderBy("_row")
+    made = columns(w)
+    return sent.select(*names, "_own", *[c.alias(n) for n, c in made.items()]).where("_own").drop("_own")
+
+
 def shifted(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str],
             shifts: Sequence[tuple[Sequence[str], int, str]]) -> DataFrame:
-    """lag (offset > 0) / lead (offset < 0) within each group, NULL at the
-    edges, without a per-group window: rows are ranked once, and each of
-    ``shifts`` (columns, offset, prefix) is an equi-join to the row ``offset``
-    positions earlier on (group, position) — a high-cardinality key, so a
-    hot group's rows spread over all tasks."""
-    r = ranked(df, order, partition_by, row_number="_pos")
-    out = r
-    for cols, offset, prefix in shifts:
-        other = r.select(*partition_by, (F.col("_pos") + offset).alias("_pos"), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
-        out = null_safe_join(out, other, [*partition_by, "_pos"], "left")
-    return out
+    """lag (offset > 0) / lead (offset < 0) of columns within each group, NULL
+    at the edges: ``shifts`` are (columns, offset, prefix of the new names)."""
+    return halo_windows(df, order, partition_by, max([0, *(k for _, k, _ in shifts)]), max([0, *(-k for _, k, _ in shifts)]),
+                        lambda w: {f"{prefix}{c}": F.lag(c, k).over(w) for cols, k, prefix in shifts for c in cols})
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, accuracy: int | None = 10_000) -> DataFrame:
     """Exact, linearly interpolated quantiles (the ``quantile``/``median``
-    semantics) from counts of the distinct values of a group: ties are
-    combined before the shuffle, the distinct values are range-sorted with a
-    running count, and a quantile's neighbours are the smallest values whose
-    running count reaches their positions.
+    semantics) by selection in two map-side combined passes.
+
+    The first pass sketches every group's order statistics; the sketch bounds
+    each wanted position by two values, some ``4 / accuracy`` of the group's
+    rows apart.  The second pass counts the rows below each pair of bounds and
+    the distinct values between them, so only those values are sorted.  Should
+    a position lie outside its bounds (or ``accuracy`` be None), all distinct
+    values are counted instead.
 
     Returns one row per group (NULL is a group) with one column per probability.
     """
     names = list(names or [f"p{int(round(p * 100)):02d}" for p in probs])
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*group_by, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    upto = ranked(counts, [F.col("_v")], group_by, running=[("sum", "_c", "_upto")])
-    sizes = counts.groupBy(*group_by).agg(F.sum("_c").alias("_n"))
-    upto = null_safe_join(upto, broadcast_if_small(sizes), group_by)
-
-    def value_at(pos: Column) -> Column:
-        return F.min(F.when(F.col("_upto") >= pos, F.col("_v")))
-
-    sides = []
+    v = df.where(F.col(value).isNotNull()).select(*group_by, F.col(value).cast("double").alias("_v"))
+    if accuracy:
+        margin = 2.0 / accuracy
+        marks = F.percentile_approx("_v", [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))], accuracy)
+    else:
+        marks = F.array(*[F.min("_v"), F.max("_v")] * len(probs))
+    bounds = _written(v.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_n"), marks.alias("_q")), "quantile-bounds")
+    j = null_safe_join(v, broadcast_if_small(bounds), group_by)
+    inside, below = F.lit(False), []
+    for i in range(len(probs)):
+        low, high = F.element_at("_q", 2 * i + 1), F.element_at("_q", 2 * i + 2)
+        inside = inside | F.col("_v").between(low, high)
+        below.append(F.sum(F.when(F.col("_v") < low, F.lit(1)).otherwise(F.lit(0))).alias(f"_b{i}"))
+    counts = _written(j.groupBy(*group_by, F.when(inside, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), *below), "quantile-counts")
+    sums = counts.groupBy(*group_by).agg(*[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(probs))],
+                                         *[F.sum(F.when(F.col("_v").isNotNull(), F.col(f"_b{i}")).otherwise(F.lit(0))).alias(f"_i{i}") for i in range(len(probs))])
+    upto = ranked(counts.where(F.col("_v").isNotNull()).select(*group_by, "_v", "_c"), [F.col("_v")], group_by, running=[("sum", "_c", "_upto")])
+    upto = null_safe_join(null_safe_join(upto, broadcast_if_small(sums), group_by), broadcast_if_small(bounds), group_by)
+
+    def value_at(i: int, pos: Column) -> Column:
+        # rank of a value between the bounds: all rows below them, and those counted from them on
+        rank = F.col(f"_b{i}") + F.col("_upto") - F.col(f"_i{i}")
+        return F.min(F.when((F.col("_v") >= F.element_at("_q", 2 * i + 1)) & (rank >= pos), F.col("_v")))
+
+    sides, sound = [], F.lit(True)
     for i, p in enumerate(probs):
         h = F.lit(float(p)) * (F.col("_n") - 1)
-        sides += [value_at(F.floor(h) + 1).alias(f"_lo{i}"), value_at(F.ceil(h) + 1).alias(f"_hi{i}")]
-    q = upto.groupBy(*group_by).agg(*sides, F.max("_n").alias("_n"))
+        first, last = F.floor(h) + 1, F.ceil(h) + 1
+        sides += [value_at(i, first).alias(f"_lo{i}"), value_at(i, last).alias(f"_hi{i}"), F.max(F.col(f"_b{i}") < first).alias(f"_ok{i}")]
+        sound = sound & F.col(f"_ok{i}") & (F.col(f"_lo{i}") <= F.element_at("_q", 2 * i + 2)) & (F.col(f"_hi{i}") <= F.element_at("_q", 2 * i + 2))
+    q = _written(upto.groupBy(*group_by).agg(*sides, F.max("_n").alias("_n"), F.first("_q").alias("_q")), "quantiles")
+    if accuracy and not q.where(~F.coalesce(sound, F.lit(False))).isEmpty():
+        return exact_quantiles(df, value, probs, group_by, names, None)
     frac = [F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1)) for p in probs]
     return q.select(*group_by, *[(F.col(f"_lo{i}") + frac[i] * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm) for i, nm in enumerate(names)])
 
@@ -160,22 +217,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_by:
 def moving_frame(df: DataFrame, order: Sequence[Column], partition_by: Sequence[str], value: str,
                  lo: int, hi: int, keep: Sequence[str], out: str, fn: str = "avg") -> DataFrame:
     """``fn(value) OVER (PARTITION BY … ORDER BY … ROWS BETWEEN lo AND hi)``
-    (lo <= hi <= 0) without a per-group window task.
-
-    Rows get exact positions from ``ranked``; each row is copied to every
-    target position whose frame contains it (target = pos + d, d in
-    [-hi, -lo]) plus a marker copy for itself, and a group-by on
-    (group, target) aggregates the frame.  Ranked rows are contiguous
-    inside range partitions, so the partial aggregation combines most
-    copies before the shuffle; a hot group's targets hash across tasks."""
-    r = ranked(df, order, partition_by, row_number="_pos")
-    ds = sorted(set(range(-hi, -lo + 1)) | {0})
-    c = r.select(*partition_by, "_pos", value, *keep, F.explode(F.array(*[F.lit(d) for d in ds])).alias("_d"))
-    c = c.withColumn("_t", F.col("_pos") + F.col("_d"))
-    inside = F.col("_d").between(-hi, -lo)
-    v = F.when(inside, F.col(value))
-    agg = {"avg": F.avg(v), "sum": F.sum(v), "count": F.count(v), "min": F.min(v), "max": F.max(v)}[fn]
-    g = c.groupBy(*partition_by, "_t").agg(agg.alias(out), F.max(F.when(F.col("_d") == 0, F.struct(
-        F.col(value).alias("_v"), *[F.col(k) for k in keep]))).alias("_self"))
-    return g.where(F.col("_self").isNotNull()).select(*partition_by, F.col("_self._v").alias(value),
-                                                      *[F.col(f"_self.{k}").alias(k) for k in keep], out)
+    (lo <= hi <= 0); returns the group columns, ``value``, ``keep`` and ``out``."""
+    agg = {"avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[fn](value)
+    # ``keep`` may lack columns that only ``order`` uses, so all columns go through the window
+    r = halo_windows(df, order, partition_by, -lo, 0, lambda w: {out: agg.over(w.rowsBetween(lo, hi))})
+    return r.select(*partition_by, value, *keep, out)

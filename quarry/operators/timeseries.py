@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import iso_weekday, start_of_month, start_of_week
 from quarry.operators.joins import broadcast_if_small
-from quarry.operators.ranking import null_safe_join
+from quarry.operators.ranking import null_safe_join, sorted_rows
 
 
 def calendar_counts(df: DataFrame, ts: str) -> DataFrame:
@@ -41,8 +40,7 @@ def sessionize(df: DataFrame, user: str, ts: str, tiebreak: str, gap_seconds: in
     it, and session starts are counted per task and completed by the counts
     of those tasks.  Events without a user are one group."""
     order = [F.col(ts), F.col(tiebreak)]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    d = df.repartitionByRange(n, F.col(user), *order).withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    d = sorted_rows(df, [F.col(user), *order]).drop("_at")
     local = Window.partitionBy("_pid", user).orderBy(*order)
     before = Window.partitionBy(user).orderBy("_pid")
     # one row per (task, user): at most users + tasks

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators.compare import (align_columns, eq_exact, keyed_mismatch_counts, multiset_compare,

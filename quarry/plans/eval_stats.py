@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from quarry.operators.querylog import later_near_copies
@@ -10,6 +9,7 @@ from quarry.operators.stats import (ERFC_COEFFS, MODULUS, binom_two_sided_exact,
                                     cochrans_q, cohens_h, h_label, holm, mcnemar_p, paired_tables, wilson)
 from quarry.plans.eval_bindings import OUTCOMES_SQL, md5_int, outcomes
 from quarry.plans.registry import register
+from quarry.session import scratch_path
 from quarry.sources.tables import Tables
 
 # ------------------------------------------------------------ SQL twins
@@ -284,7 +284,9 @@ def t10(t: Tables):
     dup = later_near_copies(d).withColumnRenamed("id", "query_id")
     # the battery reads the outcomes in four branches; keep the (run-log
     # sized) de-duplicated table instead of re-running the similarity join
-    o = outcomes(t).join(dup, "query_id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_path(t.spark, "outcomes")
+    outcomes(t).join(dup, "query_id", "left_anti").write.parquet(path)
+    o = t.spark.read.parquet(path)
     x = _tests(o)
     return x.select("metric", "config_a", "config_b", (F.col("n10") + F.col("n01")).alias("discordant"),
                     F.round("p_value", 10).alias("p_value"), F.round("p_holm", 10).alias("p_holm"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.joins import anti_join_not_in, semi_join_top_k
 from quarry.functions import in_years
+from quarry.operators.joins import anti_join_not_in, semi_join_top_k, skew_join
 from quarry.plans.registry import register
+from quarry.session import scratch_path
+from quarry.sources.sinks import write_calendar, write_month_layout
 from quarry.sources.tables import Tables
 
 
@@ -56,9 +58,9 @@ SELECT o.o_orderkey, c.c_name, c.c_mktsegment, o.o_totalprice FROM orders o JOIN
 WHERE o.o_orderstatus = 'F'
 """)
 def j1(t: Tables):
-    o = t.orders.where(F.col("o_orderstatus") == "F")
-    return o.join(t.customer, o.o_custkey == t.customer.c_custkey).select("o_orderkey", "c_name", "c_mktsegment",
-                                                                          "o_totalprice")
+    o = t.orders.where(F.col("o_orderstatus") == "F").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    c = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    return skew_join(o, c, ["c_custkey"]).select("o_orderkey", "c_name", "c_mktsegment", "o_totalprice")
 
 
 @register("J2_left_outer_count", """
@@ -249,6 +251,25 @@ def star_flight1(t: Tables):
         F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
 
 
+@register("J5_pruned_star", """
+SELECT year(o_orderdate) AS d_year, quarter(o_orderdate) AS d_quarter, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE year(o_orderdate) = 1996 AND quarter(o_orderdate) IN (1, 2) GROUP BY ALL
+""")
+def pruned_star(t: Tables):
+    """Star join over facts in the month layout: the filter is on a calendar
+    dimension, and the months it leaves prune the fact's folders at run time
+    (dynamic partition pruning), so only their files are opened."""
+    facts, calendar = scratch_path(t.spark, "orders-by-month"), scratch_path(t.spark, "calendar")
+    write_month_layout(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), facts, "o_orderdate", ["o_orderdate"])
+    write_calendar(t.orders, calendar, "o_orderdate")
+    months = t.spark.read.parquet(calendar).where((F.col("d_year") == 1996) & F.col("d_quarter").isin(1, 2))
+    o = t.spark.read.parquet(facts).join(F.broadcast(months), F.col("ym") == F.col("d_month"))  # a row a month
+    nation = F.broadcast(t.nation.select("n_nationkey", "n_name"))  # 25 rows
+    j = o.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("d_year", "d_quarter", "n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @register("J5_star_flight2", """
 SELECT year(o.o_orderdate) AS d_year, p.p_brand, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey

@@ -194,7 +194,7 @@ WHERE event_type = 'view' AND nxt = 'purchase'
 """)
 def r12(t: Tables):
     """A view immediately followed (per user) by a purchase; the next event
-    comes from the skew-safe (user, position) join."""
+    comes from a lead over skew-safe blocks of rows."""
     e = t.events.select("user_id", "event_id", "ts", "event_type")
     nxt = shifted(e, [F.col("ts"), F.col("event_id")], ["user_id"], [(["event_type"], -1, "next_")])
     return (nxt.where((F.col("event_type") == "view") & (F.col("next_event_type") == "purchase"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import boundary_diff, pct
+from quarry.operators.joins import skew_join
 from quarry.operators.ranking import exact_quantiles, moving_frame, null_safe_join, ranked, shifted
 from quarry.operators.windows import frame, growth_pct, running, top_n_per_group
 from quarry.plans.registry import register
@@ -63,7 +64,7 @@ SELECT user_id, event_id, ts,
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def w4(t: Tables):
-    """lag / lead as equi-joins on (user, position): no per-user window task."""
+    """lag / lead over blocks of rows with their neighbours' edges: no per-user window task."""
     e = t.events.select("user_id", "event_id", "ts", "event_type")
     order = [F.col("ts"), F.col("event_id")]
     both = shifted(e, order, ["user_id"], [(["ts"], 1, "prev_"), (["event_type"], -1, "next_")])
@@ -90,7 +91,7 @@ SELECT user_id, event_id, ts,
 FROM events
 """)
 def w6(t: Tables):
-    """7-row moving average per user, skew-safe (position copies + group-by)."""
+    """7-row moving average per user, skew-safe (blocks of rows with a halo)."""
     e = t.events.select("user_id", "event_id", "ts", "value")
     m = moving_frame(e, [F.col("ts"), F.col("event_id")], ["user_id"], "value", -6, 0, ["event_id", "ts"], "_ma")
     return m.select("user_id", "event_id", "ts", F.round("_ma", 6).alias("moving_avg_7"))
@@ -119,12 +120,13 @@ FROM events
 """)
 def w8(t: Tables):
     """first/last value over the full frame = min_by/max_by per user joined
-    back: map-side combined, no per-user window buffer."""
+    back: map-side combined, no per-user window buffer; the join deals a hot
+    user's rows over all tasks."""
     e = t.events
     k = F.struct("ts", "event_id")
     ends = e.groupBy("user_id").agg(F.min_by("event_type", k).alias("first_type"),
                                     F.max_by("event_type", k).alias("last_type"))
-    return null_safe_join(e.select("user_id", "event_id"), ends, ["user_id"])
+    return skew_join(e.select("user_id", "event_id"), ends, ["user_id"], null_safe=True)
 
 
 @register("W9_partition_aggregate", """
@@ -139,7 +141,7 @@ def w9(t: Tables):
     hot user never has to sit in one window buffer."""
     e = t.events.select("user_id", "event_id", "value")
     agg = e.groupBy("user_id").agg(F.avg("value").alias("_avg"), F.sum("value").alias("_sum"))
-    return null_safe_join(e, agg, ["user_id"]).select(
+    return skew_join(e, agg, ["user_id"], null_safe=True).select(
         "user_id", "event_id", "value", F.round("_avg", 6).alias("user_avg"),
         F.round(F.col("value") - F.round("_avg", 6), 6).alias("diff_from_avg"),
         F.round(pct("value", "_sum"), 6).alias("share_pct"))

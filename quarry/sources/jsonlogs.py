@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType, StringType
 
+from quarry.session import scratch_path
+
 CORRUPT = "_corrupt_record"
 
 
@@ -20,9 +21,10 @@ def read_run_log(spark: SparkSession, path: str, schema: StructType) -> tuple[Da
            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     # Spark refuses scans that reference only the corrupt-record column, and
     # column pruning would reduce the reject count to exactly that; the
-    # documented remedy is to persist the parsed rows (recomputable from the
-    # files if an executor is lost) and query the persisted result.
-    raw = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    # documented remedy is to save the parsed rows and query the saved result.
+    parsed = scratch_path(spark, "run-log")
+    raw.write.parquet(parsed)
+    raw = spark.read.parquet(parsed)
     good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     return good, bad

@@ -31,3 +31,10 @@ def write_month_layout(df: DataFrame, path: str, ts: str, sort_cols: list[str])
     # range partitions over month and sort keys: a large month spans several tasks and files
     (d.repartitionByRange("ym", *sort_cols).sortWithinPartitions("ym", *sort_cols)
      .write.mode("overwrite").partitionBy("ym").parquet(path))
+
+
+def write_calendar(df: DataFrame, path: str, ts: str) -> None:
+    """Calendar dimension of a fact table: one row a month that occurs (d_month as yyyymm, d_year, d_quarter), by
+    which filters on years and quarters prune the folders of the month layout."""
+    (df.where(F.col(ts).isNotNull()).select(F.date_format(ts, "yyyyMM").cast("int").alias("d_month"), F.year(ts).alias("d_year"), F.quarter(ts).alias("d_quarter"))
+     .distinct().coalesce(1).write.mode("overwrite").parquet(path))

@@ -1,5 +1,7 @@
 """Skew-safe ranking / ntile / quantiles agree with Spark windows and numpy."""
 
+import math
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -104,3 +106,28 @@ def test_null_groups_are_groups(spark):
     start = ev.withColumn("s", F.when(gap.isNull() | (gap > 900), 1).otherwise(0))
     want = start.select("id", F.sum("s").over(Window.partitionBy("g").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)))
     assert sorted(map(tuple, sessionize(ev, "g", "ts", "id", 900).select("id", "session_no").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_halo_windows_over_many_small_blocks(spark):
+    """Frames that reach over blocks and partitions, in a group of most rows and in single-row groups."""
+    from quarry.operators.ranking import halo_windows
+    df = spark.range(700).select("id", F.when(F.col("id") % 10 < 8, 0).when(F.col("id") % 10 == 8, F.col("id")).alias("g"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"))
+    order = [F.col("v"), F.col("id")]
+
+    def columns(w):
+        return {"a": F.sum("v").over(w.rowsBetween(-3, 2)), "b": F.lag("id", 3).over(w), "c": F.lead("id", 2).over(w), "d": F.count("v").over(w.rowsBetween(-3, -1))}
+
+    got = halo_windows(df, order, ["g"], 3, 2, columns, block=20)
+    w = Window.partitionBy("g").orderBy(*order)
+    want = df.select("*", *[c.alias(n) for n, c in columns(w).items()])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert halo_windows(df.where("false"), order, ["g"], 1, 0, columns, block=20).count() == 0
+
+
+def test_quantiles_by_selection_and_by_fallback(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.exp((F.col("id") * 7919) % 5000 / 200.0)).alias("v"))
+    probs = [0.0, 0.01, 0.5, 0.999, 1.0]
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
+    for accuracy in (2, 10, 100, 10_000):  # coarse sketches bound the positions badly
+        got = {r["g"]: [r[f"x{i}"] for i in range(5)] for r in exact_quantiles(df, "v", probs, ["g"], [f"x{i}" for i in range(5)], accuracy).collect()}
+        assert set(got) == set(want) and all(math.isclose(x, y, rel_tol=1e-12) for g in want for x, y in zip(got[g], want[g]))
