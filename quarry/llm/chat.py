@@ -15,8 +15,10 @@ Arguments are validated against a schema per tool, and every item becomes
 one line of canonical JSON (sorted keys, no spaces, UTF-8).
 
 Status: ``ok``; for calls ``unknown_tool``, ``invalid_arguments``,
-``duplicate_id`` (a later call with an id already used), ``cycle``,
-``missing_dependency``, ``unanswered``; for results ``orphan_result``.
+``duplicate_id`` (a later call with an id already used), ``cycle`` (in one,
+or after one), ``missing_dependency`` (it needs an id that no call has; for
+the order that need does not count), ``unanswered``; for results
+``orphan_result``.
 Null or empty texts are ordinary empty messages, a null role is ``unknown``,
 a null conv_id is a conversation of its own kind (joined null-safe).  A
 repeated result row stays a row; a repeated call row is a duplicate.  A lone
@@ -195,27 +197,27 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     need.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("i")), "left").select("item", "on").write.parquet(path)
     need = spark.read.parquet(path)
 
-    # one round a level: calls whose needs are all placed get the next depth and the latest anchor
-    placed = calls.join(need, "item", "left_anti").select("item", F.col("turn").alias("anchor"), F.lit(0).alias("depth"))
-    open_calls = need.groupBy("item").agg(F.count("*").alias("n"), F.max(F.col("on").isNull()).alias("missing"))
+    # one round a level: calls whose known needs are all placed come next, at the following depth and the latest
+    # anchor; a round joins the needs with the calls of the round before only
+    open_calls = need.groupBy("item").agg(F.count("on").alias("n"), F.max(F.col("on").isNull()).alias("missing"))
+    frontier = (calls.join(open_calls.where("n > 0"), "item", "left_anti").select("item", F.col("turn").alias("anchor"), F.lit(0).alias("depth")))
+    placed = frontier
     if not need.isEmpty():
-        waiting = open_calls.where(~F.col("missing"))
+        waiting = (open_calls.where("n > 0").select("item", "n").join(calls.select("item", "turn"), "item")
+                   .select("item", "n", F.lit(0).cast("long").alias("have"), F.col("turn").alias("anchor"), F.lit(0).alias("depth")))
+        known_needs = need.where("`on` is not null")
         while True:
-            met = (need.join(placed, need["on"] == placed["item"]).groupBy(need["item"])
-                   .agg(F.count("*").alias("have"), F.max("anchor").alias("a"), F.max("depth").alias("d")))
-            frontier = (waiting.join(met, "item").where("n = have").join(calls.select("item", "turn"), "item")
-                        .select("item", F.greatest("turn", "a").alias("anchor"), (F.col("d") + 1).alias("depth")))
-            path = scratch_path(spark, "chat-level")
-            frontier.write.parquet(path)
-            frontier = spark.read.parquet(path)
+            met = (known_needs.join(frontier.select(F.col("item").alias("on"), F.col("anchor").alias("_a"), F.col("depth").alias("_d")), "on")
+                   .groupBy("item").agg(F.count("*").alias("_have"), F.max("_a").alias("_a"), F.max("_d").alias("_d")))
+            path = scratch_path(spark, "chat-waiting")
+            (waiting.join(met, "item", "left")
+             .select("item", "n", (F.col("have") + F.coalesce("_have", F.lit(0))).alias("have"), F.greatest("anchor", "_a").alias("anchor"),
+                     F.greatest("depth", F.col("_d") + 1).alias("depth")).write.parquet(path))
+            now = spark.read.parquet(path)
+            frontier, waiting = now.where("n = have").drop("n", "have"), now.where("n > have")
             if frontier.isEmpty():
                 break
-            path = scratch_path(spark, "chat-waiting")
-            waiting.join(frontier, "item", "left_anti").write.parquet(path)
-            waiting = spark.read.parquet(path)
-            path = scratch_path(spark, "chat-placed")
-            placed.unionByName(frontier).write.parquet(path)
-            placed = spark.read.parquet(path)
+            placed = placed.unionByName(frontier)
 
     answered = (items.where("kind = 'result'").select("conv_id", "call_id").distinct()
                 .join(first.withColumnsRenamed({"conv_id": "c", "call_id": "i"}), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")))
