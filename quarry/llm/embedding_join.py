@@ -187,8 +187,13 @@ def cosine_components(vectors: DataFrame, threshold: float = 0.95, block_rows: i
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False)))
 
     path = scratch_path(spark, "vectors")
-    (v.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    (v.where("fine").groupBy("embedding").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"))
      .withColumn("d", F.size("embedding")).write.parquet(path))
+    # vectors are numbered in the order of their smallest vec_id, so a component's smallest number stands for its
+    # smallest vec_id, also where different vectors share one
+    distinct = spark.read.parquet(path)
+    path = scratch_path(spark, "vectors-numbered")
+    distinct.repartitionByRange("smallest").sortWithinPartitions("smallest").withColumn("rep", F.monotonically_increasing_id()).write.parquet(path)
     reps = spark.read.parquet(path)
     axes = spark.sparkContext.broadcast(principal_axes(reps))
 
@@ -222,7 +227,8 @@ def cosine_components(vectors: DataFrame, threshold: float = 0.95, block_rows: i
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_rep = (reps.join(links, F.col("rep") == links["id"], "left").drop("id").join(comps, F.col("rep") == comps["id"], "left")
                .select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                       F.coalesce("component", "rep").alias("component_id")))
+                       F.coalesce("component", "rep").alias("first"))
+               .join(reps.select(F.col("rep").alias("first"), F.col("smallest").alias("component_id")), "first").drop("first"))
     return (v.join(per_rep, F.col("fine") & (F.col("embedding") == F.col("e")), "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                     F.coalesce("component_id", "vec_id").alias("component_id"))
