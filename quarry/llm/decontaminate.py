@@ -119,6 +119,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """Per document: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated; first the binary column ``carry``."""
     carried = [carry] if carry else []
     d = docs.select(*(F.col(c).cast("binary").alias(c) for c in carried), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    # hits are gathered by row: rows that share an id, or have none, have hits of their own
+    d = d.withColumn("key", F.xxhash64("id", "text"))
     b = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     windows = _written(b.mapInPandas(_item_windows(window), "item_id long, len int, digest binary").distinct(), "decon-windows")
     short = sorted(r["len"] for r in windows.select("len").distinct().where(F.col("len") < window).collect())  # below window values
@@ -128,11 +130,11 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                            # a run of a short length counts only as a whole item
                            .where((F.col("x.k") > 0) | (F.col("x.k") == -F.col("n_words")))
                            .select("x.h", "x.k").distinct(), "decon-prints")
-    hits = (d.select("id", "text").mapInPandas(_fingerprints(k, window, short), prints).select("id", each)
+    hits = (d.select(F.col("key").alias("id"), "text").mapInPandas(_fingerprints(k, window, short), prints).select("id", each)
             .select("id", "x.h", "x.k", "x.p").join(_small(item_prints), ["h", "k"], "left_semi")
             .groupBy("id").agg(F.collect_set(F.struct("k", "p")).alias("hits")))  # at most the document's words
     hits = _written(hits.withColumnRenamed("id", "hit_id"), "decon-hits")
-    found = (d.join(_small(hits), F.col("id").eqNullSafe(F.col("hit_id")), "left").select(*carried, F.col("id").alias("doc_id"), "text", "hits")
+    found = (d.join(_small(hits), F.col("key") == F.col("hit_id"), "left").select(*carried, F.col("id").alias("doc_id"), "text", "hits")
              .mapInPandas(_extend(window, k), "".join(f"{c} binary, " for c in carried) + "doc_id long, n_words long, spans array<struct<s:int,len:int,digest:binary>>"))
     rows = _written(found.withColumn("row", F.monotonically_increasing_id()), "decon-rows")
     inside = (rows.where(F.size("spans") > 0).select("row", F.explode("spans").alias("x")).select("row", "x.s", "x.len", "x.digest")
