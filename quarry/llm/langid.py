@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.sampling import bounded_sample
-from quarry.llm.spans import prefix_hash, range_hash, sub_batches
+from quarry.llm.spans import prefix_hash, range_hash, sub_batches, text_blocks
 
 BUCKET_BITS = 15
 DIMENSIONS = 16
@@ -59,12 +59,26 @@ def subword_buckets(texts: list[str | None], bits: int = BUCKET_BITS) -> tuple[n
 
 
 def _mean_logits(texts: list[str | None], table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    b, owner = subword_buckets(texts, bits)
-    n = np.bincount(owner, minlength=len(texts))
-    sums = np.stack([np.bincount(owner, weights=table[b, j], minlength=len(texts)) for j in range(table.shape[1])], axis=1)
+    """Mean row of ``table`` over each text's subwords, and how many these are; subwords lie in words, so a long text is added up over blocks."""
+    sums, n = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    for rows, parts in text_blocks(texts):
+        b, owner = subword_buckets(parts, bits)
+        at = rows[owner]
+        n += np.bincount(at, minlength=len(texts))
+        for j in range(table.shape[1]):
+            sums[:, j] += np.bincount(at, weights=table[b, j], minlength=len(texts))
     return sums / np.maximum(n, 1)[:, None], n
 
 
+def _subword_shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares."""
+    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for _, parts in text_blocks([text]):
+        counts += np.bincount(subword_buckets(parts)[0], minlength=len(counts))
+    b = np.flatnonzero(counts)
+    return b, counts[b] / max(1, counts.sum())
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -77,10 +91,7 @@ def train(texts: list[str], langs: list[str], updates: int = 15_000, rate: float
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)) / DIMENSIONS
     w, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
-    feats = []
-    for t in texts:
-        b, c = np.unique(subword_buckets([t])[0], return_counts=True)
-        feats.append((b, c / max(1, c.sum())))
+    feats = [_subword_shares(t) for t in texts]
     order = rng.permutation(len(texts))
     n_val = len(texts) // 4
     val, fit = order[:n_val], order[n_val:]

@@ -45,7 +45,7 @@ from quarry.session import scratch_path
 #: the repeated n-grams, ordered by how often, behind all others; at most this many are shipped to tasks (9 bytes each)
 HOT_LIMIT = 1 << 20
 #: n-grams in the repeated-shingle summary kept per task before it is pruned by one count
-SUMMARY_LIMIT = 1 << 20
+SUMMARY_LIMIT = 1 << 18
 #: tables of ids up to this many rows (about 30 bytes each) are broadcast, so that texts stay in place; larger ones are shuffled
 BROADCAST_ROWS = 2_000_000
 _SEEDS = np.array([0x1234567, 0x9ABCDEF1, 0x55AA55AA5, 0xF00DF00D7], dtype=np.uint64)
@@ -117,7 +117,7 @@ def _summarise(n: int):
                 keys.append(key)
                 sigs.append([int(np.min(mix(s ^ seed)).astype(np.int64)) for seed in _SEEDS])
                 if hash(key) not in once:
-                    if len(once) > 2_000_000:
+                    if len(once) > 200_000:
                         once.clear()
                     once.add(hash(key))
                     pending.append(s)

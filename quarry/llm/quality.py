@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.sampling import bounded_sample
-from quarry.llm.spans import SPACE_WORDS, mix, prefix_hash, range_hash, sub_batches, words_of
+from quarry.llm.spans import SPACE_WORDS, mix, prefix_hash, range_hash, sub_batches, text_blocks, words_of
 
 #: labeller, measure, good up to, bad from (reversed where good is the larger value); between them no vote
 LABELLERS = (
@@ -50,19 +50,15 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#$%&*|<>{}^~=+_\\@`[]"]] = True
 
 
-def measures(texts: list[bytes | None]) -> dict[str, np.ndarray]:
-    """Shares used by the labellers, one value a text (NaN without words)."""
-    rows = [t or b"" for t in texts]
+def _block_counts(rows: list[bytes]) -> dict[str, np.ndarray]:
+    """Counts of bytes and words of each text."""
     size = np.array([len(r) for r in rows])
     buf = np.frombuffer(b"\n".join(rows) + b"\n", dtype=np.uint8)
     owner = np.repeat(np.arange(len(rows)), size + 1)
-    words, at = words_of(rows, SPACE_WORDS)
-    n = np.diff(at)
 
     def per_byte(mask):
         return np.bincount(owner[mask], minlength=len(rows))
 
-    upper, lower = per_byte((buf >= 65) & (buf <= 90)), per_byte(((buf >= 97) & (buf <= 122)) | (buf >= 128))
     space = (buf == 32) | ((buf >= 9) & (buf <= 13))
     start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
@@ -71,6 +67,25 @@ def measures(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     def per_word(mask):
         return np.bincount(word_owner[mask], minlength=len(rows))
 
+    # punctuation inside words: its number, runs of it, and whether it is one mark at the end
+    punct = (buf >= 33) & (buf <= 126) & ~_LETTERS[buf]
+    marks = np.concatenate([[0], np.cumsum(punct)])
+    runs = np.concatenate([[0, 0], np.cumsum(punct[1:] & punct[:-1])])
+    in_word = marks[end] - marks[start]
+    formed = (in_word == 0) | ((in_word == 1) & _ENDS[buf[end - 1]])
+    burst = runs[end] - runs[np.minimum(start + 1, end)] > 0
+    return {"upper": per_byte((buf >= 65) & (buf <= 90)), "lower": per_byte(((buf >= 97) & (buf <= 122)) | (buf >= 128)), "symbols": per_byte(_SYMBOLS[buf]),
+            "exclaims": per_byte(buf == 33), "short": per_word(length <= 3), "formed": per_word(formed & (in_word < length)), "bursts": per_word(burst),
+            "bare": per_word(in_word == length)}
+
+
+def measures(texts: list[bytes | None]) -> dict[str, np.ndarray]:
+    """Shares used by the labellers, one value a text (NaN without words); a long text is counted block by block."""
+    rows = [t or b"" for t in texts]
+    size = np.array([len(r) for r in rows])
+    words, at = words_of(rows, SPACE_WORDS)
+    n = np.diff(at)
+    word_owner = np.repeat(np.arange(len(rows)), n)
     same = np.zeros(len(words), bool)
     if len(words) > 1:
         same[1:] = (words[1:] == words[:-1]) & (word_owner[1:] == word_owner[:-1])
@@ -81,26 +96,23 @@ def measures(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     pairs = np.bincount(word_owner[1:][once], minlength=len(rows))
     _, once = np.unique(mix(words ^ owners), return_index=True)
     distinct = np.bincount(word_owner[once], minlength=len(rows))
-    # punctuation inside words: its number, runs of it, and whether it is one mark at the end
-    punct = (buf >= 33) & (buf <= 126) & ~_LETTERS[buf]
-    marks = np.concatenate([[0], np.cumsum(punct)])
-    runs = np.concatenate([[0, 0], np.cumsum(punct[1:] & punct[:-1])])
-    in_word = marks[end] - marks[start]
-    formed = (in_word == 0) | ((in_word == 1) & _ENDS[buf[end - 1]])
-    burst = runs[end] - runs[np.minimum(start + 1, end)] > 0
+    c: dict[str, np.ndarray] = {}
+    for of, parts in text_blocks(rows, TEXT_BYTES):
+        for k, v in _block_counts(parts).items():
+            np.add.at(c.setdefault(k, np.zeros(len(rows), dtype=np.int64)), of, v)
     with np.errstate(divide="ignore", invalid="ignore"):
         out = {
-            "upper_share": upper / np.maximum(upper + lower, 1),
-            "symbol_share": per_byte(_SYMBOLS[buf]) / np.maximum(size, 1) * 2,
-            "exclaim_share": per_byte(buf == 33) / np.maximum(n, 1),
+            "upper_share": c["upper"] / np.maximum(c["upper"] + c["lower"], 1),
+            "symbol_share": c["symbols"] / np.maximum(size, 1) * 2,
+            "exclaim_share": c["exclaims"] / np.maximum(n, 1),
             "stutter_share": np.bincount(word_owner[same], minlength=len(rows)) / np.maximum(n, 1),
             "run_share": np.bincount(word_owner[thrice], minlength=len(rows)) / np.maximum(n, 1),
             "pair_share": np.where(n >= 20, pairs / np.maximum(n, 1), np.nan),
             "distinct_share": np.where(n >= 40, distinct / np.maximum(n, 1) * np.sqrt(np.maximum(n, 1) / 40) ** 0.5, np.nan),
-            "short_share": np.where(n >= 20, per_word(length <= 3) / np.maximum(n, 1), np.nan),
-            "formed_share": per_word(formed & (in_word < length)) / np.maximum(n, 1),
-            "burst_share": per_word(burst) / np.maximum(n, 1),
-            "bare_share": per_word(in_word == length) / np.maximum(n, 1),
+            "short_share": np.where(n >= 20, c["short"] / np.maximum(n, 1), np.nan),
+            "formed_share": c["formed"] / np.maximum(n, 1),
+            "burst_share": c["bursts"] / np.maximum(n, 1),
+            "bare_share": c["bare"] / np.maximum(n, 1),
         }
     return {k: np.where(n > 0, v, np.nan) for k, v in out.items()}
 
@@ -134,7 +146,8 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
     """Expectation-maximisation over vote patterns and their counts.
 
     Labellers start better than chance, which fixes which class is "good";
-    one pseudo-vote of each kind keeps probabilities inside (0, 1).
+    pseudo-votes (nine right ones of ten on good documents, one of two on bad
+    ones) keep probabilities inside (0, 1).
     """
     m = LabelModel(0.8, np.full(patterns.shape[1], 0.95), np.full(patterns.shape[1], 0.6))
     w = counts.astype(float)
@@ -183,6 +196,24 @@ def shape_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, n
     return b, o, 1.0 / np.maximum(total, 1)[o]
 
 
+def shape_counts(text: bytes) -> np.ndarray:
+    """A text's shape n-grams by bucket; a long one is read in blocks, without the n-grams over their cuts."""
+    out = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for _, parts in text_blocks([text], TEXT_BYTES):
+        out += np.bincount(shape_features(parts)[0], minlength=len(out))
+    return out
+
+
+def shape_scores(texts: list[bytes | None], weights: np.ndarray) -> np.ndarray:
+    """Mean weight of each text's shape n-grams, added up over blocks as in ``shape_counts``."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    for rows, parts in text_blocks(texts, TEXT_BYTES):
+        b, o, _ = shape_features(parts)
+        total += np.bincount(rows[o], weights=weights[b], minlength=len(texts))
+        n += np.bincount(rows[o], minlength=len(texts))
+    return total / np.maximum(n, 1)
+
+
 def _vote_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = pdf["text"].tolist()
@@ -201,9 +232,9 @@ def train_scorer(texts: list[bytes], posterior: np.ndarray, epochs: int = 30, ra
     w, bias = np.zeros(1 << BUCKET_BITS), 0.0
     feats = []
     for t in texts:
-        b, _, x = shape_features([t])
-        u, at = np.unique(b, return_inverse=True)
-        feats.append((u.astype(np.int16), np.bincount(at, weights=x).astype(np.float32)))  # bounded by the buckets, 6 bytes each
+        counts = shape_counts(t)
+        u = np.flatnonzero(counts)
+        feats.append((u.astype(np.int16), (counts[u] / max(1, counts.sum())).astype(np.float32)))  # bounded by the buckets, 6 bytes each
     share = float(np.clip(posterior.mean(), 0.02, 0.98)) if len(posterior) else 0.5
     weight = posterior * 0.5 / share + (1 - posterior) * 0.5 / (1 - share)
     for epoch in range(epochs):
@@ -253,8 +284,7 @@ def _score(model):
                 if m is None:
                     score, post = np.zeros(len(part)), np.zeros(len(part))
                 else:
-                    b, o, x = shape_features(part)
-                    z = np.bincount(o, weights=m.weights[b] * x, minlength=len(part)) + m.bias
+                    z = shape_scores(part, m.weights) + m.bias
                     score = np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
                     post = np.where(empty, 0.0, m.labels.posterior(v))
                 yield pd.DataFrame({**{c: pdf[c].array[first:last] for c in pdf.columns if c != "text"}, "votes_good": (v == 1).sum(axis=1), "votes_bad": (v == 0).sum(axis=1),

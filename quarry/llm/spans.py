@@ -8,10 +8,13 @@ word n-grams and byte n-grams need no Python loop.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -71,8 +74,58 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: what forgets the caches of stages that a worker process may have run before
+FORGET: list[Callable[[], None]] = []
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def settle() -> None:
+    """Give back the memory that earlier work of this process left behind: caches of other stages, freed arrays."""
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def cut_text(text, limit: int) -> list:
+    """The text (str or bytes) in parts of about ``limit``, cut before white space; a longer word is not cut."""
+    out, at = [], 0
+    marks = (" ", "\n", "\t") if isinstance(text, str) else (b" ", b"\n", b"\t")
+    while len(text) - at > limit:
+        end = max(text.rfind(m, at + 1, at + limit) for m in marks)
+        if end < 0:
+            end = min((e for e in (text.find(m, at + limit) for m in marks) if e >= 0), default=len(text))
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def text_blocks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, list]]:
+    """Row numbers and texts (None: empty) of about ``limit`` in all; a longer text comes in parts, each under its row's number."""
+    rows, parts, size = [], [], 0
+    for i, t in enumerate(texts):
+        for part in [t] if t is None or len(t) <= limit else cut_text(t, limit):
+            n = len(part) if part is not None else 0
+            if size and size + n > limit:
+                yield np.array(rows), parts
+                rows, parts, size = [], [], 0
+            rows.append(i)
+            parts.append(part)
+            size += n + 1
+    if rows:
+        yield np.array(rows), parts
+
+
 def sub_batches(texts: pd.Series, max_bytes: int = CHUNK_BYTES):
     """Yield (first, last) row ranges whose texts total about ``max_bytes`` (one longer text is a range of its own)."""
+    settle()
     first, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t is not None else 0
@@ -86,8 +139,21 @@ def sub_batches(texts: pd.Series, max_bytes: int = CHUNK_BYTES):
 
 def words_of(texts, table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of ``texts`` (bytes or None), in order, and
-    the word offsets of each text (``len(texts) + 1`` entries)."""
+    the word offsets of each text (``len(texts) + 1`` entries).  A long text
+    is read in blocks, so that only its words' hashes are held at once."""
     rows = [t if t is not None else b"" for t in texts]
+    if sum(map(len, rows)) <= 2 * CHUNK_BYTES:
+        return _words_of(rows, table)
+    found, counts = [np.zeros(0, dtype=np.uint64)], np.zeros(len(rows) + 1, dtype=np.int64)
+    for i, row in enumerate(rows):
+        for part in cut_text(row.translate(table), CHUNK_BYTES):  # separators are spaces now
+            h, _ = _words_of([part], table)
+            found.append(h)
+            counts[i + 1] += len(h)
+    return np.concatenate(found), np.cumsum(counts)
+
+
+def _words_of(rows: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" " + b" ".join(rows).translate(table) + b" ", dtype=np.uint8)
     edge = np.flatnonzero(np.diff((buf != 32).view(np.int8)))
     start, end = edge[0::2] + 1, edge[1::2] + 1
@@ -104,6 +170,8 @@ def runs_of(words: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = mix(out + words[j:j + n] + np.uint64(j + 1))
+    for at in range(0, n, 1 << 20):  # a stretch at a time, for the sake of temporaries
+        part = out[at:at + (1 << 20)]
+        for j in range(k):
+            part[:] = mix(part + words[at + j:at + j + len(part)] + np.uint64(j + 1))
     return out

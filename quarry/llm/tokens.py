@@ -20,6 +20,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from quarry.llm.spans import FORGET
+
 #: pieces, and parts of pieces, in a generation of a worker's cache; two generations are kept (about 200 bytes an entry)
 CACHE_PIECES = 200_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -37,6 +39,7 @@ _PLAIN = re.compile(rf"(?!.*\s\s)[\x00-\x26\x28-\x7F{_LETTER}]+", re.S)
 _RUN = re.compile(rf" ?[{_LETTER}]+")
 _PARTS = re.compile(rf" ?[{_LETTER}]+|[^{_LETTER}]+(?<! )| ")
 _ENCODERS: dict = {}
+FORGET.append(_ENCODERS.clear)
 
 
 class Generations:

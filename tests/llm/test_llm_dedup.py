@@ -189,3 +189,65 @@ def test_winnowing_guarantee(span, left, right, other):
         g = np.array([int.from_bytes(hashlib.blake2b(str(words[i:i + 5]).encode(), digest_size=8).digest(), "little") for i in range(len(words) - 4)], dtype=np.uint64)
         return set(g[decontaminate.winnow(g, 6)].tolist())
     assert prints(left + span + right) & prints(other + span)
+
+
+def test_different_vectors_of_one_id(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, 1.0]), (3, [0.0, 0.02, 1.0])]
+    got = sorted(tuple(r) for r in embedding_join.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(3, 2, 3, True), (5, 0, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 2, 3, False), (9, 2, 3, False)]
+
+
+def test_contamination_of_rows_that_share_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, item), (None, "clean text"), (None, "x " + item), (4, "nothing here"), (4, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in decontaminate.contaminated_words(docs, bench).collect())
+    assert {(a, b): c for a, b, c in got} == {("4", 2): 0, ("4", 12): 12, ("None", 2): 0, ("None", 12): 12, ("None", 13): 12}
+
+
+def test_memory_of_a_long_text():
+    """Words, shingles, fingerprints, votes and subwords of a text of 22 million bytes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from quarry.llm import langid, quality
+    r = random.Random(2)
+    vocab = [f"word{i}" for i in range(5000)]
+    text = " ".join(r.choices(vocab, k=2_500_000))
+    raw = text.encode()
+    table = np.ones((1 << langid.BUCKET_BITS, 3))
+    pdf = pd.DataFrame({"id": [1], "text": [raw]})
+    jobs = {"words": lambda: words_of([raw], SPACE_WORDS), "shingles": lambda: list(ngram_join.shingle_sets([raw], 5)), "votes": lambda: quality.votes([raw]),
+            "shapes": lambda: quality.shape_scores([raw], np.ones(1 << quality.BUCKET_BITS)), "subwords": lambda: langid._mean_logits([text], table, langid.BUCKET_BITS),
+            "fingerprints": lambda: list(decontaminate._fingerprints(5, 10, [])([pdf]))}
+    for name, job in jobs.items():
+        tracemalloc.start()
+        job()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400e6, (name, peak)
+
+
+def test_blocks_give_the_same(monkeypatch):
+    from quarry.llm import langid, quality, spans
+    texts = [t.encode() if t is not None else None for t in _texts(3)]
+    words = [words_of([t], SPACE_WORDS)[0].tolist() for t in texts]
+    measured = [quality.measures([t]) for t in texts]
+    table = np.random.default_rng(1).standard_normal((1 << langid.BUCKET_BITS, 3))
+    logits = [langid._mean_logits([t.decode() if t is not None else None], table, langid.BUCKET_BITS)[0] for t in texts]
+    monkeypatch.setattr(spans, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(quality, "TEXT_BYTES", 50)
+    assert [words_of([t], SPACE_WORDS)[0].tolist() for t in texts] == words
+    h, at = words_of(texts, SPACE_WORDS)
+    assert [h[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == words
+    for t, m in zip(texts, measured):
+        got = quality.measures([t])
+        assert all(np.array_equal(got[k], m[k], equal_nan=True) for k in m)
+    cut = [list(spans.text_blocks([t.decode() if t is not None else None], 60)) for t in texts]
+    assert all("".join(x or "" for _, parts in c for x in parts) == (t or b"").decode() for c, t in zip(cut, texts))
+    monkeypatch.setattr(langid, "text_blocks", lambda texts: spans.text_blocks(texts, 60))
+    for t, z in zip(texts, logits):
+        assert np.allclose(langid._mean_logits([t.decode() if t is not None else None], table, langid.BUCKET_BITS)[0], z)
+

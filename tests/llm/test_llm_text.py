@@ -289,7 +289,7 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_keeps_different_texts_of_one_id(spark, tmp_path):
