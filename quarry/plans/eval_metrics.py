@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,39 +151,61 @@ def m3(t: Tables):
                                    F.round(F.avg("correct"), 6).alias("correct_rate"))
 
 
+# Classes of a wrong answer, first match wins (label, words any of which the gold SQL has, words none
+# of which the final SQL has, words any of which the details have); the grouping rule compares the two GROUP BY lists.
+FAILURE_RULES = [
+    ("Projection mismatch", [], [], ["column count mismatch", "projected gold"]),
+    ("Wrong granularity or filter", [], [], ["row-count mismatch"]),
+    ("Missing filter assumption", ["countif", " filter ", " where "], [" where ", " filter "], []),
+    ("Grouping-key mismatch", "group by", "order by", []),
+    ("Join-path mismatch", ["join"], ["join"], []),
+    ("JSON/property mismatch", ["properties["], ["properties["], []),
+    ("Wrong values or ranking", [], [], ["large equal-sized result set"]),
+]
+
+
 def failure_class():
     """First matching rule wins."""
-    d, g, p = F.lower("details"), F.lower(F.coalesce("gold_sql", F.lit(""))), F.lower(F.coalesce("final_sql", F.lit("")))
-    # all text behind the first GROUP BY, up to the first ORDER BY there
-    gb = F.split(F.element_at(F.split(g, "group by", 2), 2), "order by", 2)[0]
-    pb = F.split(F.element_at(F.split(p, "group by", 2), 2), "order by", 2)[0]
-    return (F.when(F.col("correct") == 1, "Correct")
-            .when(F.col("executed") == 0, F.when((F.trim(p) == "") | ~F.coalesce("model_success", F.lit(False)), "Timeout / empty output")
-                  .otherwise("Residual execution error"))
-            .when(d.contains("column count mismatch") | d.contains("projected gold"), "Projection mismatch")
-            .when(d.contains("row-count mismatch"), "Wrong granularity or filter")
-            .when((g.contains("countif") | g.contains(" filter ") | g.contains(" where ")) & ~p.contains(" where ")
-                  & ~p.contains(" filter "), "Missing filter assumption")
-            .when(g.contains("group by") & p.contains("group by") & (gb != pb), "Grouping-key mismatch")
-            .when(g.contains("join") & ~p.contains("join"), "Join-path mismatch")
-            .when(g.contains("properties[") & ~p.contains("properties["), "JSON/property mismatch")
-            .when(d.contains("large equal-sized result set"), "Wrong values or ranking")
-            .otherwise("Other wrong result"))
-
-
-_FAIL_SQL = """CASE WHEN correct = 1 THEN 'Correct'
-  WHEN executed = 0 THEN (CASE WHEN trim(lower(coalesce(final_sql, ''))) = '' OR NOT model_success THEN 'Timeout / empty output' ELSE 'Residual execution error' END)
-  WHEN contains(lower(details), 'column count mismatch') OR contains(lower(details), 'projected gold') THEN 'Projection mismatch'
-  WHEN contains(lower(details), 'row-count mismatch') THEN 'Wrong granularity or filter'
-  WHEN (contains(lower(coalesce(gold_sql, '')), 'countif') OR contains(lower(coalesce(gold_sql, '')), ' filter ') OR contains(lower(coalesce(gold_sql, '')), ' where '))
-       AND NOT contains(lower(coalesce(final_sql, '')), ' where ') AND NOT contains(lower(coalesce(final_sql, '')), ' filter ') THEN 'Missing filter assumption'
-  WHEN contains(lower(coalesce(gold_sql, '')), 'group by') AND contains(lower(coalesce(final_sql, '')), 'group by')
-       AND string_split(substr(lower(coalesce(gold_sql, '')), instr(lower(coalesce(gold_sql, '')), 'group by') + 8), 'order by')[1]
-           != string_split(substr(lower(coalesce(final_sql, '')), instr(lower(coalesce(final_sql, '')), 'group by') + 8), 'order by')[1] THEN 'Grouping-key mismatch'
-  WHEN contains(lower(coalesce(gold_sql, '')), 'join') AND NOT contains(lower(coalesce(final_sql, '')), 'join') THEN 'Join-path mismatch'
-  WHEN contains(lower(coalesce(gold_sql, '')), 'properties[') AND NOT contains(lower(coalesce(final_sql, '')), 'properties[') THEN 'JSON/property mismatch'
-  WHEN contains(lower(details), 'large equal-sized result set') THEN 'Wrong values or ranking'
-  ELSE 'Other wrong result' END"""
+    details, gold, final = F.lower("details"), F.lower(F.coalesce("gold_sql", F.lit(""))), F.lower(F.coalesce("final_sql", F.lit("")))
+
+    def some(text, words):
+        return reduce(or_, [text.contains(w) for w in words])
+
+    def keys(text, start, stop):
+        return F.split(F.element_at(F.split(text, start, 2), 2), stop, 2)[0]
+
+    out = F.when(F.col("correct") == 1, "Correct").when(
+        F.col("executed") == 0, F.when((F.trim(final) == "") | ~F.coalesce("model_success", F.lit(False)), "Timeout / empty output").otherwise("Residual execution error"))
+    for label, has, lacks, said in FAILURE_RULES:
+        if isinstance(has, str):
+            rule = gold.contains(has) & final.contains(has) & (keys(gold, has, lacks) != keys(final, has, lacks))
+        else:
+            rule = some(details, said) if said else some(gold, has) & ~some(final, lacks)
+        out = out.when(rule, label)
+    return out.otherwise("Other wrong result")
+
+
+def _failure_sql() -> str:
+    details, gold, final = "lower(details)", "lower(coalesce(gold_sql, ''))", "lower(coalesce(final_sql, ''))"
+
+    def some(text, words):
+        return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+    def keys(text, start, stop):
+        return f"string_split(substr({text}, instr({text}, '{start}') + {len(start)}), '{stop}')[1]"
+
+    out = (f"CASE WHEN correct = 1 THEN 'Correct' WHEN executed = 0 THEN (CASE WHEN trim({final}) = '' OR NOT model_success "
+           "THEN 'Timeout / empty output' ELSE 'Residual execution error' END)")
+    for label, has, lacks, said in FAILURE_RULES:
+        if isinstance(has, str):
+            rule = f"{some(gold, [has])} AND {some(final, [has])} AND {keys(gold, has, lacks)} != {keys(final, has, lacks)}"
+        else:
+            rule = some(details, said) if said else f"{some(gold, has)} AND NOT {some(final, lacks)}"
+        out += f" WHEN {rule} THEN '{label}'"
+    return out + " ELSE 'Other wrong result' END"
+
+
+_FAIL_SQL = _failure_sql()
 
 
 @register("M4_failure_classes", f"""
