@@ -173,8 +173,8 @@ def shape_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, n
     word before it has a shape of its own.
     """
     rows = [(t or b"").translate(_SHAPE) for t in texts]
-    buf = np.frombuffer(b"\n" + b"\n".join(rows) + b"\n", dtype=np.uint8)
-    owner = np.concatenate([[0], np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])])
+    buf = np.frombuffer(b"\n".join(rows) + b"\n", dtype=np.uint8)  # a text ends with a line's end, wherever it lies
+    owner = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
     run = np.concatenate([[True], (buf[1:] != buf[:-1]) | (buf[1:] == 10)])
     shape, who = buf[run], owner[run]
     prefix = prefix_hash(shape)
