@@ -340,8 +340,8 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"page_id": part["page_id"].array, "url": part["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-#: tables of (page, template hashes) up to this many rows are broadcast, larger ones are joined by a shuffle
-BROADCAST_ROWS = 200_000
+#: tables of (page, template hashes) with up to this many pages and hashes in all (some 30 bytes each) are broadcast, larger ones are joined by a shuffle
+BROADCAST_HASHES = 1_000_000
 
 
 def extract_pages(pages: DataFrame, min_pages: int = 8) -> DataFrame:
@@ -360,6 +360,7 @@ def extract_pages(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     (each.join(recurring, ["host", "tree"]).groupBy("page").agg(F.collect_set("tree").alias("templates"))  # at most a page's elements
      .write.parquet(path))
     found = spark.read.parquet(path)
-    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    size = found.agg(F.sum(F.size("templates") + 1)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_HASHES else found
     return (keyed.join(found, "page", "left").select("page_id", "url", "html", "templates")
             .mapInPandas(_extract, "page_id long, url string, text string, n_chars long"))
