@@ -204,10 +204,9 @@ def maximum_matching(gold: DataFrame, pred: DataFrame, flow: DataFrame, edges_of
     First, open copies on both sides are matched directly in rounds: a gold
     row offers its copies to its open partners one after the other, a
     predicted row takes as many of what it is offered as it has.  Then augmenting paths:
-    all open gold rows search breadth-first at once, each row being reached
-    by one search only, so the paths of a pass do not meet and all of them
-    are applied together.  The matching is maximum when no search reaches an
-    open predicted row.  Pairs are looked up for gold rows that a search
+    all open gold rows search breadth-first at once, and copies are sent along
+    the layers found (``_augment``).  The matching is maximum when no search
+    reaches an open predicted row.  Pairs are looked up for gold rows that a search
     reaches, not for those that have their exact partner and are never met.
     """
     flow = _written(flow, "match-flow")
@@ -246,47 +245,63 @@ def maximum_matching(gold: DataFrame, pred: DataFrame, flow: DataFrame, edges_of
 
 
 def _augment(roots: DataFrame, sinks: DataFrame, flow: DataFrame, pairs: DataFrame, pairs_of, turn: int) -> DataFrame | None:
-    """Changes of the flow along shortest augmenting paths that share no row, one a root at most; None if there is none."""
-    frontier = roots.select("g", F.col("g").alias("root"))
-    seen_g, seen_p = roots.select("g"), None
-    to_pred: list[DataFrame] = []  # (p, g, root): p reached from g
-    to_gold: list[DataFrame] = []  # (g, p, root): g reached from p, with which it is matched
+    """Changes of the flow along shortest augmenting paths; None if no path is left.
+
+    A breadth-first search from all open gold rows gives layers: from gold to
+    predicted rows along pairs, from these to the gold rows they are matched
+    with, and so on up to the first layer with open predicted rows.  From
+    there back, each row learns how many copies can get through it at most;
+    then copies are sent forward, split within these bounds; and what did not
+    get through is taken back from the end.  Many copies can share a row.
+    """
+    to_pred: list[DataFrame] = []  # (g, p) into a layer of predicted rows
+    to_gold: list[DataFrame] = []  # (g, p, f) into a layer of gold rows
+    frontier = seen_g = roots.select("g")
+    seen_p = None
     while True:
-        h = F.xxhash64(F.lit(turn), "g", "p")
-        step = (pairs if not to_gold else pairs_of(frontier)).join(frontier, "g")
-        if seen_p is not None:
-            step = step.join(seen_p, "p", "left_anti")
-        layer = _written(step.groupBy("p").agg(F.min_by(F.struct("g", "root"), F.struct(h, F.col("g"))).alias("b")).select("p", "b.g", "b.root"), "match-layer-p")
+        step = (pairs if not to_gold else pairs_of(frontier)).join(frontier, "g", "left_semi").select("g", "p")
+        layer = _written(step if seen_p is None else step.join(seen_p, "p", "left_anti"), "match-layer-p")
         if layer.isEmpty():
             return None
         to_pred.append(layer)
-        seen_p = layer.select("p") if seen_p is None else seen_p.unionByName(layer.select("p"))
-        ends = _written(layer.join(sinks, "p").groupBy("root").agg(F.min_by(F.struct("p", "slack"), F.struct(F.xxhash64(F.lit(turn), "p"), F.col("p"))).alias("e"))
-                        .select("root", "e.p", F.col("e.slack").alias("f")), "match-ends")
+        reached = layer.select("p").distinct()
+        seen_p = reached if seen_p is None else seen_p.unionByName(reached)
+        ends = _written(reached.join(sinks, "p").select("p", F.col("slack").alias("most")), "match-ends")
         if not ends.isEmpty():
             break
-        back = layer.select("p", "root").join(flow.select("g", "p"), "p").join(seen_g, "g", "left_anti")
-        golds = _written(back.groupBy("g").agg(F.min_by(F.struct("p", "root"), F.struct(h, F.col("p"))).alias("b")).select("g", "b.p", "b.root"), "match-layer-g")
-        if golds.isEmpty():
+        back = _written(flow.join(reached, "p", "left_semi").join(seen_g, "g", "left_anti"), "match-layer-g")
+        if back.isEmpty():
             return None
-        to_gold.append(golds)
-        seen_g = seen_g.unionByName(golds.select("g"))
-        frontier = golds.select("g", "root")
-    # back from the ends: pairs that gain, pairs that lose, and the least that a path can carry
-    at, change = ends.select("root", "p", "f"), []
-    for depth in range(len(to_pred) - 1, -1, -1):
-        at = at.join(to_pred[depth].select("p", "g"), "p")
-        change.append(at.select("root", "g", "p", F.lit(1).alias("sign")))
-        if depth:
-            at = (at.select("root", "g", "f").join(to_gold[depth - 1].select("g", "p"), "g").join(flow.withColumnRenamed("f", "_f"), ["g", "p"])
-                  .select("root", "g", "p", F.least("f", "_f").alias("f")))
-            change.append(at.select("root", "g", "p", F.lit(-1).alias("sign")))
-            at = at.select("root", "p", "f")
-    amount = at.join(roots, at["root"] == roots["g"]).select("root", F.least("f", "slack").alias("f"))
-    steps = change[0]
-    for c in change[1:]:
-        steps = steps.unionByName(c)
-    return steps.join(amount, "root").select("g", "p", (F.col("f") * F.col("sign")).alias("f"))
+        to_gold.append(back)
+        frontier = back.select("g").distinct()
+        seen_g = seen_g.unionByName(frontier)
+
+    depth, most_p = len(to_pred), ends
+    for i in range(depth - 1, -1, -1):
+        to_pred[i] = _written(to_pred[i].join(most_p, "p"), "match-live-p")  # g, p, most: copies that can go on from p
+        if i:
+            most_g = to_pred[i].groupBy("g").agg(F.sum("most").alias("_most"))
+            to_gold[i - 1] = _written(to_gold[i - 1].join(most_g, "g").select("g", "p", F.least("f", "_most").alias("most")), "match-live-g")
+            most_p = to_gold[i - 1].groupBy("p").agg(F.sum("most").alias("most"))
+
+    supply = roots.select("g", F.col("slack").alias("have"))
+    for i in range(depth):
+        offers = _split(to_pred[i].join(supply, "g").withColumn("f", F.least("have", "most")), "g", "f", "have", turn)
+        to_pred[i] = _written(_split(offers, "p", "f", "most", turn).select("g", "p", "f"), "match-sent-p")
+        if i + 1 < depth:
+            arrived = to_pred[i].groupBy("p").agg(F.sum("f").alias("have"))
+            sent = _split(to_gold[i].join(arrived, "p").withColumn("f", F.least("have", "most")), "p", "f", "have", turn)
+            to_gold[i] = _written(sent.select("g", "p", "f"), "match-sent-g")
+            supply = to_gold[i].groupBy("g").agg(F.sum("f").alias("have"))
+
+    change = to_pred[-1]
+    for i in range(depth - 2, -1, -1):
+        need = to_pred[i + 1].groupBy("g").agg(F.sum("f").alias("_need"))
+        to_gold[i] = _written(_split(to_gold[i].join(need, "g"), "g", "f", "_need", turn).select("g", "p", "f"), "match-kept-g")
+        need = to_gold[i].groupBy("p").agg(F.sum("f").alias("_need"))
+        to_pred[i] = _written(_split(to_pred[i].join(need, "p"), "p", "f", "_need", turn).select("g", "p", "f"), "match-kept-p")
+        change = change.unionByName(to_gold[i].withColumn("f", -F.col("f"))).unionByName(to_pred[i])
+    return change
 
 
 def tolerant_compare(gold: DataFrame, pred: DataFrame, rtol: float = DEFAULT_RTOL) -> DataFrame:

@@ -186,7 +186,7 @@ def test_matching_is_maximum(spark, seed):
     gold = {f"g{i}": r.choice([1, 1, 2, 5]) for i in range(12)}
     pred = {f"p{i}": r.choice([1, 1, 2, 4]) for i in range(12)}
     if seed == 5:  # one row with many copies against many rows, both ways
-        gold, pred = {"g0": 40, **{f"g{i}": 1 for i in range(1, 30)}}, {"p0": 5, **{f"p{i}": 1 for i in range(1, 40)}}
+        gold, pred = {"g0": 40, **{f"g{i}": 1 for i in range(1, 30)}}, {"p0": 25, **{f"p{i}": 1 for i in range(1, 40)}}
         pairs = [("g0", f"p{i}") for i in range(40)] + [(f"g{i}", "p0") for i in range(30)]
     else:
         pairs = [(g, p) for g in gold for p in pred if r.random() < (0.12 if seed % 2 else 0.2)]
