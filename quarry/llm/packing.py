@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import encoder, text_groups
+from quarry.llm.tokens import CACHE_PIECES, encoder, text_groups
 from quarry.session import scratch_path
 
 
@@ -64,9 +64,9 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset
 
 
-def _lengths(tokenizer: str, end_id: int, capacity: int):
+def _lengths(tokenizer: str, end_id: int, capacity: int, cache_pieces: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer, cache_pieces), np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             texts = pdf["text"].tolist()
             for first, last in text_groups(texts):
@@ -99,12 +99,16 @@ def _pack(capacity: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 8192, seed: int = 17) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_docs: int = 8192, seed: int = 17,
+                   cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``cache_pieces``: word pieces that a worker remembers the ids of; fewer cost time, more memory.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "pack-lengths")
     (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-     .mapInPandas(_lengths(tokenizer, end_id, capacity), "doc_id long, doc_tokens long, crcs array<long>")
+     .mapInPandas(_lengths(tokenizer, end_id, capacity, cache_pieces), "doc_id long, doc_tokens long, crcs array<long>")
      .withColumn("row", F.monotonically_increasing_id()).write.parquet(path))
     lengths = spark.read.parquet(path)
     groups = max(1, -(-lengths.count() // group_docs))

@@ -91,7 +91,7 @@ class PieceEncoder:
     otherwise white space is dropped (word-end vocabularies).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,7 +101,7 @@ class PieceEncoder:
         self.added = re.compile("|".join(added) or r"(?!)")
         self.spaced = bool(self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids)
         self.width = (self.tok.get_vocab_size() - 1).bit_length()
-        self.cache, self.parts = Generations(CACHE_PIECES), Generations(CACHE_PIECES)
+        self.cache, self.parts = Generations(pieces), Generations(pieces)
         # the merge model alone, if it gives what the whole tokenizer gives for words
         self.characters = dict(enumerate(byte_characters()))
         self.blank = self.characters[32]
@@ -182,11 +182,11 @@ class PieceEncoder:
         return [f + b"".join(map(get, c)) for f, c in zip(first, cut)]
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """One encoder per worker process, vocabulary file and cache size."""
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
+    return _ENCODERS[path, pieces]
 
 
 def text_groups(texts, max_chars: int = 1 << 20):
