@@ -23,10 +23,12 @@ from quarry.session import scratch_path
 BROADCAST_ROWS = 1_000_000
 #: column that tells rows of one doc_id apart inside a stage
 TEXT_KEY = "_text_key"
-#: number of a row inside the near-duplicate stage
-ROW = "_row"
+#: number and key of a row inside the near-duplicate stage
+ROW, KEY = "_row", "_row_key"
 #: texts in a batch for Python workers, in bytes and in rows
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
+#: word pieces that a worker of the packing stage remembers, beside what the stages before have left in its executor
+CACHE_PIECES = 60_000
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -65,20 +67,42 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id (no id comes last).
+    """One document of each near-duplicate group: the one with the smallest id (rows without an id, and further rows
+    of one id, come behind all others).
 
-    Rows are numbered in a written table first and grouped by number, so rows
-    that share an id, or have none, are documents of their own: different
-    texts all stay, equal ones leave one row.
+    Every row is a document: of rows that share an id, or have none, different
+    texts all stay and equal ones leave one row.
     """
     _small_batches(spark)
+    keyed = _one_key_a_row(spark, docs)
+    found = ngram_join.jaccard_components(keyed.select(F.col(KEY).alias("doc_id"), "text"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(KEY))
+    return _without(spark, keyed, gone, "pipeline-distinct", KEY).drop(KEY)
+
+
+def _one_key_a_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for every row: the doc_id, and for rows without one and repeated ids a number
+    beyond all ids, given in a written table."""
+    total, unique = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if total == unique:
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
     path = scratch_path(spark, "pipeline-rows")
     docs.withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    found = ngram_join.jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    first = (found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id")
-             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")).select(f"first.{ROW}"))
-    return _without(spark, rows, found.select(ROW).join(first, ROW, "left_anti"), "pipeline-distinct", ROW).drop(ROW)
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(ROW).alias("_first"))
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    path = scratch_path(spark, "pipeline-extra-rows")
+    (rows.select("doc_id", ROW).join(first, "doc_id", "left").where(F.col("_first").isNull() | (F.col(ROW) != F.col("_first")))
+     .select(F.col(ROW).alias("_extra")).write.parquet(path))
+    extra = spark.read.parquet(path)
+    extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
+    if (high or 0) < 1 << 61:
+        number = F.lit((high or 0) + 1) + F.col("_extra") + F.when(F.col("doc_id").isNull(), F.lit(1 << 60)).otherwise(F.lit(0))
+    elif low > -(1 << 62):
+        number = F.lit(low - 1) - F.col("_extra")
+    else:  # ids fill the whole range
+        return rows.withColumn(KEY, F.col(ROW)).drop(ROW)
+    return rows.join(extra, F.col(ROW) == F.col("_extra"), "left").withColumn(KEY, F.coalesce(number, F.col("doc_id").cast("long"))).drop(ROW, "_extra")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +114,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences."""
     _small_batches(spark)
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), cache_pieces=CACHE_PIECES)
 
 
 STAGES = [
