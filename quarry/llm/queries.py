@@ -156,8 +156,8 @@ WITH RECURSIVE parts AS (SELECT conv_id, turn, role, coalesce(text, '') AS text
 ids AS (SELECT DISTINCT conv_id, turn FROM parts WHERE role = 'user'),
 answers AS (SELECT DISTINCT conv_id, turn FROM parts WHERE role = 'assistant'),
 depths(conv_id, turn, depth) AS (
-  SELECT conv_id, turn, 0 FROM ids i WHERE turn < 2 OR NOT EXISTS (SELECT 1 FROM ids p WHERE p.conv_id = i.conv_id AND p.turn = i.turn - 2)
-  UNION ALL SELECT i.conv_id, i.turn, d.depth + 1 FROM depths d JOIN ids i ON i.conv_id = d.conv_id AND i.turn = d.turn + 2 WHERE i.turn >= 2),
+  SELECT conv_id, turn, 0 FROM ids i WHERE turn % 8 < 2 OR NOT EXISTS (SELECT 1 FROM ids p WHERE p.conv_id = i.conv_id AND p.turn = i.turn - 2)
+  UNION ALL SELECT i.conv_id, i.turn, d.depth + 1 FROM depths d JOIN ids i ON i.conv_id = d.conv_id AND i.turn = d.turn + 2 WHERE i.turn % 8 >= 2),
 items AS (
   SELECT p.conv_id, p.turn, p.text, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'tool' ELSE coalesce(role, 'unknown') END AS role,
     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
@@ -166,7 +166,7 @@ items AS (
     CASE WHEN role = 'user' THEN own.depth WHEN role = 'assistant' THEN coalesce(d.depth, 0) ELSE 0 END AS depth,
     CASE WHEN role = 'user' OR (role = 'assistant' AND i.turn IS NOT NULL) THEN 1 ELSE 0 END AS place,
     CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS part,
-    CASE WHEN role = 'user' AND (p.turn > 6 OR p.turn < 0 OR text = '') THEN 'invalid_arguments' WHEN role = 'user' AND p.turn >= 2 AND before.turn IS NULL THEN 'missing_dependency'
+    CASE WHEN role = 'user' AND (p.turn > 6 OR p.turn < 0 OR text = '') THEN 'invalid_arguments' WHEN role = 'user' AND p.turn % 8 >= 2 AND before.turn IS NULL THEN 'missing_dependency'
          WHEN role = 'user' AND a.turn IS NULL THEN 'unanswered' WHEN role = 'assistant' AND i.turn IS NULL THEN 'orphan_result' ELSE 'ok' END AS status
   FROM parts p LEFT JOIN ids i ON p.conv_id = i.conv_id AND i.turn = p.turn - 1 LEFT JOIN answers a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1
     LEFT JOIN ids before ON before.conv_id = p.conv_id AND before.turn = p.turn - 2
@@ -174,17 +174,18 @@ items AS (
 SELECT conv_id, turn, role, kind, call_id, anchor, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place, CAST(part AS INTEGER) AS part, status,
   CASE kind
     WHEN 'call' THEN '{"role":"assistant",' || CASE WHEN status = 'ok' THEN '' ELSE '"status":"' || status || '",' END || '"tool_call":{"arguments":{'
-      || CASE WHEN turn >= 2 THEN '"context":{"$result":"c' || (turn - 2) || '"},' ELSE '' END || '"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"}}'
+      || CASE WHEN turn % 8 >= 2 THEN '"context":{"$result":"c' || (turn - 2) || '"},' ELSE '' END || '"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"}}'
     WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"tool",' || CASE WHEN status = 'ok' THEN '' ELSE '"status":"' || status || '",' END || '"tool_call_id":"' || call_id || '"}'
     ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' END AS json
 FROM items
 """)
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations read as tool traffic: a user's turn is a call of ``reply``
-    that uses the result of the user's turn before, the assistant's next turn
-    is its result; linked, ordered, validated, serialised."""
+    that uses the result of the user's turn before (of the same eight turns),
+    the assistant's next turn is its result; linked, ordered, validated,
+    serialised."""
     c = _table(spark, sf_dir, "conversations")
-    context = F.when(F.col("turn") >= 2, F.struct(F.concat(F.lit("c"), F.col("turn") - 2).alias("$result")))
+    context = F.when(F.col("turn") % 8 >= 2, F.struct(F.concat(F.lit("c"), F.col("turn") - 2).alias("$result")))
     call = F.to_json(F.struct(F.array(F.struct(
         F.concat(F.lit("c"), F.col("turn")).alias("id"), F.lit("reply").alias("name"),
         F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn", context.alias("context")).alias("arguments"))).alias("tool_calls")))
