@@ -246,8 +246,9 @@ FROM q GROUP BY 1, 2, 3
 def x11(t: Tables, chunk_size: int = 1000):
     """Ordered event sequence per session (groupArray over sorted rows).
     Order comes from a sort key carried with each value, never from input
-    order; sessions longer than ``chunk_size`` are split into numbered
-    chunks so no single array grows with a hot user's history."""
+    order.  A session of any length comes as chunks numbered from 0, event
+    ``i`` of it in chunk ``i // chunk_size``, so that no single array grows
+    with a hot user's history."""
     s = sessionize(t.events.select("user_id", "event_id", "ts", "event_type"), "user_id", "ts", "event_id", 3600)
     q = ranked(s, [F.col("ts"), F.col("event_id")], ["user_id", "session_no"], row_number="_rn")
     q = q.withColumn("chunk", F.floor((F.col("_rn") - 1) / chunk_size).cast("bigint"))
