@@ -227,7 +227,43 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
-@query("op12_quality_rules")
+def _quality_rules_sql() -> str:
+    space = "\\x20\\x09-\\x0D"
+
+    def share(count: str, of: str) -> str:
+        return f"{count} / greatest({of}, 1)"
+
+    def n_chars(kind: str) -> str:
+        return f"length(regexp_replace(text, '[^{kind}]', '', 'g'))"
+
+    def n_words(pattern: str) -> str:
+        return f"len(list_filter(w, lambda x: regexp_matches(x, '{pattern}')))"
+
+    def n_lines(pattern: str) -> str:
+        return f"len(list_filter(ls, lambda x: regexp_matches(x, '{pattern}')))"
+
+    rules = [share("n_symbols", "n") + " <= 0.1", share("word_chars", "n") + " BETWEEN 2 AND 16", share("n_dup_lines", "len(ls)") + " <= 0.5",
+             share(n_chars("A-Z"), n_chars("A-Za-z")) + " <= 0.5", share(n_chars("0-9"), "word_chars") + " <= 0.5",
+             share(n_words("[A-Za-z]|[^\\x00-\\x7F]"), "n") + " >= 0.5", share(n_words("[!-/:-@\\[-`{-~][!-/:-@\\[-`{-~]"), "n") + " <= 0.3",
+             share("len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))", "n") + " <= 0.3", "len(list_distinct(w)) / sqrt(greatest(n, 1)) >= 1",
+             share(n_lines(f"(\\.\\.\\.|…)[{space}]*$"), "len(ls)") + " <= 0.5", share(n_lines(f"^[{space}]*(\\* |- |• )"), "len(ls)") + " <= 0.95"]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[{space}]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS ls FROM d),
+windows AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM x WHERE len(w) >= 5),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
+repeated AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY r),
+c AS (SELECT r, doc_id, text, w, ls, CAST(len(w) AS BIGINT) AS n, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST({n_chars("#*$%&|<>")} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words
+  FROM x LEFT JOIN repeated p USING (r))
+SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n < 10 OR 100 * n_repeat_words > 20 * n AS base_failed,
+  NOT (n < 10 OR 100 * n_repeat_words > 20 * n) AND {" AND ".join(rules)} AS kept
+FROM c
+"""
+
+
+@query("op12_quality_rules", _quality_rules_sql())
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the rule cascade for every document."""
     return rule_cascade.apply_rules(_table(spark, sf_dir, "documents")).drop("failed_rule", "rules_measured")
