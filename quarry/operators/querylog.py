@@ -3,6 +3,8 @@ array expressions; cross-row work is explode + join + aggregate."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body names it.
+
+    A Column is an expression, not a value: naming it twice in another
+    expression evaluates it twice, and once per element inside a lambda.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_sql(sql) -> Column:
     """Strip -- and /* */ comments, blank string literals, collapse spaces."""
     s = F.regexp_replace(_c(sql), r"--[^\n]*", " ")
@@ -83,8 +94,8 @@ def mask_values(sql) -> Column:
     return F.regexp_replace(s, r"(?i)\blimit\s+\d+", "LIMIT N")
 
 
-def _kw_array() -> Column:
-    return F.array(*[F.lit(k) for k in SQL_KEYWORDS])
+def _no_keyword(name: Column) -> Column:
+    return ~name.isin(SQL_KEYWORDS)
 
 
 def cte_names(norm_sql) -> Column:
@@ -95,14 +106,16 @@ def cte_names(norm_sql) -> Column:
 def table_refs(norm_sql) -> Column:
     """Distinct table names after FROM / JOIN (database prefix dropped),
     minus CTE names and keywords."""
-    raw = F.regexp_extract_all(_c(norm_sql), F.lit(r"(?i)(?:from|join)\s+([a-z_][a-z0-9_.]*)"), 1)
-    names = F.transform(raw, lambda x: F.lower(F.element_at(F.split(x, r"\."), -1)))
-    return F.array_sort(F.array_except(F.array_distinct(names), F.array_union(cte_names(norm_sql), _kw_array())))
+    def refs(s: Column) -> Column:
+        raw = F.regexp_extract_all(s, F.lit(r"(?i)(?:from|join)\s+([a-z_][a-z0-9_.]*)"), 1)
+        names = F.transform(raw, lambda x: F.lower(F.element_at(F.split(x, r"\."), -1)))
+        return F.array_sort(F.filter(F.array_except(names, cte_names(s)), _no_keyword))
+    return _let(_c(norm_sql), refs)
 
 
 def alias_refs(norm_sql) -> Column:
     raw = F.regexp_extract_all(_c(norm_sql), F.lit(r"(?i)(?:from|join)\s+[a-z_][a-z0-9_.]*\s+(?:as\s+)?([a-z_]\w*)"), 1)
-    return F.array_except(F.array_distinct(F.transform(raw, lambda x: F.lower(x))), _kw_array())
+    return F.filter(F.array_distinct(F.transform(raw, lambda x: F.lower(x))), _no_keyword)
 
 
 def column_refs(norm_sql) -> Column:
@@ -110,24 +123,32 @@ def column_refs(norm_sql) -> Column:
     table or alias, plus bare identifiers of the SELECT / WHERE / GROUP BY /
     ORDER BY / HAVING bodies, minus keywords, function names (identifier
     followed by '('), tables, aliases, CTE names and SELECT aliases."""
-    s = _c(norm_sql)
-    tables, aliases = table_refs(s), alias_refs(s)
-    known = F.array_union(F.array_union(tables, aliases), F.array_union(cte_names(s), _kw_array()))
-    qual = F.regexp_extract_all(s, F.lit(r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)"), 0)
-    qual_ok = F.filter(qual, lambda x: F.array_contains(known, F.lower(F.split(x, r"\.")[0])))
-    qcols = F.transform(qual_ok, lambda x: F.lower(F.split(x, r"\.")[1]))
-    # every clause body of the text, those of common table expressions included
-    bodies = [F.array_join(F.regexp_extract_all(s, F.lit(p), 1), " ") for p in [
-        r"(?is)\bselect\b(.*?)\bfrom\b", r"(?is)\bwhere\b(.*?)(?:\bgroup\b|\border\b|\blimit\b|\bhaving\b|$)",
-        r"(?is)\bgroup\s+by\b(.*?)(?:\border\b|\blimit\b|\bhaving\b|$)",
-        r"(?is)\border\s+by\b(.*?)(?:\blimit\b|$)", r"(?is)\bhaving\b(.*?)(?:\border\b|\blimit\b|$)"]]
-    body = F.concat_ws(" ", *bodies)
-    body = F.regexp_replace(body, r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)", " ")   # qualified handled above
-    funcs = F.transform(F.regexp_extract_all(body, F.lit(r"([A-Za-z_]\w*)\s*\("), 1), lambda x: F.lower(x))
-    idents = F.transform(F.regexp_extract_all(body, F.lit(r"([A-Za-z_]\w*)"), 1), lambda x: F.lower(x))
-    sel_alias = F.transform(F.regexp_extract_all(bodies[0], F.lit(r"(?i)\bas\s+([A-Za-z_]\w*)"), 1), lambda x: F.lower(x))
-    bare = F.filter(F.array_except(idents, F.array_union(known, funcs)), lambda x: F.length(x) > 1)
-    return F.array_sort(F.array_except(F.array_distinct(F.array_union(qcols, bare)), sel_alias))
+    def qualified(s: Column, known: Column) -> Column:
+        parts = F.transform(F.regexp_extract_all(s, F.lit(r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)"), 0), lambda x: F.split(F.lower(x), r"\."))
+        return F.transform(F.filter(parts, lambda x: F.array_contains(known, x[0]) | x[0].isin(SQL_KEYWORDS)), lambda x: x[1])
+
+    def bare(body: Column, known: Column) -> Column:
+        funcs = F.transform(F.regexp_extract_all(body, F.lit(r"([A-Za-z_]\w*)\s*\("), 1), lambda x: F.lower(x))
+        idents = F.transform(F.regexp_extract_all(body, F.lit(r"([A-Za-z_]\w*)"), 1), lambda x: F.lower(x))
+        return F.filter(F.array_except(idents, F.array_union(known, funcs)), lambda x: (F.length(x) > 1) & _no_keyword(x))
+
+    def refs(s: Column, known: Column, selects: Column) -> Column:
+        # every clause body of the text, those of common table expressions included
+        bodies = [F.array_join(F.regexp_extract_all(s, F.lit(p), 1), " ") for p in [
+            r"(?is)\bwhere\b(.*?)(?:\bgroup\b|\border\b|\blimit\b|\bhaving\b|$)",
+            r"(?is)\bgroup\s+by\b(.*?)(?:\border\b|\blimit\b|\bhaving\b|$)",
+            r"(?is)\border\s+by\b(.*?)(?:\blimit\b|$)", r"(?is)\bhaving\b(.*?)(?:\border\b|\blimit\b|$)"]]
+        # qualified references are handled apart
+        body = F.regexp_replace(F.concat_ws(" ", selects, *bodies), r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)", " ")
+        sel_alias = F.transform(F.regexp_extract_all(selects, F.lit(r"(?i)\bas\s+([A-Za-z_]\w*)"), 1), lambda x: F.lower(x))
+        names = F.array_union(qualified(s, known), _let(body, lambda b: bare(b, known)))
+        return F.array_sort(F.array_except(names, sel_alias))
+
+    def with_known(s: Column) -> Column:
+        known = F.array_union(F.array_union(table_refs(s), alias_refs(s)), cte_names(s))
+        selects = F.array_join(F.regexp_extract_all(s, F.lit(r"(?is)\bselect\b(.*?)\bfrom\b"), 1), " ")
+        return _let(known, lambda k: _let(selects, lambda x: refs(s, k, x)))
+    return _let(_c(norm_sql), with_known)
 
 
 def harmonic(a: Column, b: Column) -> Column:
@@ -161,25 +182,28 @@ def _mask(rules: list[tuple[Column, list[str]]]) -> Column:
 
 def labels_of(mask: Column) -> Column:
     """The labels of a mask, sorted."""
-    return F.array_compact(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << bit)) != 0, F.lit(lbl)) for lbl, bit in sorted(LABEL_BITS.items())]))
+    return _let(mask, lambda m: F.array_compact(F.array(*[F.when(m.bitwiseAND(F.lit(1 << bit)) != 0, F.lit(lbl)) for lbl, bit in sorted(LABEL_BITS.items())])))
 
 
 def sql_skeleton_mask(sql) -> Column:
     """Structural labels of a SQL text (aggregates, group, window, join, time
     functions, order, limit, subquery) as a bitmask."""
-    s = F.upper(_c(sql))
-    nested = s.rlike(r"\bWITH\b") | (F.size(F.split(s, "SELECT")) > 2)
-    return _mask([(s.rlike(rx), labels) for rx, labels in SKELETON_RULES] + [(nested, ["HAS_SUBQUERY"])])
+    def mask(s: Column) -> Column:
+        nested = s.rlike(r"\bWITH\b") | (F.size(F.split(s, "SELECT")) > 2)
+        return _mask([(s.rlike(rx), labels) for rx, labels in SKELETON_RULES] + [(nested, ["HAS_SUBQUERY"])])
+    return _let(F.upper(_c(sql)), mask)
 
 
 def question_patterns_mask(text) -> Column:
     """Structural labels implied by a natural-language question, as a bitmask."""
-    q = F.lower(_c(text))
-    tables = sum((q.contains(name).cast("int") for name in QUESTION_TABLE_WORDS), F.lit(0))
-    numbered = q.rlike(r"\b(top|first|last|bottom)\s+\d+")
     words = [(word, [label, "HAS_AGGREGATION"]) for word, label in QUESTION_AGG_WORDS]
     words += [(word, [label]) for label, some in QUESTION_FLAG_WORDS.items() for word in some]
-    return _mask([(q.contains(word), labels) for word, labels in words] + [(numbered, ["HAS_LIMIT", "HAS_ORDER"]), (tables >= 2, ["HAS_JOIN"])])
+
+    def mask(q: Column) -> Column:
+        tables = sum((q.contains(name).cast("int") for name in QUESTION_TABLE_WORDS), F.lit(0))
+        numbered = q.rlike(r"\b(top|first|last|bottom)\s+\d+")
+        return _mask([(q.contains(word), labels) for word, labels in words] + [(numbered, ["HAS_LIMIT", "HAS_ORDER"]), (tables >= 2, ["HAS_JOIN"])])
+    return _let(F.lower(_c(text)), mask)
 
 
 def sql_skeleton(sql) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import spread
 from quarry.sources.tables import Tables
 
 # Fixed template texts (printf style; arguments listed per template).
@@ -66,7 +67,7 @@ def _pick(which: int, kind: int):
 
 def query_log(t: Tables) -> DataFrame:
     """query_log(query_id, template_id, question, gold_sql, pred_sql)."""
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
+    o = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate"))
     o = o.withColumn("_tid", (F.col("o_orderkey") % 6).cast("int")).withColumn(
         "_pid", F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") + 1) % 6).otherwise(F.col("o_orderkey") % 6)
         .cast("int"))

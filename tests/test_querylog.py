@@ -101,3 +101,16 @@ def test_column_references_skip_keywords(spark):
     got = {r["s"]: r["c"] for r in df.collect()}
     assert {k: sorted(v) for k, v in got.items()} == cases
     assert {"nulls", "first", "last", "filter", "intersect", "except", "values", "set"} <= set(SQL_KEYWORDS)
+
+
+def test_mining_expressions_name_their_input_once(spark):
+    """The text under a label or reference expression is evaluated once a row, not once a rule."""
+    from pyspark.sql import functions as F
+    from quarry.operators.querylog import column_refs, question_patterns, sql_skeleton
+
+    df = spark.createDataFrame([("SELECT aa FROM t WHERE bb > 1", "Total price per user")], "s string, q string")
+    for build in (lambda c: table_refs(c), lambda c: column_refs(c), lambda c: sql_skeleton(c), lambda c: question_patterns(c)):
+        plan = df.select(F.explode(build(normalize_sql(F.concat("s", "q")))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("concat(s") == 1
+    got = df.select(column_refs(normalize_sql("s")).alias("c"), sql_skeleton("s").alias("k"), question_patterns("q").alias("p")).first()
+    assert got["c"] == ["aa", "bb"] and got["k"] == [] and got["p"] == ["AGG_SUM", "HAS_AGGREGATION", "HAS_GROUP_BY"]
