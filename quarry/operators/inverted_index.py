@@ -1,7 +1,7 @@
 """Inverted index in blocks, and top-k set similarity by block bounds.
 
 The index of a table of token sets holds, per token and per aligned range of
-``2 ** bits`` ids, one row: the first id, the gaps to the following ones, how
+``2 ** bits`` ids, one row: the first id, the distances of the following ones from it, how
 many they are and the size of the smallest set among them.  Ranges are
 aligned, so the blocks of different tokens meet by (token, block) and a token
 found in a third of all sets is spread over as many rows, and tasks, as its
@@ -35,20 +35,20 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def posting_blocks(sets: DataFrame, bits: int = 7) -> DataFrame:
     """(tok, block, n, least, first, gaps) of ``sets(id, toks)``: the ids of a
     token in [block << bits, (block + 1) << bits), ascending, as the first id
-    and the gaps between neighbours.
+    and the distances of the others from it.
 
     Rows with a null id are not indexed; a repeated id counts once a token.
     """
     e = sets.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.size("toks").alias("size"), F.explode("toks").alias("tok"))
     g = (e.groupBy("tok", F.shiftright("id", bits).alias("block"))
          .agg(F.sort_array(F.collect_set("id")).alias("ids"), F.min("size").alias("least")))
-    gaps = F.zip_with(F.slice("ids", 2, F.size("ids")), F.slice("ids", 1, F.size("ids") - 1), lambda b, a: (b - a).cast("int"))
+    gaps = F.transform(F.slice("ids", 2, F.size("ids")), lambda x: (x - F.element_at("ids", 1)).cast("int"))
     return g.select("tok", "block", F.size("ids").alias("n"), "least", F.element_at("ids", 1).alias("first"), gaps.alias("gaps"))
 
 
 def posting_ids() -> Column:
-    """The ids of a posting block: running sums of its gaps."""
-    return F.aggregate("gaps", F.array("first"), lambda ids, gap: F.concat(ids, F.array(F.element_at(ids, -1) + gap)))
+    """The ids of a posting block: its first id and the distances from it."""
+    return F.concat(F.array("first"), F.transform("gaps", lambda gap: F.col("first") + gap))
 
 
 def write_index(sets: DataFrame, path: str, bits: int = 7) -> None:
