@@ -222,10 +222,8 @@ def mask_jaccard(a, b) -> Column:
 
 def tokens(text) -> Column:
     """Distinct lower-case [a-z0-9_]+ tokens of the whole text (the maximal
-    runs of those characters: a split on everything else, empties dropped —
-    cheaper than extracting each match)."""
-    parts = F.split(F.lower(_c(text)), r"[^a-z0-9_]+")
-    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+    runs of those characters)."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
 def jaccard_sets(a: Column, b: Column) -> Column:
@@ -322,12 +320,15 @@ def token_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     A text copied a million times is a million members and one representative;
     rows with a null id are left out, a repeated row is one member.
     """
-    keyed = _written(spread(df.select("id", "text")).select("id", tokens("text").alias("toks")).where(F.col("id").isNotNull() & (F.size("toks") > 0))
-                     .withColumn("key", F.sha2(F.array_join(F.array_sort("toks"), " "), 256)), "token-sets")
-    first = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    own = keyed.join(first, "key")
-    members = own.select("id", "rep").distinct()
-    return members, _written(own.where(F.col("id") == F.col("rep")).select("id", "toks").dropDuplicates(["id"]), "token-representatives")
+    keyed = _written(spread(df.select("id", "text").where("id is not null")).select("id", tokens("text").alias("toks"))
+                     .withColumn("key", F.sha2(F.array_join(F.array_sort("toks"), " "), 256)), "token-sets").where(F.size("toks") > 0)
+    # only ids and keys are grouped; a set travels once, as the text of its representative
+    keys = keyed.select("id", "key")
+    own = _written(keys.join(keys.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep", "key").distinct(), "token-classes")
+    reps = own.where(F.col("id") == F.col("rep")).select("id", "key")
+    sets = (keyed.select("id", "key", F.array_join("toks", " ").alias("words")).join(reps, ["id", "key"], "left_semi")
+            .dropDuplicates(["id"]).select("id", F.split("words", " ").alias("toks")))
+    return own.select("id", "rep").distinct(), _written(sets, "token-representatives")
 
 
 def token_rarity(*sets: DataFrame) -> DataFrame:
@@ -349,14 +350,29 @@ def prefix_table(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFr
     return _written(x.where(F.col("pos") <= plen).select("id", "tok", "pos", "n"), "prefixes")
 
 
+def _signatures(sets: DataFrame, words: int = 4) -> DataFrame:
+    """(id, s0, s1, ...): per set, 64 bits a word, each the parity of the tokens that hash to it.
+
+    A token of one set only flips one bit, so two sets differ in at least as
+    many tokens as their signatures differ in bits.
+    """
+    def word(h: Column, w: int) -> Column:
+        flip = lambda acc, x: acc.bitwiseXOR(F.when(F.pmod(x, F.lit(words)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(h, F.lit(0).cast("long"), flip)
+
+    hashed = sets.select("id", F.transform("toks", lambda x: F.xxhash64(x)).alias("h"))
+    return _written(hashed.select("id", *[word(F.col("h"), w).alias(f"s{w}") for w in range(words)]), "signatures")
+
+
 def similar_pairs(lsets: DataFrame, lpre: DataFrame, rsets: DataFrame | None, rpre: DataFrame | None,
                   threshold: float) -> DataFrame:
     """Pairs with Jaccard >= threshold from prefix tables (self-join when
     ``rsets`` is None).  Filters, cheapest first: shared prefix token
-    (equi-join), length ratio, then the positional bound at the pair's first
+    (equi-join), length ratio, the positional bound at the pair's first
     shared token (all earlier tokens of both sets are unshared, so the
     overlap is at most 1 + min(n_l - i, n_r - j) and must reach
-    t/(1+t) * (n_l + n_r)); only survivors get the exact Jaccard."""
+    t/(1+t) * (n_l + n_r)), then the bits in which the sets' signatures
+    differ; only survivors fetch their sets for the exact Jaccard."""
     self_join = rsets is None
     lp = lpre.select(F.col("id").alias("lid"), "tok", F.col("pos").alias("lpos"), F.col("n").alias("ln"))
     rp = (lpre if self_join else rpre).select(F.col("id").alias("rid"), "tok", F.col("pos").alias("rpos"),
@@ -366,15 +382,22 @@ def similar_pairs(lsets: DataFrame, lpre: DataFrame, rsets: DataFrame | None, rp
         cand = cand.where(F.col("lid") < F.col("rid"))
     t = F.lit(threshold)
     cand = cand.where((F.col("rn") >= t * F.col("ln")) & (F.col("ln") >= t * F.col("rn")))
-    first = cand.groupBy("lid", "rid").agg(F.min("lpos").alias("i"), F.min("rpos").alias("j"),
-                                           F.first("ln").alias("ln"), F.first("rn").alias("rn"))
+    # the bound only falls at later shared tokens, so rows that miss it are dropped before pairs are made distinct
     need = F.ceil(t / (1 + t) * (F.col("ln") + F.col("rn")) - F.lit(1e-9))
-    first = first.where(1 + F.least(F.col("ln") - F.col("i"), F.col("rn") - F.col("j")) >= need)
-    L = lsets.select(F.col("id").alias("lid"), F.col("toks").alias("lt"))
-    R = (lsets if self_join else rsets).select(F.col("id").alias("rid"), F.col("toks").alias("rt"))
-    full = first.select("lid", "rid").join(L, "lid").join(R, "rid")
-    jac = jaccard_sets(F.col("lt"), F.col("rt"))
-    return full.where(jac >= threshold).select("lid", "rid", F.round(jac, 6).alias("jaccard"))
+    cand = cand.where(1 + F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos")) >= need)
+    first = cand.groupBy("lid", "rid").agg(F.first("ln").alias("ln"), F.first("rn").alias("rn"))
+    lsig = _signatures(lsets)
+    rsig = lsig if self_join else _signatures(rsets)
+    bits = [c for c in lsig.columns if c != "id"]
+    apart = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in bits), F.lit(0))
+    near = (first.join(lsig.select(F.col("id").alias("lid"), *[F.col(c).alias(f"l{c}") for c in bits]), "lid")
+            .join(rsig.select(F.col("id").alias("rid"), *[F.col(c).alias(f"r{c}") for c in bits]), "rid")
+            .where(apart <= F.col("ln") + F.col("rn") - 2 * need).select("lid", "rid"))
+    # sets travel as one text each, a fraction of the bytes of an array
+    L = lsets.select(F.col("id").alias("lid"), F.array_join("toks", " ").alias("lt"))
+    R = (lsets if self_join else rsets).select(F.col("id").alias("rid"), F.array_join("toks", " ").alias("rt"))
+    full = near.join(L, "lid").join(R, "rid").select("lid", "rid", jaccard_sets(F.split("lt", " "), F.split("rt", " ")).alias("jac"))
+    return full.where(F.col("jac") >= threshold).select("lid", "rid", F.round("jac", 6).alias("jaccard"))
 
 
 def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: float = 0.8,
