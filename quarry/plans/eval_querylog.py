@@ -247,19 +247,29 @@ WHERE rank <= 3
 """)
 def l10(t: Tables, k: int = 3):
     """Top-k other logged queries sharing the most tables.  The score only
-    depends on the two table sets, so candidates are the first k+1 ids of
-    each distinct table set (bounded by the schema) — exact, and linear in
-    the log instead of quadratic."""
-    q = query_log(t).select("query_id", table_refs(normalize_sql("gold_sql")).alias("tabs"))
-    q = q.withColumn("sig", F.array_join("tabs", ","))
-    sigs = q.select("sig", F.col("tabs").alias("stabs")).distinct()
+    depends on the two table sets, so the candidates, the first k+1 ids of
+    each set, are ranked once per distinct set; a query takes the first k
+    that are not itself: exact, and linear in the log instead of quadratic.
+
+    A repeated id may be up to k+1 times among a set's candidates: k rows an
+    id and 2k in all hold the first k of any query."""
+    path = scratch_path(t.spark, "table-sets")
+    query_log(t).select("query_id", table_refs(normalize_sql("gold_sql")).alias("tabs")).withColumn("sig", F.array_join("tabs", ",")) \
+        .where("query_id is not null and sig is not null").write.parquet(path)
+    q = t.spark.read.parquet(path)
+    sigs = q.select("sig", "tabs").distinct()
     first = (q.withColumn("srank", F.row_number().over(Window.partitionBy("sig").orderBy("query_id")))
-             .where(F.col("srank") <= k + 1).select("sig", F.col("query_id").alias("eid")))
-    cand = (q.select(F.col("query_id").alias("qid"), "tabs").crossJoin(broadcast_if_small(sigs))  # table sets of the schema in use
-            .join(broadcast_if_small(first), "sig").where(F.col("eid") != F.col("qid"))
-            .select("qid", "eid", F.size(F.array_intersect("tabs", "stabs")).alias("shared")))
-    w = Window.partitionBy("qid").orderBy(F.col("shared").desc(), F.col("eid"))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "eid", "shared")
+             .where(F.col("srank") <= k + 1).select(F.col("sig").alias("esig"), F.col("query_id").alias("eid")))
+    pairs = sigs.crossJoin(broadcast_if_small(sigs.select(F.col("sig").alias("esig"), F.col("tabs").alias("etabs")))) \
+        .select("sig", "esig", F.size(F.array_intersect("tabs", "etabs")).alias("shared"))
+    order = [F.col("shared").desc(), F.col("eid")]
+    ranked = (pairs.join(first, "esig").withColumn("_own", F.row_number().over(Window.partitionBy("sig", "eid").orderBy(F.col("shared").desc())))
+              .where(F.col("_own") <= k).withColumn("_rn", F.row_number().over(Window.partitionBy("sig").orderBy(*order))).where(F.col("_rn") <= 2 * k))
+    best = ranked.groupBy("sig").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "eid", "shared"))), lambda x: F.struct(x["eid"].alias("eid"), x["shared"].alias("shared"))).alias("best"))
+    found = (q.select(F.col("query_id").alias("qid"), "sig").repartition("qid").join(broadcast_if_small(best), "sig")
+             .select("qid", F.explode(F.slice(F.filter("best", lambda x: x["eid"] != F.col("qid")), 1, k)).alias("x")).select("qid", "x.eid", "x.shared"))
+    w = Window.partitionBy("qid").orderBy(*order)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "eid", "shared")
 
 
 def _classes_sql(name: str, table: str, key: str) -> str:
