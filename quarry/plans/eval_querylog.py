@@ -288,12 +288,15 @@ db AS (SELECT a.id AS lid, b.id AS rid, len(list_intersect(a.tk, b.tk)) / len(li
        FROM dr a JOIN br b ON len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
 ex AS (SELECT d.doc_id AS lid, min(b.item_id) AS rid FROM documents d JOIN benchmark b
        ON regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g') = regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g')
-       WHERE d.doc_id IS NOT NULL AND b.item_id IS NOT NULL GROUP BY d.doc_id)
+       WHERE d.doc_id IS NOT NULL AND b.item_id IS NOT NULL GROUP BY d.doc_id),
+bx AS (SELECT item_id AS id, min(item_id) OVER (PARTITION BY regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS rep
+       FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
 SELECT 'doc_member' AS kind, id AS lid, rep AS rid, 1.0 AS jaccard FROM dm WHERE id <> rep
 UNION ALL SELECT 'bench_member', id, rep, 1.0 FROM bm WHERE id <> rep
 UNION ALL SELECT 'doc_doc_near', lid, rid, round(j, 6) FROM dd WHERE j >= 0.8
 UNION ALL SELECT 'doc_bench_near', lid, rid, round(j, 6) FROM db WHERE j >= 0.8
 UNION ALL SELECT 'doc_bench_exact', lid, rid, 1.0 FROM ex
+UNION ALL SELECT DISTINCT 'bench_exact_member', id, rep, 1.0 FROM bx WHERE id <> rep
 """)
 def l11(t: Tables):
     """Leakage audit within documents and between documents and benchmark.
@@ -303,7 +306,9 @@ def l11(t: Tables):
     pairs of representatives with token Jaccard >= 0.8, by an exact
     prefix-filtered similarity join; the pairs of members follow from both
     and are never written.  ``doc_bench_exact`` gives every document whose
-    whole normalised text is a benchmark item the smallest such item.
+    whole normalised text is a benchmark item the smallest such item, and
+    ``bench_exact_member`` every other item with the same normalised text
+    that one, so texts without tokens lose no link either.
     """
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
     b = t.benchmark.select(F.col("item_id").alias("id"), "text")
@@ -314,13 +319,16 @@ def l11(t: Tables):
     dd = similar_pairs(dr, dpre, None, None, 0.8).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
     db = similar_pairs(dr, dpre, br, bpre, 0.8).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
     norm = lambda c: F.sha2(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), 256)
-    items = b.where("id is not null").groupBy(norm(F.col("text")).alias("h")).agg(F.min("id").alias("rid"))
+    hashed = b.where("id is not null and text is not null").select("id", norm(F.col("text")).alias("h"))
+    items = hashed.groupBy("h").agg(F.min("id").alias("rid"))
+    same_item = hashed.join(items, "h").select("id", F.col("rid").alias("rep")).distinct()
     ex = (d.where("id is not null").select(F.col("id").alias("lid"), norm(F.col("text")).alias("h")).join(items, "h").groupBy("lid").agg(F.min("rid").alias("rid"))
           .select(F.lit("doc_bench_exact").alias("kind"), "lid", "rid", F.lit(1.0).alias("jaccard")))
 
     def member(m, kind):
         return m.where("id <> rep").select(F.lit(kind).alias("kind"), F.col("id").alias("lid"), F.col("rep").alias("rid"), F.lit(1.0).alias("jaccard"))
-    return dd.unionByName(db).unionByName(ex).unionByName(member(dm, "doc_member")).unionByName(member(bm, "bench_member"))
+    return dd.unionByName(db).unionByName(ex).unionByName(member(dm, "doc_member")).unionByName(member(bm, "bench_member")) \
+        .unionByName(member(same_item, "bench_exact_member"))
 
 
 @register("L12_query_templates", f"""

@@ -114,3 +114,66 @@ def test_mining_expressions_name_their_input_once(spark):
         assert plan.count("concat(s") == 1
     got = df.select(column_refs(normalize_sql("s")).alias("c"), sql_skeleton("s").alias("k"), question_patterns("q").alias("p")).first()
     assert got["c"] == ["aa", "bb"] and got["k"] == [] and got["p"] == ["AGG_SUM", "HAS_AGGREGATION", "HAS_GROUP_BY"]
+
+
+def test_similar_pairs_signatures_lose_no_pair(spark):
+    """The signature bound keeps every pair at the threshold; far sets are told apart without their tokens."""
+    import random
+
+    from quarry.operators.querylog import _signatures
+
+    rng = random.Random(3)
+    base = [[f"w{i}_{j}" for j in range(40)] for i in range(6)]
+    docs = [(10 * i + c, " ".join(x if rng.random() > 0.06 * c else f"z{i}{c}{x}" for x in b)) for i, b in enumerate(base) for c in range(4)]
+    sets = {i: set(t.split()) for i, t in docs}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(docs, "id long, text string")
+    assert want and {(r["lid"], r["rid"]) for r in near_duplicate_pairs(df, None).collect()} == want
+    sig = {r["id"]: [r[f"s{w}"] & (1 << 64) - 1 for w in range(4)]
+           for r in _signatures(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, toks array<string>")).collect()}
+    for a in sets:
+        for b in sets:
+            apart = sum((x ^ y).bit_count() for x, y in zip(sig[a], sig[b], strict=True))
+            assert apart <= len(sets[a] ^ sets[b])
+    assert sum((x ^ y).bit_count() for x, y in zip(sig[0], sig[10], strict=True)) > 16
+
+
+def test_leakage_audit_links_items_without_tokens(spark, tmp_path):
+    """Items of equal text without any token are linked through their smallest id."""
+    import __spark_entry__ as e
+
+    spark.createDataFrame([(1, "\u4f60\u597d"), (2, "plain words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "\u4f60\u597d"), (7, " \u4f60\u597d"), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["kind"], r["lid"], r["rid"]) for r in e.queries()["L11_leakage_audit"](spark, str(tmp_path)).collect()}
+    assert got == {("doc_bench_exact", 1, 5), ("bench_exact_member", 7, 5)}
+
+
+def test_a_sketch_per_type_not_per_user(spark, tmp_path):
+    """The sketch is aggregated apart from the distinct count: no group (type, user) holds one."""
+    import __spark_entry__ as e
+
+    rows = [(i, i % 5, None if i % 7 == 0 else "ab"[i % 2]) for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    df = e.queries()["A5_approx_distinct"](spark, str(tmp_path))
+    assert {(r["event_type"], r["exact_users"], r["approx_users"]) for r in df.collect()} == {("a", 5, 5), ("b", 5, 5), (None, 5, 5)}
+    groups = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "HashAggregate" in x or "ObjectHash" in x]
+    assert not any("approx_count_distinct" in x and "user_id" in x.split("functions=")[0] for x in groups)
+
+
+def test_table_overlap_ranks_candidates_by_set(spark, tmp_path):
+    """Candidates are ranked per distinct table set: the plan has no row per query and set."""
+    import datetime
+
+    import __spark_entry__ as e
+
+    rows = [(i, i % 4, "O", 1000.0 * i, datetime.date(1995, 1, 1), "1-URGENT") for i in [*range(30), 2, 2]]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    df = e.queries()["L10_top_k_table_overlap"](spark, str(tmp_path))
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = (r["eid"], r["shared"])
+    assert len(got) == 30 and all(sorted(x) == [1, 2, 3] for x in got.values())
+    assert got[0] == {1: (1, 1), 2: (2, 1), 3: (2, 1)}
+    assert got[2] == {1: (0, 1), 2: (0, 1), 3: (0, 1)}  # three rows of id 2
+    assert got[1][1] == (7, 2)
