@@ -3,7 +3,10 @@ array expressions; cross-row work is explode + join + aggregate."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +82,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _matches(s: Column, rx: str) -> Column:
+    """``s`` matches ``rx``, a pattern of capital words, all of them needed or, with ``|``, one of them.
+
+    The words are looked for before the pattern, which costs many times as
+    much; a pattern that is nothing but a choice of words is not needed at all.
+    """
+    found = reduce(or_ if "|" in rx else and_, [s.contains(w) for w in re.findall("[A-Z]+", rx)])
+    return found if re.fullmatch("[A-Z|]+", rx) else found & s.rlike(rx)
+
+
 def normalize_sql(sql) -> Column:
     """Strip -- and /* */ comments, blank string literals, collapse spaces."""
     s = F.regexp_replace(_c(sql), r"--[^\n]*", " ")
@@ -98,8 +111,15 @@ def _no_keyword(name: Column) -> Column:
     return ~name.isin(SQL_KEYWORDS)
 
 
+# Patterns that start at a word's start only and never give a word's end back:
+# the same matches in one look at each word, not one at each of its letters.
+_CTE = r"(?i)(?<!\w)(\w++)\s++as\s*+\("
+_CALLED = r"(?<![A-Za-z_])([A-Za-z_]\w*+)\s*+\("
+_QUALIFIED = r"(?<![A-Za-z_])([A-Za-z_]\w*+)\.([A-Za-z_]\w*+)"
+
+
 def cte_names(norm_sql) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(_c(norm_sql), F.lit(r"(?i)(\w+)\s+as\s*\("), 1),
+    return F.array_distinct(F.transform(F.regexp_extract_all(_c(norm_sql), F.lit(_CTE), 1),
                                         lambda x: F.lower(x)))
 
 
@@ -124,22 +144,22 @@ def column_refs(norm_sql) -> Column:
     ORDER BY / HAVING bodies, minus keywords, function names (identifier
     followed by '('), tables, aliases, CTE names and SELECT aliases."""
     def qualified(s: Column, known: Column) -> Column:
-        parts = F.transform(F.regexp_extract_all(s, F.lit(r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)"), 0), lambda x: F.split(F.lower(x), r"\."))
+        parts = F.transform(F.regexp_extract_all(s, F.lit(_QUALIFIED), 0), lambda x: F.split(F.lower(x), r"\."))
         return F.transform(F.filter(parts, lambda x: F.array_contains(known, x[0]) | x[0].isin(SQL_KEYWORDS)), lambda x: x[1])
 
     def bare(body: Column, known: Column) -> Column:
-        funcs = F.transform(F.regexp_extract_all(body, F.lit(r"([A-Za-z_]\w*)\s*\("), 1), lambda x: F.lower(x))
+        funcs = F.transform(F.regexp_extract_all(body, F.lit(_CALLED), 1), lambda x: F.lower(x))
         idents = F.transform(F.regexp_extract_all(body, F.lit(r"([A-Za-z_]\w*)"), 1), lambda x: F.lower(x))
         return F.filter(F.array_except(idents, F.array_union(known, funcs)), lambda x: (F.length(x) > 1) & _no_keyword(x))
 
     def refs(s: Column, known: Column, selects: Column) -> Column:
         # every clause body of the text, those of common table expressions included
         bodies = [F.array_join(F.regexp_extract_all(s, F.lit(p), 1), " ") for p in [
-            r"(?is)\bwhere\b(.*?)(?:\bgroup\b|\border\b|\blimit\b|\bhaving\b|$)",
-            r"(?is)\bgroup\s+by\b(.*?)(?:\border\b|\blimit\b|\bhaving\b|$)",
-            r"(?is)\border\s+by\b(.*?)(?:\blimit\b|$)", r"(?is)\bhaving\b(.*?)(?:\border\b|\blimit\b|$)"]]
+            r"(?is)\bwhere\b(.*?)(?:\b(?:group|order|limit|having)\b|$)",
+            r"(?is)\bgroup\s+by\b(.*?)(?:\b(?:order|limit|having)\b|$)",
+            r"(?is)\border\s+by\b(.*?)(?:\blimit\b|$)", r"(?is)\bhaving\b(.*?)(?:\b(?:order|limit)\b|$)"]]
         # qualified references are handled apart
-        body = F.regexp_replace(F.concat_ws(" ", selects, *bodies), r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)", " ")
+        body = F.regexp_replace(F.concat_ws(" ", selects, *bodies), _QUALIFIED, " ")
         sel_alias = F.transform(F.regexp_extract_all(selects, F.lit(r"(?i)\bas\s+([A-Za-z_]\w*)"), 1), lambda x: F.lower(x))
         names = F.array_union(qualified(s, known), _let(body, lambda b: bare(b, known)))
         return F.array_sort(F.array_except(names, sel_alias))
@@ -189,8 +209,8 @@ def sql_skeleton_mask(sql) -> Column:
     """Structural labels of a SQL text (aggregates, group, window, join, time
     functions, order, limit, subquery) as a bitmask."""
     def mask(s: Column) -> Column:
-        nested = s.rlike(r"\bWITH\b") | (F.size(F.split(s, "SELECT")) > 2)
-        return _mask([(s.rlike(rx), labels) for rx, labels in SKELETON_RULES] + [(nested, ["HAS_SUBQUERY"])])
+        nested = _matches(s, r"\bWITH\b") | (F.size(F.split(s, "SELECT")) > 2)
+        return _mask([(_matches(s, rx), labels) for rx, labels in SKELETON_RULES] + [(nested, ["HAS_SUBQUERY"])])
     return _let(F.upper(_c(sql)), mask)
 
 

@@ -177,3 +177,24 @@ def test_table_overlap_ranks_candidates_by_set(spark, tmp_path):
     assert got[0] == {1: (1, 1), 2: (2, 1), 3: (2, 1)}
     assert got[2] == {1: (0, 1), 2: (0, 1), 3: (0, 1)}  # three rows of id 2
     assert got[1][1] == (7, 2)
+
+
+def test_label_and_reference_patterns_are_cheap_and_unchanged(spark):
+    """Words are looked for before a pattern, and no pattern reads a long word once per letter of it."""
+    import time
+    from quarry.operators.querylog import LABEL_BITS, SKELETON_RULES, _CALLED, _CTE, _QUALIFIED, column_refs, sql_skeleton
+    texts = ["select count (a), COUNTif(b), discount(c), max\n(d) from t", "TOYEAR(x) over (partition by y) group  by z", "groupby by group", "within (select 1)",
+             "WITH a AS (select 1), 1b as(select x) select a1.b2.c3, 9t.u9 from a join b.c d", "limit", "limits order\tby", "sumif( join) f1 (g2(3h(", "a.b.c. d", "", "uniqexactif(todate(x))"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    old = {_CTE: r"(?i)(\w+)\s+as\s*\(", _CALLED: r"([A-Za-z_]\w*)\s*\(", _QUALIFIED: r"([A-Za-z_]\w*)\.([A-Za-z_]\w*)"}
+    for r in df.select("s", sql_skeleton("s").alias("k"), *[F.regexp_extract_all("s", F.lit(rx), F.lit(0)).alias(f"x{i}") for i, rx in enumerate(old)]).collect():
+        up = r["s"].upper()
+        want = {x for rx, labels in SKELETON_RULES if re.search(rx, up) for x in labels}
+        want |= {"HAS_SUBQUERY"} if re.search(r"\bWITH\b", up) or up.count("SELECT") > 1 else set()
+        assert r["k"] == sorted(want) and want <= set(LABEL_BITS), r["s"]
+        for i, rx in enumerate(old.values()):
+            assert r[f"x{i}"] == [m.group(0) for m in re.finditer(rx, r["s"])], (r["s"], rx)
+    assert str(sql_skeleton("s")).count("contains") >= len(SKELETON_RULES)
+    began = time.time()
+    long = spark.createDataFrame([("select " + "a" * 150_000 + " from t where x = 1",)], "s string").select(column_refs("s").alias("c")).first()
+    assert [len(c) for c in long["c"]] == [150_000] and time.time() - began < 15
