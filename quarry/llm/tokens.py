@@ -1,13 +1,14 @@
 """Whole-text encoding with a word-piece cache.
 
 Both kinds of vocabulary file cut a text at white space before merging, so a
-text's ids are the ids of its space-separated pieces in order.  Pieces repeat
-far more than texts do; each task encodes a piece once with the tokenizers
-library and reuses its ids.  Texts whose cut is not independent of the
+text's ids are the ids of its space-separated pieces in order.  Where that is
+independent too, a piece is cut once more, into letter runs and what lies
+between them.  Parts repeat far more than pieces or texts do; each task encodes
+a part once with the tokenizers library and reuses its ids.  A text that can be
+cut into parts throughout is cut at once, any other into pieces, the ids of
+which are remembered as well.  Texts whose cut is not independent of the
 neighbours (a space between white space) or that hold the string of an added
-token (``<|endoftext|>``) are encoded whole.  A new piece is
-cut once more, into letter runs and what lies between them, where that is
-independent too; of these parts only the unseen ones reach the tokenizer.
+token (``<|endoftext|>``) are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -25,9 +26,6 @@ from quarry.llm.spans import FORGET
 #: pieces, and parts of pieces, in a generation of a worker's cache; two generations are kept (about 200 bytes an entry)
 CACHE_PIECES = 200_000
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
-#: white space after the first character, or nothing but white space
-_INNER_SPACE = re.compile(r".\s|^\s*$", re.S)
-_ZERO = re.compile("0")
 # str.split() and \s take these for white space, the tokenizers library does not
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACED = re.compile(r"[\S\x1c-\x1f]+")
@@ -38,6 +36,10 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"(?!.*\s\s)[\x00-\x26\x28-\x7F{_LETTER}]+", re.S)
 _RUN = re.compile(rf" ?[{_LETTER}]+")
 _PARTS = re.compile(rf" ?[{_LETTER}]+|[^{_LETTER}]+(?<! )| ")
+# The same parts, found in a whole text: of pieces with a leading space (byte-level), of pieces without (word-end).
+_ODD = re.compile(rf"[^\x00-\x1b\x20-\x26\x28-\x7F{_LETTER}]")
+_DOUBLE = re.compile(r"\s\s")
+_TEXT_PARTS = {True: re.compile(rf" ?[{_LETTER}]+| ?[^{_LETTER} ]+| "), False: re.compile(rf"[{_LETTER}]+|[^{_LETTER}\s]+")}
 _ENCODERS: dict = {}
 FORGET.append(_ENCODERS.clear)
 
@@ -53,16 +55,34 @@ class Generations:
         if len(self.now) > self.size:
             self.now, self.before = {}, self.now
         out = []
-        for k in keys:
-            if k not in self.now:
-                v = self.before.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    self.now[k] = v
+        for k in keys.difference(self.now):
+            v = self.before.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.now[k] = v
         return out
 
 
+class Remembered(dict):
+    """Values that are made when first asked for; forgets, at a ``turn``, what has not been used for a whole generation."""
+
+    def __init__(self, size: int, make: Callable[[str], bytes]):
+        self.size, self.make, self.before = size, make, {}
+
+    def turn(self) -> None:
+        if len(self) > self.size:
+            self.before = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies:
     printable Latin-1 bytes for themselves, the others from U+0100 on in order."""
@@ -101,7 +121,7 @@ class PieceEncoder:
         self.added = re.compile("|".join(added) or r"(?!)")
         self.spaced = bool(self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids)
         self.width = (self.tok.get_vocab_size() - 1).bit_length()
-        self.cache, self.parts = Generations(pieces), Generations(pieces)
+        self.cache, self.parts = Generations(pieces), Remembered(pieces, self.part)
         # the merge model alone, if it gives what the whole tokenizer gives for words
         self.characters = dict(enumerate(byte_characters()))
         self.blank = self.characters[32]
@@ -112,10 +132,6 @@ class PieceEncoder:
         if [[t.id for t in merges(x.encode().decode("latin-1").translate(self.characters))] for x in probe] == [
                 self.tok.encode(x, add_special_tokens=False).ids for x in probe]:
             self.merges = merges
-        # a mark between pieces, whose one id no simple piece can contain
-        self.mark, self.simple = ("\n", _INNER_SPACE) if self.spaced else (" 0 ", _ZERO)
-        found = self.tok.encode("a" + self.mark + "a", add_special_tokens=False).ids
-        self.mark_id = found[1] if len(found) == 3 else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -131,40 +147,36 @@ class PieceEncoder:
                 cut.append((p,))
             else:
                 cut.append(_PARTS.findall(p) if _PLAIN.fullmatch(p) else (p,))
-        new = self.parts.missing(set().union(*cut))
-        parts = self.parts.now
-        rest = []
-        for x in new:
-            if self.merges and _RUN.fullmatch(x):  # one word for the merge model, nothing to cut or normalise any more
-                word = x.replace(" ", self.blank) if x.isascii() else x.encode().decode("latin-1").translate(self.characters)
-                parts[x] = little([t.id for t in self.merges(word)])
-            else:
-                rest.append(x)
-        parts.update(zip(rest, self.marked(rest)))
-        get = parts.__getitem__
+        self.parts.turn()
+        get = self.parts.__getitem__
         return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
-    def marked(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces or parts, by one call per group of simple ones."""
-        out: dict[str, bytes] = {}
-        simple = [p for p in pieces if not self.simple.search(p)] if self.mark_id is not None else []
-        for i in range(0, len(simple), 4096):
-            part = simple[i:i + 4096]
-            ids = np.array(self.tok.encode(self.mark.join(part), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(part) - 1:
-                continue
-            data = ids.tobytes()
-            first = np.concatenate([[0], at + 1]) * 4
-            last = np.concatenate([at, [len(ids)]]) * 4
-            out.update(zip(part, (data[a:b] for a, b in zip(first.tolist(), last.tolist()))))
-        rest = [p for p in pieces if p not in out]
-        for i in range(0, len(rest), 4096):
-            out.update(zip(rest[i:i + 4096], self.whole(rest[i:i + 4096])))
-        return [out[p] for p in pieces]
+    def part(self, x: str) -> bytes:
+        """Ids of one part."""
+        if self.merges and _RUN.fullmatch(x):  # one word for the merge model, nothing to cut or normalise any more
+            word = x.replace(" ", self.blank) if x.isascii() else x.encode().decode("latin-1").translate(self.characters)
+            return little([t.id for t in self.merges(word)])
+        return little(self.tok.encode(x, add_special_tokens=False).ids)
+
+    def plain(self, text: str) -> bool:
+        """Whether the text can be cut into parts throughout."""
+        return not (_ODD.search(text) or (self.spaced and _DOUBLE.search(text)) or self.added.search(text))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
+        out, odd = [b""] * len(texts), []
+        self.parts.turn()
+        get, parts = self.parts.__getitem__, _TEXT_PARTS[self.spaced].findall
+        for i, t in enumerate(texts):
+            if self.plain(t):
+                out[i] = b"".join(map(get, parts(t if self.spaced else t.lower())))
+            else:
+                odd.append(i)
+        for i, ids in zip(odd, self.by_pieces([texts[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
         # byte-level: a key stands for the piece with a space before it; the first piece of a text has none
         cut = [t.split(" ") if self.spaced else words(t) for t in texts]
         whole = {i for i, t in enumerate(texts) if self.added.search(t) or (self.spaced and _UNSAFE.search(t))}

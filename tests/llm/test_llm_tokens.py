@@ -123,3 +123,27 @@ def test_packing_wastes_little(spark):
     rows = [(i, "tok " * int(rng.integers(1, 3000))) for i in range(600)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json")).toPandas()
     assert got.length.sum() / (got.sequence_id.nunique() * 2048) > 0.98
+
+
+def test_plain_texts_are_cut_into_parts_at_once():
+    """A text that can be cut into parts throughout leaves no piece of its own to remember; ids as of the whole text."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.llm.tokens import PieceEncoder
+
+    r = random.Random(7)
+    signs = ["a", "Zq", "über", "ÉÀ", "ß", "12", "3.5", ",", ".\n", "&&&", "\t", "\r\n", "#", "_", "x" * 40, "\x7f", "\x00"]
+    plain = ["".join(r.choice(signs) + r.choice(["", " ", "", " "]) for _ in range(r.randrange(12))) for _ in range(400)] + ["", " ", " a", "a ", "1, 2 b", "a.\nB"]
+    odd = ["it's", "a  b", "a\x1cb", "x \x1f y", "日本 語", "a b", "a<|endoftext|>b", "a<|startoftext|> b", "x \n", "é é", "×÷", None]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        enc = PieceEncoder(path)
+        for text, ids in zip(plain + odd, enc.encode(plain + odd)):
+            assert list(memoryview(ids).cast("I")) == whole.encode(text or "", add_special_tokens=False).ids, (name, text)
+        enc = PieceEncoder(path)
+        enc.encode(["one two, three. four", "Five\nsix"])
+        assert not enc.cache.now and enc.parts
