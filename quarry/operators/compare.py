@@ -85,12 +85,13 @@ def float_cols(df: DataFrame) -> set[str]:
 def with_row_key(df: DataFrame, name: str = "_rk") -> DataFrame:
     """Canonical row key: two independent 64-bit xxhash values of the
     canonical row text (a 128-bit key; cheaper per row than a SHA digest,
-    collisions ~2^-128)."""
+    collisions ~2^-128), as 16 bytes, since keys are what is shuffled and
+    written most."""
     fc = float_cols(df)
     num = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
     text = F.concat_ws("␟", *[canonical_cell(F.col(c), c in fc, c in num) for c in df.columns])
-    key = F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(F.lit("#"), text).cast("string"))
-    return df.withColumn(name, key)
+    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit("#"), text))]
+    return df.withColumn(name, F.unhex(F.concat(*halves)))
 
 
 def key_counts(df: DataFrame) -> DataFrame:

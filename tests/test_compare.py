@@ -229,3 +229,12 @@ def test_exact_pairs_give_way(spark):
     assert r["match"] and (r["matched_exact"], r["matched_tolerant"]) == (0, 2)
     r = tolerant_compare(gold.where("false"), pred).first()
     assert (r["gold_rows"], r["unmatched_pred"], r["match"], r["superset_match"], r["partial_score"]) == (0, 2, False, True, 0.0)
+
+
+def test_row_keys_are_sixteen_bytes(spark):
+    """Keys are what matching shuffles and writes in every step: two 64-bit numbers, not their decimal text."""
+    from quarry.operators.compare import with_row_key
+
+    df = spark.range(500).selectExpr("id % 250 as a", "cast(id % 250 as string) as b", "if(id % 250 = 7, null, id % 250 / 4) as c")
+    keys = [bytes(r["_rk"]) for r in with_row_key(df).select("_rk").collect()]
+    assert all(len(k) == 16 for k in keys) and len(set(keys)) == 250
