@@ -4,14 +4,18 @@ array expressions; cross-row work is explode + join + aggregate."""
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.operators.joins import spread
+from quarry.operators.joins import broadcast_if_small, spread
 from quarry.session import scratch_path
 
 # Words that are never table or column names.
@@ -322,102 +326,308 @@ def top_k_similar(questions: DataFrame, examples: DataFrame, k: int = 3) -> Data
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def token_sets(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, toks): distinct tokens of each whole text, written once because
     the similarity join reads them three times (document frequencies,
-    prefixes, verification)."""
+    prefixes, verification); ids must not repeat there."""
     return _written(df.select(F.col(id_col).alias("id"), tokens(text_col).alias("toks")), "token-sets")
 
 
+def _hashes(toks) -> Column:
+    return F.transform(_c(toks), lambda x: F.xxhash64(x))
+
+
 def token_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of texts with equal, non-empty token sets: members (id, rep),
-    rep being the class's smallest id, and representatives (id, toks).
+    """Classes of texts with equal, non-empty token sets: members (row, id,
+    class, copies), one per row of ``df``, and the classes' sets (id, toks),
+    ``id`` being the class's number.
 
-    A text copied a million times is a million members and one representative;
-    rows with a null id are left out, a repeated row is one member.
+    A text copied a million times is a million members and one set.  Classes
+    are numbered by size, from 450 tokens, and least token hash, so that alike
+    sets have near numbers and are verified in the same blocks.
     """
-    keyed = _written(spread(df.select("id", "text").where("id is not null")).select("id", tokens("text").alias("toks"))
-                     .withColumn("key", F.sha2(F.array_join(F.array_sort("toks"), " "), 256)), "token-sets").where(F.size("toks") > 0)
-    # only ids and keys are grouped; a set travels once, as the text of its representative
-    keys = keyed.select("id", "key")
-    own = _written(keys.join(keys.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep", "key").distinct(), "token-classes")
-    reps = own.where(F.col("id") == F.col("rep")).select("id", "key")
-    sets = (keyed.select("id", "key", F.array_join("toks", " ").alias("words")).join(reps, ["id", "key"], "left_semi")
-            .dropDuplicates(["id"]).select("id", F.split("words", " ").alias("toks")))
-    return own.select("id", "rep").distinct(), _written(sets, "token-representatives")
-
-
-def token_rarity(*sets: DataFrame) -> DataFrame:
-    """(tok, df): document frequency over the union of token-set frames —
-    the global rarity order used by prefix filtering."""
+    keyed = _written(spread(df.select("id", "text")).select("id", tokens("text").alias("toks"))
+                     .select(F.monotonically_increasing_id().alias("row"), "id", F.unhex(F.sha2(F.array_join(F.array_sort("toks"), " "), 256)).alias("key"),
+                             F.size("toks").alias("n"), F.array_min(_hashes("toks")).alias("low"), F.array_join("toks", " ").alias("words")), "token-sets").where("n > 0")
+    # only rows and keys are grouped; a set travels once, as a text
+    band = F.when(F.col("n") > 450, F.floor(F.log2("n") * 2)).otherwise(0)
+    classes = keyed.groupBy("key").agg(F.min("row").alias("row"), F.min(band).alias("band"), F.min("low").alias("low"), F.count("*").alias("copies"))
+    classes = _written(classes.orderBy("band", "low", "key").select(F.monotonically_increasing_id().alias("class"), "key", "row", "copies"), "token-classes")
+    members = _written(keyed.select("row", "id", "key").join(classes.select("key", "class", "copies"), "key").select("row", "id", "class", "copies"), "token-members")
+    own = broadcast_if_small(classes.select("row", F.col("class").alias("id")))
+    sets = _written(keyed.select("row", "words").join(own, "row").select("id", "words"), "token-representatives")
+    return members, sets.select("id", F.split("words", " ").alias("toks"))
+
+
+def member_pairs(near: DataFrame, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """(lid, rid, jaccard) of all pairs of rows whose classes are equal or near.
+
+    ``near(lid, rid, jaccard)`` are pairs of classes, ``left`` and ``right``
+    the members of ``token_classes``.  Within one table (``right`` is None)
+    every pair of rows with different ids comes once, smaller id first.
+    Members travel in lists of about 256; the pairs are made last and are not
+    shuffled.
+    """
+    def lists(members: DataFrame, side: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("row"), F.ceil(F.col("copies") / 256))
+        return members.groupBy(F.col("class").alias(f"{side}id"), part.alias(f"{side}part")).agg(F.collect_list(F.struct("id")).alias(side)).drop(f"{side}part")
+
+    if right is None:
+        equal = left.where("copies > 1").select(F.col("class").alias("lid"), F.col("class").alias("rid"), F.lit(1.0).alias("jaccard")).distinct()
+        near = near.unionByName(equal)
+    met = near.join(lists(left, "l"), "lid").join(lists(left if right is None else right, "r"), "rid")
+    pairs = met.select((F.col("lid") == F.col("rid")).alias("same"), "jaccard", "r", F.explode("l").alias("a")).select("same", "jaccard", "a", F.explode("r").alias("b")) \
+        .select("same", "jaccard", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    if right is not None:
+        return pairs.select(F.col("a").alias("lid"), F.col("b").alias("rid"), "jaccard")
+    once = F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    return pairs.where(once).select(F.least("a", "b").alias("lid"), F.greatest("a", "b").alias("rid"), "jaccard")
+
+
+# token hashes are counted in this many buckets: a table of bounded size, one byte a bucket
+_RARITY_BUCKETS = 1 << 22
+
+
+def token_rarity(*sets: DataFrame) -> np.ndarray:
+    """Per bucket of token hashes its level, 8 * log2 of the sets' tokens in it
+    (0: at most one), over the union of token-set frames — with the hash itself
+    the global rarity order used by prefix filtering.  Any fixed order keeps
+    the join exact; tokens that share a bucket only count as less rare."""
     src = None
     for x in sets:
-        e = x.select(F.explode("toks").alias("tok"))
+        e = x.select(F.explode(_hashes("toks")).alias("h"))
         src = e if src is None else src.unionByName(e)
-    return src.groupBy("tok").agg(F.count("*").alias("df"))
+    counts = src.groupBy(F.col("h").bitwiseAND(F.lit(_RARITY_BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("df")).where("df > 1")
+    got = counts.select("bucket", F.floor(F.log2("df") * 8).cast("int").alias("level")).toArrow()
+    levels = np.zeros(_RARITY_BUCKETS, np.uint8)
+    levels[got["bucket"].to_numpy()] = got["level"].to_numpy()
+    return levels
+
 
+# bits of a set's signature, in words of 64, and for sets of more than 450 tokens
+_WORDS, _MORE_WORDS, _MORE_FROM = 4, 16, 450
 
-def prefix_table(sets: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
-    """(id, tok, pos, n): the first |s| - ceil(t*|s|) + 1 tokens of every set
-    in (df, tok) order, with their 1-based position."""
-    x = sets.select("id", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(rarity, "tok")
-    x = x.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("df", "tok")))
-    plen = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    return _written(x.where(F.col("pos") <= plen).select("id", "tok", "pos", "n"), "prefixes")
 
+def _slices(batch: pa.RecordBatch, tokens_each: int = 500_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch with a column ``h`` of lists: (part, sizes, row of each hash, hashes)."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("h")), 0).to_numpy()
+    part = (np.cumsum(sizes) - sizes) // tokens_each
+    for first, last in zip(*[x.tolist() for x in (np.flatnonzero(np.diff(part, prepend=-1)), np.flatnonzero(np.diff(part, append=-1)) + 1)], strict=True):
+        rows = batch.slice(first, last - first)
+        yield rows, sizes[first:last], np.repeat(np.arange(last - first), sizes[first:last]), rows.column("h").flatten().to_numpy()
 
-def _signatures(sets: DataFrame, words: int = 4) -> DataFrame:
-    """(id, s0, s1, ...): per set, 64 bits a word, each the parity of the tokens that hash to it.
+
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(id, h, s0, s1, ...): per set, its token hashes and 64 bits a word, each the parity of the tokens that hash to it.
 
     A token of one set only flips one bit, so two sets differ in at least as
-    many tokens as their signatures differ in bits.
+    many tokens as their signatures differ in bits.  Few bits hardly tell large
+    sets apart, so these have more (m0, m1, ..., null for others).
+    """
+    def parities(doc: np.ndarray, h: np.ndarray, rows: int, words: int) -> np.ndarray:
+        bits, u = np.zeros(rows * words, np.uint64), h.view(np.uint64)
+        np.bitwise_xor.at(bits, doc * words + (h & (words - 1)), np.uint64(1) << (u >> np.uint64(58)))
+        return bits.view(np.int64).reshape(rows, words).T
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, n, doc, h in _slices(batch):
+                few, large = parities(doc, h, len(n), _WORDS), n > _MORE_FROM
+                more = parities(doc[large[doc]], h[large[doc]], len(n), _MORE_WORDS)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, few), *[pa.array(x, mask=~large) for x in more]], names)
+
+    names = ["id", "h", *[f"s{w}" for w in range(_WORDS)], *[f"m{w}" for w in range(_MORE_WORDS)]]
+    schema = T.StructType([T.StructField("id", sets.schema["id"].dataType), T.StructField("h", T.ArrayType(T.LongType())), *[T.StructField(x, T.LongType()) for x in names[2:]]])
+    return sets.select("id", _hashes("toks").alias("h")).mapInArrow(sign, schema)
+
+
+def prefix_table(sets: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
+    """(id, n, pos, tok, p0, p1, signature): the first |s| - ceil(t*|s|) + 1 tokens
+    of every set in rarity order, as hashes, with their 1-based position and
+    the two tokens before them in this table.
+
+    A token whose bucket holds no other set's token can be shared by no pair
+    and has no row.
     """
-    def word(h: Column, w: int) -> Column:
-        flip = lambda acc, x: acc.bitwiseXOR(F.when(F.pmod(x, F.lit(words)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(h, F.lit(0).cast("long"), flip)
+    signed = _signatures(sets)
+    bits = [x for x in signed.columns if x not in ("id", "h")]
+    levels = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, n, doc, h in _slices(batch):
+                level = levels.value[h & (_RARITY_BUCKETS - 1)]
+                order = np.lexsort((h, level, doc))
+                h, level = h[order], level[order]
+                pos = np.arange(1, len(h) + 1) - np.repeat(np.cumsum(n) - n, n)
+                kept = np.flatnonzero((pos <= (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & (level > 0))
+                of, tok = doc[kept], h[kept]
+
+                def before(k: int) -> pa.Array:
+                    other = np.ones(len(of), bool)
+                    other[k:] = of[k:] != of[:-k]
+                    return pa.array(np.roll(tok, k), mask=other)  # noqa: B023
 
-    hashed = sets.select("id", F.transform("toks", lambda x: F.xxhash64(x)).alias("h"))
-    return _written(hashed.select("id", *[word(F.col("h"), w).alias(f"s{w}") for w in range(words)]), "signatures")
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(at), pa.array(n[of].astype(np.int32)), pa.array(pos[kept].astype(np.int32)), pa.array(tok),
+                                                  before(1), before(2), *[rows.column(x).take(at) for x in bits]], names)
+
+    names = ["id", "n", "pos", "tok", "p0", "p1", *bits]
+    schema = T.StructType([T.StructField(x, sets.schema["id"].dataType if x == "id" else T.IntegerType() if x in ("n", "pos") else T.LongType()) for x in names])
+    return _written(signed.mapInArrow(prefixes, schema), "prefixes")
+
+
+def _block(key: str, like: DataFrame) -> Column:
+    """The block of an id: 256 neighbouring numbers."""
+    whole = isinstance(like.schema["id"].dataType, T.IntegralType)
+    return F.shiftright(F.col(key).cast("long"), 8) if whole else F.pmod(F.xxhash64(key), F.lit(4096))
+
+
+def _jaccard_in_blocks(pairs: DataFrame, lsets: DataFrame, rsets: DataFrame | None, threshold: float) -> DataFrame:
+    """(lid, rid, jac) of the pairs with Jaccard >= threshold, from the whole sets.
+
+    Pairs meet by the blocks of their ids: a set travels once to each pair of
+    blocks that needs it, not once a pair, and a task holds two blocks of sets.
+    """
+    right = 0 if rsets is None else 1
+    kind = lsets.schema["id"].dataType
+    pairs = pairs.select(_block("lid", lsets).alias("lb"), _block("rid", lsets if rsets is None else rsets).alias("rb"), "lid", "rid")
+    wanted = pairs.select("lb", "rb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lid").alias("id")), F.struct(F.lit(right).alias("side"), F.col("rid").alias("id")))).alias("x")) \
+        .select("lb", "rb", "x.side", "x.id").distinct()
+    sets = lsets.select(F.lit(0).alias("side"), "id", F.array_join("toks", " ").alias("words"))
+    if rsets is not None:
+        sets = sets.unionByName(rsets.select(F.lit(1).alias("side"), "id", F.array_join("toks", " ").alias("words")))
+    none = F.lit(None)
+    rows = wanted.join(sets, ["side", "id"]).select("lb", "rb", "side", "id", none.cast(kind).alias("rid"), "words") \
+        .unionByName(pairs.select("lb", "rb", F.lit(2).alias("side"), F.col("lid").alias("id"), "rid", none.cast("string").alias("words")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found, codes = None, ({}, {}), {}
+        for batch in batches:
+            lb, rb, side = (batch.column(x).to_numpy() for x in ("lb", "rb", "side"))
+            ids, rids, words = batch.column("id").to_pylist(), batch.column("rid").to_pylist(), batch.column("words")
+            edges = np.flatnonzero((np.diff(lb) != 0) | (np.diff(rb) != 0) | (np.diff(side) != 0)) + 1
+            out = []
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
+                if (lb[a], rb[a]) != at:
+                    at, found, codes = (lb[a], rb[a]), ({}, {}), {}
+                if side[a] < 2:
+                    for i, text in zip(ids[a:b], words.slice(a, b - a).to_pylist(), strict=True):
+                        found[side[a]][i] = np.array([codes.setdefault(w, len(codes)) for w in text.split(" ")], np.int32)
+                    continue
+                marked, last = np.zeros(len(codes), bool), None
+                for i, j in sorted(zip(ids[a:b], rids[a:b], strict=True)):
+                    if i != last:
+                        marked[:] = False
+                        marked[found[0][i]] = True
+                        last, size = i, len(found[0][i])
+                    other = found[right][j]
+                    both = int(np.count_nonzero(marked[other]))
+                    jac = both / (size + len(other) - both)
+                    if jac >= threshold:
+                        out.append((i, j, jac))
+            if out:
+                kinds = batch.column("id").type, batch.column("rid").type, pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["lid", "rid", "jac"])
+
+    schema = T.StructType([T.StructField("lid", kind), T.StructField("rid", kind), T.StructField("jac", T.DoubleType())])
+    return rows.repartition("lb", "rb").sortWithinPartitions("lb", "rb", "side").mapInArrow(compare, schema)
+
+
+def _candidates(lpre: DataFrame, rpre: DataFrame | None, threshold: float) -> DataFrame:
+    """(lid, rid) of the pairs that pass all filters of ``similar_pairs``, mostly once each.
+
+    The prefix rows are dealt by token and sorted by size, so that a set only
+    meets those of its token whose size fits; at most a million pairs at a time.
+    """
+    cross = rpre is not None
+    rows = lpre.withColumn("side", F.lit(0))
+    if rpre is not None:
+        # tokens of both sides only
+        rows = rows.join(broadcast_if_small(rpre.select("tok").distinct()), "tok", "left_semi").unionByName(rpre.withColumn("side", F.lit(1)))
+    few, more = ([x for x in lpre.columns if x[0] == letter] for letter in "sm")
+    share = threshold / (1 + threshold)
+
+    def sizes(rows: pa.RecordBatch, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(rows that look for partners, index into others of their first, how many, first row to keep), others being the rows or the right ones."""
+        tok, n, side = (rows.column(x).to_numpy().astype(np.int64) for x in ("tok", "n", "side"))
+        group = np.cumsum(np.diff(tok, prepend=tok[:1]) != 0) << 32
+        least = np.ceil(threshold * n - 1e-9).astype(np.int64)
+        if cross:
+            own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            keys = (group + n)[other]
+            first = np.searchsorted(keys, (group + least)[own])
+            last = np.searchsorted(keys, (group + np.floor(n / threshold + 1e-9).astype(np.int64))[own], "right")
+            return own, first, last - first, int(np.searchsorted(group, group[-1]))
+        own, keys = np.arange(new, len(tok)), group + n
+        first = np.searchsorted(keys, (group + least)[new:])
+        return own, first, own - first, int(np.searchsorted(keys, group[-1] + least[-1]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if kept is None else pa.concat_batches([kept, batch])
+            own, first, many, keep = sizes(rows, 0 if kept is None else len(kept))
+            col = {x: pc.fill_null(rows.column(x), 0).to_numpy() for x in rows.schema.names if x != "id"}
+            other = np.flatnonzero(col["side"] == 1) if cross else None
+            known = {x: rows.column(x).is_valid().to_numpy(zero_copy_only=False) for x in ("p0", "p1", "m0")}
+            n, left = col["n"].astype(np.int64), col["n"].astype(np.int64) - col["pos"]
+            part = (np.cumsum(many) - many) // 1_000_000
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(own)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                count = many[a:b]
+                j = np.repeat(own[a:b], count)
+                i = np.repeat(first[a:b] - (np.cumsum(count) - count), count) + np.arange(len(j))
+                i = other[i] if cross else i
+                need = np.ceil(share * (n[i] + n[j]) - 1e-9)
+                ok = np.flatnonzero(1 + np.minimum(left[i], left[j]) >= need)
+                i, j, most = i[ok], j[ok], n[i[ok]] + n[j[ok]] - 2 * need[ok]
+                earlier = np.zeros(len(i), bool)
+                for x in ("p0", "p1"):
+                    for y in ("p0", "p1"):
+                        earlier |= (col[x][i] == col[y][j]) & known[x][i] & known[y][j]
+                apart = np.zeros(len(i), np.int64)
+                for x in few:
+                    apart += np.bitwise_count(col[x][i].view(np.uint64) ^ col[x][j].view(np.uint64))
+                ok = np.flatnonzero(~earlier & (apart <= most))
+                i, j, most = i[ok], j[ok], most[ok]
+                large = np.flatnonzero(known["m0"][i] & known["m0"][j])
+                apart = np.zeros(len(large), np.int64)
+                for x in more:
+                    apart += np.bitwise_count(col[x][i[large]].view(np.uint64) ^ col[x][j[large]].view(np.uint64))
+                ok = np.ones(len(i), bool)
+                ok[large] = apart <= most[large]
+                if ok.any():
+                    ids = [rows.column("id").take(pa.array(x[ok])) for x in (j, i)]
+                    yield pa.RecordBatch.from_arrays(ids, ["lid", "rid"])
+            # later rows of the last token may meet these: its right rows, or those not too small
+            kept = rows.slice(keep)
+            kept = kept.filter(pc.equal(kept.column("side"), 1)) if cross else kept
+
+    kind = lpre.schema["id"].dataType
+    met = rows.repartition("tok").sortWithinPartitions("tok", F.col("side").desc(), "n") \
+        .mapInArrow(meet, T.StructType([T.StructField("lid", kind), T.StructField("rid", kind)]))
+    return met if cross else met.where("lid <> rid").select(F.least("lid", "rid").alias("lid"), F.greatest("lid", "rid").alias("rid"))
 
 
 def similar_pairs(lsets: DataFrame, lpre: DataFrame, rsets: DataFrame | None, rpre: DataFrame | None,
                   threshold: float) -> DataFrame:
     """Pairs with Jaccard >= threshold from prefix tables (self-join when
-    ``rsets`` is None).  Filters, cheapest first: shared prefix token
-    (equi-join), length ratio, the positional bound at the pair's first
-    shared token (all earlier tokens of both sets are unshared, so the
-    overlap is at most 1 + min(n_l - i, n_r - j) and must reach
-    t/(1+t) * (n_l + n_r)), then the bits in which the sets' signatures
-    differ; only survivors fetch their sets for the exact Jaccard."""
-    self_join = rsets is None
-    lp = lpre.select(F.col("id").alias("lid"), "tok", F.col("pos").alias("lpos"), F.col("n").alias("ln"))
-    rp = (lpre if self_join else rpre).select(F.col("id").alias("rid"), "tok", F.col("pos").alias("rpos"),
-                                               F.col("n").alias("rn"))
-    cand = lp.join(rp, "tok")
-    if self_join:
-        cand = cand.where(F.col("lid") < F.col("rid"))
-    t = F.lit(threshold)
-    cand = cand.where((F.col("rn") >= t * F.col("ln")) & (F.col("ln") >= t * F.col("rn")))
-    # the bound only falls at later shared tokens, so rows that miss it are dropped before pairs are made distinct
-    need = F.ceil(t / (1 + t) * (F.col("ln") + F.col("rn")) - F.lit(1e-9))
-    cand = cand.where(1 + F.least(F.col("ln") - F.col("lpos"), F.col("rn") - F.col("rpos")) >= need)
-    first = cand.groupBy("lid", "rid").agg(F.first("ln").alias("ln"), F.first("rn").alias("rn"))
-    lsig = _signatures(lsets)
-    rsig = lsig if self_join else _signatures(rsets)
-    bits = [c for c in lsig.columns if c != "id"]
-    apart = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in bits), F.lit(0))
-    near = (first.join(lsig.select(F.col("id").alias("lid"), *[F.col(c).alias(f"l{c}") for c in bits]), "lid")
-            .join(rsig.select(F.col("id").alias("rid"), *[F.col(c).alias(f"r{c}") for c in bits]), "rid")
-            .where(apart <= F.col("ln") + F.col("rn") - 2 * need).select("lid", "rid"))
-    # sets travel as one text each, a fraction of the bytes of an array
-    L = lsets.select(F.col("id").alias("lid"), F.array_join("toks", " ").alias("lt"))
-    R = (lsets if self_join else rsets).select(F.col("id").alias("rid"), F.array_join("toks", " ").alias("rt"))
-    full = near.join(L, "lid").join(R, "rid").select("lid", "rid", jaccard_sets(F.split("lt", " "), F.split("rt", " ")).alias("jac"))
-    return full.where(F.col("jac") >= threshold).select("lid", "rid", F.round("jac", 6).alias("jaccard"))
+    ``rsets`` is None).  Filters, cheapest first, all where the prefixes of a
+    token meet: length ratio, the positional bound at the pair's first shared
+    token (all earlier tokens of both sets are unshared, so the overlap is at
+    most 1 + min(n_l - i, n_r - j) and must reach t/(1+t) * (n_l + n_r)), no
+    shared one among the two tokens before (the pair then has a row there as
+    well), then the bits in which the sets' signatures differ; only survivors
+    are made distinct and fetch their sets for the exact Jaccard."""
+    pairs = _written(_candidates(lpre, rpre, threshold).distinct(), "candidates")
+    return _jaccard_in_blocks(pairs, lsets, rsets, threshold).select("lid", "rid", F.round("jac", 6).alias("jaccard"))
 
 
 def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: float = 0.8,
@@ -431,21 +641,27 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: fl
     tokens (rare tokens: small groups), then length and positional filters
     and the exact Jaccard on the full sets.  Nothing is truncated.
     """
-    Ls = left if tokenized else token_sets(left)
-    Rs = None if right is None else (right if tokenized else token_sets(right))
-    rarity = token_rarity(Ls) if Rs is None else token_rarity(Ls, Rs)
-    lpre = prefix_table(Ls, rarity, threshold)
-    rpre = None if Rs is None else prefix_table(Rs, rarity, threshold)
-    return similar_pairs(Ls, lpre, Rs, rpre, threshold)
+    if not tokenized:
+        # equal texts collapse first; their pairs are made last
+        (lm, Ls), (rm, Rs) = token_classes(left), (None, None) if right is None else token_classes(right)
+        return member_pairs(near_duplicate_pairs(Ls, Rs, threshold, tokenized=True), lm, rm).where("lid is not null and rid is not null")
+    if right is None:
+        return similar_pairs(left, prefix_table(left, token_rarity(left), threshold), None, None, threshold)
+    rarity = token_rarity(left, right)
+    return similar_pairs(left, prefix_table(left, rarity, threshold), right, prefix_table(right, rarity, threshold), threshold)
 
 
 def later_near_copies(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Ids of the texts that have a near copy (token Jaccard >= threshold) with a smaller id.
 
-    Texts with equal token sets collapse first: all but the smallest id of a
-    class are later copies, and only the smallest ids enter the similarity
-    join, so a text copied a million times costs its rows, not their pairs.
+    Texts with equal token sets collapse first and only classes enter the
+    similarity join; a member is a later copy if its id is not the smallest
+    of its class and all near ones, so a text copied a million times costs
+    its rows, not their pairs.
     """
-    members, reps = token_classes(df)
-    near = near_duplicate_pairs(reps, None, threshold, tokenized=True)
-    return members.where(F.col("id") != F.col("rep")).select("id").unionByName(near.select(F.col("rid").alias("id"))).distinct()
+    members, sets = token_classes(df)
+    near = near_duplicate_pairs(sets, None, threshold, tokenized=True)
+    first = members.groupBy("class").agg(F.min("id").alias("first"))
+    both = near.select(F.explode(F.array(F.struct(F.col("lid").alias("class"), F.col("rid").alias("of")), F.struct(F.col("rid").alias("class"), F.col("lid").alias("of")))).alias("x")).select("x.class", "x.of")
+    least = both.join(first.withColumnRenamed("class", "of"), "of").select("class", "first").unionByName(first).groupBy("class").agg(F.min("first").alias("first"))
+    return members.join(least, "class").where(F.col("id") > F.col("first")).select("id").distinct()

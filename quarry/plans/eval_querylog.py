@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import querylog as QL
 from quarry.operators.inverted_index import read_postings, write_index
 from quarry.operators.joins import broadcast_if_small, spread
-from quarry.operators.querylog import (column_refs, extract_sql, harmonic, mask_values, normalize_sql, prf1,
+from quarry.operators.querylog import (column_refs, extract_sql, harmonic, mask_values, member_pairs, normalize_sql, prf1,
                                        prefix_table, similar_pairs, token_classes, token_rarity, question_class, question_patterns, sql_skeleton, table_refs,
                                        token_budget, tokens, top_k_similar, top_n_value)
 from quarry.operators.relational import arr_str
@@ -282,13 +282,15 @@ def _classes_sql(name: str, table: str, key: str) -> str:
 
 @register("L11_leakage_audit", f"""
 WITH {_classes_sql('d', 'documents', 'doc_id')}, {_classes_sql('b', 'benchmark', 'item_id')},
+da AS (SELECT doc_id AS id, {sql_tokens('text')} AS tk FROM documents),
+ba AS (SELECT item_id AS id, {sql_tokens('text')} AS tk FROM benchmark),
 dd AS (SELECT a.id AS lid, b.id AS rid, len(list_intersect(a.tk, b.tk)) / len(list_distinct(list_concat(a.tk, b.tk))) AS j
-       FROM dr a JOIN dr b ON a.id < b.id AND len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
+       FROM da a JOIN da b ON a.id < b.id
+       WHERE len(a.tk) > 0 AND len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
 db AS (SELECT a.id AS lid, b.id AS rid, len(list_intersect(a.tk, b.tk)) / len(list_distinct(list_concat(a.tk, b.tk))) AS j
-       FROM dr a JOIN br b ON len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk)),
-ex AS (SELECT d.doc_id AS lid, min(b.item_id) AS rid FROM documents d JOIN benchmark b
-       ON regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g') = regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g')
-       WHERE d.doc_id IS NOT NULL AND b.item_id IS NOT NULL GROUP BY d.doc_id),
+       FROM da a JOIN ba b ON len(b.tk) >= 0.8 * len(a.tk) AND len(a.tk) >= 0.8 * len(b.tk) WHERE len(a.tk) > 0),
+ex AS (SELECT d.doc_id AS lid, b.item_id AS rid FROM documents d JOIN benchmark b
+       ON regexp_replace(lower(trim(d.text)), '\\s+', ' ', 'g') = regexp_replace(lower(trim(b.text)), '\\s+', ' ', 'g')),
 bx AS (SELECT item_id AS id, min(item_id) OVER (PARTITION BY regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS rep
        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
 SELECT 'doc_member' AS kind, id AS lid, rep AS rid, 1.0 AS jaccard FROM dm WHERE id <> rep
@@ -299,16 +301,15 @@ UNION ALL SELECT 'doc_bench_exact', lid, rid, 1.0 FROM ex
 UNION ALL SELECT DISTINCT 'bench_exact_member', id, rep, 1.0 FROM bx WHERE id <> rep
 """)
 def l11(t: Tables):
-    """Leakage audit within documents and between documents and benchmark.
-
-    Texts with equal token sets are one class: ``*_member`` rows give the
-    representative (smallest id) of every other member, ``*_near`` rows the
-    pairs of representatives with token Jaccard >= 0.8, by an exact
-    prefix-filtered similarity join; the pairs of members follow from both
-    and are never written.  ``doc_bench_exact`` gives every document whose
-    whole normalised text is a benchmark item the smallest such item, and
-    ``bench_exact_member`` every other item with the same normalised text
-    that one, so texts without tokens lose no link either.
+    """Leakage audit: exact text matches documents x benchmark, and
+    near-duplicates (token Jaccard >= 0.8) within documents and between
+    documents and benchmark, every pair of them.
+
+    Texts with equal token sets are one class: an exact prefix-filtered
+    similarity join finds the near classes, and the pairs of their members are
+    made from them last (``*_near``).  ``*_member`` rows also give the
+    representative (smallest id) of every other member of a class,
+    ``bench_exact_member`` that of the items with the same normalised text.
     """
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
     b = t.benchmark.select(F.col("item_id").alias("id"), "text")
@@ -316,19 +317,23 @@ def l11(t: Tables):
     # one rarity order for both joins, so the documents' prefixes are built once
     rarity = token_rarity(dr, br)
     dpre, bpre = prefix_table(dr, rarity, 0.8), prefix_table(br, rarity, 0.8)
-    dd = similar_pairs(dr, dpre, None, None, 0.8).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
-    db = similar_pairs(dr, dpre, br, bpre, 0.8).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
+    dd = member_pairs(similar_pairs(dr, dpre, None, None, 0.8), dm).select(F.lit("doc_doc_near").alias("kind"), "lid", "rid", "jaccard")
+    db = member_pairs(similar_pairs(dr, dpre, br, bpre, 0.8), dm, bm).select(F.lit("doc_bench_near").alias("kind"), "lid", "rid", "jaccard")
     norm = lambda c: F.sha2(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), 256)
-    hashed = b.where("id is not null and text is not null").select("id", norm(F.col("text")).alias("h"))
-    items = hashed.groupBy("h").agg(F.min("id").alias("rid"))
-    same_item = hashed.join(items, "h").select("id", F.col("rid").alias("rep")).distinct()
-    ex = (d.where("id is not null").select(F.col("id").alias("lid"), norm(F.col("text")).alias("h")).join(items, "h").groupBy("lid").agg(F.min("rid").alias("rid"))
+    hashed = b.where("text is not null").select("id", norm(F.col("text")).alias("h"))
+    named = hashed.where("id is not null")
+    same_item = named.join(named.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep")
+    ex = (d.select(F.col("id").alias("lid"), norm(F.col("text")).alias("h")).join(hashed.withColumnRenamed("id", "rid"), "h")
           .select(F.lit("doc_bench_exact").alias("kind"), "lid", "rid", F.lit(1.0).alias("jaccard")))
 
+    def same_set(m):
+        m = m.where("copies > 1 and id is not null").select("class", "id").distinct()
+        return m.join(m.groupBy("class").agg(F.min("id").alias("rep")), "class")
+
     def member(m, kind):
         return m.where("id <> rep").select(F.lit(kind).alias("kind"), F.col("id").alias("lid"), F.col("rep").alias("rid"), F.lit(1.0).alias("jaccard"))
-    return dd.unionByName(db).unionByName(ex).unionByName(member(dm, "doc_member")).unionByName(member(bm, "bench_member")) \
-        .unionByName(member(same_item, "bench_exact_member"))
+    return dd.unionByName(db).unionByName(ex).unionByName(member(same_set(dm), "doc_member")).unionByName(member(same_set(bm), "bench_member")) \
+        .unionByName(member(same_item.distinct(), "bench_exact_member"))
 
 
 @register("L12_query_templates", f"""

@@ -148,6 +148,54 @@ def test_leakage_audit_links_items_without_tokens(spark, tmp_path):
     assert got == {("doc_bench_exact", 1, 5), ("bench_exact_member", 7, 5)}
 
 
+def _near(docs, others=None):
+    pairs = itertools.combinations(docs, 2) if others is None else itertools.product(docs, others)
+    sets = {t: _tok(t) for _, t in [*docs, *(others or [])]}
+    return {(a, b) for (a, x), (b, y) in pairs if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) > 0}
+
+
+def test_leakage_audit_lists_every_pair(spark, tmp_path):
+    """Copies are listed by all their pairs, not through a representative; repeated rows count as often as they come."""
+    import __spark_entry__ as e
+
+    words = [f"w{i}" for i in range(20)]
+    a, b = " ".join(words), " ".join([*words[:19], "other"])
+    docs = [(1, a), (2, a.upper()), (3, b), (4, b), (5, "far away"), (6, None), (4, b), (None, a)]
+    items = [(7, f" {a}"), (8, a), (9, b), (10, "nothing here")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(str, ((r["kind"], r["lid"], r["rid"], r["jaccard"]) for r in e.queries()["L11_leakage_audit"](spark, str(tmp_path)).collect())))
+    near = round(19 / 21, 6)
+    dd = [(1, 2, 1.0), (1, 3, near), (2, 3, near), *[(1, 4, near), (2, 4, near), (3, 4, 1.0)] * 2]
+    db = [(i, j, 1.0 if (t.lower() == a) == (j < 9) else near) for i, t in docs if t in (a, a.upper(), b) for j in (7, 8, 9)]
+    ex = [(i, j, 1.0) for i, t in docs if t for j, x in items if x.strip() == t.lower()]
+    want = [("doc_doc_near", *x) for x in dd] + [("doc_bench_near", *x) for x in db] + [("doc_bench_exact", *x) for x in ex]
+    want += [("doc_member", 2, 1, 1.0), ("doc_member", 4, 3, 1.0), ("bench_member", 8, 7, 1.0), ("bench_exact_member", 8, 7, 1.0)]
+    assert got == sorted(map(str, want))
+
+
+def test_similarity_join_in_small_batches(spark):
+    """Tokens and blocks that go over many batches lose no pair, also of large sets, and a pair comes about once."""
+    from quarry.operators import querylog as QL
+
+    rng = random.Random(5)
+    sizes = [6, 12, 40, 40, 470, 900]
+    base = [[f"w{i % 3}_{j}" for j in range(n)] for i, n in enumerate(sizes)]
+    docs = [(100 * i + c, " ".join(x if rng.random() > 0.02 * c else f"z{i}{c}{x}" for x in b)) for i, b in enumerate(base) for c in range(9)]
+    items = [(7000 + i, t) for i, t in docs[::4]] + [(9000, "w0_1 w1_1")]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r["lid"], r["rid"]) for r in near_duplicate_pairs(frame(docs), None).collect()} == _near(docs)
+        assert {(r["lid"], r["rid"]) for r in near_duplicate_pairs(frame(docs), frame(items)).collect()} == _near(docs, items)
+        _, sets = QL.token_classes(frame(docs))
+        met = QL._candidates(QL.prefix_table(sets, QL.token_rarity(sets), 0.8), None, 0.8).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(set(met)) <= len(met) < 3 * len(set(met)) < 6 * len(_near(docs))
+
+
 def test_a_sketch_per_type_not_per_user(spark, tmp_path):
     """The sketch is aggregated apart from the distinct count: no group (type, user) holds one."""
     import __spark_entry__ as e
