@@ -445,7 +445,7 @@ def _signatures(sets: DataFrame) -> DataFrame:
     return sets.select("id", _hashes("toks").alias("h")).mapInArrow(sign, schema)
 
 
-def prefix_table(sets: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
+def prefix_table(sets: DataFrame, rarity: np.ndarray, threshold: float, write: bool = True) -> DataFrame:
     """(id, n, pos, tok, p0, p1, signature): the first |s| - ceil(t*|s|) + 1 tokens
     of every set in rarity order, as hashes, with their 1-based position and
     the two tokens before them in this table.
@@ -478,7 +478,8 @@ def prefix_table(sets: DataFrame, rarity: np.ndarray, threshold: float) -> DataF
 
     names = ["id", "n", "pos", "tok", "p0", "p1", *bits]
     schema = T.StructType([T.StructField(x, sets.schema["id"].dataType if x == "id" else T.IntegerType() if x in ("n", "pos") else T.LongType()) for x in names])
-    return _written(signed.mapInArrow(prefixes, schema), "prefixes")
+    table = signed.mapInArrow(prefixes, schema)
+    return _written(table, "prefixes") if write else table
 
 
 def _block(key: str, like: DataFrame) -> Column:
@@ -646,9 +647,10 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame | None, threshold: fl
         (lm, Ls), (rm, Rs) = token_classes(left), (None, None) if right is None else token_classes(right)
         return member_pairs(near_duplicate_pairs(Ls, Rs, threshold, tokenized=True), lm, rm).where("lid is not null and rid is not null")
     if right is None:
-        return similar_pairs(left, prefix_table(left, token_rarity(left), threshold), None, None, threshold)
+        # the prefixes are read once
+        return similar_pairs(left, prefix_table(left, token_rarity(left), threshold, write=False), None, None, threshold)
     rarity = token_rarity(left, right)
-    return similar_pairs(left, prefix_table(left, rarity, threshold), right, prefix_table(right, rarity, threshold), threshold)
+    return similar_pairs(left, prefix_table(left, rarity, threshold, write=False), right, prefix_table(right, rarity, threshold), threshold)
 
 
 def later_near_copies(df: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -196,6 +196,19 @@ def test_similarity_join_in_small_batches(spark):
     assert len(set(met)) <= len(met) < 3 * len(set(met)) < 6 * len(_near(docs))
 
 
+def test_a_set_travels_once_to_a_pair_of_blocks(spark):
+    """Pairs are verified without their sets as columns: no join puts a set on every pair."""
+    from quarry.operators.querylog import later_near_copies
+
+    docs = [(i, " ".join(f"w{j}" for j in range(60) if j != i)) for i in range(50)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    near = near_duplicate_pairs(df, None)
+    assert near.count() == 50 * 49 // 2
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and plan.count("MapInArrow") == 1
+    assert {r["id"] for r in later_near_copies(df).collect()} == set(range(1, 50))
+
+
 def test_a_sketch_per_type_not_per_user(spark, tmp_path):
     """The sketch is aggregated apart from the distinct count: no group (type, user) holds one."""
     import __spark_entry__ as e
