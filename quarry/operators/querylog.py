@@ -374,12 +374,16 @@ def member_pairs(near: DataFrame, left: DataFrame, right: DataFrame | None = Non
     """
     def lists(members: DataFrame, side: str) -> DataFrame:
         part = F.pmod(F.xxhash64("row"), F.ceil(F.col("copies") / 256))
-        return members.groupBy(F.col("class").alias(f"{side}id"), part.alias(f"{side}part")).agg(F.collect_list(F.struct("id")).alias(side)).drop(f"{side}part")
+        return members.groupBy(F.col("class").alias(f"{side}id"), part.alias(f"{side}part")).agg(F.collect_list(F.struct("id")).alias(side))
 
     if right is None:
         equal = left.where("copies > 1").select(F.col("class").alias("lid"), F.col("class").alias("rid"), F.lit(1.0).alias("jaccard")).distinct()
         near = near.unionByName(equal)
-    met = near.join(lists(left, "l"), "lid").join(lists(left if right is None else right, "r"), "rid")
+    other = left if right is None else right
+    # the lists of a large class are met in as many tasks
+    parts = other.where("copies > 256").select(F.col("class").alias("rid"), F.ceil(F.col("copies") / 256).alias("parts")).distinct()
+    met = near.join(lists(left, "l"), "lid").join(parts, "rid", "left") \
+        .withColumn("rpart", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).join(lists(other, "r"), ["rid", "rpart"])
     pairs = met.select((F.col("lid") == F.col("rid")).alias("same"), "jaccard", "r", F.explode("l").alias("a")).select("same", "jaccard", "a", F.explode("r").alias("b")) \
         .select("same", "jaccard", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     if right is not None:

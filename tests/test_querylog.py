@@ -174,6 +174,20 @@ def test_leakage_audit_lists_every_pair(spark, tmp_path):
     assert got == sorted(map(str, want))
 
 
+def test_pairs_of_a_large_class_are_made_once(spark):
+    """A class of more members than one list holds gives each of its pairs once, and those with a near class."""
+    from quarry.operators.querylog import member_pairs
+
+    members = spark.createDataFrame([(i, i, 0, 600) for i in range(600)] + [(600, 1000, 1, 1)], "row long, id long, class long, copies long")
+    near = spark.createDataFrame([(0, 1, 0.9)], "lid long, rid long, jaccard double")
+    pairs = [(r["lid"], r["rid"], r["jaccard"]) for r in member_pairs(near, members).collect()]
+    assert len(pairs) == len(set(pairs)) == 600 * 599 // 2 + 600
+    assert {p for p in pairs if p[2] == 0.9} == {(i, 1000, 0.9) for i in range(600)}
+    assert {(r["lid"], r["rid"]) for r in member_pairs(near, members.where("class = 1"), members.where("class = 0")).collect()} == set()
+    back = near.select(F.col("rid").alias("lid"), F.col("lid").alias("rid"), "jaccard")
+    assert len(member_pairs(back, members.where("class = 1"), members.where("class = 0")).collect()) == 600
+
+
 def test_similarity_join_in_small_batches(spark):
     """Tokens and blocks that go over many batches lose no pair, also of large sets, and a pair comes about once."""
     from quarry.operators import querylog as QL
